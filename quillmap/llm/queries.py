@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_ts, mixing, packing, pseudonyms, quality_lines, repeats, sharding, url_filters
+from . import media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, sharding, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.JaccardJoin(_table(spark, sf_dir, "documents")).members()
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_media_transport_streams, op3_best_fit_packing, op4_source_mixing, op5_url_filters, op6_substring_dedup, op7_sharding, op8_quality_rules)
+    for f in (op1_pii_pseudonyms, op2_media_transport_streams, op3_best_fit_packing, op4_source_mixing, op5_url_filters, op6_substring_dedup, op7_sharding, op8_quality_rules, op9_ngram_jaccard_join, op10_quality_classifier)
 }
 
 ORACLES: dict[str, str] = {}
