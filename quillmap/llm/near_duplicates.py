@@ -13,8 +13,8 @@ share fewer than SKETCH/4 of these with a probability below 1e-12 (and sets of u
 share more always), so linked points meet in one of the SKETCH - SKETCH/4 + 1 rarest tokens of
 both; a point with no token that another one has takes part in nothing. Under a token, each point
 is first held against the token's smallest member; components merge, and only points of tokens
-whose members are still in different components go to R-trees. That repeats until no pair of
-different components that passes the bounds is left unverified.
+whose members are still in different components go to R-trees (of tokens with the same members, one
+counts). That repeats until no pair of different components that passes the bounds is unverified.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; equal rows are one
@@ -38,11 +38,12 @@ from .common import cut, id_and_text, in_slices, ship
 
 SHINGLE, PERCENT = 5, 75
 SKETCH = 48
-GROUPS = 16  #: coordinates of a point, each a 32-bit count
+GROUPS = 256  #: coordinates of a point: counts of one byte, where 255 stands for 255 and more
 BITS = 64  #: bytes of the bitmap of sketch tokens
 LEAF = 64
 CHUNK = 8_192  #: points of one token that one R-tree holds
 BLOCK = 4_096  #: representatives to a block
+PAIRS = 16_384  #: pairs whose bounds are computed at once
 SHINGLE_BASE = 0x8EBC6AF09C88C6E3 | 1
 
 
@@ -67,7 +68,7 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _point(tokens: np.ndarray) -> bytes:
-    return np.bincount((tokens >> K.U(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes()
+    return np.bincount((tokens >> K.U(20)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=255).astype(np.uint8).tobytes()
 
 
 def _bitmap(sketch: np.ndarray) -> bytes:
@@ -197,13 +198,24 @@ def _matrix(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(-1, width)
 
 
+def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the overlap is at most: the sum of the smaller coordinates; without bound where both
+    have a coordinate that doesn't fit its byte."""
+    low = np.minimum(a, b)
+    return np.where((low == 255).any(-1), 1 << 40, low.sum(-1, dtype=np.int64))
+
+
 def _passes(na, pa_, ba, nb, pb, bb, percent: int) -> np.ndarray:
     """For aligned rows of points and bitmaps: may these be linked?"""
-    fine = _enough(np.minimum(pa_, pb).sum(-1, dtype=np.int64), na, nb, percent)
     common = np.bitwise_count(ba & bb).sum(-1, dtype=np.int64)
     fill_a = np.minimum(na, SKETCH) - np.bitwise_count(ba).sum(-1, dtype=np.int64)  # tokens that fell on one bit
     need = np.maximum(1, np.minimum(np.minimum(na, nb), SKETCH) // 4)
-    return fine & (common + fill_a >= need)
+    out = (common + fill_a >= need) & _enough(np.minimum(na, nb), na, nb, percent)
+    left = np.flatnonzero(out)
+    for at in range(0, len(left), PAIRS):
+        k = left[at : at + PAIRS]
+        out[k] = _enough(_bound(pa_[k], pb[k]), na[k], nb[k], percent)
+    return out
 
 
 def _filter_pairs(percent: int):
@@ -213,7 +225,7 @@ def _filter_pairs(percent: int):
                 continue
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             num = lambda n: c[n].to_numpy(zero_copy_only=False)
-            mask = _passes(num("na"), _matrix(c["pa"].to_pylist(), "<u4", GROUPS), _matrix(c["ba"].to_pylist(), np.uint64, BITS // 8), num("nb"), _matrix(c["pb"].to_pylist(), "<u4", GROUPS), _matrix(c["bb"].to_pylist(), np.uint64, BITS // 8), percent)
+            mask = _passes(num("na"), _matrix(c["pa"].to_pylist(), np.uint8, GROUPS), _matrix(c["ba"].to_pylist(), np.uint64, BITS // 8), num("nb"), _matrix(c["pb"].to_pylist(), np.uint8, GROUPS), _matrix(c["bb"].to_pylist(), np.uint64, BITS // 8), percent)
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(mask))
 
     return run
@@ -247,7 +259,7 @@ class RTree:
 
     def near(self, k: int, percent: int) -> np.ndarray:
         """Leaves, from k on, that can hold points linked to points of leaf k."""
-        bound = np.minimum(self.box[k:], self.box[k]).sum(1, dtype=np.int64)
+        bound = _bound(self.box[k:], self.box[k])
         small, other = self.low[k], self.low[k:]
         fine = _enough(bound, small, other, percent)
         fine &= (100 * self.high[k:] >= percent * small) & (100 * self.high[k] >= percent * other)
@@ -255,48 +267,58 @@ class RTree:
 
 
 def _tree_pairs(percent: int, most: int):
-    """Pairs of different components that pass the bounds; up to `most` for a point, those with
-    most common sketch bits first. A row with b null says that there were more."""
+    """For a bucket of tokens: pairs of different components under one token that pass the bounds; up
+    to `most` for a point, those with most common sketch bits first. A row with b null says that
+    there were more."""
+
+    def of_one(n, points, bits, label, own) -> tuple[np.ndarray, np.ndarray]:
+        """own: the half of the points that pairs are wanted of, where there are two halves."""
+        if len(n) <= LEAF:
+            i, j = np.nonzero(np.triu(label[:, None] != label[None, :], 1) & (own[:, None] | own[None, :]))
+            fine = _passes(n[i], points[i], bits[i], n[j], points[j], bits[j], percent)
+            return i[fine], j[fine]
+        tree = RTree.pack(n, points)
+        out = []
+        for k in range(len(tree.leaves)):
+            x = tree.leaves[k]
+            for m in tree.near(k, percent):
+                y = tree.leaves[m]
+                want = (label[x][:, None] != label[y][None, :]) & (own[x][:, None] | own[y][None, :])
+                i, j = np.nonzero(np.triu(want, 1) if m == k else want)
+                i, j = x[i], y[j]
+                fine = _passes(n[i], points[i], bits[i], n[j], points[j], bits[j], percent)
+                out.append((i[fine], j[fine]))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        label = table.column("label").to_numpy()
-        own = table.column("own").to_numpy(zero_copy_only=False)
-        n = table.column("n").to_numpy()
-        points = _matrix(table.column("point").to_pylist(), "<u4", GROUPS)
+        table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        num = lambda c: table.column(c).to_numpy()
+        rep, label, n, own = num("rep"), num("label"), num("n"), num("own")
+        points = _matrix(table.column("point").to_pylist(), np.uint8, GROUPS)
         bits = _matrix(table.column("bits").to_pylist(), np.uint64, BITS // 8)
-        out_a, out_b, score = [], [], []
-        if label.min() != label.max():
-            tree = RTree.pack(n, points)
-            for k in range(len(tree.leaves)):
-                x = tree.leaves[k]
-                for j in tree.near(k, percent):
-                    y = tree.leaves[j]
-                    fine = (label[x][:, None] != label[y][None, :]) & (own[x][:, None] | own[y][None, :])
-                    if j == k:
-                        fine &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-                    i, m = np.nonzero(fine)
-                    if not len(i):
-                        continue
-                    i, m = x[i], y[m]
-                    fine = _passes(n[i], points[i], bits[i], n[m], points[m], bits[m], percent)
-                    i, m = i[fine], m[fine]
-                    out_a.append(i)
-                    out_b.append(m)
-                    score.append(np.bitwise_count(bits[i] & bits[m]).sum(1))
-        if not out_a:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b, s = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(score)
-        order = np.lexsort((rep[b], -s.astype(np.int64), a))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.diff(a, prepend=-1))
-        place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-        more = a[place == most]
-        a, b = a[place < most], b[place < most]
+        new = np.ones(len(rep), bool)
+        new[1:] = np.any([num(c)[1:] != num(c)[:-1] for c in ("token", "i", "j")], axis=0)
+        starts = np.flatnonzero(new)
+        out = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
+            if e - s > 1 and (label[s:e] != label[s]).any():
+                a, b = of_one(n[s:e], points[s:e], bits[s:e], label[s:e], own[s:e])
+                out.append((a + s, b + s))
+        a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
+        b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
+        score = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
         first, second = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-        mask = np.zeros(len(first) + len(more), bool)
-        mask[len(first) :] = True
-        return pa.table({"a": pa.array(np.concatenate([first, rep[more]])), "b": pa.array(np.concatenate([second, rep[more]]), mask=mask)})
+        order = np.lexsort((second, -score, first))
+        first, second = first[order], second[order]
+        again = np.zeros(len(first), bool)
+        again[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])  # met under several tokens
+        first, second = first[~again], second[~again]
+        begin = np.flatnonzero(np.diff(first, prepend=-(1 << 62)))
+        place = np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first))))
+        more = first[place == most]
+        keep = place < most
+        mask = np.concatenate([np.zeros(int(keep.sum()), bool), np.ones(len(more), bool)])
+        return pa.table({"a": pa.array(np.concatenate([first[keep], more])), "b": pa.array(np.concatenate([second[keep], more]), mask=mask)})
 
     return run
 
@@ -317,8 +339,8 @@ def _verify(percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, label): the smallest node that each node of an edge list (a, b) can reach. Alternating
-    large and small stars; each node's neighbours are aggregated, never gathered."""
+    """(rep, label): the smallest node that a node of an edge list (a, b) can reach, for all nodes but
+    the smallest ones themselves. Alternating large and small stars; each node's neighbours are aggregated, never gathered."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
@@ -369,11 +391,16 @@ class JaccardJoin:
         return cut(texts.mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]))
 
     def _connect(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        spark = classes.sparkSession
         percent = self.percent
-        groups = self.keys.groupBy("token").agg(F.min("rep").alias("pivot"))
-        pairs = self.keys.join(groups, "token").where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        members = self.keys.select("rep").distinct()
+        # tokens with the same members make one group: the token with the smallest value speaks for it
+        of = F.struct(F.count("*"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), "rep"))).alias("members")
+        groups = self.keys.groupBy("token").agg(of, F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
+        groups = groups.groupBy("members").agg(F.min("token").alias("token"), F.first("pivot").alias("pivot")).select("token", "pivot")
+        keys = cut(self.keys.join(groups, "token"))
+        total = keys.count()
+        buckets = max(1, math.ceil(total / 20_000))
+        pairs = keys.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        members = keys.select("rep").distinct()
 
         def slim(batches):
             for batch in batches:
@@ -395,19 +422,17 @@ class JaccardJoin:
         tested = cut(bounded(pairs))
         links = cut(verified(tested))
         labels = components(links)
-        most = 8
+        most = 32
         while True:
-            named = self.keys.join(labels, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
+            named = keys.join(labels, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
             mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("token", "m")
-            # under a token, points meet those of their own band of sizes and of the next one
-            band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
-            rows = named.join(mixed, "token").join(payload, "rep").withColumn("band", band)
-            rows = rows.withColumn("own_band", F.explode(F.array(F.struct(F.col("band").alias("at"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("at"), F.lit(False).alias("own")))))
+            rows = named.join(mixed, "token").join(payload, "rep")
+            # a token of more than CHUNK points is split; each pair of its chunks meets once
             chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-            rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-            rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            dealt = rows.select(F.col("token"), F.col("own_band.at").alias("at"), F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "rep", "label", F.col("own_band.own").alias("own"), "n", "point", "bits")
-            found = cut(dealt.groupBy("token", "at", "i", "j").applyInArrow(_tree_pairs(percent, most), "a long, b long").distinct())
+            rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
+            dealt = rows.select(F.pmod(F.xxhash64("token", i, j), F.lit(buckets)).alias("bucket"), "token", i.alias("i"), j.alias("j"), "rep", "label", ((F.col("chunk") == i) | (i == j)).alias("own"), "n", "point", "bits")
+            found = cut(dealt.groupBy("bucket").applyInArrow(_tree_pairs(percent, most), "a long, b long").distinct())
             fresh = cut(found.where("b is not null").join(tested, ["a", "b"], "left_anti"))
             some, more = fresh.count(), found.where("b is null").limit(1).count()
             if some:
@@ -417,7 +442,6 @@ class JaccardJoin:
             if not more:
                 break
             most *= 4
-        del spark
         return links, labels
 
     def members(self) -> DataFrame:
