@@ -68,7 +68,8 @@ _RATES = "rank int, key string, absent boolean, source_size long, target double,
 
 def _ordered(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    order = F.xxhash64(F.lit(mix.seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 52) - 1))
+    digest = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
+    order = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), order.alias("order")]
 
 
@@ -82,7 +83,7 @@ def _rates(slim: DataFrame, mix: Mix) -> DataFrame:
     rows = []
     for k, (r, target) in enumerate(zip(sources, targets)):
         copies = math.floor(target / r["size"]) if r["size"] else 0
-        rows.append((k, r["source"], r["source"] is None, int(r["size"]), target, copies, target - copies * r["size"], max(1, math.ceil(r["n"] / mix.bucket_rows))))
+        rows.append((k, r["source"], r["source"] is None, int(r["size"]), target, copies, round(target - copies * r["size"], 6), max(1, math.ceil(r["n"] / mix.bucket_rows))))
     rates = F.broadcast(spark.createDataFrame(rows, _RATES))  # as many rows as sources
     on = F.col("source").eqNullSafe(F.col("key"))
     spread = slim.join(rates, on).select("rank", "size", "order", "rest", F.floor(F.col("order") / (1 << 52) * F.col("buckets")).alias("bucket"))
@@ -108,7 +109,7 @@ def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     slim = cut(docs.select(*_ordered(docs, mix, id_col, text_col, source_col)))
     rates = _rates(slim, mix)
     joined = slim.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("key")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + _extra(False)).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size") + _extra(False)).alias("taken"))
 
 
 def repeat(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -35,6 +35,7 @@ class LineRules:
 
 _END = re.compile(rb"(?:[.!?:;,\"')\]}]|\xe2\x80[\xa6\x9d\x99]|\xc2\xbb|\xe3\x80\x82)$")
 _MARK = re.compile(rb"[#*$%&|<>]{2,}|[#$%&]$|!!$")
+_ANY_MARK = re.compile(rb"[#*$%&|<>]|!!")
 _BAR = re.compile(rb"(?:^|\s)(?:\||\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2)(?=\s|$)")
 # Phrases of page furniture, lower case.
 _NAVIGATION = re.compile(rb"^(?:home|menu|next|previous|back to top|skip to (?:main )?content|log ?in|sign (?:in|up)|subscribe|share|tweet|print|search|read more|contact us|about us|site ?map)\b")
@@ -51,7 +52,7 @@ def line_verdict(line: bytes, rules: LineRules) -> str:
     bars = len(_BAR.findall(body))
     if bars >= rules.link_bars or (bars and 2 * bars + 2 >= n):
         return "navigation"
-    if body[:1] in b"#*$%&|<>" or b"!!" in body or _MARK.search(body) or b"%%%" in body:
+    if _ANY_MARK.search(body):
         if sum(1 for w in words if _MARK.search(w)) >= max(2, rules.mark_share * n):
             return "punctuation"
     if n < rules.short_words and not _END.search(body):

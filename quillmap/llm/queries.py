@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, sharding, url_filters
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +63,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pii_pseudonyms, op2_media_transport_streams, op3_best_fit_packing, op4_source_mixing, op5_url_filters, op6_substring_dedup, op7_sharding, op8_quality_rules, op9_ngram_jaccard_join, op10_quality_classifier)
 }
-
-ORACLES: dict[str, str] = {}

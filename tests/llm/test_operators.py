@@ -203,10 +203,10 @@ def test_packing(spark, odd_docs, no_docs):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="aAéß'.,!?;:3 \n-»’s%", max_size=60))
+@given(st.text(alphabet="abtheAÉéßÞ×÷ªœŒ'.,!?;:3 \n-»’s%$<|>_Σςİ́漢", max_size=60))
 def test_words_alone_have_the_tokens_that_they_have_in_the_text(text):
     e = packing.encoder(packing.default_tokenizer())
-    assert np.frombuffer(e(text.encode()), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.many([text.encode()])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # ---- 4: mixing ------------------------------------------------------------------------------
@@ -463,13 +463,13 @@ def test_components_of_small_graphs(spark, edges):
     for _ in root:
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    assert got == {v: r for v, r in root.items() if sum(1 for w in root.values() if w == r) > 1}
+    assert got == {v: r for v, r in root.items() if v != r}
 
 
 def test_boxes_hold_their_points():
     rng = np.random.default_rng(1)
     n = rng.integers(5, 300, 500)
-    points = rng.integers(0, 30, (500, near_duplicates.GROUPS)).astype(np.uint32)
+    points = rng.integers(0, 3, (500, near_duplicates.GROUPS)).astype(np.uint8)
     tree = near_duplicates.RTree.pack(n, points)
     assert sorted(tree.order.tolist()) == list(range(500))
     place = {p: k for k, leaf in enumerate(tree.leaves) for p in leaf.tolist()}
