@@ -57,8 +57,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0x2545F4914F6CDD1D))
 
 
-def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each text with the total appended)."""
+def spans_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start, end and hash of every word, first word of each text with the total appended)."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         raw = _LOWER[raw]
@@ -73,7 +73,18 @@ def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.nd
         hashes[k:last] = span_hashes(raw[a:b].astype(np.uint64) + U(1), starts[k:last] - a, ends[k:last] - a, BYTE_BASE)
         k = last
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, offsets)
+    return raw, starts, ends, hashes, np.searchsorted(starts, offsets)
+
+
+def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of each text with the total appended)."""
+    return spans_of(texts, lower)[3:]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indexes start, start + 1, ... of each span, one span after the other."""
+    total = int(counts.sum())
+    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
 
 def window_hashes(words: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:

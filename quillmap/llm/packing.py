@@ -15,7 +15,6 @@ packed as often as they come; an empty table gives an empty table; other columns
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass
@@ -26,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, id_and_text, ship
+from .bpe import TextEncoder
+from .common import cut, id_and_text, in_slices, ship
 
 CAPACITY, END_ID = 4096, 1
 PART_ROWS = 50_000
-CACHE_WORDS = 400_000
-_PUNCT = b".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -40,68 +38,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of a text, word by word. The tokenizer drops white space and never joins across it, so a
-    word's ids don't depend on its neighbours; each worker remembers the words that it has seen,
-    up to a bound. Sentence marks after a letter or digit are tokens of their own and are split off
-    first, so that "word" and "word." share an entry."""
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _split(word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(_PUNCT)
-        tail = word[len(core) :]
-        if not core:
-            return word, b""
-        last = core[-1:]
-        if last >= b"\x80":
-            k = len(core) - 1
-            while k and core[k] & 0xC0 == 0x80:
-                k -= 1
-            if not core[k:].decode("utf-8", "replace").isalpha():
-                return word.lower(), b""
-        elif not last.isalnum():
-            return word.lower(), b""
-        return core.lower(), tail
-
-    def _learn(self, missing: list[bytes]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        parts = [self._split(w) for w in missing]
-        new = list({p for pair in parts for p in pair if p and p not in self.cores})
-        for part, coded in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)):
-            self.cores[part] = np.array(coded.ids, "<u4").tobytes()
-        for word, (core, tail) in zip(missing, parts):
-            self.words[word] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = text.split()
-        got = list(map(self.words.get, words))
-        if None in got:
-            missing = list({w for w, g in zip(words, got) if g is None})
-            keep = {w: g for w, g in zip(words, got) if g is not None}
-            self._learn(missing)
-            got = [keep[w] if g is not None else self.words[w] for w, g in zip(words, got)]
-        return b"".join(got)
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
@@ -117,8 +59,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         encode = encoder(path)
         for batch in batches:
             columns: list[list] = [[] for _ in fields]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = encode(text or b"") + end
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            coded = (ids for _, part in in_slices(texts, 2 << 20) for ids in encode.many(part))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)
