@@ -37,7 +37,7 @@ class Training:
 
     documents: int = 4_000
     most_bytes: int = 65_536
-    epochs: int = 6
+    steps: int = 500  #: updates; a small sample is gone through more often
     batch: int = 32
     rate: float = 0.01
     seed: int = 7
@@ -145,8 +145,10 @@ def fit(texts: list[bytes], labels: list[int], training: Training = Training())
     w = _start(rng)
     w["bias"][0] = math.log(prior / (1 - prior))
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    steps, total = 0, training.epochs * -(-len(texts) // training.batch)
-    for _ in range(training.epochs):
+    per = -(-len(texts) // training.batch)
+    epochs = max(1, -(-training.steps // per))
+    steps, total = 0, epochs * per
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), training.batch):
             some = order[at : at + training.batch]

@@ -512,7 +512,7 @@ def test_all_of_a_long_text_counts():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(97, 122, 3000).tolist()) for _ in range(60)]
     marked = [t[:2900] + b"%%%###%%%" + t[2909:] for t in texts]
-    model = quality_model.fit(texts + marked, [1] * 60 + [0] * 60, quality_model.Training(epochs=12))
+    model = quality_model.fit(texts + marked, [1] * 60 + [0] * 60, quality_model.Training(steps=400))
     assert np.mean([model.score(t) for t in texts]) > 0.8 and np.mean([model.score(t) for t in marked]) < 0.2
     late = bytes(rng.integers(97, 122, 400_000).tolist())
     assert model.features(late[:399_000] + b"%%%###%%%")[: quality_model.FILTERS].max() > model.features(late)[: quality_model.FILTERS].max() - 1e-6
