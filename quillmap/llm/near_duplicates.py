@@ -338,25 +338,52 @@ def _verify(percent: int):
     return run
 
 
+def _forests(batches):
+    """Edges to the smallest node that each node reaches inside its own batch of edges."""
+    for batch in batches:
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (up := root.setdefault(v, v)) != v:
+                root[v] = v = root.setdefault(up, up)
+            return v
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        pairs = [(v, find(v)) for v in list(root)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, label): the smallest node that a node of an edge list (a, b) can reach, for all nodes but
-    the smallest ones themselves. Alternating large and small stars; each node's neighbours are aggregated, never gathered."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    the smallest ones themselves. Alternating large and small stars, after each batch of edges has
+    been made a forest; each node's neighbours are aggregated, never gathered."""
+    edges = cut(links.select("a", "b").mapInArrow(_forests, "u long, v long").distinct())
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if before == state:
+        if before == state or not state[0]:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.where("u != v").distinct())
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("rep"), "label")
 
 
+def _nearest(links: DataFrame) -> DataFrame:
+    """(rep, label): the smallest node that each node is linked with, or itself. Nodes with one label
+    are in one component; the converse takes `components`."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("b").alias("rep"), F.col("a").alias("label")), F.struct(F.col("a").alias("rep"), F.col("a").alias("label")))).alias("e")).select("e.*")
+    return ends.groupBy("rep").agg(F.min("label").alias("label"))
+
+
 class JaccardJoin:
     """The links of a corpus. `links` has pairs of class representatives that connect all linked
     classes (not every link of a component); `members` has the class and component of every row."""
@@ -421,10 +448,9 @@ class JaccardJoin:
 
         tested = cut(bounded(pairs))
         links = cut(verified(tested))
-        labels = components(links)
-        most = 32
+        most = 64
         while True:
-            named = keys.join(labels, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
+            named = keys.join(_nearest(links), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
             mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("token", "m")
             rows = named.join(mixed, "token").join(payload, "rep")
             # a token of more than CHUNK points is split; each pair of its chunks meets once
@@ -438,11 +464,10 @@ class JaccardJoin:
             if some:
                 links = cut(links.unionByName(verified(fresh)))
                 tested = cut(tested.unionByName(fresh))
-                labels = components(links)
             if not more:
                 break
-            most *= 4
-        return links, labels
+            most *= 8
+        return links, components(links)
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, class_id (its representative), component_id for every row."""
