@@ -377,11 +377,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("rep"), "label")
 
 
-def _nearest(links: DataFrame) -> DataFrame:
-    """(rep, label): the smallest node that each node is linked with, or itself. Nodes with one label
-    are in one component; the converse takes `components`."""
+def _near(links: DataFrame) -> DataFrame:
+    """(rep, label): the smallest node in two steps from each node. Nodes with one label are in one
+    component; the converse takes `components`."""
     ends = links.select(F.explode(F.array(F.struct(F.col("b").alias("rep"), F.col("a").alias("label")), F.struct(F.col("a").alias("rep"), F.col("a").alias("label")))).alias("e")).select("e.*")
-    return ends.groupBy("rep").agg(F.min("label").alias("label"))
+    one = ends.groupBy("rep").agg(F.min("label").alias("label"))
+    far = one.select(F.col("rep").alias("label"), F.col("label").alias("far"))
+    return one.join(far, "label").select("rep", F.col("far").alias("label"))
 
 
 class JaccardJoin:
@@ -448,9 +450,9 @@ class JaccardJoin:
 
         tested = cut(bounded(pairs))
         links = cut(verified(tested))
-        most = 64
+        most = 256
         while True:
-            named = keys.join(_nearest(links), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
+            named = keys.join(_near(links), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
             mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("token", "m")
             rows = named.join(mixed, "token").join(payload, "rep")
             # a token of more than CHUNK points is split; each pair of its chunks meets once
