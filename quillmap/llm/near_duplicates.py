@@ -12,9 +12,10 @@ entries of the rarest among its `SKETCH` smallest hashes. Two sets with Jaccard
 share fewer than SKETCH/4 of these with a probability below 1e-12 (and sets of up to SKETCH tokens
 share more always), so linked points meet in one of the SKETCH - SKETCH/4 + 1 rarest tokens of
 both; a point with no token that another one has takes part in nothing. Under a token, each point
-is first held against the token's smallest member; components merge, and only points of tokens
-whose members are still in different components go to R-trees (of tokens with the same members, one
-counts). That repeats until no pair of different components that passes the bounds is unverified.
+is first held against the token's smallest member, and only points of tokens whose members still have
+different labels (the smallest node in two steps of the links) go to R-trees; of tokens with the same
+members, one counts. That repeats until no pair of different labels that passes the bounds is
+unverified; components come last, from all links.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; equal rows are one
@@ -267,7 +268,7 @@ class RTree:
 
 
 def _tree_pairs(percent: int, most: int):
-    """For a bucket of tokens: pairs of different components under one token that pass the bounds; up
+    """For a bucket of tokens: pairs of different labels under one token that pass the bounds; up
     to `most` for a point, those with most common sketch bits first. A row with b null says that
     there were more."""
 
