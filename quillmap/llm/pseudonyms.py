@@ -127,7 +127,7 @@ class Pseudonyms:
     def _iban(self, v: str) -> str | None:
         flat = v.replace(" ", "")
         country, check, rest = flat[:2], flat[2:4], flat[4:]
-        if not 15 <= len(flat) <= 34 or iban_check(country, rest) != check:
+        if not 15 <= len(flat) <= 34 or len(flat) != _IBAN_SIZES.get(country, len(flat)) or iban_check(country, rest) != check:
             return None
         body = self._mixed("iban/" + country, rest, [_alphabet(c) for c in rest])
         return _refill(v, country + iban_check(country, body) + body, str.isalnum)
@@ -217,17 +217,32 @@ class Pseudonyms:
             self.known[at] = getattr(self, "_" + kind)(found)
         return self.known[at]
 
+    def _first(self, kind: str, found: str) -> tuple[str, str | None]:
+        """The longest part from the start of a candidate on that passes its check, and its pseudonym."""
+        for part in _parts(kind, found):
+            if (new := self.value(kind, part)) is not None:
+                return part, new
+        return found, None
+
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
-
-        def swap(m: re.Match) -> str:
-            new = self.value(m.lastgroup, m[0])
+        out, done, at = [], 0, 0
+        while m := self.pattern.search(text, at):
+            part, new = self._first(m.lastgroup, m[0])
             if new is None:
-                return m[0]
+                at = m.start() + 1  # another value may begin inside
+                continue
             counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-            return new
+            out += [text[done : m.start()], new]
+            done = at = m.start() + len(part)
+        return "".join([*out, text[done:]]), counts
 
-        return self.pattern.sub(swap, text), counts
+
+def _parts(kind: str, found: str) -> list[str]:
+    """A candidate, then, where following words can look like its last groups, what is left without them."""
+    if kind != "iban" or found[:2] not in _IBAN_SIZES:
+        return [found]
+    return [found, *(found[:k] for k in range(len(found) - 1, 0, -1) if found[k] == " ")]
 
 
 def _all_days() -> range:
@@ -243,6 +258,17 @@ def _late_days() -> list[int]:
     return _late
 
 
+# Characters of an IBAN by country, as registered or in use; of other codes, a whole candidate with a right modulus counts.
+_IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 # In the order in which they are tried at a place. Each begins with a fixed kind of character.
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",

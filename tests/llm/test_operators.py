@@ -81,6 +81,22 @@ def test_what_fails_its_check_stays():
     assert pseudonyms.Pseudonyms()(text) == (text, {})
 
 
+IBANS = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "PL61109010140000071219812874", "NO9386011117947", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000"]
+
+
+@pytest.mark.parametrize("value", IBANS)
+@pytest.mark.parametrize("around", ["{} EUR 500", "{} PAID", "{} BIC KREDBEBB", "{} 1234 5678", "AB12 CODE {} A1", "{}"])
+def test_words_after_an_iban_are_not_part_of_it(value, around):
+    text, counts = pseudonyms.Pseudonyms(b"k")(around.format(value))
+    assert counts == {"iban": 1} and value not in text
+    head, tail = around.split("{}")
+    new = text[len(head) : len(text) - len(tail)]
+    assert text == head + new + tail and new[:2] == value[:2] and len(new) == len(value)
+    flat = new.replace(" ", "")
+    assert pseudonyms.iban_check(flat[:2], flat[4:]) == flat[2:4]
+    assert pseudonyms.Pseudonyms(b"k", back=True)(text)[0] == around.format(value)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 400), st.binary(min_size=1, max_size=4))
 def test_feistel_is_a_permutation(n, key):
