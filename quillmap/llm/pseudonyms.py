@@ -12,8 +12,12 @@ rows are treated one by one; an empty table gives an empty table; `pseudonymise`
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
+import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -27,7 +31,8 @@ ROUNDS = 8
 DEFAULT_KEY = b"quillmap test key: give your own"
 KINDS = ("email", "card", "iban", "phone", "ssn", "ipv4", "date", "secret")
 _DIGITS, _LOWERS, _UPPERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+#: Dates of these years have pseudonyms in these years, dates of others in others.
+_NEAR_YEARS, _FAR_YEARS = range(1900, 2100), [*range(1, 1900), *range(2100, 10_000)]
 
 
 class Feistel:
@@ -133,12 +138,16 @@ class Pseudonyms:
         return _refill(v, country + iban_check(country, body) + body, str.isalnum)
 
     def _phone(self, v: str) -> str | None:
-        m = re.match(r"(\+\d{1,3}(?=[ .(-]))?(.*)", v, re.S)
+        m = re.match(r"(\+\d{1,3}(?=[ .(-])|1[ .-](?=\d{3}[ .-]))?(.*)", v, re.S)
         code, rest = m[1] or "", m[2]
+        if rest[0] == "+":  # no mark behind the calling code
+            code = "+" + _CALLING_CODE.match(rest, 1)[0]
+            rest = rest[len(code) :]
         digits = re.sub(r"\D", "", rest)
         if not 6 <= len(digits) <= 14:
             return None
-        return code + _refill(rest, self._digits("phone/" + code, digits), str.isdigit)
+        label = "+1" if code[:1] == "1" else code
+        return code + _refill(rest, self._digits("phone/" + label, digits), str.isdigit)
 
     def _ssn(self, v: str) -> str | None:
         area, group, serial = map(int, v.split("-"))
@@ -176,29 +185,17 @@ class Pseudonyms:
             order = "dmy" if parts[1] == "." or a > 12 else "mdy"
         numbers = dict(zip(order, (a, b, c)))
         try:
-            day = datetime.date(numbers["y"], numbers["m"], numbers["d"]).toordinal() - _FIRST_DAY
+            datetime.date(numbers["y"], numbers["m"], numbers["d"])
         except ValueError:
             return None
-        if not 0 <= day < _DAYS:
-            return None
-        # days above the 12th in one order would read as another: stay in the half of the calendar that reads alike
-        alike = order != "ymd" and order != "dmy" or parts[1] == "."
-        if order == "ymd" or alike and order == "dmy":
-            new = datetime.date.fromordinal(_FIRST_DAY + self._permute("date", _DAYS, day))
-        else:
-            new = self._slashed(order, numbers)
-        fields = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return parts[1].join(fields[k] for k in order)
-
-    def _slashed(self, order: str, numbers: dict[str, int]) -> datetime.date:
-        """Dates with slashes: month-first dates permute among all days, day-first ones (which only
-        show with a day above 12) among the days above 12."""
-        if order == "mdy":
-            days = _all_days()
-        else:
-            days = _late_days()
-        k = days.index(datetime.date(numbers["y"], numbers["m"], numbers["d"]).toordinal()) if order == "dmy" else datetime.date(numbers["y"], numbers["m"], numbers["d"]).toordinal() - _FIRST_DAY
-        return datetime.date.fromordinal(days[self._permute("date" if order == "mdy" else "late date", len(days), k)])
+        # the pseudonym is among the dates that are written, and read, in the same way
+        width = {k: len(x) for k, x in zip(order, parts[::2])}
+        late = order == "dmy" and parts[1] != "."  # day first only shows with a day above 12
+        near = numbers["y"] in _NEAR_YEARS
+        days = _calendar(near, width["m"], width["d"], late)
+        label = ("late " if late else "") + "date" + ("" if near else " of other years") + ("" if width["m"] == width["d"] == 2 else f"/{width['m']}{width['d']}")
+        new = dict(zip("ymd", days.date(self._permute(label, days.count, days.rank(numbers["y"], numbers["m"], numbers["d"])))))
+        return parts[1].join(f"{new[k]:0{len(x)}d}" for k, x in zip(order, parts[::2]))
 
     def _secret(self, v: str) -> str | None:
         m = re.match(r"(AKIA|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s*[=:]\s*)(.*)", v, re.S)
@@ -240,23 +237,38 @@ class Pseudonyms:
 
 def _parts(kind: str, found: str) -> list[str]:
     """A candidate, then, where following words can look like its last groups, what is left without them."""
-    if kind != "iban" or found[:2] not in _IBAN_SIZES:
+    if not (kind == "iban" and found[:2] in _IBAN_SIZES or kind == "phone" and found[0] == "+"):
         return [found]
-    return [found, *(found[:k] for k in range(len(found) - 1, 0, -1) if found[k] == " ")]
+    parts = [found, *(found[:k] for k in range(len(found) - 1, 0, -1) if not found[k].isalnum() and found[k - 1].isalnum())]
+    if found[:2] == "+1":  # numbers of this zone have ten digits more
+        parts.sort(key=lambda x: sum(map(str.isdigit, x)) != 11)
+    return parts
+
 
+class _Calendar:
+    """The dates of some years whose month and day can be written with so many digits, in order."""
 
-def _all_days() -> range:
-    return range(_FIRST_DAY, _FIRST_DAY + _DAYS)
+    def __init__(self, near: bool, month: int, day: int, late: bool) -> None:
+        self.years = _NEAR_YEARS if near else _FAR_YEARS
+        fits = lambda m, d: (month == 2 or m < 10) and (day == 2 or d < 10) and (not late or d > 12)
+        self.days = [[(m, d) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1) if fits(m, d)] for y in (2023, 2024)]
+        self.place = [{x: k for k, x in enumerate(days)} for days in self.days]
+        self.starts = [0, *itertools.accumulate(len(self.days[calendar.isleap(y)]) for y in self.years)]
+        self.count = self.starts[-1]
 
+    def rank(self, y: int, m: int, d: int) -> int:
+        return self.starts[bisect.bisect_left(self.years, y)] + self.place[calendar.isleap(y)][m, d]
 
-_late: list[int] = []
+    def date(self, rank: int) -> tuple[int, int, int]:
+        k = bisect.bisect_right(self.starts, rank) - 1
+        y = self.years[k]
+        return y, *self.days[calendar.isleap(y)][rank - self.starts[k]]
 
 
-def _late_days() -> list[int]:
-    if not _late:
-        _late.extend(k for k in _all_days() if datetime.date.fromordinal(k).day > 12)
-    return _late
+_calendar = functools.cache(_Calendar)
 
+#: Calling codes: zones 1 and 7, those of two digits, and all others of three.
+_CALLING_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 
 # Characters of an IBAN by country, as registered or in use; of other codes, a whole candidate with a right modulus counts.
 _IBAN_SIZES = {
@@ -274,10 +286,10 @@ _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?[A-Za-z0-9+/_-]{6,128}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
+    "date": r"(?<![\d./-])(?:\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![\d/-]|\.\d)",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,8}){1,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?(?!\d{1,3}\.\d{1,3}\.\d{1,3}\.\d)\d{2,4}){1,3}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-](?!\d{1,3}\.\d{1,3}\.\d{1,3}\.\d)\d{2,8}){1,5}(?!\d)|(?<!\w)\+(?:\d{7,15}|\d{4,6}(?:[ .-](?!\d{1,3}\.\d{1,3}\.\d{1,3}\.\d)\d{2,8}){1,4})(?!\d)|(?<![\d.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
 }
 

@@ -97,6 +97,43 @@ def test_words_after_an_iban_are_not_part_of_it(value, around):
     assert pseudonyms.Pseudonyms(b"k", back=True)(text)[0] == around.format(value)
 
 
+MORE_VALUES = {
+    "phone": ["+15551234567", "+4930901820", "+358401234567", "+123456789012345", "+4930 901820", "555 123 4567", "555-123-4567", "1-800-555-1234", "1 800 555 1234", "1.800.555.1234"],
+    "date": ["1/5/1999", "12/5/1999", "1/31/1999", "1/05/1999", "31/1/1999", "1999/05/01", "1999/5/1", "1999.05.01", "1999-5-1", "01-05-1999", "1-5-1999", "31-12-1999", "1.5.1999", "0001-01-01", "9999-12-31", "1850-01-02", "31/12/1899", "29.02.2400"],
+}
+
+
+def test_other_ways_to_write_phones_and_dates():
+    names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    for kind, values in MORE_VALUES.items():
+        for value in values:
+            text, counts = names(f"Call {value}, or again {value}.")
+            assert counts == {kind: 2} and value not in text, value
+            assert back(text)[0] == f"Call {value}, or again {value}.", value
+            assert re.sub(r"\d", "9", text) == re.sub(r"\d", "9", f"Call {value}, or again {value}."), value
+    assert names("+15551234567")[0][2:] == re.sub(r"\D", "", names("1-555-123-4567")[0])[1:]
+    text, counts = names("+49 30 901820 20240101 55")
+    assert counts == {"phone": 1} and "30 901820" not in text
+    for phone in ("+1 (826) 555-4081", "+15551234567", "+49 30 901820", "+4930 901820"):
+        text, counts = names(phone + " 190.137.223.204")
+        assert counts == {"phone": 1, "ipv4": 1} and back(text)[0] == phone + " 190.137.223.204"
+    assert names("+1 (826) 555-4081 190 of them")[0].endswith(" 190 of them")
+    for text in ("1900-02-29", "2/30/1999", "0000-01-01", "13/13/1999", "31-4-1999"):
+        assert names(text) == (text, {})
+
+
+def test_dates_of_one_form_are_permuted_among_themselves():
+    for near, month, day, late in itertools.product((True, False), (1, 2), (1, 2), (True, False)):
+        if late and day == 1:
+            continue
+        days = pseudonyms._calendar(near, month, day, late)
+        for rank in [*range(0, days.count, 997), days.count - 1]:
+            y, m, d = days.date(rank)
+            datetime.date(y, m, d)
+            assert days.rank(y, m, d) == rank and len(str(m)) <= month and len(str(d)) <= day and (d > 12 or not late)
+    assert pseudonyms._calendar(True, 2, 2, False).count + pseudonyms._calendar(False, 2, 2, False).count == datetime.date.max.toordinal()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 400), st.binary(min_size=1, max_size=4))
 def test_feistel_is_a_permutation(n, key):
