@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.llm import mixing, near_duplicates, packing, pseudonyms, quality_lines
@@ -22,11 +22,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest id. Of
-    equal rows one stays; rows without an id stay."""
+    """One document of each group of linked documents stays: the one with the smallest id, where rows
+    without an id come last and a hash of the row decides among equal ids. Of equal rows one stays;
+    a text without words is linked with nothing."""
     names = docs.columns
-    gone = near_duplicates.JaccardJoin(docs).members().where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*names)
+    row, no_id = _row_number(docs), F.col("doc_id").isNull()
+    key = next(k for n in range(len(names) + 1) if (k := f"row{n}") not in names)
+    keyed = docs.withColumn(key, row)
+    found = near_duplicates.JaccardJoin(keyed, id_col=key).members().select(F.col("doc_id").alias("k"), F.col("component_id").alias("c"))
+    ids = docs.select(row.alias("k"), no_id.alias("no_id"), F.col("doc_id").alias("i")).distinct()
+    stay = found.distinct().join(ids, "k").groupBy("c").agg(F.min(F.struct("no_id", "i", "k"))["k"].alias(key)).select(key)
+    return keyed.dropDuplicates([key]).join(stay, key, "left_semi").select(*names)
+
+
+def _row_number(docs: DataFrame) -> Column:
+    """A 64-bit number that follows from all of a row's values; nulls count with their place."""
+    return F.xxhash64(*docs.columns, *[F.col(n).isNull() for n in docs.columns])
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

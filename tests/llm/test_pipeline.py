@@ -35,6 +35,21 @@ def test_stages_by_brute_force(spark, odd_docs, no_docs, sf_dir):
         assert stage(spark, no_docs.select(*docs.columns), sf_dir).count() == 0, name
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    """Repeated rows, repeated ids with equal and other texts, many rows without an id."""
+    stage = dict(corpus_pipeline.STAGES)["near_duplicate_join"]
+    words = [[f"{name}{k}" for k in range(60)] for name in "abcdef"]
+    a, b, c, d, e, f = (" ".join(w) for w in words)
+    near = " ".join(words[0][:50] + ["other"] + words[0][51:])
+    rows = [(5, a, "s"), (5, a, "s"), (5, a, "t"), (7, near, "s"), (None, a, "s"), (None, near, None), *[(None, b, "s")] * 9, (None, b, "t"), (9, c, "s"), (9, d, "s"), (8, d, "s"), (None, "", "s"), (1, e, None), (None, e, "s"), (2, None, "s"), (3, f, "s")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert got == collections.Counter([(5, a), (None, b), (9, c), (8, d), (None, ""), (1, e), (2, None), (3, f)])
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
