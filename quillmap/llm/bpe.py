@@ -145,7 +145,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merger = VectorBpe.of(path)
         self.most_words = most_words
         self.tails: dict[bytes, np.ndarray] = {}

@@ -255,6 +255,15 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_special_tokens_in_texts_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    for text in ("one <|endoftext|> two", "<|startoftext|>one<|endoftext|>", "a<|endoftext|>b <|endoftext|><|startoftext|>, c!<|endoftext|>.", "<|endoftext|> two. <|ENDOFTEXT|> <|endoftext", "É<|startoftext|>é 漢<|endoftext|>"):
+        assert np.frombuffer(e.many([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.many([b"one <|endoftext|> two"])[0], "<u4").tolist() == [637, 49407, 1237]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abtheAÉéßÞ×÷ªœŒ'.,!?;:3 \n-»’s%$<|>_Σςİ́漢", max_size=60))
 def test_words_alone_have_the_tokens_that_they_have_in_the_text(text):
