@@ -26,12 +26,10 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     without an id come last and a hash of the row decides among equal ids. Of equal rows one stays;
     a text without words is linked with nothing."""
     names = docs.columns
-    row, no_id = _row_number(docs), F.col("doc_id").isNull()
     key = next(k for n in range(len(names) + 1) if (k := f"row{n}") not in names)
-    keyed = docs.withColumn(key, row)
-    found = near_duplicates.JaccardJoin(keyed, id_col=key).members().select(F.col("doc_id").alias("k"), F.col("component_id").alias("c"))
-    ids = docs.select(row.alias("k"), no_id.alias("no_id"), F.col("doc_id").alias("i")).distinct()
-    stay = found.distinct().join(ids, "k").groupBy("c").agg(F.min(F.struct("no_id", "i", "k"))["k"].alias(key)).select(key)
+    keyed = docs.withColumn(key, _row_number(docs))
+    members = near_duplicates.JaccardJoin(keyed, id_col=key, first_col="doc_id").members()
+    stay = members.where("component_id = doc_id").select(F.col("doc_id").alias(key))
     return keyed.dropDuplicates([key]).join(stay, key, "left_semi").select(*names)
 
 

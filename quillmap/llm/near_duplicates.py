@@ -78,21 +78,21 @@ def _bitmap(sketch: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-_SLIM = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("point", pa.binary()), ("sketch", pa.binary())])
-_SLIM_DDL = "doc_id long, n long, sig_a long, sig_b long, point binary, sketch binary"
+_SLIM = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("point", pa.binary()), ("sketch", pa.binary())])
+_SLIM_DDL = "doc_id long, first long, n long, sig_a long, sig_b long, point binary, sketch binary"
 
 
 def _described(size: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            ids, first = batch.column(0), batch.column(2)
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for start, part in in_slices(texts):
                 rows = []
                 for tokens in shingle_sets(part, size):
                     rows.append((len(tokens), *_signature(tokens), _point(tokens), tokens[:SKETCH].tobytes()) if len(tokens) else (0, None, None, None, None))
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(part)), *(pa.array(c, f.type) for c, f in zip(columns, list(_SLIM)[1:]))], schema=_SLIM)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(part)), first.slice(start, len(part)), *(pa.array(c, f.type) for c, f in zip(columns, list(_SLIM)[2:]))], schema=_SLIM)
 
     return run
 
@@ -389,18 +389,24 @@ def _near(links: DataFrame) -> DataFrame:
 
 class JaccardJoin:
     """The links of a corpus. `links` has pairs of class representatives that connect all linked
-    classes (not every link of a component); `members` has the class and component of every row."""
+    classes (not every link of a component); `members` has the class and component of every row.
 
-    def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> None:
+    Classes have numbers of their own (`rep`), in the order of their smallest `first_col` (the id, if
+    not given; nulls last) and id, so one id may come with several texts."""
+
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", first_col: str | None = None) -> None:
         if not 75 <= percent <= 100:
             raise ValueError("sketches are sized for 75 percent and more")
         ship(docs.sparkSession)
         self.size, self.percent = size, percent
         self.docs = id_and_text(docs, id_col, text_col)
-        self.slim = cut(self.docs.mapInArrow(_described(size), _SLIM_DDL))
+        described = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(first_col or id_col).cast("long").alias("first"))
+        self.slim = cut(described.mapInArrow(_described(size), _SLIM_DDL))
         real = self.slim.where("n > 0 and doc_id is not null")
-        classes = cut(real.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch")))
-        self.classes = classes.select("sig_a", "sig_b", "rep")
+        head = F.min(F.struct(F.col("first").isNull().alias("last"), "first", "doc_id")).alias("head")
+        classes = real.groupBy("sig_a", "sig_b").agg(head, F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch"))
+        classes = cut(classes.orderBy("head", "sig_a", "sig_b").select("sig_a", "sig_b", "head.doc_id", F.monotonically_increasing_id().alias("rep"), "n", "point", "sketch"))
+        self.classes = classes.select("sig_a", "sig_b", "rep", "doc_id")
         self.keys = _shared_tokens(classes)
         self.links, self.labels = self._connect(classes)
 
@@ -416,8 +422,8 @@ class JaccardJoin:
                     fine = [len(t) > 0 and _signature(t) == (a, b) for t, a, b in zip(sets, batch.column(2).slice(start, len(part)).to_pylist(), batch.column(3).slice(start, len(part)).to_pylist())]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array([t.tobytes() for t in sets], pa.binary())], names=["rep", "tokens"]).filter(pa.array(fine, pa.bool_()))
 
-        wanted = some.join(self.classes, "rep").select(F.col("rep").alias("doc_id"), "sig_a", "sig_b")
-        texts = self.docs.join(wanted, "doc_id").select("doc_id", "text", "sig_a", "sig_b")
+        wanted = some.join(self.classes, "rep").select("doc_id", "rep", "sig_a", "sig_b")
+        texts = self.docs.join(wanted, "doc_id").select("rep", "text", "sig_a", "sig_b")
         return cut(texts.mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]))
 
     def _connect(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -473,8 +479,9 @@ class JaccardJoin:
         return links, components(links)
 
     def members(self) -> DataFrame:
-        """doc_id, n_shingles, class_id (its representative), component_id for every row."""
-        named = self.classes.join(self.labels, "rep", "left").select("sig_a", "sig_b", "rep", F.coalesce("label", "rep").alias("label"))
+        """doc_id, n_shingles, class_id (its smallest id), component_id (its first class's) for every row."""
+        named = self.classes.join(self.labels, "rep", "left").select("sig_a", "sig_b", "doc_id", F.coalesce("label", "rep").alias("rep"))
+        named = named.withColumnRenamed("doc_id", "class").join(self.classes.select("rep", F.col("doc_id").alias("component")), "rep").drop("rep")
         joined = self.slim.select("doc_id", "n", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
         known = F.col("doc_id").isNotNull()
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(known, F.coalesce("label", "doc_id")).alias("component_id"))
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("class", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))

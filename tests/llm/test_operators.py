@@ -515,6 +515,17 @@ def test_odd_documents_join(spark, odd_docs, no_docs):
     assert near_duplicates.JaccardJoin(no_docs).members().count() == 0
 
 
+def test_one_id_with_two_texts(spark, odd_docs):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    near = lambda w: " ".join(w[:30] + ["other"] + w[31:])
+    rows = [(11, " ".join(a)), (11, " ".join(b)), (20, near(a)), (30, near(b)), (40, "alone with some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert as_rows(near_duplicates.JaccardJoin(df).members(), "doc_id", "n_shingles", "class_id", "component_id") == {(11, 56, 11, 11): 2, (20, 56, 20, 11): 1, (30, 56, 30, 11): 1, (40, 1, 40, 40): 1}
+    assert near_duplicates.JaccardJoin(df).links.count() == 2
+    out = near_duplicates.JaccardJoin(odd_docs).members().where("doc_id = 11")
+    assert sorted(r["n_shingles"] for r in out.where("component_id = 11").collect()) == [1, 29_996]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 12)), max_size=20))
 def test_components_of_small_graphs(spark, edges):
