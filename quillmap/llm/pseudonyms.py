@@ -198,11 +198,14 @@ class Pseudonyms:
         return parts[1].join(f"{new[k]:0{len(x)}d}" for k, x in zip(order, parts[::2]))
 
     def _secret(self, v: str) -> str | None:
-        m = re.match(r"(AKIA|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s*[=:]\s*)(.*)", v, re.S)
+        m = re.match(r"(AKIA|(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"']?\s*[=:]\s*[\"']?)(.*)", v, re.S)
         flat = [c for c in m[2] if c.isascii() and c.isalnum()]
         if not flat:
             return None
-        out = self._mixed("secret/" + re.sub("[A-Za-z0-9]", "x", m[2]), "".join(flat), [_alphabet(c) for c in flat])
+        label, out = "secret/" + re.sub("[A-Za-z0-9]", "x", m[2]), ""
+        for k in range(0, len(flat), 1024):  # long values in blocks: their numbers would take long to multiply
+            name = label if len(flat) <= 1024 else f"secret/{hashlib.blake2b(label.encode()).hexdigest()}/{k}"
+            out += self._mixed(name, "".join(flat[k : k + 1024]), [_alphabet(c) for c in flat[k : k + 1024]])
         return m[1] + _refill(m[2], out, lambda c: c.isascii() and c.isalnum())
 
     def value(self, kind: str, found: str) -> str | None:
@@ -284,7 +287,7 @@ _IBAN_SIZES = {
 # In the order in which they are tried at a place. Each begins with a fixed kind of character.
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?[A-Za-z0-9+/_-]{6,128}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"']?\s?[=:]\s?[\"']?[^\s\"']{5,}[^\s\"'.,;:!?)\]}>]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![\d/-]|\.\d)",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",

@@ -122,6 +122,17 @@ def test_other_ways_to_write_phones_and_dates():
         assert names(text) == (text, {})
 
 
+@pytest.mark.parametrize("value", ["a1B2" * 50, "aaaaaa.bbbbbb.cccccc", "hunter2!@$%Extra9", "x9" * 5000, "abcdef"])
+@pytest.mark.parametrize("around", ["token={} and", "password: '{}', and", '{{"api_key": "{}"}}', "secret={}."])
+def test_whole_secrets_are_replaced(value, around):
+    text, counts = pseudonyms.Pseudonyms(b"k")(around.format(value))
+    head, tail = around.format("\0").split("\0")
+    new = text[len(head) : len(text) - len(tail)]
+    assert counts == {"secret": 1} and text == head + new + tail and len(new) == len(value)
+    assert all(new[k : k + 6] != value[k : k + 6] for k in range(0, len(value) - 5, 6))
+    assert pseudonyms.Pseudonyms(b"k", back=True)(text)[0] == around.format(value)
+
+
 def test_dates_of_one_form_are_permuted_among_themselves():
     for near, month, day, late in itertools.product((True, False), (1, 2), (1, 2), (True, False)):
         if late and day == 1:
