@@ -12,10 +12,10 @@ entries of the rarest among its `SKETCH` smallest hashes. Two sets with Jaccard
 share fewer than SKETCH/4 of these with a probability below 1e-12 (and sets of up to SKETCH tokens
 share more always), so linked points meet in one of the SKETCH - SKETCH/4 + 1 rarest tokens of
 both; a point with no token that another one has takes part in nothing. Under a token, each point
-is first held against the token's smallest member, and only points of tokens whose members still have
-different labels (the smallest node in two steps of the links) go to R-trees; of tokens with the same
-members, one counts. That repeats until no pair of different labels that passes the bounds is
-unverified; components come last, from all links.
+is first held against the token's smallest member, which links nearly all of a group of copies. Of
+the tokens whose members still are in different components, R-trees take the members and give the
+pairs of different components that pass the bounds; of tokens with the same members, one counts.
+That repeats, with components merged, until no such pair is unverified.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; equal rows are one
@@ -35,16 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, id_and_text, in_slices, ship
+from .common import cut, id_and_text, ship, text_slices, to_batch
 
 SHINGLE, PERCENT = 5, 75
 SKETCH = 48
 GROUPS = 256  #: coordinates of a point: counts of one byte, where 255 stands for 255 and more
 BITS = 64  #: bytes of the bitmap of sketch tokens
-LEAF = 64
+LEAF, FAN = 64, 16  #: points to a leaf, nodes to a node above
+PART = 4_096  #: members of a token in one part; more are dealt over several
 CHUNK = 8_192  #: points of one token that one R-tree holds
-BLOCK = 4_096  #: representatives to a block
-PAIRS = 16_384  #: pairs whose bounds are computed at once
+BLOCK = 2_048  #: representatives to a block
+PAIRS = 8_192  #: pairs whose bounds are computed at once
 SHINGLE_BASE = 0x8EBC6AF09C88C6E3 | 1
 
 
@@ -78,21 +79,31 @@ def _bitmap(sketch: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-_SLIM = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("point", pa.binary()), ("sketch", pa.binary())])
+_SLIM = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("first", pa.int64()),
+        ("n", pa.int64()),
+        ("sig_a", pa.int64()),
+        ("sig_b", pa.int64()),
+        ("point", pa.binary()),
+        ("sketch", pa.binary()),
+    ]
+)
 _SLIM_DDL = "doc_id long, first long, n long, sig_a long, sig_b long, point binary, sketch binary"
 
 
+def _row(tokens: np.ndarray) -> tuple:
+    if not len(tokens):
+        return 0, None, None, None, None
+    return len(tokens), *_signature(tokens), _point(tokens), tokens[:SKETCH].tobytes()
+
+
 def _described(size: int):
     def run(batches):
         for batch in batches:
-            ids, first = batch.column(0), batch.column(2)
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for start, part in in_slices(texts):
-                rows = []
-                for tokens in shingle_sets(part, size):
-                    rows.append((len(tokens), *_signature(tokens), _point(tokens), tokens[:SKETCH].tobytes()) if len(tokens) else (0, None, None, None, None))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(part)), first.slice(start, len(part)), *(pa.array(c, f.type) for c, f in zip(columns, list(_SLIM)[2:]))], schema=_SLIM)
+            for part, texts in text_slices(batch):
+                yield to_batch([part.column(0), part.column(2)], [_row(t) for t in shingle_sets(texts, size)], _SLIM)
 
     return run
 
@@ -105,6 +116,10 @@ def _needed(sketch_size: int) -> int:
 # ---- tokens that more than one representative has -------------------------------------------
 
 
+_BLOCKS = pa.schema([("block", pa.int64()), ("reps", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
 def _blocks(classes: DataFrame) -> DataFrame:
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
@@ -112,19 +127,17 @@ def _blocks(classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 sketches = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task << 32 | k]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([[len(s) // 8 for s in sketches]], pa.list_(pa.int32())), pa.array([b"".join(sketches)], pa.binary())],
-                    names=["block", "reps", "sizes", "tokens"],
-                )
+                row = (task << 32 | k, part.column(0).to_pylist(), [len(s) // 8 for s in sketches], b"".join(sketches))
+                yield to_batch([], [row], _BLOCKS)
                 k += 1
 
     return classes.select("rep", "sketch").mapInArrow(run, "block long, reps array<long>, sizes array<int>, tokens binary")
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
-    """(token, rep) for the rarest tokens of each representative, as far as others have them too.
-    A block asks for each of its distinct tokens once, so a token of all documents takes one entry
-    a block."""
+    """(token, rep, m) for the rarest tokens of each representative, as far as others have them too;
+    m is how many have the token among their smallest. A block asks for each of its distinct tokens
+    once, so a token of all documents takes one entry a block."""
     blocks = cut(_blocks(classes))
     total = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
     buckets = max(1, math.ceil(total / (6 << 20)))
@@ -147,19 +160,18 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
                 tokens, _, counts = distinct(row)
                 order, parts = runs(tokens)
                 tokens, counts = tokens[order], counts[order].astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([tokens[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in parts], pa.binary())],
-                    names=["bucket", "block", "keys", "counts"],
-                )
+                rows = [(k, row["block"], tokens[a:b].tobytes(), counts[a:b].tobytes()) for k, a, b in parts]
+                yield to_batch([], rows, _ASKED)
 
     def answer(table: pa.Table) -> pa.Table:
         keys = table.column("keys").to_pylist()
         tokens = np.frombuffer(b"".join(keys), np.uint64)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
         _, inverse = np.unique(tokens, return_inverse=True)
-        sums = np.minimum(np.bincount(inverse, counts), 0xFFFFFFFF).astype(np.uint32)[inverse].tobytes()
+        sums = np.minimum(np.bincount(inverse, counts), 0x7FFFFFFF).astype(np.uint32)[inverse].tobytes()
         ends = np.cumsum([len(x) // 2 for x in keys]).tolist()
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array([sums[e - len(x) // 2 : e] for e, x in zip(ends, keys)], pa.binary())})
+        found = pa.array([sums[e - len(x) // 2 : e] for e, x in zip(ends, keys)], pa.binary())
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": found})
 
     asked = blocks.select("block", "tokens").mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary")
@@ -171,20 +183,22 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
                 tokens, inverse, _ = distinct(row)
                 order, _ = runs(tokens)
                 counts = np.empty(len(tokens), np.uint32)
-                counts[order] = np.frombuffer(b"".join(a["counts"] for a in sorted(row["answers"], key=lambda a: a["bucket"])), np.uint32)
+                told = sorted(row["answers"], key=lambda a: a["bucket"])
+                counts[order] = np.frombuffer(b"".join(a["counts"] for a in told), np.uint32)
                 found, own = counts[inverse], np.frombuffer(row["tokens"], np.uint64)
-                out_t, out_r, at = [], [], 0
+                spots, reps, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
                 for rep, size in zip(row["reps"], row["sizes"]):
                     f = found[at : at + size]
                     rarest = np.lexsort((own[at : at + size], f))[: size - _needed(size) + 1]
                     rarest = rarest[f[rarest] > 1] + at
-                    out_t.append(own[rarest])
-                    out_r.append(np.full(len(rarest), rep, np.int64))
+                    spots.append(rarest)
+                    reps.append(np.full(len(rarest), rep, np.int64))
                     at += size
-                if out_t:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_r))], names=["token", "rep"])
+                spot = np.concatenate(spots)
+                columns = [own[spot].view(np.int64), np.concatenate(reps), found[spot].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "rep", "m"])
 
-    return cut(blocks.join(answers, "block").mapInArrow(keys, "token long, rep long"))
+    return blocks.join(answers, "block").mapInArrow(keys, "token long, rep long, m int")
 
 
 # ---- bounds, R-trees, verification ----------------------------------------------------------
@@ -206,135 +220,155 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((low == 255).any(-1), 1 << 40, low.sum(-1, dtype=np.int64))
 
 
-def _passes(na, pa_, ba, nb, pb, bb, percent: int) -> np.ndarray:
-    """For aligned rows of points and bitmaps: may these be linked?"""
-    common = np.bitwise_count(ba & bb).sum(-1, dtype=np.int64)
-    fill_a = np.minimum(na, SKETCH) - np.bitwise_count(ba).sum(-1, dtype=np.int64)  # tokens that fell on one bit
-    need = np.maximum(1, np.minimum(np.minimum(na, nb), SKETCH) // 4)
-    out = (common + fill_a >= need) & _enough(np.minimum(na, nb), na, nb, percent)
-    left = np.flatnonzero(out)
-    for at in range(0, len(left), PAIRS):
-        k = left[at : at + PAIRS]
-        out[k] = _enough(_bound(pa_[k], pb[k]), na[k], nb[k], percent)
-    return out
+@dataclass
+class Points:
+    """Sizes, count vectors and sketch bitmaps of some sets, row by row."""
+
+    n: np.ndarray
+    points: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, n: np.ndarray, points: list[bytes], bits: list[bytes]) -> "Points":
+        return cls(n, _matrix(points, np.uint8, GROUPS), _matrix(bits, np.uint64, BITS // 8))
+
+    def __getitem__(self, k) -> "Points":
+        return Points(self.n[k], self.points[k], self.bits[k])
+
+
+def _passes(a: Points, i: np.ndarray, b: Points, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (i of a, j of b): may they be linked, and how many sketch bits have they in common?"""
+    fine, score = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+        na, nb, ba, bb = a.n[x], b.n[y], a.bits[x], b.bits[y]
+        common = np.bitwise_count(ba & bb).sum(-1, dtype=np.int64)
+        fill = np.minimum(na, SKETCH) - np.bitwise_count(ba).sum(-1, dtype=np.int64)  # tokens that fell on one bit
+        need = np.maximum(1, np.minimum(np.minimum(na, nb), SKETCH) // 4)
+        left = np.flatnonzero((common + fill >= need) & _enough(np.minimum(na, nb), na, nb, percent))
+        left = left[_enough(_bound(a.points[x[left]], b.points[y[left]]), na[left], nb[left], percent)]
+        fine[at + left] = True
+        score[at : at + PAIRS] = common
+    return fine, score
 
 
 def _filter_pairs(percent: int):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            num = lambda n: c[n].to_numpy(zero_copy_only=False)
-            mask = _passes(num("na"), _matrix(c["pa"].to_pylist(), np.uint8, GROUPS), _matrix(c["ba"].to_pylist(), np.uint64, BITS // 8), num("nb"), _matrix(c["pb"].to_pylist(), np.uint8, GROUPS), _matrix(c["bb"].to_pylist(), np.uint64, BITS // 8), percent)
-            yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(mask))
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                c = dict(zip(part.schema.names, part.columns))
+                one, two = (Points.of(c[f"n{k}"].to_numpy(zero_copy_only=False), c[f"p{k}"].to_pylist(), c[f"b{k}"].to_pylist()) for k in "ab")
+                row = np.arange(part.num_rows)
+                mask = pa.array(_passes(one, row, two, row, percent)[0])
+                yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(mask)
 
     return run
 
 
-@dataclass
 class RTree:
-    """Points packed into leaves of up to LEAF, sorted by size and then by their first coordinates;
-    the box of a leaf has its smallest size and its largest coordinates."""
-
-    n: np.ndarray
-    points: np.ndarray
-    order: np.ndarray
-    leaves: list[np.ndarray]
-    low: np.ndarray
-    high: np.ndarray
-    box: np.ndarray
-
-    @classmethod
-    def pack(cls, n: np.ndarray, points: np.ndarray) -> "RTree":
-        slab = np.argsort(n, kind="stable")
-        parts = []
-        for at in range(0, len(slab), LEAF * 16):  # tiles: by size, then by the first coordinate
-            tile = slab[at : at + LEAF * 16]
-            tile = tile[np.argsort(points[tile, 0], kind="stable")]
-            parts += [tile[k : k + LEAF] for k in range(0, len(tile), LEAF)]
-        low = np.array([n[x].min() for x in parts])
-        high = np.array([n[x].max() for x in parts])
-        box = np.stack([points[x].max(0) for x in parts])
-        return cls(n, points, np.concatenate(parts), parts, low, high, box)
+    """Points packed into leaves of up to LEAF, sorted by size and then by their first coordinates,
+    and FAN nodes of one level into one of the next, up to a root of at most FAN. The box of a node
+    has the smallest and largest size and the largest coordinates of all points below it."""
+
+    def __init__(self, own: Points) -> None:
+        slab = np.argsort(own.n, kind="stable")
+        self.leaves: list[np.ndarray] = []
+        for at in range(0, len(slab), LEAF * FAN):  # tiles: by size, then by the first coordinate
+            tile = slab[at : at + LEAF * FAN]
+            tile = tile[np.argsort(own.points[tile, 0], kind="stable")]
+            self.leaves += [tile[k : k + LEAF] for k in range(0, len(tile), LEAF)]
+        low = np.array([own.n[x].min() for x in self.leaves])
+        high = np.array([own.n[x].max() for x in self.leaves])
+        self.levels = [(low, high, np.stack([own.points[x].max(0) for x in self.leaves]))]
+        while len(self.levels[-1][0]) > FAN:
+            low, high, box = self.levels[-1]
+            at = np.arange(0, len(low), FAN)
+            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(box, at)))
 
     def near(self, k: int, percent: int) -> np.ndarray:
-        """Leaves, from k on, that can hold points linked to points of leaf k."""
-        bound = _bound(self.box[k:], self.box[k])
-        small, other = self.low[k], self.low[k:]
-        fine = _enough(bound, small, other, percent)
-        fine &= (100 * self.high[k:] >= percent * small) & (100 * self.high[k] >= percent * other)
-        return k + np.flatnonzero(fine)
+        """Leaves, from k on, that can hold points linked to points of leaf k: from the root down,
+        without the nodes whose boxes rule it out and those that end before k."""
+        small, large, corner = (x[k] for x in self.levels[0])
+        nodes = np.arange(len(self.levels[-1][0]))
+        for depth in reversed(range(len(self.levels))):
+            low, high, box = (x[nodes] for x in self.levels[depth])
+            fine = _enough(_bound(box, corner), small, low, percent)
+            fine &= (100 * high >= percent * small) & (100 * large >= percent * low)
+            nodes = nodes[fine & ((nodes + 1) * FAN**depth > k)]
+            if depth:
+                nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+                nodes = nodes[nodes < len(self.levels[depth - 1][0])]
+        return nodes
+
+
+def _best(i: np.ndarray, j: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to `most` pairs for each i, those with the highest score first; and each i that had more."""
+    order = np.lexsort((j, -score, i))
+    i, j = i[order], j[order]
+    begin = np.flatnonzero(np.diff(i, prepend=-1))
+    place = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+    return i[place < most], j[place < most], i[place == most]
+
+
+def _pairs_of(own: Points, label: np.ndarray, mine: np.ndarray, percent: int, most: int):
+    """Pairs (i, j) of different labels that pass the bounds, up to `most` for each i, and each i that
+    had more. mine: the half of the points that pairs are wanted of, where there are two halves.
+    No more than a leaf's pairs are held at once, beside `most` for each point."""
+    tree = RTree(own)
+    found = []
+    for k, x in enumerate(tree.leaves):
+        y = np.concatenate([tree.leaves[m] for m in tree.near(k, percent)] or [x[:0]])
+        want = (label[x][:, None] != label[y][None, :]) & (mine[x][:, None] | mine[y][None, :])
+        same = np.flatnonzero(np.isin(y, x))  # within the leaf, each pair once
+        want[:, same] &= x[:, None] < y[same][None, :]
+        i, j = np.nonzero(want)
+        i, j = x[i], y[j]
+        fine, score = _passes(own, i, own, j, percent)
+        found.append(_best(i[fine], j[fine], score[fine], most))
+    return [np.concatenate(x) for x in zip(*found)]
 
 
 def _tree_pairs(percent: int, most: int):
-    """For a bucket of tokens: pairs of different labels under one token that pass the bounds; up
-    to `most` for a point, those with most common sketch bits first. A row with b null says that
-    there were more."""
-
-    def of_one(n, points, bits, label, own) -> tuple[np.ndarray, np.ndarray]:
-        """own: the half of the points that pairs are wanted of, where there are two halves."""
-        if len(n) <= LEAF:
-            i, j = np.nonzero(np.triu(label[:, None] != label[None, :], 1) & (own[:, None] | own[None, :]))
-            fine = _passes(n[i], points[i], bits[i], n[j], points[j], bits[j], percent)
-            return i[fine], j[fine]
-        tree = RTree.pack(n, points)
-        out = []
-        for k in range(len(tree.leaves)):
-            x = tree.leaves[k]
-            for m in tree.near(k, percent):
-                y = tree.leaves[m]
-                want = (label[x][:, None] != label[y][None, :]) & (own[x][:, None] | own[y][None, :])
-                i, j = np.nonzero(np.triu(want, 1) if m == k else want)
-                i, j = x[i], y[j]
-                fine = _passes(n[i], points[i], bits[i], n[j], points[j], bits[j], percent)
-                out.append((i[fine], j[fine]))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    """For a bucket of tokens: the pairs under each token that `_pairs_of` gives. A row with b null
+    says that there were more."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")])
         num = lambda c: table.column(c).to_numpy()
-        rep, label, n, own = num("rep"), num("label"), num("n"), num("own")
-        points = _matrix(table.column("point").to_pylist(), np.uint8, GROUPS)
-        bits = _matrix(table.column("bits").to_pylist(), np.uint64, BITS // 8)
+        rep, label, mine = num("rep"), num("label"), num("own")
+        every = Points.of(num("n"), table.column("point").to_pylist(), table.column("bits").to_pylist())
         new = np.ones(len(rep), bool)
         new[1:] = np.any([num(c)[1:] != num(c)[:-1] for c in ("token", "i", "j")], axis=0)
         starts = np.flatnonzero(new)
-        out = []
+        pairs, more = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
-            if e - s > 1 and (label[s:e] != label[s]).any():
-                a, b = of_one(n[s:e], points[s:e], bits[s:e], label[s:e], own[s:e])
-                out.append((a + s, b + s))
-        a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
-        score = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
-        first, second = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-        order = np.lexsort((second, -score, first))
-        first, second = first[order], second[order]
-        again = np.zeros(len(first), bool)
-        again[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])  # met under several tokens
-        first, second = first[~again], second[~again]
-        begin = np.flatnonzero(np.diff(first, prepend=-(1 << 62)))
-        place = np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first))))
-        more = first[place == most]
-        keep = place < most
-        mask = np.concatenate([np.zeros(int(keep.sum()), bool), np.ones(len(more), bool)])
-        return pa.table({"a": pa.array(np.concatenate([first[keep], more])), "b": pa.array(np.concatenate([second[keep], more]), mask=mask)})
+            if (label[s:e] != label[s]).any():
+                i, j, left = _pairs_of(every[s:e], label[s:e], mine[s:e], percent, most)
+                pairs.append(np.sort(np.stack([rep[i + s], rep[j + s]]), axis=0))
+                more.append(rep[left + s])
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1)  # pairs may meet under several tokens
+        left = np.unique(np.concatenate(more))
+        mask = np.concatenate([np.zeros(both.shape[1], bool), np.ones(len(left), bool)])
+        return pa.table({"a": pa.array(np.concatenate([both[0], left])), "b": pa.array(np.concatenate([both[1], left]), mask=mask)})
 
     return run
 
 
 def _verify(percent: int):
+    """Rows (a, b, exact set of a, exact set of b) that are links."""
+
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):  # views, one pair at a time
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")  # two sorted runs: a merge
                 overlap = int((both[1:] == both[:-1]).sum())
                 keep.append(bool(_enough(overlap, len(x), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
     return run
 
@@ -373,18 +407,25 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        to_least = [F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("v", "u")]
+        small = large.join(least, "u").select(F.explode(F.array(*to_least)).alias("e")).select("e.*")
         edges = cut(small.where("u != v").distinct())
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("rep"), "label")
 
 
-def _near(links: DataFrame) -> DataFrame:
-    """(rep, label): the smallest node in two steps from each node. Nodes with one label are in one
-    component; the converse takes `components`."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("b").alias("rep"), F.col("a").alias("label")), F.struct(F.col("a").alias("rep"), F.col("a").alias("label")))).alias("e")).select("e.*")
-    one = ends.groupBy("rep").agg(F.min("label").alias("label"))
-    far = one.select(F.col("rep").alias("label"), F.col("label").alias("far"))
-    return one.join(far, "label").select("rep", F.col("far").alias("label"))
+def _with_labels(rows: DataFrame, labels: DataFrame, rep: str, label: str) -> DataFrame:
+    """Add the component of a node: what `components` says, or else the node itself."""
+    own = labels.select(F.col("rep").alias(rep), F.col("label").alias("_known"))
+    return rows.join(own, rep, "left").withColumn(label, F.coalesce("_known", rep)).drop("_known")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these join are looked at."""
+    ends = _with_labels(_with_labels(links, labels, "a", "x"), labels, "b", "y")
+    joined = components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    moved = joined.select(F.col("rep").alias("label"), F.col("label").alias("to"))
+    kept = labels.join(moved, "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
+    return cut(kept.unionByName(joined))
 
 
 class JaccardJoin:
@@ -400,15 +441,17 @@ class JaccardJoin:
         ship(docs.sparkSession)
         self.size, self.percent = size, percent
         self.docs = id_and_text(docs, id_col, text_col)
-        described = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(first_col or id_col).cast("long").alias("first"))
+        first = F.col(first_col or id_col).cast("long").alias("first")
+        described = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), first)
         self.slim = cut(described.mapInArrow(_described(size), _SLIM_DDL))
         real = self.slim.where("n > 0 and doc_id is not null")
         head = F.min(F.struct(F.col("first").isNull().alias("last"), "first", "doc_id")).alias("head")
-        classes = real.groupBy("sig_a", "sig_b").agg(head, F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch"))
-        classes = cut(classes.orderBy("head", "sig_a", "sig_b").select("sig_a", "sig_b", "head.doc_id", F.monotonically_increasing_id().alias("rep"), "n", "point", "sketch"))
+        same = [F.first(c).alias(c) for c in ("n", "point", "sketch")]
+        classes = real.groupBy("sig_a", "sig_b").agg(head, *same).orderBy("head", "sig_a", "sig_b")
+        number = F.monotonically_increasing_id().alias("rep")
+        classes = cut(classes.select("sig_a", "sig_b", "head.doc_id", number, "n", "point", "sketch"))
         self.classes = classes.select("sig_a", "sig_b", "rep", "doc_id")
-        self.keys = _shared_tokens(classes)
-        self.links, self.labels = self._connect(classes)
+        self.links, self.labels = self._connect(classes, cut(_shared_tokens(classes)))
 
     def _sets(self, some: DataFrame) -> DataFrame:
         """(rep, tokens): the exact sets of representatives."""
@@ -416,25 +459,32 @@ class JaccardJoin:
 
         def run(batches):
             for batch in batches:
-                texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-                for start, part in in_slices(texts):
-                    sets = list(shingle_sets(part, size))
-                    fine = [len(t) > 0 and _signature(t) == (a, b) for t, a, b in zip(sets, batch.column(2).slice(start, len(part)).to_pylist(), batch.column(3).slice(start, len(part)).to_pylist())]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array([t.tobytes() for t in sets], pa.binary())], names=["rep", "tokens"]).filter(pa.array(fine, pa.bool_()))
+                for part, texts in text_slices(batch):
+                    sets = list(shingle_sets(texts, size))
+                    signed = zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist())
+                    fine = pa.array([len(t) > 0 and _signature(t) == (a, b) for t, a, b in signed], pa.bool_())
+                    tokens = pa.array([t.tobytes() for t in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["rep", "tokens"]).filter(fine)
 
         wanted = some.join(self.classes, "rep").select("doc_id", "rep", "sig_a", "sig_b")
         texts = self.docs.join(wanted, "doc_id").select("rep", "text", "sig_a", "sig_b")
         return cut(texts.mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]))
 
-    def _connect(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _connect(self, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
         percent = self.percent
+
+        def of_tokens(tokens: DataFrame) -> DataFrame:
+            """One row for each part of a token, so that a token of many meets its rows in several tasks."""
+            return tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        parts = F.ceil(F.col("m") / PART).cast("int")
+        shared = shared.select("token", "rep", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
         # tokens with the same members make one group: the token with the smallest value speaks for it
-        of = F.struct(F.count("*"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), "rep"))).alias("members")
-        groups = self.keys.groupBy("token").agg(of, F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-        groups = groups.groupBy("members").agg(F.min("token").alias("token"), F.first("pivot").alias("pivot")).select("token", "pivot")
-        keys = cut(self.keys.join(groups, "token"))
-        total = keys.count()
-        buckets = max(1, math.ceil(total / 20_000))
+        sums = F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), "rep"))
+        groups = shared.groupBy("token").agg(F.struct(F.count("*"), *sums).alias("members"), F.min("rep").alias("pivot"), F.count("*").alias("k"), F.first("parts").alias("parts"))
+        one = F.min(F.struct("token", "pivot", "parts")).alias("one")
+        groups = groups.where("k > 1").groupBy("members").agg(one).select("one.*")
+        keys = cut(shared.join(of_tokens(groups), ["token", "part"]))
         pairs = keys.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         members = keys.select("rep").distinct()
 
@@ -443,45 +493,57 @@ class JaccardJoin:
                 bits = [_bitmap(np.frombuffer(s, np.uint64)) for s in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits, pa.binary())], names=["rep", "n", "point", "bits"])
 
-        payload = cut(classes.join(members, "rep").select("rep", "n", "point", "sketch").mapInArrow(slim, "rep long, n long, point binary, bits binary"))
-        sets = self._sets(payload.select("rep"))
+        payload = classes.join(members, "rep").select("rep", "n", "point", "sketch")
+        payload = cut(payload.mapInArrow(slim, "rep long, n long, point binary, bits binary"))
 
-        def bounded(p: DataFrame) -> DataFrame:
-            left = payload.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("bits").alias("ba"))
-            right = payload.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("bits").alias("bb"))
-            return p.join(left, "a").join(right, "b").mapInArrow(_filter_pairs(percent), "a long, b long")
+        def side(k: str) -> DataFrame:
+            return payload.select(F.col("rep").alias(k), *[F.col(c).alias(c[0] + k) for c in ("n", "point", "bits")])
 
         def verified(p: DataFrame) -> DataFrame:
-            left, right = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-            return p.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
-
-        tested = cut(bounded(pairs))
-        links = cut(verified(tested))
-        most = 256
+            ends = p.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+            sets = self._sets(ends)
+            left, right = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
+            return cut(p.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))
+
+        bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}{k}" for k in "ab" for c in "npb"])
+        tested = cut(bounded.mapInArrow(_filter_pairs(percent), "a long, b long"))
+        links = verified(tested)
+        labels = cut(components(links))
+        most = 64
         while True:
-            named = keys.join(_near(links), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
-            mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("token", "m")
-            rows = named.join(mixed, "token").join(payload, "rep")
+            named = _with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
+            ends = F.min("label").alias("x"), F.max("label").alias("y")
+            mixed = named.groupBy("token").agg(*ends, F.count("*").alias("m"), F.first("parts").alias("parts"))
+            mixed = cut(mixed.where("x != y").select("token", "m", "parts", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
+            total = mixed.agg(F.sum(F.col("m") * F.col("chunks"))).first()[0]
+            if not total:
+                break
+            buckets = math.ceil(total / 20_000)
+            rows = named.drop("parts").join(of_tokens(mixed), ["token", "part"]).join(payload, "rep")
             # a token of more than CHUNK points is split; each pair of its chunks meets once
-            chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-            rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
-            dealt = rows.select(F.pmod(F.xxhash64("token", i, j), F.lit(buckets)).alias("bucket"), "token", i.alias("i"), j.alias("j"), "rep", "label", ((F.col("chunk") == i) | (i == j)).alias("own"), "n", "point", "bits")
+            bucket = F.pmod(F.xxhash64("token", i, j), F.lit(buckets)).alias("bucket")
+            own = ((F.col("chunk") == i) | (i == j)).alias("own")
+            dealt = rows.select(bucket, "token", i.alias("i"), j.alias("j"), "rep", "label", own, "n", "point", "bits")
             found = cut(dealt.groupBy("bucket").applyInArrow(_tree_pairs(percent, most), "a long, b long").distinct())
             fresh = cut(found.where("b is not null").join(tested, ["a", "b"], "left_anti"))
-            some, more = fresh.count(), found.where("b is null").limit(1).count()
-            if some:
-                links = cut(links.unionByName(verified(fresh)))
-                tested = cut(tested.unionByName(fresh))
-            if not more:
+            if fresh.limit(1).count():
+                new = verified(fresh)
+                links, tested = cut(links.unionByName(new)), cut(tested.unionByName(fresh))
+                labels = merged(labels, new)
+            if not found.where("b is null").limit(1).count():
                 break
             most *= 8
-        return links, components(links)
+        return links, labels
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, class_id (its smallest id), component_id (its first class's) for every row."""
-        named = self.classes.join(self.labels, "rep", "left").select("sig_a", "sig_b", "doc_id", F.coalesce("label", "rep").alias("rep"))
-        named = named.withColumnRenamed("doc_id", "class").join(self.classes.select("rep", F.col("doc_id").alias("component")), "rep").drop("rep")
+        named = self.classes.join(self.labels, "rep", "left").select("sig_a", "sig_b", F.col("doc_id").alias("class"), F.coalesce("label", "rep").alias("rep"))
+        named = named.join(self.classes.select("rep", F.col("doc_id").alias("component")), "rep").drop("rep")
         joined = self.slim.select("doc_id", "n", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
         known = F.col("doc_id").isNotNull()
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("class", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
+        class_id = F.when(known, F.coalesce("class", "doc_id")).alias("class_id")
+        component_id = F.when(known, F.coalesce("component", "doc_id")).alias("component_id")
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), class_id, component_id)
