@@ -5,17 +5,22 @@ Bloom filter of the listed keys, level 2 one of the corpus's keys that level 1 w
 level 3 one of the listed keys that level 2 reports, and so on until no key is reported wrongly.
 A lookup is a few bit tests in an expression; corpus rows are never joined or shuffled. The filters
 are as large as the list asks for: level 1 has `level_bits` bits for each listed key, later ones 2.
+Lists are DataFrames (or short tuples). A filter is gathered by Spark into one value and goes into
+the lookup as one constant, whose size is checked; Spark allows no subquery inside the functions
+over arrays that the lookup needs.
 
 The keys of an url are its host and the host's parent domains (for the host list), and each of
 these followed by a prefix of the path that is as long as some rule's path (for the rules).
 
 Defined results: a null url or one without "://" has an empty host and path, no rule, and the
 verdict allow; equal urls get equal results; an empty table gives an empty table, and cascades of
-an empty universe have one level; other columns of the input don't matter.
+an empty universe have one level; null and repeated entries of a list don't count; other columns of
+the input don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,31 +34,26 @@ ALLOW_RULES = ("example.net/en/", "org/fr/")
 BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
 MAX_LEVELS = 64
+MAX_FILTER_BYTES = 64 << 20  #: of one level: at 12 bits a key, for 44 million listed keys
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: 64-bit words (each bit set is one of `bits`), hash functions, salt."""
+    """One Bloom filter: its 64-bit words in one text, their number, hash functions, salt."""
 
-    words: tuple[int, ...]
+    words: str
+    size: int
     hashes: int
     salt: int
 
-    def positions(self, key: Column) -> list[Column]:
-        return _positions(key, len(self.words) * 64, self.hashes, self.salt)
-
     def reports(self, key: Column) -> Column:
-        words = F.expr("array(" + ",".join(_long(w) for w in self.words) + ")")
-        tests = [_bit(words, p) for p in self.positions(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
-
-
-def _long(value: int) -> str:
-    return f"{value}L" if value != -(1 << 63) else "(-9223372036854775807L - 1L)"
+        # constant: Spark makes it one array before it runs the query
+        words = F.split(F.lit(self.words), ",").cast("array<bigint>")
+        first, *rest = [_bit(words, p) for p in _positions(key, self.size * 64, self.hashes, self.salt)]
+        for test in rest:
+            first = first & test
+        return first
 
 
 def _bit(words: Column, position: Column) -> Column:
@@ -66,16 +66,18 @@ def _positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
 
 
 def bloom(keys: DataFrame, n: int, bits_per_key: float, hashes: int, salt: int) -> Level:
-    """A filter of the distinct strings in keys.key, of which there are n. The driver gets its words,
-    whose number follows from n, not from the corpus."""
+    """A filter of the distinct strings in keys.key, of which there are n. Its size follows from n,
+    not from the corpus, and is checked before it is gathered."""
     size = max(1, -(-int(n * bits_per_key + 63) // 64))
+    if 8 * size > MAX_FILTER_BYTES:
+        raise ValueError(f"a filter of {n} keys takes {8 * size} bytes; at most {MAX_FILTER_BYTES} are sent to all tasks")
     spots = keys.select(F.explode(F.array(*_positions(F.col("key"), size * 64, hashes, salt))).alias("spot"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))
-    rows = spots.select(F.floor(F.col("spot") / 64).cast("int").alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    words = [0] * size
-    for row in rows:
-        words[row["word"]] = row["bits"]
-    return Level(tuple(words), hashes, salt)
+    set_ = spots.select(F.floor(F.col("spot") / 64).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = keys.sparkSession.range(size).select(F.col("id").alias("word")).join(set_, "word", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    text = F.array_join(F.transform(pairs, lambda x: x["bits"].cast("string")), ",")
+    return Level(every.agg(text.alias("words")).first()["words"], size, hashes, salt)
 
 
 @dataclass(frozen=True)
@@ -117,8 +119,12 @@ def build(listed: DataFrame, first: Level, reported: DataFrame, salt: int) -> Ca
     return Cascade(tuple(levels))
 
 
-def keys_frame(spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(keys)))).alias("key"))
+def keys_frame(spark: SparkSession, keys: DataFrame | Sequence[str]) -> DataFrame:
+    """Distinct keys of a list: the first column of a DataFrame, or a short sequence."""
+    if not isinstance(keys, DataFrame):
+        keys = spark.createDataFrame([(k,) for k in keys], "key string")
+    first = F.col(f"`{keys.columns[0]}`").cast("string").alias("key")
+    return keys.select(first).where("key is not null").distinct()
 
 
 def host_of(url: Column) -> Column:
@@ -136,50 +142,61 @@ def _part(url: Column, k: int) -> Column:
 def _domains(host: Column) -> Column:
     """The host and its parent domains, longest first; none for an empty host."""
     parts = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    )
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(tails)
 
 
 def _rule_keys(domains: Column, path: Column, lengths: list[int]) -> Column:
     """Keys that a rule can have, longest first, then the one with the longer host."""
     def cut_to(n: int) -> Column:
         fitting = F.when(F.length(path) >= n, domains).otherwise(F.array().cast("array<string>"))
-        return F.transform(fitting, lambda d: F.struct((-F.length(d) - n).alias("a"), (-F.length(d)).alias("b"), F.concat(d, F.substring(path, 1, n)).alias("key")))
+        key = lambda d: F.concat(d, F.substring(path, 1, n)).alias("key")
+        return F.transform(fitting, lambda d: F.struct((-F.length(d) - n).alias("a"), (-F.length(d)).alias("b"), key(d)))
 
-    per = [cut_to(n) for n in lengths]
+    per = [cut_to(n) for n in lengths] or [F.array().cast("array<struct<a:int,b:int,key:string>>")]
     return F.transform(F.array_sort(F.concat(*per)), lambda s: s["key"])
 
 
 def judge(
     pages: DataFrame,
-    block_rules: tuple[str, ...] = BLOCK_RULES,
-    allow_rules: tuple[str, ...] = ALLOW_RULES,
-    blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS,
+    block_rules: DataFrame | Sequence[str] = BLOCK_RULES,
+    allow_rules: DataFrame | Sequence[str] = ALLOW_RULES,
+    blocked_hosts: DataFrame | Sequence[str] = BLOCKED_HOSTS,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
     """page_id, host, path, rule, verdict. Two cascades over the complete universe of the corpus's
     keys hold the blocked keys (rules and hosts) and the allowed ones; the longest rule that fits
-    decides, else the host list."""
+    decides, else the host list. A rule is a host and a path prefix that begins with a slash."""
     spark = pages.sparkSession
     url = F.col(url_col).cast("string")
-    lengths = sorted({len(r) - r.index("/") for r in (*block_rules, *allow_rules)})
+    block, allow = cut(keys_frame(spark, block_rules)), cut(keys_frame(spark, allow_rules))
+    slash = F.instr("key", "/")
+    both = block.unionByName(allow)
+    if both.where(slash == 0).limit(1).count():
+        raise ValueError("a rule has a host and a path")
+    found = both.select((F.length("key") - slash + 1).alias("n")).distinct().collect()  # lengths of paths of rules
+    lengths = sorted(r["n"] for r in found)
     keyed = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     keyed = keyed.withColumn("domains", _domains(F.col("host")))
     keyed = keyed.withColumn("rules", _rule_keys(F.col("domains"), F.col("path"), lengths))
 
-    lists = {"block": keys_frame(spark, (*block_rules, *blocked_hosts)), "allow": keys_frame(spark, allow_rules)}
+    listed = block.unionByName(keys_frame(spark, blocked_hosts)).distinct()
+    lists = {"block": cut(listed), "allow": allow}
     firsts = {name: first_level(frame, 1 + 100 * k) for k, (name, frame) in enumerate(lists.items())}
-    anyone = lambda key: firsts["block"].reports(key) | firsts["allow"].reports(key)
+
+    def anyone(key: Column) -> Column:
+        return firsts["block"].reports(key) | firsts["allow"].reports(key)
+
     universe = keyed.select(F.explode(F.filter(F.concat("domains", "rules"), anyone)).alias("key"))
     reported = cut(universe.distinct())
-    cascades = {
-        name: build(frame, firsts[name], reported.where(firsts[name].reports(F.col("key"))), 2 + 100 * k) for k, (name, frame) in enumerate(lists.items())
-    }
+    cascades = {}
+    for k, (name, frame) in enumerate(lists.items()):
+        cascades[name] = build(frame, firsts[name], reported.where(firsts[name].reports(F.col("key"))), 2 + 100 * k)
     block, allow = cascades["block"].holds, cascades["allow"].holds
     rule = F.get(F.filter("rules", lambda key: block(key) | allow(key)), F.lit(0))
     out = keyed.select("page_id", "host", "path", "domains", rule.alias("rule"))
     by_method = F.exists("domains", block)
-    verdict = F.when(F.col("rule").isNotNull(), F.when(allow(F.col("rule")), "allow").otherwise("block")).when(by_method, "block").otherwise("allow")
+    by_rule = F.when(allow(F.col("rule")), "allow").otherwise("block")
+    verdict = F.when(F.col("rule").isNotNull(), by_rule).when(by_method, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
