@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, text_slices
 
 ROUNDS = 8
-DEFAULT_KEY = b"quillmap test key: give your own"
 KINDS = ("email", "card", "iban", "phone", "ssn", "ipv4", "date", "secret")
 _DIGITS, _LOWERS, _UPPERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Dates of these years have pseudonyms in these years, dates of others in others.
@@ -94,7 +93,9 @@ def _alphabet(c: str) -> str:
 class Pseudonyms:
     """Finds values in a text and replaces them. `back=True` restores the originals of its own output."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, kinds: tuple[str, ...] = KINDS, back: bool = False) -> None:
+    def __init__(self, key: bytes, kinds: tuple[str, ...] = KINDS, back: bool = False) -> None:
+        if not key:
+            raise ValueError("a secret key is needed")
         unknown = set(kinds) - set(KINDS)
         if unknown:
             raise ValueError(f"unknown kinds: {sorted(unknown)}")
@@ -169,12 +170,14 @@ class Pseudonyms:
 
     def _email(self, v: str) -> str | None:
         local, _, domain = v.rpartition("@")
+        before = local[: len(local) - len(local.lstrip("._%+-"))]  # marks in front are not part of the address
+        local = local[len(before) :]
         name, dot, rest = domain.partition(".")
         flat = [c for c in local + "@" + name if c.isascii() and c.isalnum()]
         label = "email/" + re.sub("[A-Za-z0-9]", "x", local) + "@" + re.sub("[A-Za-z0-9]", "x", name) + "." + rest
         out = self._mixed(label, "".join(flat), [_alphabet(c) for c in flat])
         both = _refill(local + "@" + name, out, lambda c: c.isascii() and c.isalnum())
-        return both + dot + rest
+        return before + both + dot + rest
 
     def _date(self, v: str) -> str | None:
         parts = re.split(r"([-/.])", v)
@@ -212,7 +215,7 @@ class Pseudonyms:
         """The pseudonym; None if the value fails its check."""
         at = (kind, found)
         if at not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             self.known[at] = getattr(self, "_" + kind)(found)
         return self.known[at]
@@ -286,7 +289,7 @@ _IBAN_SIZES = {
 
 # In the order in which they are tried at a place. Each begins with a fixed kind of character.
 _PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"']?\s?[=:]\s?[\"']?[^\s\"']{5,}[^\s\"'.,;:!?)\]}>]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![\d/-]|\.\d)",
@@ -299,12 +302,21 @@ _PATTERNS = {
 _HAS = re.compile(r"[@\d]|password|passwd|pwd|secret|token|api_key|apikey", re.I)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, kinds: tuple[str, ...] = KINDS, text_col: str = "text", counts_col: str | None = None, back: bool = False) -> DataFrame:
+def pseudonymise(
+    docs: DataFrame,
+    key: bytes,
+    kinds: tuple[str, ...] = KINDS,
+    text_col: str = "text",
+    counts_col: str | None = None,
+    back: bool = False,
+) -> DataFrame:
     """The documents with all their columns and pseudonyms in the text; with `counts_col`, also a
-    map from kind to the number of values replaced. One pass of the scan, no shuffle."""
+    map from kind to the number of values replaced. One pass of the scan, no shuffle. The key is
+    the secret that the pseudonyms hang on: who has it can restore the originals."""
     ship(docs.sparkSession)
     if counts_col in docs.columns:
         raise ValueError(f"column {counts_col} is there already")
+    Pseudonyms(key, kinds, back)  # wrong parameters fail here and not in a task
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     at = docs.columns.index(text_col)
     target = docs.withColumn(counts_col, F.lit(None).cast("map<string,int>")).schema if counts_col else docs.schema
@@ -312,15 +324,16 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, kinds: tuple[str, ..
     def run(batches):
         names = Pseudonyms(key, kinds, back)
         for batch in batches:
-            texts, found = [], []
-            for text in batch.column(at).to_pylist():
-                new, counts = names(text) if text and _HAS.search(text) else (text, {})
-                texts.append(new)
-                found.append(list(counts.items()))
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            if counts_col:
-                columns.append(pa.array(found, pa.map_(pa.string(), pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=target.names)
+            for part, _ in text_slices(batch, at):
+                texts, found = [], []
+                for text in part.column(at).to_pylist():
+                    new, counts = names(text) if text and _HAS.search(text) else (text, {})
+                    texts.append(new)
+                    found.append(list(counts.items()))
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, pa.string())
+                if counts_col:
+                    columns.append(pa.array(found, pa.map_(pa.string(), pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=target.names)
 
     return docs.mapInArrow(run, target)

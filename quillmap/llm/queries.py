@@ -11,15 +11,20 @@ from . import media_ts, mixing, near_duplicates, packing, pseudonyms, quality_li
 from .oracles import ORACLES  # noqa: F401
 
 
+#: Of the queries over the test tables; whoever uses the operator gives a key of their own.
+QUERY_KEY = b"key of the queries over the test tables"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonyms.pseudonymise(docs, counts_col="replaced")
+    out = pseudonyms.pseudonymise(docs, QUERY_KEY, counts_col="replaced")
     n = F.aggregate(F.map_values("replaced"), F.lit(0), lambda a, b: a + b)
-    return out.select("doc_id", "text", n.alias("n_replaced"), *[F.coalesce(F.try_element_at("replaced", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in pseudonyms.KINDS])
+    of_kind = [F.coalesce(F.try_element_at("replaced", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return out.select("doc_id", "text", n.alias("n_replaced"), *of_kind)
 
 
 def op2_media_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +66,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_media_transport_streams, op3_best_fit_packing, op4_source_mixing, op5_url_filters, op6_substring_dedup, op7_sharding, op8_quality_rules, op9_ngram_jaccard_join, op10_quality_classifier)
+    for f in (
+        op1_pii_pseudonyms,
+        op2_media_transport_streams,
+        op3_best_fit_packing,
+        op4_source_mixing,
+        op5_url_filters,
+        op6_substring_dedup,
+        op7_sharding,
+        op8_quality_rules,
+        op9_ngram_jaccard_join,
+        op10_quality_classifier,
+    )
 }
