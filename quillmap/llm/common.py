@@ -1,4 +1,4 @@
-"""What the operators share: cutting lineage, shipping code to workers, small Arrow helpers."""
+"""What the operators share: cutting lineage, shipping code to workers, reading texts in slices."""
 
 from __future__ import annotations
 
@@ -9,12 +9,16 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a worker holds as Python objects at once; a longer text is held alone.
+SLICE_BYTES = 1 << 18
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,51 +37,69 @@ def ship(spark: SparkSession) -> None:
     sc._quillmap_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run `df` once and go on from files in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: the session's `spark.checkpoint.dir`. Where that is unset,
+    a session on one machine gets a temporary folder, and a cluster an error."""
+    sc = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return named
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(sc, "_quillmap_folder"):
+        sc._quillmap_folder = tempfile.mkdtemp(prefix="quillmap-checkpoint-")
+    return sc._quillmap_folder
+
 
-    The folder is the session's `spark.checkpoint.dir`; a folder of our own is set only where
-    that is unset, as in tests on one machine.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Run `df` once and go on from files in the shared checkpoint folder. With
+    `spark.cleaner.referenceTracking.cleanCheckpoints` they go when nothing refers to them any more;
+    without it they stay until the folder is deleted."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmap-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
-    # Spark deletes shuffle files and checkpoints that nothing refers to when the driver's JVM collects
-    # its garbage; without work on the driver that would be never, and all steps' files would add up.
+    # Spark finds out what nothing refers to when the driver's JVM collects its garbage; without work
+    # on the driver that would be never, and all steps' shuffle files would add up.
     gc.collect()
     sc._jvm.System.gc()
     return out
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that count, so no other column can clash."""
+    """Only the two columns that count, so no other column can clash. Ids are whole numbers or texts
+    of such; another id ends the job with a cast error."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_slices(
+    batch: pa.RecordBatch, column: int = 1, most: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(rows, their texts as bytes; null: empty) for slices of about `most` bytes of a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+        start = stop
+
+
+def to_batch(leading: list[pa.Array], rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Leading columns as they are, the others from rows of values."""
+    fields = list(schema)[len(leading) :]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([*leading, *(pa.array(c, f.type) for c, f in zip(columns, fields))], schema=schema)
+
+
 def by_document(fn: Callable[[bytes], tuple], schema: pa.Schema) -> Callable:
     """A mapInArrow function for `id_and_text` rows: fn takes the UTF-8 bytes of one whole text
     (null: empty) and returns the columns after doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            rows = [fn(text or b"") for text in texts]
-            columns = list(zip(*rows)) if rows else [[] for _ in schema.names[1:]]
-            arrays = [batch.column(0)] + [pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            for part, texts in text_slices(batch):
+                yield to_batch([part.column(0)], [fn(text) for text in texts], schema)
 
     return run
-
-
-def in_slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(start, texts) of slices of about `most` bytes; a longer text is a slice of its own."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield start, texts[start:k]
-            start, size = k, 0
-        size += len(text) + 1
-    if start < len(texts):
-        yield start, texts[start:]

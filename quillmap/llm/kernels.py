@@ -13,7 +13,7 @@ U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 NODE_BASE = 0xAF251AF3B0F025B5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

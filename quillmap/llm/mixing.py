@@ -10,7 +10,8 @@ gathered or sorted as a whole, and documents are never shuffled.
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
 sizes of 0 take nothing; equal rows (same id and text) share the order key and are treated alike;
 an empty table gives an empty table; `repeat` keeps all columns, `plan` has only its own.
-The driver holds one row for each source.
+The driver holds one number for each source; the table of sources is broadcast up to
+`BROADCAST_ROWS` of them and joined otherwise.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ from pyspark.sql import Window as W
 from .common import cut
 
 SPACES = "\\x20\\x09-\\x0D"
+BROADCAST_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
     """Number of runs of other characters than ASCII white space; null counts as empty."""
     dense = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACES}]+", " ")
-    return (F.length(dense) - F.length(F.replace(dense, F.lit(" "), F.lit(""))) + F.when(dense.endswith(" ") | (dense == ""), 0).otherwise(1) - F.when(dense.startswith(" "), 1).otherwise(0)).cast("long")
+    gaps = F.length(dense) - F.length(F.replace(dense, F.lit(" "), F.lit("")))
+    last = F.when(dense.endswith(" ") | (dense == ""), 0).otherwise(1)
+    first = F.when(dense.startswith(" "), 1).otherwise(0)
+    return (gaps + last - first).cast("long")
 
 
 @dataclass(frozen=True)
@@ -73,55 +78,65 @@ def _ordered(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col:
     return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), order.alias("order")]
 
 
-def _rates(slim: DataFrame, mix: Mix) -> DataFrame:
+def _beside(rows: DataFrame, sources: DataFrame, n: int, on: Column | list[str]) -> DataFrame:
+    """Rows with what their source has. A small table of sources is sent to all; a large one is
+    joined, and Spark splits the partition of a source with many rows."""
+    return rows.join(F.broadcast(sources) if n <= BROADCAST_ROWS else sources, on)
+
+
+def _rates(slim: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     """One row for each source: target, whole copies, and the threshold for one copy more."""
     spark = slim.sparkSession
     sources = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [float(r["size"]) for r in sources]
-    targets = water_fill(sizes, [mix.weights[k % len(mix.weights)] for k in range(len(sizes))], mix.budget * math.fsum(sizes), mix.max_epochs)
+    weights = [mix.weights[k % len(mix.weights)] for k in range(len(sizes))]
+    targets = water_fill(sizes, weights, mix.budget * math.fsum(sizes), mix.max_epochs)
     rows = []
     for k, (r, target) in enumerate(zip(sources, targets)):
         copies = math.floor(target / r["size"]) if r["size"] else 0
-        rows.append((k, r["source"], r["source"] is None, int(r["size"]), target, copies, round(target - copies * r["size"], 6), max(1, math.ceil(r["n"] / mix.bucket_rows))))
-    rates = F.broadcast(spark.createDataFrame(rows, _RATES))  # as many rows as sources
-    on = F.col("source").eqNullSafe(F.col("key"))
-    spread = slim.join(rates, on).select("rank", "size", "order", "rest", F.floor(F.col("order") / (1 << 52) * F.col("buckets")).alias("bucket"))
+        rest = round(target - copies * r["size"], 6)
+        buckets = max(1, math.ceil(r["n"] / mix.bucket_rows))
+        rows.append((k, r["source"], r["source"] is None, int(r["size"]), target, copies, rest, buckets))
+    rates, n = spark.createDataFrame(rows, _RATES), len(rows)
+    spread = _beside(slim, rates, n, F.col("source").eqNullSafe(F.col("key")))
+    bucket = F.floor(F.col("order") / (1 << 52) * F.col("buckets")).alias("bucket")
+    spread = spread.select("rank", "size", "order", "rest", bucket)
     ahead = W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = spread.groupBy("rank", "bucket").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
-    edge = sums.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0))).where("before <= rest and rest < before + size").select("rank", "bucket", "before")
+    sums = sums.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    edge = sums.where("before <= rest and rest < before + size").select("rank", "bucket", "before")  # one bucket a source
     ahead = W.partitionBy("rank").orderBy("order").rowsBetween(W.unboundedPreceding, -1)
-    steps = spread.join(F.broadcast(edge), ["rank", "bucket"]).groupBy("rank", "order", "before", "rest").agg(F.sum("size").alias("tied"))  # one bucket a source
+    steps = _beside(spread, edge, n, ["rank", "bucket"]).groupBy("rank", "order", "before", "rest").agg(F.sum("size").alias("tied"))
     steps = steps.withColumn("reached", F.col("before") + F.coalesce(F.sum("tied").over(ahead), F.lit(0)))
-    threshold = steps.where("reached <= rest and rest < reached + tied").select("rank", F.col("order").alias("limit"), "tied", (F.col("rest") - F.col("reached")).alias("over"))
-    return cut(rates.join(threshold, "rank", "left"))
-
-
-def _extra(whole: bool) -> Column:
-    """Words of the copy that comes after the whole ones."""
-    part = F.when(2 * F.col("over") >= F.col("tied"), F.col("size")).otherwise(0) if whole else F.floor(F.col("over") * F.col("size") / F.col("tied"))
-    return F.when(F.col("order") < F.col("limit"), F.col("size")).when(F.col("order") == F.col("limit"), part).otherwise(F.lit(0)).cast("long")
+    over = (F.col("rest") - F.col("reached")).alias("over")
+    threshold = steps.where("reached <= rest and rest < reached + tied").select("rank", F.col("order").alias("limit"), "tied", over)
+    return cut(rates.join(threshold, "rank", "left")), n
 
 
 def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken: the words of each document that the mix takes,
     repeats counted. The document at the threshold gives as many words as its source still lacks."""
     slim = cut(docs.select(*_ordered(docs, mix, id_col, text_col, source_col)))
-    rates = _rates(slim, mix)
-    joined = slim.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("key")))
-    return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size") + _extra(False)).alias("taken"))
+    rates, n = _rates(slim, mix)
+    joined = _beside(slim, rates, n, F.col("source").eqNullSafe(F.col("key")))
+    order, limit, size = F.col("order"), F.col("limit"), F.col("size")
+    part = F.floor(F.col("over") * size / F.col("tied"))
+    extra = F.when(order < limit, size).when(order == limit, part).otherwise(F.lit(0)).cast("long")
+    target = F.round("target", 6).alias("target")
+    return joined.select("doc_id", "size", "source_size", target, (F.col("copies") * size + extra).alias("taken"))
 
 
 def repeat(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents, each as often as the mix takes it; here the document at the threshold comes
-    whole or not at all, whichever is nearer."""
-    names = docs.columns
-    keyed = docs.withColumn("_mix", F.struct(*_ordered(docs, mix, id_col, text_col, source_col)))
-    rates = _rates(cut(keyed.select("_mix.*")), mix)
-    joined = keyed.select(*[F.col(f"`{c}`") for c in names], F.col("_mix.source").alias("_source"), F.col("_mix.size").alias("_size"), F.col("_mix.order").alias("_order"))
-    small = rates.select(F.col("key").alias("_key"), F.col("copies").alias("_copies"), F.col("limit").alias("_limit"), F.col("over").alias("_over"), F.col("tied").alias("_tied"))
-    more = F.when(F.col("_order") < F.col("_limit"), 1).when((F.col("_order") == F.col("_limit")) & (2 * F.col("_over") >= F.col("_tied")), 1).otherwise(0)
-    times = F.col("_copies") + more
-    out = joined.join(F.broadcast(small), F.col("_source").eqNullSafe(F.col("_key"))).withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times.cast("long")))))
-    return out.select(*[F.col(f"`{c}`") for c in names])
-
+    whole or not at all, whichever is nearer. The input's columns travel inside a struct, so none of
+    them can clash with a name used here."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*_ordered(docs, mix, id_col, text_col, source_col)).alias("mix"))
+    rates, n = _rates(cut(keyed.select("mix.*")), mix)
+    small = rates.select("key", "copies", "limit", "over", "tied")
+    joined = _beside(keyed, small, n, F.col("mix.source").eqNullSafe(F.col("key")))
+    order, limit = F.col("mix.order"), F.col("limit")
+    more = F.when(order < limit, 1).when((order == limit) & (2 * F.col("over") >= F.col("tied")), 1).otherwise(0)
+    times = (F.col("copies") + more).cast("long")
+    out = joined.select("row", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times))))
+    return out.select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_lines import BOILERPLATE_PATTERN, NAVIGATION_PATTERN
 from .url_filters import ALLOW_RULES, BLOCK_RULES, BLOCKED_HOSTS
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -46,8 +47,11 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FRO
 SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-_NAV = r"^(?:home|menu|next|previous|back to top|skip to (?:main )?content|log ?in|sign (?:in|up)|subscribe|share|tweet|print|search|read more|contact us|about us|site ?map)\b"
-_BOIL = r"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|^copyright\b|© ?\d{4}|^licensed under|^released under|^this work is licensed under|powered by"
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_NAV, _BOIL = _quoted(NAVIGATION_PATTERN), _quoted(BOILERPLATE_PATTERN)
 _END = r"(?:[.!?:;,\")\]}]|''|…|”|’|»|。)$"
 
 QUALITY = rf"""

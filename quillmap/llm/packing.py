@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import TextEncoder
-from .common import cut, id_and_text, in_slices, ship
+from .common import cut, id_and_text, ship, text_slices, to_batch
 
 CAPACITY, END_ID = 4096, 1
 PART_ROWS = 50_000
@@ -58,17 +58,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            columns: list[list] = [[] for _ in fields]
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            coded = (ids for _, part in in_slices(texts, 2 << 20) for ids in encode.many(part))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)
-                    for column, value in zip(columns, row):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=schema)
+            for part, texts in text_slices(batch):
+                rows = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode.many(texts)):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        row = (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece))
+                        rows.append((*row, piece) if with_ids else row)
+                yield to_batch([], rows, schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

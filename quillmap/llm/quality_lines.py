@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_and_text, in_slices, ship
+from .common import id_and_text, ship, text_slices, to_batch
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,31 @@ _END = re.compile(rb"(?:[.!?:;,\"')\]}]|\xe2\x80[\xa6\x9d\x99]|\xc2\xbb|\xe3\x80
 _MARK = re.compile(rb"[#*$%&|<>]{2,}|[#$%&]$|!!$")
 _ANY_MARK = re.compile(rb"[#*$%&|<>]|!!")
 _BAR = re.compile(rb"(?:^|\s)(?:\||\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2)(?=\s|$)")
-# Phrases of page furniture, lower case.
-_NAVIGATION = re.compile(rb"^(?:home|menu|next|previous|back to top|skip to (?:main )?content|log ?in|sign (?:in|up)|subscribe|share|tweet|print|search|read more|contact us|about us|site ?map)\b")
-_BOILERPLATE = re.compile(rb"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|^copyright\b|\xc2\xa9 ?\d{4}|^licensed under|^released under|^this work is licensed under|powered by")
+# Beginnings of menu entries and phrases of page furniture, lower case, by language.
+NAVIGATION = {
+    "en": ("home", "menu", "next", "previous", "back to top", "skip to content", "skip to main content", "login", "log in", "sign in", "sign up", "subscribe", "share", "tweet", "print", "search", "read more", "contact us", "about us", "site map", "sitemap"),
+    "de": ("startseite", "menü", "weiter", "zurück", "nach oben", "zum inhalt", "anmelden", "registrieren", "abonnieren", "teilen", "drucken", "suche", "mehr lesen", "weiterlesen", "kontakt", "über uns"),
+    "fr": ("accueil", "suivant", "précédent", "haut de page", "aller au contenu", "connexion", "se connecter", "s'inscrire", "s'abonner", "partager", "imprimer", "rechercher", "lire la suite", "contactez-nous", "à propos", "plan du site"),
+    "es": ("inicio", "menú", "siguiente", "anterior", "volver arriba", "saltar al contenido", "iniciar sesión", "registrarse", "suscribirse", "compartir", "imprimir", "buscar", "leer más", "contacto", "acerca de", "mapa del sitio"),
+}
+BOILERPLATE = {
+    "en": ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "powered by"),
+    "de": ("alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "activer javascript"),
+    "es": ("todos los derechos reservados", "política de cookies", "política de privacidad", "términos de uso", "aviso legal", "activar javascript"),
+}
+LICENSE_STARTS = ("copyright", "licensed under", "released under", "this work is licensed under", "lizenziert unter", "sous licence", "bajo licencia")
+
+
+def _any_of(phrases: dict[str, tuple[str, ...]]) -> str:
+    return "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for some in phrases.values() for p in some)
+
+
+#: The same patterns for Python and, in the query's SQL, for RE2.
+NAVIGATION_PATTERN = rf"^(?:{_any_of(NAVIGATION)})(?:$|[^\p{{L}}\p{{N}}])"
+BOILERPLATE_PATTERN = rf"{_any_of(BOILERPLATE)}|^(?:{'|'.join(LICENSE_STARTS)})(?:$|[^\p{{L}}\p{{N}}])|© ?[0-9]{{4}}"
+_NAVIGATION = re.compile(NAVIGATION_PATTERN.replace(r"[^\p{L}\p{N}]", r"[\W_]"))
+_BOILERPLATE = re.compile(BOILERPLATE_PATTERN.replace(r"[^\p{L}\p{N}]", r"[\W_]"))
 
 
 def line_verdict(line: bytes, rules: LineRules) -> str:
@@ -58,7 +80,7 @@ def line_verdict(line: bytes, rules: LineRules) -> str:
     if n < rules.short_words and not _END.search(body):
         return "punctuation"
     if n <= 12:
-        low = body.lower()
+        low = body.decode("utf-8", "replace").lower()
         if n <= 6 and not _END.search(body) and _NAVIGATION.search(low):
             return "navigation"
         if _BOILERPLATE.search(low):
@@ -96,19 +118,19 @@ def _repeat_words(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _judged(texts: list[bytes], rules: LineRules, want_text: bool) -> list[tuple]:
+    """One row of values for each text of a slice."""
     out = []
-    for _, part in in_slices(texts):
-        counts, repeats = _repeat_words(part, rules.window)
-        for text, n, repeat in zip(part, counts.tolist(), repeats.tolist()):
-            lines = [x for x in text.split(b"\n") if x.strip()]
-            dense = text.translate(None, b" \t\n\r\x0b\x0c")
-            symbols = len(dense) - len(dense.translate(None, b"#*$%&|<>"))
-            chars = len(dense.decode("utf-8", "replace"))
-            failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
-            cleaned, lost = clean_text(text, rules)
-            kept = not failed and lost <= rules.max_lost * n
-            row = (n, chars, symbols, len(lines) - len(set(lines)), repeat, failed, lost, kept)
-            out.append((*row, cleaned.decode("utf-8", "replace")) if want_text else row)
+    counts, repeats = _repeat_words(texts, rules.window)
+    for text, n, repeat in zip(texts, counts.tolist(), repeats.tolist()):
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        dense = text.translate(None, b" \t\n\r\x0b\x0c")
+        symbols = len(dense) - len(dense.translate(None, b"#*$%&|<>"))
+        chars = len(dense.decode("utf-8", "replace"))
+        failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
+        cleaned, lost = clean_text(text, rules)
+        kept = not failed and lost <= rules.max_lost * n
+        row = (n, chars, symbols, len(lines) - len(set(lines)), repeat, failed, lost, kept)
+        out.append((*row, cleaned.decode("utf-8", "replace")) if want_text else row)
     return out
 
 
@@ -124,9 +146,8 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
 
     def run(batches):
         for batch in batches:
-            rows = _judged([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], rules, False)
-            columns = list(zip(*rows)) or [()] * len(_COLUMNS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS))], schema=schema)
+            for part, texts in text_slices(batch):
+                yield to_batch([part.column(0)], _judged(texts, rules, False), schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {_DDL}")
 
@@ -138,10 +159,11 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            rows = _judged([x or b"" for x in batch.column(position).cast(pa.binary()).to_pylist()], rules, True)
-            keep = pa.array([r[7] for r in rows], pa.bool_())
-            columns = list(batch.columns)
-            columns[position] = pa.array([r[8] for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+            for part, texts in text_slices(batch, position):
+                rows = _judged(texts, rules, True)
+                columns = list(part.columns)
+                columns[position] = pa.array([r[8] for r in rows], pa.string())
+                keep = pa.array([r[7] for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -9,8 +9,9 @@ documents; scoring is one pass over the corpus with the weights in the closure.
 
 Defined results: a null text counts as empty, and an empty one is a chunk of zero bytes; equal
 texts get equal scores; without labelled documents of both kinds every score is the share of good
-ones, or 0.5; repeated labels count as often as they come; null labels don't count; an empty table
-gives an empty table; other columns are never read.
+ones, or 0.5; an id counts once in training, with its smallest label and text, however often it
+comes in either table; null labels and labels without a document don't count; an empty table gives
+an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import id_and_text, ship, text_slices
 
 DIM, WIDTH, STEP, FILTERS = 8, 8, 4, 32
 CHUNK = 128  #: windows to a chunk: 512 bytes and the overlap
@@ -172,14 +173,19 @@ def held_out(doc_id, folds: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training(), label_col: str = "quality") -> Model:
-    """Fit on a bounded sample of the labelled documents that aren't held out. Labels are the first
-    rows in a seeded order; the join brings them to their documents."""
-    named = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"), training.folds))
-    some = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(training.seed), "doc_id"), "label").limit(training.documents)
-    sample = id_and_text(docs).where(F.octet_length("text") <= training.most_bytes).join(F.broadcast(some), "doc_id")
-    rows = sample.collect()  # at most documents x most_bytes
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
-    return fit([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows], training)
+    """Fit on a bounded sample of the labelled documents that aren't held out: at most
+    `training.documents` texts of up to `training.most_bytes` reach the driver. Labels and ids of
+    fitting documents are joined first, so labels without one take no place in the sample."""
+    learnt = F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"), training.folds)
+    named = labels.where(learnt).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    named = named.groupBy("doc_id").agg(F.min("label").alias("label"))
+    texts = id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") <= training.most_bytes)
+    order = F.xxhash64(F.lit(training.seed), "doc_id")
+    some = named.join(texts.select("doc_id").distinct(), "doc_id").orderBy(order, "doc_id").limit(training.documents)
+    sample = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
+    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows], training)
 
 
 def score(docs: DataFrame, model: Model, training: Training = Training()) -> DataFrame:
@@ -188,8 +194,9 @@ def score(docs: DataFrame, model: Model, training: Training = Training()) -> Dat
 
     def run(batches):
         for batch in batches:
-            scores = [model.score(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            for part, texts in text_slices(batch):
+                scores = pa.array([model.score(x) for x in texts], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), scores], names=["doc_id", "score"])
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), training.folds).alias("held_out"), "score", (F.col("score") >= training.threshold).cast("int").alias("predicted"))
