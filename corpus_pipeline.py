@@ -7,13 +7,16 @@ and reads it again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.llm import mixing, near_duplicates, packing, pseudonyms, quality_lines
+from quillmap.llm.common import shared_folder
+
+#: Of this pipeline over the test tables; whoever runs it over others gives a key of their own.
+KEY = b"key of the pipeline over the test tables"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +43,19 @@ def _row_number(docs: DataFrame) -> Column:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms of the same format."""
-    return _counted(pseudonyms.pseudonymise(docs))
+    return _counted(pseudonyms.pseudonymise(docs, KEY))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out, kept or repeated so that sources come near their targets."""
+    """Documents are left out, kept or repeated so that sources come near their targets. A repeated
+    document's rows are equal; documents without words have size 0 and are left out; rows with a
+    null id or source are mixed like others."""
     return mixing.repeat(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset."""
+    """Pieces of documents with their sequence and offset. A document that mixing repeats is packed as
+    often as it comes, so (doc_id, piece) repeats in the result; a null text packs as the end id."""
     return packing.pack(docs)
 
 
@@ -74,10 +80,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. A stage's copy of the corpus is deleted once the next one has been written; the
+    last copy stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmap-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{k}-{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
