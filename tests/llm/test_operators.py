@@ -203,13 +203,109 @@ def test_every_packet_length_round_trips():
         assert media_ts.demux(media_ts.mux(payload)).payload == payload
 
 
-def test_lost_packets_are_counted():
+def plain_reader(media):
+    """Packet by packet, after the standard: the data of the stream that the tables name first."""
+    table_pid = pid = None
+    data, units = b"", []
+    for k in range(0, len(media), 188):
+        packet = media[k : k + 188]
+        assert packet[0] == 0x47
+        own = (packet[1] & 0x1F) << 8 | packet[2]
+        at = 4
+        if packet[3] & 0x20:
+            at += 1 + packet[4]
+        body = packet[at:] if packet[3] & 0x10 else b""
+        if own == 0 and table_pid is None:
+            section = body[1 + body[0] :]
+            table_pid = (section[10] & 0x1F) << 8 | section[11]
+        elif own == table_pid and pid is None:
+            section = body[1 + body[0] :]
+            info = (section[10] & 0x0F) << 8 | section[11]
+            pid = (section[13 + info] & 0x1F) << 8 | section[14 + info]
+        elif own == pid:
+            if packet[1] & 0x40:
+                units.append(b"")
+            units[-1] += body
+    for pes in units:
+        assert pes[:3] == b"\0\0\1"
+        data += pes[9 + pes[8] : 6 + (pes[4] << 8 | pes[5])]
+    return data
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000), st.sampled_from([64, 169, 32_768]))
+def test_another_reader_finds_the_same(payload, unit):
+    media = media_ts.mux(payload, unit)
+    assert plain_reader(media) == payload == media_ts.demux(media).payload
+
+
+def sections_in_packets(pid, sections):
+    """Sections one behind the other, over as many packets as they need."""
+    out, rest, first, counter = b"", b"".join(sections), True, 0
+    while rest:
+        head = bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 0xFF, 0x10 | counter]) + (b"\0" if first else b"")
+        part, rest = rest[: 188 - len(head)], rest[188 - len(head) :]
+        out += (head + part).ljust(188, b"\xff")
+        first, counter = False, counter + 1 & 15
+    return out
+
+
+def section(table, number, body):
+    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 0xFF, number >> 8, number & 0xFF, 0xC1, 0, 0])
+    return head + body + media_ts.crc32_mpeg(head + body).to_bytes(4, "big")
+
+
+def pid_bytes(pid):
+    return bytes([0xE0 | pid >> 8, pid & 0xFF])
+
+
+def test_all_programs_and_long_tables():
+    programs = {k: 0x200 + k for k in range(1, 61)}  # the table of programs takes two packets
+    pat = section(0, 1, b"".join(k.to_bytes(2, "big") + pid_bytes(p) for k, p in {0: 0x10, **programs}.items()))
+    note = b"\xf0\xc8" + bytes(200)  # a long description of the first stream: the map takes two packets
+    media = sections_in_packets(0, [pat])
+    media += sections_in_packets(0x201, [section(2, 1, pid_bytes(0x301) + b"\xf0\0" + b"\x1b" + pid_bytes(0x301) + note + b"\x0f" + pid_bytes(0x302) + b"\xf0\0")])
+    media += sections_in_packets(0x203, [section(2, 3, pid_bytes(0x303) + b"\xf0\0" + b"\x06" + pid_bytes(0x303) + b"\xf0\0")])
+    body = {0x301: b"video" * 100, 0x302: b"sound" * 70, 0x303: b"x"}
+    for pid, data in body.items():
+        own = bytearray(media_ts.mux(data)[2 * 188 :])
+        for k in range(0, len(own), 188):
+            own[k + 1], own[k + 2] = own[k + 1] & 0xE0 | pid >> 8, pid & 0xFF
+        media += bytes(own)
+    s = media_ts.demux(media)
+    assert s.programs == programs and {x.pid: (x.kind, x.program, x.payload) for x in s.streams} == {0x301: (0x1B, 1, body[0x301]), 0x302: (0x0F, 1, body[0x302]), 0x303: (6, 3, b"x")}
+    assert (s.table_errors, s.counter_errors, s.unit_errors, s.payload) == (0, 0, 0, body[0x301])
+
+
+def test_damage_is_counted():
     media = media_ts.mux(b"x" * 5000)
-    assert media_ts.demux(media[: 188 * 5] + media[188 * 6 :]).counter_errors == 1
+    gap = media_ts.demux(media[: 188 * 5] + media[188 * 6 :])
+    assert (gap.counter_errors, gap.unit_errors, gap.duplicates) == (1, 1, 0) and len(gap.payload) < 5000
+    twice = media_ts.demux(media[: 188 * 5] + media[188 * 4 :])
+    assert (twice.counter_errors, twice.duplicates, twice.payload) == (0, 1, b"x" * 5000)
+    thrice = media_ts.demux(media[: 188 * 5] + media[188 * 4 : 188 * 5] + media[188 * 4 :])
+    assert (thrice.counter_errors, thrice.duplicates) == (1, 1)
     broken = bytearray(media)
     broken[20] ^= 1
     assert media_ts.demux(bytes(broken)).table_errors == 1
-    assert media_ts.demux(b"").payload == b""
+    marked = bytearray(media)
+    marked[188 * 4 + 1] |= 0x80
+    assert (media_ts.demux(bytes(marked)).packet_errors, media_ts.demux(bytes(marked)).counter_errors) == (1, 1)
+    shifted = media_ts.demux(media[: 188 * 3] + b"noise" + media[188 * 3 :])
+    assert (shifted.sync_errors, shifted.lost_bytes, shifted.payload) == (1, 5, b"x" * 5000)
+    assert media_ts.demux(b"").payload == b"" and media_ts.demux(b"G").lost_bytes == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=800), st.lists(st.tuples(st.integers(0, 4000), st.integers(0, 255)), max_size=12), st.integers(0, 200), st.binary(max_size=700))
+def test_damaged_streams_are_read(payload, changes, cut, noise):
+    media = bytearray(media_ts.mux(payload, 300))
+    for at, value in changes:
+        media[at % len(media)] = value
+    for raw in (bytes(media), bytes(media[cut:]), bytes(media[: len(media) - cut]), noise, (b"G" + noise).ljust(188, b"G") * 3, bytes(media[:500]) + noise + bytes(media[500:])):
+        s = media_ts.demux(raw)
+        assert media_ts.feature(s).startswith("ts packets=")
+        assert 188 * s.packets + s.lost_bytes == len(raw)
 
 
 def test_digest(spark, odd_docs, no_docs):
