@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,18 +15,36 @@ PARAGRAPH_BREAK = r"(?:\r?\n\s*){2,}"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 TOKEN_SIZES = (32, 64, 128, 256)
 SHORT_WORDS = 3
-SPACE_CLASS = r"[\t-\r\x1C-\x1F \u0085   -     　]"
+# The characters that are white space in the Unicode sense, and the ends of lines.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = f"[{SPACES}]"
+LINE_BREAK = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 Tokenizer = Callable[[Column], Column]
 
 
+@functools.cache
+def letter_numbers() -> str:
+    """Characters that are letters and numbers at once: ideographs for numbers."""
+    ranges = (range(0x3400, 0xA000), range(0xF900, 0xFB00), range(0x20000, 0x32000))
+    return "".join(c for r in ranges for c in map(chr, r) if c.isnumeric() and c.isalpha())
+
+
+@functools.cache
+def foldings() -> tuple[str, str, dict[str, str]]:
+    """What case folding does beyond lower case: characters for one character each, and for several."""
+    changed = [c for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()]
+    single = [c for c in changed if len(c.casefold()) == 1]
+    return "".join(single), "".join(c.casefold() for c in single), {c: c.casefold() for c in changed if len(c.casefold()) > 1}
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE_CLASS}+", ""), f"{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -46,7 +66,7 @@ def sentences(text: Column) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """The tokenizer that needs no model: runs of non-space characters."""
-    return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda x: x != "")
+    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " +"), lambda x: x != "")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -55,8 +75,17 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def count_of(text: Column, char_class: str) -> Column:
-    """How many characters are in the class, such as "a-z"."""
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    """How many characters are in the class, such as "a-z"; runs of them are taken out at once."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
+
+
+def count_in(text: Column, characters: str) -> Column:
+    """How many characters are among these; for long lists, of which a pattern would be slow."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def numerics(text: Column) -> Column:
+    return count_of(text, r"\p{N}") + count_in(text, letter_numbers())
 
 
 def letters(text: Column) -> Column:
@@ -85,18 +114,34 @@ def average_word_length(text: Column) -> Column:
     return ratio(total_length(found), F.size(found))
 
 
+def _class(characters: str) -> str:
+    return f"[{re.escape(characters)}]"
+
+
+def _expanded(text: Column, several: dict[str, str]) -> Column:
+    long = functools.reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), several.items(), text)
+    return F.when(text.rlike(_class("".join(several))), long).otherwise(text)
+
+
 def fold_case(text: Column) -> Column:
-    """Lower case with the one multi-letter folding that occurs in Latin text."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, single characters beyond it, and those that become several."""
+    before, after, several = foldings()
+    return _expanded(F.translate(F.lower(text), before, after), several)
 
 
-def type_token_ratio(found: Column) -> Column:
-    return ratio(F.size(F.array_distinct(F.transform(found, fold_case))), F.size(found))
+def folded_words(text: Column) -> Column:
+    """The words, case-folded. Folding the whole text first gives the same words and is faster, unless
+    it puts marks that end a word into one."""
+    before, after, several = foldings()
+    inside = {c: x for c, x in several.items() if x.isalpha() and c != "ß"}
+    marks = "".join(c for c, x in several.items() if not x.isalpha()) + "İ"
+    low = F.replace(F.translate(F.lower(text), before, after), F.lit("ß"), F.lit("ss"))
+    return F.when(text.rlike(_class(marks)), F.transform(words(text), fold_case)).otherwise(words(_expanded(low, inside)))
 
 
-def mean_of(values: Column) -> Column:
-    """Mean of an array of numbers, 0 if it is empty."""
-    return ratio(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")), F.size(values))
+def type_token_ratio(folded: Column) -> Column:
+    """Different words among all, from case-folded words."""
+    return ratio(F.size(F.array_distinct(folded)), F.size(folded))
 
 
 def estimated_chunks(tokens: Column, size: int) -> Column:
@@ -114,7 +159,7 @@ def remove_markdown_images(text: Column) -> Column:
     image = rf"(?<!\\)!\[(?:[^\[\]\\]|\\.|\[[^\]]*\])*\]\({level}\)"
     marked = F.regexp_replace(text, rf"[ \t]*(?:{image}[ \t]*)+", "\u0001")
     marked = F.regexp_replace(marked, "(?m)^\u0001|\u0001$", "")
-    return F.replace(marked, F.lit("\u0001"), F.lit(" "))
+    return F.when(F.contains(text, F.lit("![")), F.replace(marked, F.lit("\u0001"), F.lit(" "))).otherwise(text)
 
 
 def normalize_token_chunk_start(text: Column) -> Column:

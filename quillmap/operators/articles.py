@@ -13,33 +13,60 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..sources.steps import cut
 
 # Limits of the validation cascade and of the statistical cleaning.
 MIN_CHARACTERS, MIN_WORDS = 400, 80
 MIN_LETTER_RATIO, MIN_VOWEL_RATIO, MIN_WORD_LENGTH = 0.60, 0.25, 3.5
 MAX_NUMERIC_OR_SPECIAL, MAD_MULTIPLIER, MAD_SCALE, MIN_OUTLIERS = 0.10, 4.5, 1.4826, 2
-OUTLIER_DIRECTIONS = {"letter_ratio": ("low",), "vowel_ratio": ("low", "high"), "chars_per_word": ("low", "high"), "tokens_per_word": ("high",)}
-
-HEADING = r"^\s{0,3}#\s*(.*?)\s*$"
+OUTLIER_DIRECTIONS = {
+    "letter_character_ratio": ("low",),
+    "vowel_letter_ratio": ("low", "high"),
+    "mean_characters_per_word": ("low", "high"),
+    "tokens_per_word": ("high",),
+}
+HEAVY_METRIC, HEAVY_REASON = "numeric_or_special_character_ratio", "numeric_or_special_ratio_above_limit"
+# The metrics of a text's structure, in the order of the result.
+METRICS = (
+    "characters", "non_whitespace_characters", "letters", "numeric_characters", "special_symbol_characters", "words", "tokens", "paragraphs", "sentences",
+    "mean_words_per_paragraph", "max_words_per_paragraph", "short_paragraph_ratio", "mean_words_per_sentence", "max_words_per_sentence", "short_sentence_ratio",
+    "mean_characters_per_word", "median_characters_per_word", "max_characters_per_word", "tokens_per_word", "type_token_ratio",
+    "letter_character_ratio", "vowel_letter_ratio", "numeric_character_ratio", "special_symbol_character_ratio", "numeric_or_special_character_ratio", "consonant_vowel_ratio",
+)
+LABELS = ("title", "is_valid", "cleaning_reason")
+
+HEADING = f"^{T.SPACE_CLASS}{{0,3}}#(.*)$"
 
 
 def split_articles(newspapers: DataFrame) -> DataFrame:
     """newspaper_id, article_index, title, content from newspaper_id, content. Every line that
-    begins with a number sign opens an article; text before the first is dropped, as are articles
-    without text; a newspaper without headings is one article without a title. A newspaper's lines
-    are put together again by its id, so lines never leave the group of their own document."""
-    lines = newspapers.select("newspaper_id", F.posexplode(F.split(T.text_or_empty(F.col("content")), "\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]")).alias("pos", "line"))
-    title = T.strip(F.regexp_extract("line", HEADING, 1))
-    marked = lines.withColumn("heading", F.col("line").rlike(HEADING)).withColumn("title", title)
-    marked = marked.where(~F.col("heading") | (F.col("title") != ""))
-    upto = W.partitionBy("newspaper_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    marked = marked.withColumn("part", F.sum(F.col("heading").cast("int")).over(upto))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("pos", "line")))), lambda s: s["line"]), "\n")
-    parts = marked.groupBy("newspaper_id", "part").agg(F.max(F.when(F.col("heading"), F.col("title"))).alias("title"), T.strip(body).alias("content"))
-    whole = W.partitionBy("newspaper_id")
-    kept = parts.withColumn("parts", F.max("part").over(whole)).where((F.col("content") != "") & ((F.col("part") > 0) | (F.col("parts") == 0)))
-    index = F.row_number().over(whole.orderBy("part")) - 1
-    return kept.select("newspaper_id", index.alias("article_index"), "title", "content")
+    begins with a number sign and says something opens an article; those that say nothing are left
+    out; text before the first is dropped, as are articles without text. A newspaper without such a
+    line is one article without a title: its text as it is, stripped. One expression over a row:
+    newspapers are neither shuffled nor put together again."""
+    text = T.text_or_empty(F.col("content"))
+    lines = newspapers.select("newspaper_id", T.strip(text).alias("whole"), F.split(text, T.LINE_BREAK).alias("lines"))
+
+    def marked(line: Column, k: Column) -> Column:
+        title = F.when(line.rlike(HEADING), T.strip(F.regexp_extract(line, HEADING, 1)))
+        return F.struct(k.alias("k"), line.alias("line"), title.alias("title"))
+
+    lines = lines.select("newspaper_id", "whole", F.transform("lines", marked).alias("lines"))
+    marks, rest = F.filter("lines", lambda x: x["title"].isNotNull()), F.filter("lines", lambda x: x["title"].isNull())
+    lines = lines.select("newspaper_id", "whole", marks.alias("marks"), F.transform(rest, lambda x: x["line"]).alias("body"))
+    # of the lines before the m-th mark, m are marks, and the others come before its article's body
+    heads = F.transform("marks", lambda x, m: F.struct(x["title"].alias("title"), (x["k"] - m).alias("first")))
+    lines = lines.select("newspaper_id", "whole", "body", F.filter(heads, lambda x: x["title"] != "").alias("heads"))
+
+    def article(x: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("heads", k + 1)["first"], F.size("body"))
+        below = F.slice("body", x["first"] + 1, end - x["first"])
+        return F.struct(x["title"].alias("title"), T.strip(F.array_join(below, "\n")).alias("content"))
+
+    parts = F.filter(F.transform("heads", article), lambda x: x["content"] != "")
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("whole").alias("content")))
+    some = F.when(F.size("heads") > 0, parts).when(F.col("whole") != "", alone)
+    return lines.select("newspaper_id", F.posexplode(some).alias("article_index", "a")).select("newspaper_id", "article_index", "a.title", "a.content")
 
 
 def _hashed(prefix: str, record: dict) -> str:
@@ -63,7 +90,13 @@ def chunk_id(article: pd.Series, index: pd.Series, run: pd.Series, text: pd.Seri
 
 def validation_metrics(content: Column) -> dict[str, Column]:
     clean = T.remove_markdown_images(T.text_or_empty(content))
-    return {"n_chars": F.length(clean), "n_words": F.size(T.words(clean)), "letter_ratio": T.letter_ratio(clean), "vowel_ratio": T.vowel_ratio(clean), "average_word_length": T.average_word_length(clean)}
+    return {
+        "n_chars": F.length(clean),
+        "n_words": F.size(T.words(clean)),
+        "letter_ratio": T.letter_ratio(clean),
+        "vowel_ratio": T.vowel_ratio(clean),
+        "average_word_length": T.average_word_length(clean),
+    }
 
 
 def validate(articles: DataFrame, content_col: str = "content") -> DataFrame:
@@ -104,52 +137,70 @@ def newly_duplicate(articles: DataFrame, id_col: str = "article_id", content_col
     return marked.where((F.col("cleaning_reason") == "duplicate") & ~F.col("_was").eqNullSafe(F.lit("duplicate"))).select(id_col)
 
 
-def text_structure(articles: DataFrame, id_col: str = "article_id", content_col: str = "content", tokenizer: T.Tokenizer = T.whitespace_tokens, sizes: tuple[int, ...] = T.TOKEN_SIZES) -> DataFrame:
-    """One row of metrics for each article that isn't empty: one projection, no shuffle."""
+def _middle(ordered: Column) -> Column:
+    """The median of an ordered array."""
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def text_structure(
+    articles: DataFrame,
+    id_col: str = "article_id",
+    content_col: str = "content",
+    tokenizer: T.Tokenizer = T.whitespace_tokens,
+    sizes: tuple[int, ...] = T.TOKEN_SIZES,
+) -> DataFrame:
+    """One row of metrics for each article that isn't empty, with its title, validity and reason as
+    far as there are such columns. One pass without a shuffle, in steps, so that what several
+    metrics need is computed once."""
     if not sizes or min(sizes) < 1 or len(set(sizes)) != len(sizes):
         raise ValueError("token sizes must be positive and without duplicates")
+    labels = [c for c in LABELS if c in articles.columns]
     text = T.remove_markdown_images(F.col(content_col))
-    base = articles.where(F.length(F.coalesce(F.col(content_col), F.lit(""))) > 0).select(F.col(id_col), text.alias("t"))
-    base = base.withColumn("w", T.words(F.col("t"))).withColumn("p", T.paragraphs(F.col("t"))).withColumn("s", T.sentences(F.col("t"))).withColumn("tokens", F.size(tokenizer(F.col("t"))))
-    t, w, p, s = (F.col(c) for c in "twps")
-    n = F.length(t)
-    spaces, alpha = T.count_of(t, T.SPACE_CLASS[1:-1]), T.letters(t)
-    numeric = T.count_of(t, r"\p{N}")
-    digits, uppers = T.count_of(t, r"\p{Nd}"), T.count_of(t, r"\p{Lu}")
-    special = n - T.count_of(t, r"\p{L}\p{N}") - spaces
-    vowel = T.vowels(t)
-    word_lengths = F.transform(w, lambda x: F.length(x))
-    columns = {
-        "n_chars": n, "n_chars_no_space": n - spaces, "n_words": F.size(w), "n_tokens": F.col("tokens"),
-        "n_lines": F.size(F.split(t, "\r\n|[\n\r]")), "n_paragraphs": F.size(p), "n_sentences": F.size(s),
-        "letter_ratio": T.ratio(alpha, n), "whitespace_ratio": T.ratio(spaces, n), "numeric_ratio": T.ratio(numeric, n),
-        "special_ratio": T.ratio(special, n), "numeric_or_special_ratio": T.ratio(numeric + special, n),
-        "digit_ratio": T.ratio(digits, n), "uppercase_ratio": T.ratio(uppers, alpha), "vowel_ratio": T.ratio(vowel, alpha),
-        "consonant_vowel_ratio": F.when(vowel > 0, (alpha - vowel) / vowel),
-        "average_word_length": T.ratio(T.total_length(w), F.size(w)), "max_word_length": F.coalesce(F.array_max(word_lengths), F.lit(0)),
-        "short_word_ratio": T.ratio(F.size(F.filter(word_lengths, lambda x: x <= T.SHORT_WORDS)), F.size(w)),
-        "type_token_ratio": T.type_token_ratio(w), "chars_per_word": T.ratio(n, F.size(w)), "tokens_per_word": T.ratio(F.col("tokens"), F.size(w)),
-        "words_per_sentence": T.ratio(F.size(w), F.size(s)), "words_per_paragraph": T.ratio(F.size(w), F.size(p)),
-        "sentences_per_paragraph": T.ratio(F.size(s), F.size(p)), "chars_per_sentence": T.ratio(T.total_length(s), F.size(s)),
-    }
-    columns |= {f"estimated_chunks_{k}": T.estimated_chunks(F.col("tokens"), k) for k in sizes}
-    return base.select(F.col(id_col), *[c.alias(k) for k, c in columns.items()])
+    base = articles.where(F.length(F.coalesce(F.col(content_col), F.lit(""))) > 0).select(F.col(id_col), *labels, text.alias("t"))
+    t, lengths = F.col("t"), lambda parts: F.transform(parts, lambda x: F.size(T.words(x)))
+    found = {"w": T.words(t), "f": T.folded_words(t), "p": lengths(T.paragraphs(t)), "s": lengths(T.sentences(t)), "tokens": F.size(tokenizer(t)), "n": F.length(t)}
+    counts = {"spaces": T.count_in(t, T.SPACES), "alpha": T.letters(t), "numeric": T.numerics(t), "alnum": T.count_of(t, r"\p{L}\p{N}"), "vowel": T.vowels(t)}
+    base = base.select(F.col(id_col), *labels, *[c.alias(k) for k, c in (found | counts).items()])
+    own = {"v": F.sort_array(F.transform("w", lambda x: F.length(x))), "types": T.type_token_ratio(F.col("f"))}
+    base = base.select("*", *[c.alias(k) for k, c in own.items()])
+    n, w, tokens, alpha, numeric, vowel = (F.col(c) for c in ("n", "w", "tokens", "alpha", "numeric", "vowel"))
+    special = n - F.col("alnum") - F.col("spaces")
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    mean = lambda a: T.ratio(total(a), F.size(a))
+    most = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+    short = lambda a: T.ratio(F.size(F.filter(a, lambda x: x <= T.SHORT_WORDS)), F.size(a))
+    p, s, v = F.col("p"), F.col("s"), F.col("v")
+    values = [
+        n, n - F.col("spaces"), alpha, numeric, special, F.size(w), tokens, F.size(p), F.size(s),
+        mean(p), most(p), short(p), mean(s), most(s), short(s),
+        mean(v), F.coalesce(_middle(v), F.lit(0.0)), most(v), T.ratio(tokens, F.size(w)), F.col("types"),
+        T.ratio(alpha, n), T.ratio(vowel, alpha), T.ratio(numeric, n), T.ratio(special, n), T.ratio(numeric + special, n), F.when(vowel > 0, (alpha - vowel) / vowel),
+    ]
+    named = dict(zip(METRICS, values, strict=True)) | {f"estimated_token_chunks_{k}": T.estimated_chunks(tokens, k) for k in sizes}
+    return base.select(F.col(id_col), *labels, *[c.alias(k) for k, c in named.items()])
 
 
 def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """One row of 21 statistics for each metric; nulls are skipped. Percentiles are exact; the
-    deviations from the medians are a second pass with the medians of the first joined on."""
-    long = rows.unpivot([], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "x").where("x is not null")
-    points = F.percentile("x", F.array(*[F.lit(q) for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]))
-    first = long.groupBy("metric").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), points.alias("q"))
-    q = {name: F.get("q", F.lit(k)) for k, name in enumerate(("p01", "p05", "q1", "median", "q3", "p95", "p99"))}
-    first = first.select("metric", "count", "mean", "std", "min", "max", *[c.alias(k) for k, c in q.items()])
-    mad = long.join(F.broadcast(first.select("metric", "median")), "metric").groupBy("metric").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
-    iqr, spread = F.col("q3") - F.col("q1"), 3 * MAD_SCALE * F.col("mad")
+    deviations from the medians are a second pass with the medians of the first joined on, over
+    rows that are written once."""
+    long = rows.select(*[F.col(m).cast("double").alias(m) for m in metrics])
+    long = cut(long).unpivot([], metrics, "metric", "x").where("x is not null")
+    names = {"p01": 0.01, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
+    points = F.percentile("x", F.array(*map(F.lit, names.values()))).alias("q")
+    moments = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("standard_deviation")]
+    first = long.groupBy("metric").agg(*moments, F.min("x").alias("minimum"), F.max("x").alias("maximum"), points)
+    first = cut(first.select("*", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(names)]).drop("q"))  # a row a metric
+    apart = F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("median_absolute_deviation")
+    mad = long.join(F.broadcast(first.select("metric", "median")), "metric").groupBy("metric").agg(apart)
+    iqr, deviation = F.col("q3") - F.col("q1"), 3 * F.col("standard_deviation")
+    spread = 3 * MAD_SCALE * F.col("median_absolute_deviation")
     return first.join(F.broadcast(mad), "metric").select(
-        "metric", "count", "mean", "std", "min", "p01", "p05", "q1", "median", "q3", "p95", "p99", "max", iqr.alias("iqr"),
-        (F.col("q1") - 1.5 * iqr).alias("iqr_low"), (F.col("q3") + 1.5 * iqr).alias("iqr_high"), (F.col("mean") - 3 * F.col("std")).alias("sigma_low"), (F.col("mean") + 3 * F.col("std")).alias("sigma_high"),
-        "mad", (F.col("median") - spread).alias("mad_low"), (F.col("median") + spread).alias("mad_high"),
+        "metric", "count", "mean", "standard_deviation", "minimum", "p01", "p05", "q1", "median", "q3", "p95", "p99", "maximum",
+        iqr.alias("iqr"), (F.col("q1") - 1.5 * iqr).alias("iqr_lower_fence"), (F.col("q3") + 1.5 * iqr).alias("iqr_upper_fence"),
+        (F.col("mean") - deviation).alias("mean_minus_3_std"), (F.col("mean") + deviation).alias("mean_plus_3_std"),
+        "median_absolute_deviation", (F.col("median") - spread).alias("robust_lower_fence"), (F.col("median") + spread).alias("robust_upper_fence"),
     )
 
 
@@ -162,18 +213,20 @@ class Cleaning:
 
 def robust_bounds(rows: DataFrame, cleaning: Cleaning = Cleaning()) -> DataFrame:
     """metric, lower, upper: median and scaled median deviation of the valid rows."""
-    valid = rows.where("is_valid")
-    long = valid.unpivot([], [F.col(m).cast("double").alias(m) for m in OUTLIER_DIRECTIONS], "metric", "x").where("x is not null")
+    valid = cut(rows.where("is_valid").select(*[F.col(m).cast("double").alias(m) for m in OUTLIER_DIRECTIONS]))
+    long = valid.unpivot([], list(OUTLIER_DIRECTIONS), "metric", "x").where("x is not null")
     medians = long.groupBy("metric").agg(F.percentile("x", F.lit(0.5)).alias("median"))
-    spread = long.join(F.broadcast(medians), "metric").groupBy("metric", "median").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
+    apart = F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad")
+    spread = long.join(F.broadcast(medians), "metric").groupBy("metric", "median").agg(apart)  # four rows
     reach = cleaning.multiplier * MAD_SCALE * F.col("mad")
     return spread.select("metric", (F.col("median") - reach).alias("lower"), (F.col("median") + reach).alias("upper"))
 
 
 def classify_outliers(rows: DataFrame, cleaning: Cleaning = Cleaning()) -> DataFrame:
     """Add `reasons`, joined by semicolons, and `invalidate`. Only valid rows are judged: too many
-    numbers and special characters count at once, outlying metrics from `min_outliers` on. The
-    bounds are four pairs of numbers, collected."""
+    numbers and special characters count at once, outlying metrics from `min_outliers` on. The rows
+    are written once; the bounds are four pairs of numbers, collected."""
+    rows = cut(rows)
     bounds = {r["metric"]: (r["lower"], r["upper"]) for r in robust_bounds(rows, cleaning).collect()}
     if not bounds:
         raise ValueError("no valid articles to take bounds from")
@@ -183,13 +236,20 @@ def classify_outliers(rows: DataFrame, cleaning: Cleaning = Cleaning()) -> DataF
         for direction in directions:
             outside = F.col(metric) < low if direction == "low" else F.col(metric) > high
             tests.append(F.when(outside, f"outlier_{direction}_{metric}"))
+    none = F.array().cast("array<string>")
     outliers = F.filter(F.array(*tests), lambda x: x.isNotNull())
-    heavy = F.when(F.col("numeric_or_special_ratio") > cleaning.max_numeric_or_special, F.array(F.lit("too_many_numeric_or_special"))).otherwise(F.array().cast("array<string>"))
-    found = F.concat(heavy, F.when(F.size(outliers) >= cleaning.min_outliers, outliers).otherwise(F.array().cast("array<string>")))
-    reasons = F.when(F.col("is_valid"), found).otherwise(F.array().cast("array<string>"))
+    heavy = F.when(F.col(HEAVY_METRIC) > cleaning.max_numeric_or_special, F.array(F.lit(HEAVY_REASON))).otherwise(none)
+    found = F.concat(heavy, F.when(F.size(outliers) >= cleaning.min_outliers, outliers).otherwise(none))
+    reasons = F.when(F.col("is_valid"), found).otherwise(none)
     return rows.withColumn("reasons", F.array_join(reasons, ";")).withColumn("invalidate", F.size(reasons) > 0)
 
 
+def cleaning_report(classified: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """What cleaning would do: a row for every article, with the metrics that it is judged by."""
+    flags = F.col("is_valid").cast("int").alias("was_valid"), F.col("invalidate").cast("int").alias("would_invalidate")
+    return classified.select(F.col(id_col), *flags, "reasons", HEAVY_METRIC, *OUTLIER_DIRECTIONS)
+
+
 def reason_counts(classified: DataFrame) -> DataFrame:
     split = classified.where("reasons != ''").select(F.explode(F.split("reasons", ";")).alias("reason"))
     return split.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")

@@ -20,27 +20,37 @@ METHODS = ("noop", "paragraph", "sentence", "token", "split")
 
 
 def _windows(parts: Column, count: int, overlap: int, glue: str) -> Column:
-    if count < 1 or not 0 <= overlap < count:
-        raise ValueError("the count must be positive and the overlap smaller")
-    stride = count - overlap
+    """Windows of parts; `parts` must be a column and no expression, or each window computes it anew."""
+    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - overlap), F.lit(count - overlap)))
     # the last window is the first that reaches the end
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - overlap), F.lit(stride)))
     return F.transform(starts, lambda k: F.array_join(F.slice(parts, k, F.lit(count)), glue))
 
 
-def chunk_expression(text: Column, method: str, tokenizer: T.Tokenizer = T.whitespace_tokens, **params: int) -> Column:
-    """An array of raw chunks."""
+def _window_sizes(method: str, params: dict[str, int]) -> tuple[int, int]:
+    """Parts to a window and parts that neighbours share."""
+    default = {"sentence": 1, "token": 512}[method]
+    count, overlap = params.get(f"{method}_count", default), params.get(f"{method}_overlap", 0)
+    if count < 1 or not 0 <= overlap < count:
+        raise ValueError("the count must be positive and the overlap smaller")
+    return count, overlap
+
+
+def _raw_chunks(texts: DataFrame, method: str, tokenizer: T.Tokenizer, params: dict[str, int]) -> DataFrame:
+    """article_id, _c (an array of raw chunks) from article_id, _t."""
+    text = F.col("_t")
+    if method in ("sentence", "token"):
+        count, overlap = _window_sizes(method, params)
+        parts = T.sentences(text) if method == "sentence" else tokenizer(text)
+        return texts.select("article_id", parts.alias("_p")).select("article_id", _windows(F.col("_p"), count, overlap, " ").alias("_c"))
     if method == "noop":
-        return F.array(text)
-    if method == "paragraph":
-        return T.paragraphs(text)
-    if method == "sentence":
-        return _windows(T.sentences(text), params.get("sentence_count", 1), params.get("sentence_overlap", 0), " ")
-    if method == "token":
-        return _windows(tokenizer(text), params.get("token_count", 512), params.get("token_overlap", 0), " ")
-    if method == "split":
-        return recursive_split(params.get("chunk_size", 2000), params.get("chunk_overlap", 200))(text)
-    raise ValueError(f"unknown chunking method {method}")
+        made = F.array(text)
+    elif method == "paragraph":
+        made = T.paragraphs(text)
+    elif method == "split":
+        made = recursive_split(params.get("chunk_size", 2000), params.get("chunk_overlap", 200))(text)
+    else:
+        raise ValueError(f"unknown chunking method {method}")
+    return texts.select("article_id", made.alias("_c"))
 
 
 def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
@@ -81,12 +91,21 @@ def recursive_split(size: int, overlap: int):
     return run
 
 
-def chunk(articles: DataFrame, method: str, id_col: str = "article_id", content_col: str = "content", tokenizer: T.Tokenizer = T.whitespace_tokens, **params: int) -> DataFrame:
-    """article_id, chunk_index, text."""
+def chunk(
+    articles: DataFrame,
+    method: str,
+    id_col: str = "article_id",
+    content_col: str = "content",
+    tokenizer: T.Tokenizer = T.whitespace_tokens,
+    **params: int,
+) -> DataFrame:
+    """article_id, chunk_index, text. The tokenizer makes an array of tokens from a text column; it
+    may be a function of a library, as a pandas function."""
     clean = T.remove_markdown_images(T.text_or_empty(F.col(content_col)))
-    cut = articles.select(F.col(id_col).alias("article_id"), clean.alias("_t")).where(T.strip(F.col("_t")) != "").select("article_id", chunk_expression(F.col("_t"), method, tokenizer, **params).alias("_c"))
+    texts = articles.select(F.col(id_col).alias("article_id"), clean.alias("_t")).where(T.strip(F.col("_t")) != "")
+    made = _raw_chunks(texts, method, tokenizer, params)
     kept = F.filter(F.transform("_c", lambda c: T.strip(T.remove_markdown_images(c))), lambda c: c != "")
-    return cut.select("article_id", F.posexplode(kept).alias("chunk_index", "text"))
+    return made.select("article_id", F.posexplode(kept).alias("chunk_index", "text"))
 
 
 def run_config(method: str, **params: int | str) -> Column:
@@ -95,12 +114,33 @@ def run_config(method: str, **params: int | str) -> Column:
     return F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]))
 
 
+_PROBE, _TRIES = 12, 64
+
+
 def suffix_prefix_length(before: str, after: str) -> int:
-    """The longest suffix of one text that is a prefix of the other, by the prefix function."""
+    """The longest suffix of one text that is a prefix of the other. Places where the prefix's first
+    characters are found are tried from the longest on; texts that offer too many take the prefix
+    function, whose time is in proportion to their length."""
+    n = min(len(before), len(after))
+    at, tries = len(before) - n, 0
+    while at < len(before):
+        probe = after[: min(_PROBE, len(before) - at)]
+        found = before.find(probe, at)
+        if found < 0:  # only shorter ones than the probe are left
+            at = max(at, len(before) - len(probe)) + 1
+            continue
+        if after.startswith(before[found:]):
+            return len(before) - found
+        at, tries = found + 1, tries + 1
+        if tries > _TRIES:
+            return _by_prefix_function(before[at:], after)
+    return 0
+
+
+def _by_prefix_function(before: str, after: str) -> int:
     n = min(len(before), len(after))
     joined = after[:n] + "\0" + before[len(before) - n :]
-    border = [0] * len(joined)
-    k = 0
+    border, k = [0] * len(joined), 0
     for i in range(1, len(joined)):
         while k and joined[i] != joined[k]:
             k = border[k - 1]
@@ -120,30 +160,44 @@ def transitions_of(chunks: DataFrame, keys: list[str], order: str = "chunk_index
     return chunks.withColumn("next_text", F.lead("text").over(own))
 
 
-def chunk_overlaps(chunks: DataFrame, keys: list[str], order: str = "chunk_index", token_chunks: bool = False) -> DataFrame:
-    """overlap (characters) and share of the later chunk for each transition."""
-    if token_chunks:
-        chunks = chunks.withColumn("text", T.normalize_token_chunk_start(F.col("text")))
+def chunk_overlaps(chunks: DataFrame, keys: list[str], order: str = "chunk_index", token_chunks: bool | Column = False) -> DataFrame:
+    """overlap (characters) and share of the later chunk for each transition. Where `token_chunks`,
+    the later chunk is taken without the mark of a word piece that it may begin with."""
+    marked = token_chunks if isinstance(token_chunks, Column) else F.lit(token_chunks)
     pairs = transitions_of(chunks, keys, order).where("next_text is not null")
-    pairs = pairs.withColumn("overlap", suffix_prefix_overlap("text", "next_text"))
+    following = F.when(marked, T.normalize_token_chunk_start(F.col("next_text"))).otherwise(F.col("next_text"))
+    pairs = pairs.withColumn("next_text", following).withColumn("overlap", suffix_prefix_overlap("text", "next_text"))
     return pairs.select(*keys, order, "overlap", T.ratio(F.col("overlap"), F.length("next_text")).alias("overlap_share"))
 
 
-def chunk_summary(chunks: DataFrame, run_col: str = "chunking_run_id", token_chunks: bool = False) -> DataFrame:
-    """One row for each run: articles, chunks, chunks per article, lengths, overlaps."""
+def chunk_summary(chunks: DataFrame, run_col: str = "chunking_run_id", token_chunks: bool | Column = False) -> DataFrame:
+    """One row for each run: articles, chunks, chunks per article, lengths, overlaps. Percentages of
+    no transitions, or of no overlaps, are null. `token_chunks` says which runs have token windows."""
+    half = F.lit(0.5)
+    marked = (token_chunks if isinstance(token_chunks, Column) else F.lit(token_chunks)).alias("_marked")
+    chunks = chunks.select(run_col, "article_id", "chunk_index", "text", marked)
     per = chunks.groupBy(run_col, "article_id").agg(F.count("*").alias("n"))
-    articles = per.groupBy(run_col).agg(F.count("*").alias("n_articles"), F.avg("n").alias("mean_chunks"), F.percentile("n", F.lit(0.5)).alias("median_chunks"))
+    mean, median = F.avg("n").alias("mean_chunks_per_article"), F.percentile("n", half).alias("median_chunks_per_article")
+    articles = per.groupBy(run_col).agg(F.count("*").alias("num_articles"), mean, median)
     sized = chunks.select(run_col, F.length("text").alias("c"), F.size(T.words(F.col("text"))).alias("w"))
     lengths = sized.groupBy(run_col).agg(
-        F.count("*").alias("n_chunks"), F.avg("c").alias("mean_chars"), F.percentile("c", F.lit(0.5)).alias("median_chars"), F.percentile("c", F.lit(0.95)).alias("p95_chars"), F.avg("w").alias("mean_words"), F.percentile("w", F.lit(0.5)).alias("median_words")
+        F.count("*").alias("num_chunks"),
+        F.avg("c").alias("mean_characters"),
+        F.percentile("c", half).alias("median_characters"),
+        F.percentile("c", F.lit(0.95)).alias("p95_characters"),
+        F.avg("w").alias("mean_words"),
+        F.percentile("w", half).alias("median_words"),
     )
-    found = chunk_overlaps(chunks, [run_col, "article_id"], token_chunks=token_chunks)
+    found = chunk_overlaps(chunks, [run_col, "article_id"], token_chunks=F.col("_marked"))
     hit = F.col("overlap") > 0
     overlaps = found.groupBy(run_col).agg(
-        F.count("*").alias("n_transitions"), F.count_if(hit).alias("n_overlapping"), (100 * F.avg(hit.cast("double"))).alias("overlap_percent"), (100 * F.avg(F.when(hit, F.col("overlap_share")))).alias("mean_overlap_percent")
+        F.count("*").alias("num_transitions"),
+        F.count_if(hit).alias("num_overlapping_transitions"),
+        (100 * F.avg(hit.cast("double"))).alias("overlap_transition_percent"),
+        (100 * F.avg(F.when(hit, F.col("overlap_share")))).alias("mean_positive_overlap_percent"),
     )
     out = articles.join(lengths, run_col).join(overlaps, run_col, "left")
-    return out.fillna({"n_transitions": 0, "n_overlapping": 0, "overlap_percent": 0.0, "mean_overlap_percent": 0.0})
+    return out.fillna(0, ["num_transitions", "num_overlapping_transitions"])
 
 
 def first_runs(runs: DataFrame) -> DataFrame:
@@ -154,7 +208,7 @@ def first_runs(runs: DataFrame) -> DataFrame:
 
 def chunk_memory(summary: DataFrame) -> DataFrame:
     """Characters of all chunks in units of 2**20."""
-    return summary.withColumn("megabytes", F.round(F.col("mean_chars") * F.col("n_chunks") / 2**20))
+    return summary.withColumn("megabytes", F.round(F.col("mean_characters") * F.col("num_chunks") / 2**20))
 
 
 def unembedded(chunks: DataFrame, embeddings: DataFrame, run_id: str, max_characters: int | None = None, limit: int | None = None) -> DataFrame:

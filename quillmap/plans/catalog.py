@@ -318,52 +318,97 @@ def exact_duplicates(spark, sf_dir):
     return A.mark_duplicates(docs).select("article_id", "is_valid", "cleaning_reason")
 
 
-_W, _S = "words", "sents"
-_LEN = "list_sum(list_transform({0}, lambda w: length(w)))"
-STRUCTURE_BASE = f"""b AS (SELECT doc_id, text AS t, {_words('text')} AS words, list_filter(list_transform(string_split(regexp_replace(trim(text, E' \\n'), '([.!?])\\s+', '\\1\x1f', 'g'), '\x1f'), lambda s: trim(s, E' \\n')), lambda s: s <> '') AS sents,
-list_filter(regexp_split_to_array(text, '\\s+'), lambda s: s <> '') AS toks FROM documents WHERE length(text) > 0)"""
-STRUCTURE_COLUMNS = {
-    "n_chars": "length(t)::BIGINT", "n_words": "len(words)::BIGINT", "n_tokens": "len(toks)::BIGINT", "n_sentences": "len(sents)::BIGINT", "n_lines": "len(string_split(t, chr(10)))::BIGINT",
-    "letter_ratio": _ratio(_only("t", r"\p{L}"), "length(t)"), "whitespace_ratio": _ratio("length(regexp_replace(t, '[^ \\n]', '', 'g'))", "length(t)"), "numeric_ratio": _ratio(_only("t", r"\p{N}"), "length(t)"),
-    "special_ratio": _ratio("length(regexp_replace(t, '[\\p{L}\\p{N} \\n]', '', 'g'))", "length(t)"), "vowel_ratio": _ratio(_only("t", "aeiouAEIOU"), _only("t", r"\p{L}")),
-    "uppercase_ratio": _ratio(_only("t", r"\p{Lu}"), _only("t", r"\p{L}")), "average_word_length": _ratio(_LEN.format("words"), "len(words)"),
-    "short_word_ratio": _ratio("len(list_filter(words, lambda w: length(w) <= 3))", "len(words)"), "type_token_ratio": _ratio("len(list_distinct(list_transform(words, lambda w: replace(lower(w), 'ß', 'ss'))))", "len(words)"),
-    "chars_per_word": _ratio("length(t)", "len(words)"), "tokens_per_word": _ratio("len(toks)", "len(words)"), "words_per_sentence": _ratio("len(words)", "len(sents)"), "estimated_chunks_128": "ceil(len(toks) / 128.0)::BIGINT",
-}
-FLOATS = [k for k, v in STRUCTURE_COLUMNS.items() if not v.endswith("BIGINT")]
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace(trim(text, E' \\n'), '([.!?])\\s+', '\\1\x1f', 'g'), '\x1f'), lambda s: trim(s, E' \\n')), lambda s: s <> '')"
+PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array(trim(text, E' \\n'), '(\\r?\\n\\s*){2,}'), lambda s: trim(s, E' \\n')), lambda s: s <> '')"
+TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda s: s <> '')"
+# Written after the definitions of the metrics: lengths of paragraphs and sentences are in words, those of words in characters.
+STRUCTURE_BASE = f"""x AS (SELECT doc_id, text AS t, {_words('text')} AS words, {PARAGRAPHS} AS pars, {SENTENCES} AS sents, len({TOKENS}) AS tokens FROM documents WHERE length(text) > 0),
+b AS (SELECT doc_id, t, words, tokens, list_transform(pars, lambda p: len({_words('p')})) AS pl, list_transform(sents, lambda p: len({_words('p')})) AS sl, list_transform(words, lambda w: length(w)) AS wl, length(t) AS n,
+length(regexp_replace(t, '\\s', '', 'g')) AS solid, {_only('t', r'\p{L}')} AS letters, {_only('t', r'\p{N}')} AS numbers, length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) AS specials, {_only('t', 'aeiouAEIOU')} AS vowels FROM x)"""
+
 
+def _of_lengths(name: str, lengths: str) -> dict[str, str]:
+    return {
+        f"mean_words_per_{name}": f"coalesce(list_avg({lengths}), 0.0)",
+        f"max_words_per_{name}": f"coalesce(list_max({lengths}), 0)::BIGINT",
+        f"short_{name}_ratio": _ratio(f"len(list_filter({lengths}, lambda k: k <= 3))", f"len({lengths})"),
+    }
 
-@_query(f"WITH {STRUCTURE_BASE} SELECT doc_id AS article_id, " + ", ".join(f"round({v}, 9) AS {k}" if k in FLOATS else f"{v} AS {k}" for k, v in STRUCTURE_COLUMNS.items()) + " FROM b")
+
+STRUCTURE_COLUMNS = {
+    "characters": "n::BIGINT",
+    "non_whitespace_characters": "solid::BIGINT",
+    "letters": "letters::BIGINT",
+    "numeric_characters": "numbers::BIGINT",
+    "special_symbol_characters": "specials::BIGINT",
+    "words": "len(words)::BIGINT",
+    "tokens": "tokens::BIGINT",
+    "paragraphs": "len(pl)::BIGINT",
+    "sentences": "len(sl)::BIGINT",
+    **_of_lengths("paragraph", "pl"),
+    **_of_lengths("sentence", "sl"),
+    "mean_characters_per_word": "coalesce(list_avg(wl), 0.0)",
+    "median_characters_per_word": "coalesce(list_median(wl), 0.0)::DOUBLE",
+    "max_characters_per_word": "coalesce(list_max(wl), 0)::BIGINT",
+    "tokens_per_word": _ratio("tokens", "len(words)"),
+    "type_token_ratio": _ratio("len(list_distinct(list_transform(words, lambda w: replace(lower(w), 'ß', 'ss'))))", "len(words)"),
+    "letter_character_ratio": _ratio("letters", "n"),
+    "vowel_letter_ratio": _ratio("vowels", "letters"),
+    "numeric_character_ratio": _ratio("numbers", "n"),
+    "special_symbol_character_ratio": _ratio("specials", "n"),
+    "numeric_or_special_character_ratio": _ratio("numbers + specials", "n"),
+    "consonant_vowel_ratio": "CASE WHEN vowels > 0 THEN (letters - vowels)::DOUBLE / vowels END",
+    **{f"estimated_token_chunks_{k}": f"ceil(tokens / {k}.0)::BIGINT" for k in (32, 64, 128, 256)},
+}
+STRUCTURE_SQL = ", ".join(f"{v} AS {k}" if v.endswith("BIGINT") else f"round({v}, 9) AS {k}" for k, v in STRUCTURE_COLUMNS.items())
+
+
+@_query(f"WITH {STRUCTURE_BASE} SELECT doc_id AS article_id, {STRUCTURE_SQL} FROM b")
 def text_structure(spark, sf_dir):
-    return A.text_structure(_articles(spark, sf_dir)).select("article_id", *STRUCTURE_COLUMNS)
+    return A.text_structure(_articles(spark, sf_dir))
 
 
 def _q(p: float) -> str:
     return f"quantile_cont(x, {p})"
 
 
-@_query(
-    f"WITH {STRUCTURE_BASE}, m AS (SELECT " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in STRUCTURE_COLUMNS.items()) + f""" FROM b), l AS (UNPIVOT m ON {', '.join(STRUCTURE_COLUMNS)} INTO NAME metric VALUE x),
-s AS (SELECT metric, count(x) AS count, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, {_q(.01)} AS p01, {_q(.05)} AS p05, {_q(.25)} AS q1, {_q(.5)} AS median, {_q(.75)} AS q3, {_q(.95)} AS p95, {_q(.99)} AS p99, max(x) AS max FROM l GROUP BY metric),
+_POINTS = {"p01": 0.01, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
+_FENCES = {
+    "iqr": "q3 - q1",
+    "iqr_lower_fence": "q1 - 1.5 * (q3 - q1)",
+    "iqr_upper_fence": "q3 + 1.5 * (q3 - q1)",
+    "mean_minus_3_std": "mean - 3 * standard_deviation",
+    "mean_plus_3_std": "mean + 3 * standard_deviation",
+    "median_absolute_deviation": "mad",
+    "robust_lower_fence": "median - 3 * 1.4826 * mad",
+    "robust_upper_fence": "median + 3 * 1.4826 * mad",
+}
+_SUMMARY = ["mean", "standard_deviation", "minimum", *_POINTS, "maximum", *_FENCES]
+
+
+@_query(f"""WITH {STRUCTURE_BASE}, m AS (SELECT {", ".join(f"({v})::DOUBLE AS {k}" for k, v in STRUCTURE_COLUMNS.items())} FROM b), l AS (UNPIVOT m ON {", ".join(STRUCTURE_COLUMNS)} INTO NAME metric VALUE x),
+s AS (SELECT metric, count(x) AS count, avg(x) AS mean, stddev_pop(x) AS standard_deviation, min(x) AS minimum, max(x) AS maximum, {", ".join(f"{_q(p)} AS {k}" for k, p in _POINTS.items())} FROM l GROUP BY metric),
 d AS (SELECT l.metric, quantile_cont(abs(x - median), 0.5) AS mad FROM l JOIN s USING (metric) GROUP BY l.metric)
-SELECT metric, count, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(p01, 6) AS p01, round(p05, 6) AS p05, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(p95, 6) AS p95, round(p99, 6) AS p99, round(max, 6) AS max,
-round(q3 - q1, 6) AS iqr, round(mad, 6) AS mad FROM s JOIN d USING (metric)"""
-)
+SELECT metric, count, {", ".join(f"round({_FENCES.get(k, k)}, 6) AS {k}" for k in _SUMMARY)} FROM s JOIN d USING (metric)""")
 def structure_summary(spark, sf_dir):
-    rows = A.text_structure(_articles(spark, sf_dir))
-    out = A.metric_summary(rows, list(STRUCTURE_COLUMNS))
-    names = ["mean", "std", "min", "p01", "p05", "q1", "median", "q3", "p95", "p99", "max", "iqr", "mad"]
-    return out.select("metric", "count", *[F.round(n, 6).alias(n) for n in names])
+    out = A.metric_summary(A.text_structure(_articles(spark, sf_dir)), list(STRUCTURE_COLUMNS))
+    return out.select("metric", "count", *[F.round(n, 6).alias(n) for n in _SUMMARY])
 
 
-OUTLIERS = f"""WITH {STRUCTURE_BASE}, m AS (SELECT doc_id, {STRUCTURE_COLUMNS['letter_ratio']} AS letter_ratio, {STRUCTURE_COLUMNS['vowel_ratio']} AS vowel_ratio, {STRUCTURE_COLUMNS['chars_per_word']} AS chars_per_word, {STRUCTURE_COLUMNS['tokens_per_word']} AS tokens_per_word,
-length(regexp_replace(t, '[\\p{{L}} \\n]', '', 'g'))::DOUBLE / length(t) AS heavy FROM b),
-l AS (UNPIVOT (SELECT letter_ratio, vowel_ratio, chars_per_word, tokens_per_word FROM m) ON letter_ratio, vowel_ratio, chars_per_word, tokens_per_word INTO NAME metric VALUE x), s AS (SELECT metric, quantile_cont(x, 0.5) AS med FROM l GROUP BY metric),
+_JUDGED = ("letter_character_ratio", "vowel_letter_ratio", "mean_characters_per_word", "tokens_per_word")
+OUTLIERS = f"""WITH {STRUCTURE_BASE}, m AS (SELECT doc_id, {", ".join(f"{STRUCTURE_COLUMNS[k]} AS {k}" for k in (*_JUDGED, "numeric_or_special_character_ratio"))} FROM b),
+l AS (UNPIVOT (SELECT {", ".join(_JUDGED)} FROM m) ON {", ".join(_JUDGED)} INTO NAME metric VALUE x), s AS (SELECT metric, quantile_cont(x, 0.5) AS med FROM l GROUP BY metric),
 d AS (SELECT l.metric, any_value(med) AS med, quantile_cont(abs(x - med), 0.5) AS mad FROM l JOIN s USING (metric) GROUP BY l.metric), bd AS (SELECT metric, med - 4.5 * 1.4826 * mad AS lo, med + 4.5 * 1.4826 * mad AS hi FROM d)"""
-CLASSIFIED = OUTLIERS + """, o AS (SELECT m.*, list_filter([CASE WHEN letter_ratio < (SELECT lo FROM bd WHERE metric = 'letter_ratio') THEN 'outlier_low_letter_ratio' END, CASE WHEN vowel_ratio < (SELECT lo FROM bd WHERE metric = 'vowel_ratio') THEN 'outlier_low_vowel_ratio' END,
-CASE WHEN vowel_ratio > (SELECT hi FROM bd WHERE metric = 'vowel_ratio') THEN 'outlier_high_vowel_ratio' END, CASE WHEN chars_per_word < (SELECT lo FROM bd WHERE metric = 'chars_per_word') THEN 'outlier_low_chars_per_word' END,
-CASE WHEN chars_per_word > (SELECT hi FROM bd WHERE metric = 'chars_per_word') THEN 'outlier_high_chars_per_word' END, CASE WHEN tokens_per_word > (SELECT hi FROM bd WHERE metric = 'tokens_per_word') THEN 'outlier_high_tokens_per_word' END], lambda x: x IS NOT NULL) AS f FROM m),
-k AS (SELECT doc_id, list_concat(CASE WHEN heavy > 0.10 THEN ['too_many_numeric_or_special'] ELSE [] END, CASE WHEN len(f) >= 2 THEN f ELSE [] END) AS r FROM o)"""
+
+
+def _outside(metric: str, direction: str) -> str:
+    limit = f"(SELECT {'lo' if direction == 'low' else 'hi'} FROM bd WHERE metric = '{metric}')"
+    return f"CASE WHEN {metric} {'<' if direction == 'low' else '>'} {limit} THEN 'outlier_{direction}_{metric}' END"
+
+
+_TESTS = [("letter_character_ratio", "low"), *[(m, d) for m in _JUDGED[1:3] for d in ("low", "high")], ("tokens_per_word", "high")]
+CLASSIFIED = OUTLIERS + f""", o AS (SELECT m.*, list_filter([{", ".join(_outside(*t) for t in _TESTS)}], lambda x: x IS NOT NULL) AS f FROM m),
+k AS (SELECT doc_id, list_concat(CASE WHEN numeric_or_special_character_ratio > 0.10 THEN ['numeric_or_special_ratio_above_limit'] ELSE [] END, CASE WHEN len(f) >= 2 THEN f ELSE [] END) AS r FROM o)"""
 
 
 def _structured(spark, sf_dir) -> DataFrame:
@@ -386,14 +431,18 @@ def outlier_reason_counts(spark, sf_dir):
 
 
 def _newspapers(spark, sf_dir) -> DataFrame:
-    """One Markdown text for each source: its documents under headings, in order."""
-    docs = _table(spark, sf_dir, "documents")
-    part = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("part")))), lambda s: s["part"]), "\n")
-    return docs.groupBy("source").agg(joined.alias("content")).withColumnRenamed("source", "newspaper_id")
-
-
-@_query("SELECT source AS newspaper_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS article_index, 'Document ' || doc_id AS title, trim(text, E' \\n') AS content FROM documents WHERE trim(text, E' \\n') <> ''")
+    """A Markdown text for each document: of odd ones, the text between headings, of which some say
+    nothing, with the source as a second article; of even ones, the text without a heading."""
+    even = F.concat(F.lit("\r\n"), "text", F.lit("\r\n#\r\n"))
+    odd = F.concat(F.lit("before\n  # First #\n"), "text", F.lit("\n#  \n## Second\r\n"), F.coalesce("source", F.lit("")), F.lit("\n# Third\n"))
+    content = F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd)
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("newspaper_id"), content.alias("content"))
+
+
+@_query("""WITH d AS (SELECT doc_id, trim(text, E' \\n') AS body, source FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, 0 AS k, NULL AS title, body || E'\\r\\n#' AS content FROM d WHERE doc_id % 2 = 0 AND body <> '' UNION ALL SELECT doc_id, 0, NULL, '#' FROM d WHERE doc_id % 2 = 0 AND body = ''
+UNION ALL SELECT doc_id, 1, 'First #', body FROM d WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 2, '# Second', source FROM d WHERE doc_id % 2 = 1)
+SELECT doc_id AS newspaper_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS article_index, title, content FROM a WHERE content <> ''""")
 def split_newspapers(spark, sf_dir):
     return A.split_articles(_newspapers(spark, sf_dir))
 
@@ -413,10 +462,6 @@ def images_removed(spark, sf_dir):
 
 # ---- chunks ---------------------------------------------------------------------------------
 
-SENTS = "list_filter(list_transform(string_split(regexp_replace(trim(text, E' \\n'), '([.!?])\\s+', '\\1\x1f', 'g'), '\x1f'), lambda s: trim(s, E' \\n')), lambda s: s <> '')"
-TOKS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda s: s <> '')"
-
-
 def _window_sql(parts: str, count: int, overlap: int) -> str:
     step = count - overlap
     return f"""WITH p AS (SELECT doc_id, {parts} AS p FROM documents), w AS (SELECT doc_id, p, unnest(range(0, greatest(1, len(p) - {overlap}), {step})) AS k FROM p WHERE len(p) > 0)
@@ -435,22 +480,22 @@ def chunk_paragraph(spark, sf_dir):
     return C.chunk(spaced, "paragraph")
 
 
-@_query(_window_sql(SENTS, 1, 0))
+@_query(_window_sql(SENTENCES, 1, 0))
 def chunk_sentence(spark, sf_dir):
     return C.chunk(_articles(spark, sf_dir), "sentence")
 
 
-@_query(_window_sql(SENTS, 4, 1))
+@_query(_window_sql(SENTENCES, 4, 1))
 def chunk_sentence_4_1(spark, sf_dir):
     return C.chunk(_articles(spark, sf_dir), "sentence", sentence_count=4, sentence_overlap=1)
 
 
-@_query(_window_sql(TOKS, 128, 0))
+@_query(_window_sql(TOKENS, 128, 0))
 def chunk_token_128(spark, sf_dir):
     return C.chunk(_articles(spark, sf_dir), "token", token_count=128)
 
 
-@_query(_window_sql(TOKS, 256, 64))
+@_query(_window_sql(TOKENS, 256, 64))
 def chunk_token_256_64(spark, sf_dir):
     return C.chunk(_articles(spark, sf_dir), "token", token_count=256, token_overlap=64)
 
@@ -464,7 +509,7 @@ def _overlapping(spark, sf_dir) -> DataFrame:
     return C.chunk(_articles(spark, sf_dir), "token", token_count=40, token_overlap=10).withColumn("chunking_run_id", F.lit("token_40_10"))
 
 
-OVERLAP = _window_sql(TOKS, 40, 10).replace("WITH p", "WITH p", 1)
+OVERLAP = _window_sql(TOKENS, 40, 10).replace("WITH p", "WITH p", 1)
 OVERLAPS = f"""WITH c AS ({OVERLAP}), t AS (SELECT *, lead(text) OVER (PARTITION BY article_id ORDER BY chunk_index) AS n FROM c), o AS (SELECT article_id, chunk_index, length(n) AS len, coalesce(list_max(list_filter(range(1, least(length(text), length(n)) + 1), lambda k: right(text, k) = left(n, k))), 0) AS overlap FROM t WHERE n IS NOT NULL)"""
 
 
@@ -474,9 +519,10 @@ def chunk_overlaps(spark, sf_dir):
 
 
 @_query(OVERLAPS + f""", a AS (SELECT article_id, count(*) AS n FROM c GROUP BY 1), l AS (SELECT length(text) AS ch, len({_words('text')}) AS w FROM c)
-SELECT 'token_40_10' AS chunking_run_id, (SELECT count(*) FROM a) AS n_articles, (SELECT count(*) FROM c) AS n_chunks, (SELECT round(avg(n), 9) FROM a) AS mean_chunks, (SELECT quantile_cont(n::DOUBLE, 0.5) FROM a) AS median_chunks,
-(SELECT round(avg(ch), 9) FROM l) AS mean_chars, (SELECT quantile_cont(ch::DOUBLE, 0.5) FROM l) AS median_chars, (SELECT round(quantile_cont(ch::DOUBLE, 0.95), 9) FROM l) AS p95_chars, (SELECT round(avg(w), 9) FROM l) AS mean_words, (SELECT quantile_cont(w::DOUBLE, 0.5) FROM l) AS median_words,
-count(*) AS n_transitions, count(*) FILTER (overlap > 0) AS n_overlapping, round(100 * avg((overlap > 0)::INT::DOUBLE), 9) AS overlap_percent, round(100 * avg(overlap / len) FILTER (overlap > 0), 9) AS mean_overlap_percent FROM o""")
+SELECT 'token_40_10' AS chunking_run_id, (SELECT count(*) FROM a) AS num_articles, (SELECT count(*) FROM c) AS num_chunks, (SELECT round(avg(n), 9) FROM a) AS mean_chunks_per_article, (SELECT quantile_cont(n::DOUBLE, 0.5) FROM a) AS median_chunks_per_article,
+(SELECT round(avg(ch), 9) FROM l) AS mean_characters, (SELECT quantile_cont(ch::DOUBLE, 0.5) FROM l) AS median_characters, (SELECT round(quantile_cont(ch::DOUBLE, 0.95), 9) FROM l) AS p95_characters, (SELECT round(avg(w), 9) FROM l) AS mean_words,
+(SELECT quantile_cont(w::DOUBLE, 0.5) FROM l) AS median_words, count(*) AS num_transitions, count(*) FILTER (overlap > 0) AS num_overlapping_transitions, round(100 * avg((overlap > 0)::INT::DOUBLE), 9) AS overlap_transition_percent,
+round(100 * avg(overlap / len) FILTER (overlap > 0), 9) AS mean_positive_overlap_percent FROM o""")
 def chunk_summary(spark, sf_dir):
     return C.chunk_summary(_overlapping(spark, sf_dir))
 
@@ -500,8 +546,8 @@ def chunk_histogram_area(spark, sf_dir):
 
 @_query("SELECT round(avg(length(text)) * count(*) / 1048576) AS megabytes, count(*) AS n_chunks FROM conversations")
 def chunk_memory(spark, sf_dir):
-    s = _chunks(spark, sf_dir).agg(F.avg(F.length("text")).alias("mean_chars"), F.count("*").alias("n_chunks"))
-    return C.chunk_memory(s).select("megabytes", "n_chunks")
+    s = _chunks(spark, sf_dir).agg(F.avg(F.length("text")).alias("mean_characters"), F.count("*").alias("num_chunks"))
+    return C.chunk_memory(s).select("megabytes", F.col("num_chunks").alias("n_chunks"))
 
 
 # ---- store ----------------------------------------------------------------------------------

@@ -140,8 +140,14 @@ def _flagged(h: DataFrame, log_x: bool) -> DataFrame:
     return h.withColumn("log_x", F.lit(log_x)).select(*lead, "log_x", "bin", "left", "right", "count", "density")
 
 
-def chunk_summaries(store: Store) -> DataFrame:
-    """One row for the first run of each method and configuration."""
-    runs = C.first_runs(store.read("chunking_runs"))
-    chunks = store.read("chunks").join(F.broadcast(runs.select("chunking_run_id")), "chunking_run_id", "left_semi")
-    return C.chunk_summary(chunks).join(runs.select("chunking_run_id", "method", "config_json"), "chunking_run_id")
+def chunk_summaries(store: Store, run_ids: list[str] | None = None) -> DataFrame:
+    """One row for the first run of each method and configuration, of all runs or of those given."""
+    runs = store.read("chunking_runs")
+    if run_ids:
+        known = {r[0] for r in runs.select("chunking_run_id").where(F.col("chunking_run_id").isin(run_ids)).collect()}
+        if unknown := [r for r in dict.fromkeys(run_ids) if r not in known]:
+            raise ValueError(f"unknown chunking runs: {', '.join(unknown)}")
+        runs = runs.where(F.col("chunking_run_id").isin(run_ids))
+    runs = C.first_runs(runs).select("chunking_run_id", "method", "config_json")
+    chunks = store.read("chunks").join(F.broadcast(runs.select("chunking_run_id", F.col("method").alias("_method"))), "chunking_run_id")
+    return runs.join(C.chunk_summary(chunks, token_chunks=F.col("_method") == "token"), "chunking_run_id")

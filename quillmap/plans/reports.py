@@ -58,8 +58,17 @@ def merged(tables: dict[str, DataFrame]) -> DataFrame:
 def chunk_table(summaries: DataFrame, order: list[str], caption: str, label: str) -> str:
     """LaTeX of the chunking runs, in the order of their ids."""
     rows = C.chunk_memory(summaries).orderBy(S.rank_in(F.col("chunking_run_id"), order), "chunking_run_id")
-    columns = {"chunking_run_id": "Chunking", "n_chunks": "Chunks", "mean_chunks": "per article", "mean_chars": "Characters", "mean_words": "Words", "overlap_percent": "Overlapping", "megabytes": "MB"}
-    numbers = {"n_chunks": "integer", "mean_chunks": "decimal", "mean_chars": "decimal", "mean_words": "decimal", "overlap_percent": "decimal", "megabytes": "integer"}
+    columns = {
+        "chunking_run_id": "Chunking",
+        "num_chunks": "Chunks",
+        "mean_chunks_per_article": "per article",
+        "mean_characters": "Characters",
+        "mean_words": "Words",
+        "overlap_transition_percent": "Overlapping",
+        "megabytes": "MB",
+    }
+    whole = ("num_chunks", "megabytes")
+    numbers = {c: "integer" if c in whole else "decimal" for c in columns if c != "chunking_run_id"}
     return S.latex_table(rows, columns, caption, label, numbers)
 
 

@@ -11,9 +11,10 @@ from ..operators import articles as A
 
 def newspaper_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """newspaper_id, content of each Markdown file that appears in the folder."""
-    lines = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    reader = spark.readStream.schema("value string").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", files_per_batch)
+    texts = reader.text(folder, wholetext=True)
     stem = F.regexp_extract("_metadata.file_path", r"([^/]+)\.md$", 1)
-    return lines.select(A.newspaper_id(stem).alias("newspaper_id"), F.col("value").alias("content"))
+    return texts.select(A.newspaper_id(stem).alias("newspaper_id"), F.col("value").alias("content"))
 
 
 def start(newspapers: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 import statistics
 
 import pytest
@@ -33,9 +34,13 @@ def test_duplicates_keep_the_smallest_id(spark):
 
 def test_split_articles(spark):
     text = "before\n# One\nbody a\nbody b\n## Two\n\n#\ntext\n#Three\n# Four\nlast"
-    rows = A.split_articles(spark.createDataFrame([("n", text), ("m", "  no heading \n"), ("e", " ")], "newspaper_id string, content string")).collect()
+    papers = [("n", text), ("m", "  no heading \n"), ("e", " "), ("c", "one\r\ntwo\u2028three\r\n"), ("s", "#\n text \n   # \n"), ("h", "a\n##\n   # \n"), (None, "# T\nx"), ("z", None), ("l", "# A\rx\x1cy\x0b# B\x85z")]
+    rows = A.split_articles(spark.createDataFrame(papers, "newspaper_id string, content string")).collect()
     got = {(r["newspaper_id"], r["article_index"]): (r["title"], r["content"]) for r in rows}
-    assert got == {("n", 0): ("One", "body a\nbody b"), ("n", 1): ("# Two", "text"), ("n", 2): ("Four", "last"), ("m", 0): (None, "no heading")}
+    want = {("n", 0): ("One", "body a\nbody b"), ("n", 1): ("# Two", "text"), ("n", 2): ("Four", "last"), ("m", 0): (None, "no heading")}
+    want |= {("c", 0): (None, "one\r\ntwo\u2028three"), (None, 0): ("T", "x"), ("l", 0): ("A", "x\ny"), ("l", 1): ("B", "z")}
+    want |= {("s", 0): (None, "#\n text \n   #")}  # headings that say nothing; in "h", one says "#" and has no text
+    assert got == want
 
 
 def test_ids_are_those_of_sorted_json(spark):
@@ -70,9 +75,40 @@ def test_validation_cascade(spark):
     assert got == {name: (reason, reason is None) for name, _, reason in cases}
 
 
-def test_structure_of_a_small_text(spark):
+def structure(text):
+    """The metrics in plain Python, with its own classes of characters and its own case folding."""
+    words = lambda t: re.findall(r"[^\W\d_]+", t)
+    parts = lambda pattern: [len(words(x)) for x in re.split(pattern, text.strip()) if x.strip()]
+    own, pars, sents = words(text), parts(r"(?:\r?\n\s*){2,}"), parts(r"(?<=[.!?])\s+")
+    lengths, n, tokens = [len(w) for w in own], len(text), len(text.split())
+    letters, numbers = sum(c.isalpha() for c in text), sum(c.isnumeric() for c in text)
+    specials = sum(not c.isalnum() and not c.isspace() for c in text)
+    vowels = sum(c.casefold() in set("aeiou") for c in text if c.isalpha())
+    ratio = lambda a, b: a / b if b else 0.0
+    shape = lambda x: (ratio(sum(x), len(x)), max(x, default=0), ratio(sum(k <= 3 for k in x), len(x)))
+    return (
+        n, sum(not c.isspace() for c in text), letters, numbers, specials, len(own), tokens, len(pars), len(sents), *shape(pars), *shape(sents),
+        ratio(sum(lengths), len(own)), statistics.median(lengths) if lengths else 0.0, max(lengths, default=0), ratio(tokens, len(own)), ratio(len({w.casefold() for w in own}), len(own)),
+        ratio(letters, n), ratio(vowels, letters), ratio(numbers, n), ratio(specials, n), ratio(numbers + specials, n), (letters - vowels) / vowels if vowels else None,
+        *(-(-tokens // k) for k in (32, 64, 128, 256)),
+    )
+
+
+TEXTS = [
+    "First paragraph.", "One two. Three!\n\nFour? 12 ½ ² 五十 & co.\r\n \n\nŽodis straße STRASSE Straße ﬁt FIT", "ΣΑΣ σας ς İstanbul i̇x ǰ J\u030c", "brr tsk", " \n ", "%%% 123", "a_b c-d\u00a0e\u2003f\x1cg", "word " * 400,
+]
+
+
+def test_structure_against_python(spark):
+    df = spark.createDataFrame([(k, t, "t", None) for k, t in enumerate(TEXTS)] + [(98, None, "t", True), (99, "", "t", True)], "article_id int, content string, title string, is_valid boolean")
+    rows = {r["article_id"]: r for r in A.text_structure(df).collect()}
+    assert sorted(rows) == list(range(len(TEXTS))) and rows[0]["title"] == "t" and rows[0]["is_valid"] is None
+    for k, text in enumerate(TEXTS):
+        names = [*A.METRICS, *(f"estimated_token_chunks_{n}" for n in (32, 64, 128, 256))]
+        for name, want in zip(names, structure(text), strict=True):
+            assert rows[k][name] == (None if want is None else pytest.approx(want)), (text, name)
     r = A.text_structure(spark.createDataFrame([(1, "First ![](images/scan.jpg) paragraph.")], "article_id int, content string")).first()
-    assert (r["n_chars"], r["n_words"], r["n_tokens"]) == (16, 2, 2)
+    assert (r["characters"], r["words"], r["tokens"]) == (16, 2, 2)
     with pytest.raises(ValueError):
         A.text_structure(spark.createDataFrame([], "article_id int, content string"), sizes=(32, 32))
 
@@ -87,17 +123,20 @@ def test_metric_summary_against_python(spark):
     df = spark.createDataFrame([(v,) for v in values], "m double")
     r = A.metric_summary(df, ["m"]).first()
     x = [v for v in values if v is not None]
-    assert (r["count"], r["median"], r["q1"], r["q3"], r["mad"]) == (5, 4.0, 2.0, 8.0, 3.0)
-    assert r["std"] == pytest.approx(statistics.pstdev(x))
-    assert r["mad_high"] == pytest.approx(4 + 3 * 1.4826 * 3)
+    assert (r["count"], r["median"], r["q1"], r["q3"], r["median_absolute_deviation"]) == (5, 4.0, 2.0, 8.0, 3.0)
+    assert r["standard_deviation"] == pytest.approx(statistics.pstdev(x))
+    assert r["robust_upper_fence"] == pytest.approx(4 + 3 * 1.4826 * 3) and r["iqr_lower_fence"] == 2 - 1.5 * 6
 
 
 def test_outliers_need_two_reasons(spark):
     rows = [(k, 0.8 + 0.001 * (k % 7), 0.4 + 0.001 * (k % 5), 5.0 + 0.01 * (k % 11), 1.0 + 0.01 * (k % 3), 0.01, True) for k in range(40)]
     rows += [(100, 0.1, 0.4, 5.0, 9.0, 0.01, True), (101, 0.1, 0.4, 5.0, 1.0, 0.01, True), (102, 0.8, 0.4, 5.0, 1.0, 0.5, True), (103, 0.1, 0.4, 5.0, 9.0, 0.5, False)]
-    df = spark.createDataFrame(rows, "article_id int, letter_ratio double, vowel_ratio double, chars_per_word double, tokens_per_word double, numeric_or_special_ratio double, is_valid boolean")
-    got = {r["article_id"]: r["reasons"] for r in A.classify_outliers(df).where("invalidate").collect()}
-    assert got == {100: "outlier_low_letter_ratio;outlier_high_tokens_per_word", 102: "too_many_numeric_or_special"}
+    df = spark.createDataFrame(rows, "article_id int, letter_character_ratio double, vowel_letter_ratio double, mean_characters_per_word double, tokens_per_word double, numeric_or_special_character_ratio double, is_valid boolean")
+    judged = A.classify_outliers(df)
+    got = {r["article_id"]: r["reasons"] for r in judged.where("invalidate").collect()}
+    assert got == {100: "outlier_low_letter_character_ratio;outlier_high_tokens_per_word", 102: "numeric_or_special_ratio_above_limit"}
+    report = {r["article_id"]: (r["was_valid"], r["would_invalidate"]) for r in A.cleaning_report(judged).where("article_id > 99").collect()}
+    assert report == {100: (1, 1), 101: (1, 0), 102: (1, 1), 103: (0, 0)}
     with pytest.raises(ValueError):
         A.classify_outliers(df.where("article_id < 0"))
 

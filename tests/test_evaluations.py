@@ -89,7 +89,7 @@ def test_command_line(spark, tmp_path):
     articles = Store(spark, store).read("articles")
     assert sorted((r["title"], r["cleaning_reason"] or "") for r in articles.collect())[0][0] == "One"
     assert articles.where("is_valid").count() == 1 and articles.where("cleaning_reason = 'duplicate'").count() == 1
-    assert spark.read.csv(str(tmp_path / "summary"), header=True).first()["n_chunks"] == "6"
+    assert spark.read.csv(str(tmp_path / "summary"), header=True).first()["num_chunks"] == "6"
 
 
 class Service:

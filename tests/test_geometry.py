@@ -3,6 +3,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmap.functions import vectors as V
@@ -168,12 +170,27 @@ def test_histograms(spark):
 def test_chunk_summary_fixture(spark):
     rows = [("r", "a", 0, "one two abc"), ("r", "a", 1, "abc fourth"), ("r", "a", 2, "unrelated"), ("r", "b", 0, "another article")]
     r = C.chunk_summary(spark.createDataFrame(rows, "chunking_run_id string, article_id string, chunk_index int, text string")).first()
-    assert (r["n_articles"], r["n_chunks"], r["mean_chunks"], r["median_chunks"]) == (2, 4, 2.0, 2.0)
-    assert (r["overlap_percent"], r["mean_overlap_percent"]) == (50.0, 30.0)
+    assert (r["num_articles"], r["num_chunks"], r["mean_chunks_per_article"], r["median_chunks_per_article"]) == (2, 4, 2.0, 2.0)
+    assert (r["overlap_transition_percent"], r["mean_positive_overlap_percent"]) == (50.0, 30.0)
+    rows = [("r", "a", 0, "x"), ("t", "a", 0, "The tokenization overlap"), ("t", "a", 1, "##ization overlap continues"), ("u", "a", 0, "ab"), ("u", "a", 1, "##b")]
+    runs = C.chunk_summary(spark.createDataFrame(rows, "chunking_run_id string, article_id string, chunk_index int, text string"), token_chunks=F.col("chunking_run_id") == "t")
+    got = {r["chunking_run_id"]: (r["num_transitions"], r["overlap_transition_percent"], r["mean_positive_overlap_percent"]) for r in runs.collect()}
+    assert got["r"] == (0, None, None) and got["u"] == (1, 0.0, None) and got["t"][:2] == (1, 100.0)
+    assert got["t"][2] == pytest.approx(100 * len("ization overlap") / len("ization overlap continues"))
     assert C.suffix_prefix_length("The tokenization overlap", "ization overlap continues") == len("ization overlap")
     assert C.suffix_prefix_length("", "a") == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab", max_size=40), st.text(alphabet="ab", max_size=40))
+def test_overlaps_by_brute_force(before, after):
+    want = max((k for k in range(min(len(before), len(after)) + 1) if before.endswith(after[:k])))
+    assert C.suffix_prefix_length(before, after) == want == C._by_prefix_function(before, after)
+    long = before * 90
+    want = max((k for k in range(min(len(long), len(after * 40)) + 1) if long.endswith((after * 40)[:k])))
+    assert C.suffix_prefix_length(long, after * 40) == want
+
+
 def test_chunks_lose_images_and_are_numbered(spark):
     text = "![](images/only.jpg)\n\nFirst ![](images/inline.jpg) chunk\n\nSecond chunk"
     df = spark.createDataFrame([("a", text), ("b", " "), ("c", None)], "article_id string, content string")
