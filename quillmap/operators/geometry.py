@@ -7,17 +7,18 @@ aggregates that Spark combines before it shuffles.
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from ..sources.steps import cut
+from . import blocks as B
+from .ranks import ranked
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -32,12 +33,38 @@ def dimension_of(vectors: DataFrame) -> int:
 # ---- norms and components -------------------------------------------------------------------
 
 
-def norm_stats(vectors: DataFrame, tolerance: float = 1e-5) -> DataFrame:
-    """Counts, moments and extremes of lengths; lengths that aren't finite are only counted."""
+def norm_sums(vectors: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """One row of counts, sums and extremes of lengths; lengths that aren't finite are only counted.
+    Such rows of several parts can be merged."""
     n = vectors.select(V.norm(V.doubles(F.col("embedding"))).alias("n"))
-    n = n.withColumn("f", F.when(V.finite(F.col("n")), F.col("n"))).withColumn("u", V.is_unit(F.col("n"), tolerance))
-    sums = n.agg(F.count("*").alias("count"), F.count("f").alias("finite"), F.count_if("u").alias("normalised"), F.min("f").alias("min"), F.max("f").alias("max"), F.avg("f").alias("mean"), F.avg(F.col("f") * F.col("f")).alias("mean_square"))
-    return sums.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("mean_square") - F.col("mean") * F.col("mean"))))
+    n = n.select(F.when(V.finite(F.col("n")), F.col("n")).alias("f"), V.is_unit(F.col("n"), tolerance).alias("u"))
+    return n.agg(
+        F.count("*").alias("count"),
+        F.count("f").alias("finite"),
+        F.count_if("u").alias("normalised"),
+        F.coalesce(F.sum("f"), F.lit(0.0)).alias("norm_sum"),
+        F.coalesce(F.sum(F.col("f") * F.col("f")), F.lit(0.0)).alias("norm_squared_sum"),
+        F.min("f").alias("min"),
+        F.max("f").alias("max"),
+    )
+
+
+def merged_norm_sums(parts: DataFrame) -> DataFrame:
+    """The row of `norm_sums` for all parts together."""
+    added = [F.sum(c).alias(c) for c in ("count", "finite", "normalised", "norm_sum", "norm_squared_sum")]
+    return parts.agg(*added, F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def norm_stats(vectors: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """Counts, moments and extremes of lengths."""
+    return finished_norms(norm_sums(vectors, tolerance))
+
+
+def finished_norms(sums: DataFrame) -> DataFrame:
+    """Mean, mean square and population deviation from sums; null without finite lengths."""
+    out = sums.withColumn("mean", F.try_divide("norm_sum", "finite")).withColumn("mean_square", F.try_divide("norm_squared_sum", "finite"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("mean_square") - F.col("mean") * F.col("mean")))
+    return out.drop("norm_sum", "norm_squared_sum").withColumn("std", F.when(F.col("finite") > 0, spread))
 
 
 def component_diagnostics(vectors: DataFrame) -> DataFrame:
@@ -81,7 +108,7 @@ def intra_consistency(vectors: DataFrame, drop_threshold: float | None = None, d
     Without a threshold, transitions below the mean over all pairs count as drops."""
     if drop_threshold is not None and not -1 <= drop_threshold <= 1:
         raise ValueError("drop threshold must be in [-1, 1]")
-    means = pair_means(vectors, dimension)
+    means = cut(pair_means(vectors, dimension))
     limit = means.select(F.col("mean_all") if drop_threshold is None else F.lit(float(drop_threshold)))
     t = transitions(vectors).withColumn("limit", limit.scalar())
     steps = t.agg(F.count("*").alias("num_transitions"), F.avg("cosine").alias("mean_transition_cosine"), F.stddev_pop("cosine").alias("cosine_volatility"), F.first("limit").alias("drop_threshold"), F.avg((F.col("cosine") < F.col("limit")).cast("double")).alias("semantic_drop_rate"))
@@ -129,13 +156,6 @@ def shared_eligible(counts: DataFrame, runs: list[str], min_chunks: int) -> Data
     return good.groupBy("article_id").agg(F.count_distinct("embedding_run_id").alias("n")).where(F.col("n") == len(wanted)).select("article_id").orderBy("article_id")
 
 
-def sample_cohort(pool: list[str], size: int, seed: int) -> list[str]:
-    """A seeded sample that doesn't depend on the pool's order."""
-    if size > len(pool):
-        raise ValueError(f"cohort of {size} from {len(pool)} articles")
-    return sorted(random.Random(seed).sample(sorted(pool), size))
-
-
 def centroids(units: DataFrame, dimension: int, keys: list[str]) -> DataFrame:
     g = group_sums(units, keys, dimension)
     pair = F.struct(F.col("s"), F.col("n").cast("double").alias("n"))
@@ -146,68 +166,77 @@ def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int
     """For each article: spread (mean distance to its centroid), worst ratio to another article,
     distance to the nearest other centroid, and number of articles with the same centroid.
 
-    Centroids are compared block by block: each block of `block` articles is a matrix that meets
-    every block once, in numpy. Pairs of articles are inherent to the index; what moves is the
-    centroids, once for each block, and what comes back is one row for each article and block.
+    Centroids are compared block by block in numpy, each pair of blocks once, for both sides. Pairs
+    of articles are inherent to the index; what moves is the blocks, once for each later block, and
+    what comes back is two rows for each article and block.
     With `cohort`, a column, articles are compared within their cohort only."""
     keys = [cohort] if cohort else []
     d = dimension or dimension_of(vectors)
     units = unit_vectors(vectors)
-    c = centroids(units, d, [*keys, "article"])
-    spread = units.join(c, [*keys, "article"]).groupBy(*keys, "article").agg(F.avg(V.distance(F.col("embedding"), F.col("centroid"))).alias("spread"))
-    full = c.drop("n").join(spread, [*keys, "article"])
-    group = F.col(cohort).cast("string") if cohort else F.lit("")
-    sized = full.groupBy(*([group.alias("g")] if cohort else [F.lit("").alias("g")])).agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = full.withColumn("g", group).join(F.broadcast(sized), "g").withColumn("b", F.pmod(F.xxhash64("article"), blocks).cast("int")).withColumn("nb", blocks)
-    left = own.select("g", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"), F.lit(0).alias("side"), "article", "spread", "centroid")
-    right = own.select("g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.col("b").alias("o"), F.lit(1).alias("side"), "article", "spread", "centroid")
+    c = cut(centroids(units, d, [*keys, "article"]))
+    apart = F.avg(V.distance(F.col("embedding"), F.col("centroid"))).alias("spread")
+    spread = units.join(c, [*keys, "article"]).groupBy(*keys, "article").agg(apart)
+    full = cut(c.drop("n").join(spread, [*keys, "article"]))
     kind = full.schema["article"].dataType.simpleString()
-    import pyarrow as pa
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        names = table.column("article")
-        spread_, x = table.column("spread").to_numpy(), np.array(table.column("centroid").to_pylist())
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        ids = np.array(names.to_pylist(), dtype=object)
-        distance = np.sqrt(np.stack([((x[b] - x[k]) ** 2).sum(1) for k in a])) if len(a) else np.zeros((0, len(b)))
-        same = ids[a][:, None] == ids[b][None, :]
-        apart = np.where(same, np.inf, distance)
+    columns = [("article", B.arrow_type(kind)), ("ratio", pa.float64()), ("nearest", pa.float64()), ("twins", pa.int64())]
+    ddl = f"article {kind}, ratio double, nearest double, twins long"
+    if cohort:
+        own = full.schema[cohort].dataType.simpleString()
+        columns, ddl = [(cohort, B.arrow_type(own)), *columns], f"{cohort} {own}, {ddl}"
+
+    def compare(row: dict) -> dict:
+        ids, spreads = (row["article_a"], row["article_b"]), (row["spread_a"], row["spread_b"])
+        x, y = B.matrix(row["flat_a"], len(ids[0])), B.matrix(row["flat_b"], len(ids[1]))
+        distance = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
+        same = np.eye(len(x), dtype=bool) if row["i"] == row["j"] else np.zeros(distance.shape, bool)
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where((distance == 0) | same, -np.inf, (spread_[a][:, None] + spread_[b][None, :]) / distance)
-        worst = ratio.max(1) if len(b) else np.full(len(a), -np.inf)
-        near = apart.min(1) if len(b) else np.full(len(a), np.inf)
-        return pa.table({"g": table.column("g").take(pa.array(a)), "article": names.take(pa.array(a)), "spread": pa.array(spread_[a]), "ratio": pa.array(worst), "nearest": pa.array(near), "twins": pa.array(((distance == 0) & ~same).sum(1).astype(np.int64))})
-
-    found = left.unionByName(right).groupBy("g", "b", "o").applyInArrow(compare, f"g string, article {kind}, spread double, ratio double, nearest double, twins long")
-    out = found.groupBy("g", "article").agg(F.first("spread").alias("spread"), F.max("ratio").alias("ratio"), F.min("nearest").alias("nearest"), F.sum("twins").alias("twins"))
-    return out.withColumn("ratio", F.when(F.col("ratio") == float("-inf"), 0.0).otherwise(F.col("ratio"))).withColumnRenamed("g", cohort or "g")
+            ratio = np.where((distance == 0) | same, -np.inf, (spreads[0][:, None] + spreads[1][None, :]) / distance)
+        near, twins = np.where(same, np.inf, distance), (distance == 0) & ~same
+        sides = (1,) if row["i"] == row["j"] else (1, 0)
+        out = {
+            "article": np.concatenate([ids[1 - k] for k in sides]),
+            "ratio": np.concatenate([ratio.max(k) for k in sides]),
+            "nearest": np.concatenate([near.min(k) for k in sides]),
+            "twins": np.concatenate([twins.sum(k) for k in sides]),
+        }
+        return out | ({cohort: [row[cohort]] * len(out["article"])} if cohort else {})
+
+    pairs = B.block_pairs(B.packed(full, ["article", "spread"], "centroid", keys, block), ["article", "spread"], keys)
+    found = B.over_rows(pairs, compare, pa.schema(columns), ddl)
+    worst = F.max("ratio").alias("ratio"), F.min("nearest").alias("nearest"), F.sum("twins").alias("twins")
+    out = found.groupBy(*keys, "article").agg(*worst).join(full.select(*keys, "article", "spread"), [*keys, "article"])
+    return out.withColumn("ratio", F.when(F.col("ratio") == float("-inf"), 0.0).otherwise(F.col("ratio")))
 
 
 def ratio_diagnostics(ratios: DataFrame, trim: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
     """The index and what makes it up: trimmed mean, percentiles, share of the largest, nearest
-    centroids, exact twins. The trimmed mean and the share of the largest come from limits: the
-    values at two ranks, found by counting values, not by one task that sorts them all."""
+    centroids, exact twins. For the trimmed mean and the share of the largest, articles are numbered
+    by their ratio over ranges, so no task sorts them all."""
     if not 0 <= trim < 1:
         raise ValueError("trim must be in [0, 1)")
-    by = list(keys)
-    n = F.count("*")
+    by, ratios = list(keys), cut(ratios)
+    points = F.percentile("ratio", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q")
     base = ratios.groupBy(*by).agg(
-        n.alias("n_clusters"), F.avg("ratio").alias("index"), F.percentile("ratio", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"), F.max("ratio").alias("max_ratio"), F.sum("ratio").alias("total"),
-        F.min("nearest").alias("min_centroid_distance"), F.percentile("nearest", F.lit(0.01)).alias("p01_centroid_distance"), (F.sum("twins") / 2).cast("long").alias("exact_twin_pairs"),
-    )
-    counts = ratios.groupBy(*by, "ratio").agg(F.count("*").alias("k"))
-    below = W.partitionBy(*by).orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("before", F.coalesce(F.sum("k").over(below), F.lit(0)))
-    joined = ranked.join(base, by) if by else ranked.crossJoin(F.broadcast(base))
+        F.count("*").alias("n_clusters"),
+        F.avg("ratio").alias("index"),
+        points,
+        F.max("ratio").alias("max_ratio"),
+        F.sum("ratio").alias("total"),
+        F.min("nearest").alias("min_centroid_distance"),
+        F.percentile("nearest", F.lit(0.01)).alias("p01_centroid_distance"),
+        (F.sum("twins") / 2).cast("long").alias("exact_twin_pairs"),
+    )
+    placed = ranked(ratios.select(*by, "article", "ratio"), by, ["ratio", "article"])
+    sizes = base.select(*by, "n_clusters")
+    joined = placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))  # one row
     keep = F.greatest(F.lit(1), F.floor(F.col("n_clusters") * (1 - trim))).cast("long")
     top = F.ceil(F.col("n_clusters") * 0.01).cast("long")
-    low = F.greatest(F.lit(0), F.least(F.col("k"), keep - F.col("before")))
-    high = F.greatest(F.lit(0), F.least(F.col("k"), F.col("before") + F.col("k") - (F.col("n_clusters") - top)))
-    sums = joined.groupBy(*by, "n_clusters", "index", "q", "max_ratio", "total", "min_centroid_distance", "p01_centroid_distance", "exact_twin_pairs").agg(F.sum(low * F.col("ratio")).alias("low_sum"), F.sum(high * F.col("ratio")).alias("high_sum"))
-    return sums.select(
-        *by, "n_clusters", "index", (F.col("low_sum") / keep).alias("trimmed_index"), F.get("q", F.lit(0)).alias("median_ratio"), F.get("q", F.lit(1)).alias("p95_ratio"), F.get("q", F.lit(2)).alias("p99_ratio"), "max_ratio",
+    low, high = F.col("rank") < keep, F.col("rank") >= F.col("n_clusters") - top
+    sums = joined.groupBy(*by).agg(F.sum(F.when(low, F.col("ratio"))).alias("low_sum"), F.sum(F.when(high, F.col("ratio"))).alias("high_sum"))
+    full = base.join(sums, by) if by else base.crossJoin(F.broadcast(sums))  # one row
+    return full.select(
+        *by, "n_clusters", "index", (F.col("low_sum") / keep).alias("trimmed_index"),
+        *[F.get("q", F.lit(k)).alias(f"{name}_ratio") for k, name in enumerate(("median", "p95", "p99"))], "max_ratio",
         F.coalesce(F.try_divide("high_sum", "total"), F.lit(0.0)).alias("top_1_percent_share"), "min_centroid_distance", "p01_centroid_distance", "exact_twin_pairs",
     )
 
@@ -222,27 +251,69 @@ def davies_bouldin(vectors: DataFrame, trim: float = 0.01, block: int = 512, dim
     return ratio_diagnostics(cluster_ratios(vectors, dimension, block), trim)
 
 
-def cohort_davies_bouldin(vectors: DataFrame, pool: list[str], size: int, seeds: list[int], trim: float = 0.01, dimension: int | None = None) -> DataFrame:
-    """Mean and population deviation of the index and the trimmed index over seeded cohorts, in one
-    job over (seed, article)."""
-    spark = vectors.sparkSession
-    rows = [(seed, a) for seed in seeds for a in sample_cohort(pool, size, seed)]
-    kind = vectors.schema["article"].dataType.simpleString()
-    chosen = spark.createDataFrame(rows, f"seed int, article {kind}")
-    per = ratio_diagnostics(cluster_ratios(vectors.join(chosen, "article"), dimension, cohort="seed"), trim, ("seed",))
-    return per.agg(F.count("*").alias("n_cohorts"), F.avg("index").alias("mean_index"), F.stddev_pop("index").alias("std_index"), F.avg("trimmed_index").alias("mean_trimmed"), F.stddev_pop("trimmed_index").alias("std_trimmed"))
+def cohorts(pool: DataFrame, size: int, seeds: list[int]) -> DataFrame:
+    """seed, article: for each seed, `size` of the pool's articles, those first in a seeded order. The
+    pool isn't gathered; the result has one row for each article and seed that is chosen."""
+    n = pool.count()
+    if not 0 < size <= n:
+        raise ValueError(f"cohort of {size} from {n} articles")
+    keyed = pool.select("article").crossJoin(F.broadcast(pool.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))  # a few seeds
+    order = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("article").cast("string")))
+    return ranked(keyed.withColumn("order", order), ["seed"], ["order"]).where(F.col("rank") < size).select("seed", "article")
+
+
+def cohort_scores(vectors: DataFrame, pool: DataFrame, size: int, seeds: list[int], trim: float = 0.01, dimension: int | None = None) -> DataFrame:
+    """A row of diagnostics for each seeded cohort, in one job over (seed, article)."""
+    chosen = cut(cohorts(pool, size, seeds))
+    return ratio_diagnostics(cluster_ratios(vectors.join(chosen, "article"), dimension, cohort="seed"), trim, ("seed",))
+
+
+def cohort_davies_bouldin(vectors: DataFrame, pool: DataFrame, size: int, seeds: list[int], trim: float = 0.01, dimension: int | None = None) -> DataFrame:
+    """Mean and population deviation of the index and the trimmed index over seeded cohorts, with
+    each cohort's values in the order of the seeds."""
+    per = cohort_scores(vectors, pool, size, seeds, trim, dimension)
+    place = F.array_position(F.array(*map(F.lit, seeds)), F.col("seed"))
+    values = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(place.alias("k"), c))), lambda x: x[c])
+    return per.agg(
+        F.count("*").alias("n_cohorts"),
+        F.avg("index").alias("mean_index"),
+        F.stddev_pop("index").alias("std_index"),
+        F.avg("trimmed_index").alias("mean_trimmed"),
+        F.stddev_pop("trimmed_index").alias("std_trimmed"),
+        F.to_json(values("index")).alias("cohort_scores"),
+        F.to_json(values("trimmed_index")).alias("cohort_trimmed_scores"),
+    )
 
 
-def silhouette(vectors: DataFrame) -> float | None:
-    """Cosine silhouette of articles as clusters; cluster sums make it linear in the rows."""
-    labels = vectors.select("article").distinct()
-    names = {r["article"]: k for k, r in enumerate(labels.orderBy("article").collect())} if labels.count() <= 100_000 else None
-    if names is not None and len(names) < 2:
+def silhouette(vectors: DataFrame, dimension: int | None = None, block: int = 512) -> float | None:
+    """Cosine silhouette of articles as clusters; none for fewer than two. Mean distances to a cluster
+    come from the sum of its vectors; blocks of vectors meet blocks of sums in numpy. A vector that is
+    alone in its cluster counts 0."""
+    if vectors.select("article").distinct().limit(2).count() < 2:
         return None
-    number = F.dense_rank().over(W.orderBy("article")).cast("int")
-    numbered = vectors.join(labels.withColumn("label", number), "article")
-    data = numbered.select(array_to_vector(V.doubles(F.col("embedding"))).alias("v"), F.col("label").cast("double").alias("label"))
-    return ClusteringEvaluator(featuresCol="v", predictionCol="label", metricName="silhouette", distanceMeasure="cosine").evaluate(data)
+    d = dimension or dimension_of(vectors)
+    kind = vectors.schema["article"].dataType.simpleString()
+    units = unit_vectors(vectors).select("article", "embedding", F.monotonically_increasing_id().alias("row"))
+    points = cut(B.packed(cut(units), ["article", "row"], "embedding", [], block).withColumnRenamed("b", "i"))
+    sums = cut(B.packed(group_sums(units, ["article"], d), ["article", "n"], "s", [], block))
+    n = sums.agg(F.max("nb")).first()[0]
+    left = points.select("i", F.col("article").alias("own"), "row", F.col("flat").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    right = sums.select("b", "article", "n", F.col("flat").alias("y"))
+
+    def distances(row: dict) -> dict:
+        counts = row["n"].astype(float)
+        mean = 1 - B.matrix(row["x"], len(row["own"])) @ B.matrix(row["y"], len(counts)).T / counts
+        same = row["own"][:, None] == row["article"][None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inside = np.where(counts > 1, mean * counts / (counts - 1), np.nan)
+        other = np.where(same, np.inf, mean).min(1)
+        return {"row": row["row"], "a": np.where(same.any(1), np.where(same, inside, 0).sum(1), -np.inf), "b": other}
+
+    schema = pa.schema([("row", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+    found = B.over_rows(left.join(right, "b"), distances, schema, "row long, a double, b double")
+    each = found.groupBy("row").agg(F.max("a").alias("a"), F.min("b").alias("b"))  # nan, of a lone vector, is the largest
+    value = F.when(F.isnan("a"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.agg(F.avg(value)).first()[0]
 
 
 # ---- representation degradation -------------------------------------------------------------
@@ -271,7 +342,3 @@ def degradation_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count("*").alias("n_articles"), F.avg("n_chunks").alias("mean_chunks"), F.avg("total_length").alias("mean_total_length"), F.avg("similarity").alias("mean_similarity"), F.percentile("similarity", half).alias("median_similarity"), F.avg("degradation").alias("mean_degradation"), F.percentile("degradation", half).alias("median_degradation")
     )
-
-
-def column_or_none(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 import random
-from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from ..sources.steps import cut, ship
+from . import blocks as B
 from . import geometry as G
+from .ranks import numbered, ranked
 
 # Fixed values of the evaluation.
 PAIR_LIMIT, TEST_SHARE, SEED, NB_BINS, SMOOTHING, VARIANCE_FACTOR = 100_000, 0.2, 42, 100, 1.0, 1e-9
@@ -38,101 +42,146 @@ def sample_ranks(total: int, k: int, seed: int) -> list[int]:
 
 
 def indexed(vectors: DataFrame, order: list[str]) -> DataFrame:
-    """Add `idx`, 0, 1, ... in the given order, without sorting everything in one task: rows are
-    ranged over partitions, counted there, and numbered from where their partition begins."""
-    ranged = vectors.repartitionByRange(*order).sortWithinPartitions(*order)
-    pairs = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return vectors.sparkSession.createDataFrame(pairs, ranged.withColumn("idx", F.lit(0).cast("long")).schema)
+    """Unit vectors with `idx`: 0, 1, ... in the given order."""
+    names = [*order, *[c for c in ("article",) if c not in order], "embedding"]
+    return cut(numbered(G.unit_vectors(vectors).select(*names), order))
 
 
 def sampled_pairs(vectors: DataFrame, order: list[str], limit: int, seed: int = SEED) -> DataFrame:
     """Cosines of up to `limit` unordered pairs of rows, uniform without repetition; all of them if
-    there aren't more. The ranks are drawn on the driver; rows are fetched by two joins on indexes."""
-    spark = vectors.sparkSession
-    units = indexed(G.unit_vectors(vectors).select(*order, *[c for c in ("article",) if c not in order], "embedding"), order)
-    n = units.count()
-    rows = [pair_of_rank(n, r) for r in sample_ranks(n * (n - 1) // 2, limit, seed)] if n > 1 and limit > 0 else []
-    return _cosines(spark, units, rows)
+    there aren't more. The ranks are drawn on the driver, up to the limit; rows are fetched by two
+    joins on indexes."""
+    units = indexed(vectors, order)
+    return _cosines(units, _any_pairs(units, limit, seed))
 
 
-def _cosines(spark: SparkSession, units: DataFrame, rows: list[tuple[int, int]]) -> DataFrame:
-    pairs = spark.createDataFrame(rows, "i long, j long")
-    a = units.select(F.col("idx").alias("i"), F.col("article").alias("article_a"), F.col("embedding").alias("va"))
-    b = units.select(F.col("idx").alias("j"), F.col("article").alias("article_b"), F.col("embedding").alias("vb"))
-    return pairs.join(a, "i").join(b, "j").select("i", "j", "article_a", "article_b", V.dot(F.col("va"), F.col("vb")).alias("cosine"))
-
-
-def article_ranges(units: DataFrame) -> list[tuple[int, int]]:
-    """(first index, size) of each article; indexes must be in article order."""
-    rows = units.groupBy("article").agg(F.min("idx").alias("a"), F.count("*").alias("n")).collect()
-    return sorted((r["a"], r["n"]) for r in rows)
-
-
-def same_article_pairs(ranges: list[tuple[int, int]], limit: int, seed: int) -> list[tuple[int, int]]:
-    """A uniform sample from the union of the pairs within articles: larger articles weigh more."""
-    starts, total = [], 0
-    for _, n in ranges:
-        starts.append(total)
-        total += n * (n - 1) // 2
-    out = []
-    for r in sample_ranks(total, limit, seed):
-        k = bisect_right(starts, r) - 1
-        while ranges[k][1] < 2:
-            k -= 1
-        i, j = pair_of_rank(ranges[k][1], r - starts[k])
-        out.append((ranges[k][0] + i, ranges[k][0] + j))
-    return out
+def _frame(spark: SparkSession, rows: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, "i long, j long")
 
 
-def cross_article_pairs(ranges: list[tuple[int, int]], limit: int, seed: int) -> list[tuple[int, int]]:
-    """A uniform sample of pairs from different articles: drawn again while both are in one; all of
-    them, listed, if there aren't more than the limit."""
-    n = sum(k for _, k in ranges)
-    total = n * (n - 1) // 2 - sum(k * (k - 1) // 2 for _, k in ranges)
-    firsts = [a for a, _ in ranges]
-    where = lambda x: bisect_right(firsts, x) - 1
-    first = firsts[0] if firsts else 0
-    if limit >= total:
-        return [(i, j) for i in range(first, first + n) for j in range(i + 1, first + n) if where(i) != where(j)]
-    rng, seen = random.Random(seed), set()
-    while len(seen) < limit:
-        i, j = sorted((first + rng.randrange(n), first + rng.randrange(n)))
-        if where(i) != where(j):
-            seen.add((i, j))
-    return sorted(seen)
+def _any_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
+    n = units.count()
+    ranks = sample_ranks(n * (n - 1) // 2, limit, seed) if n > 1 and limit > 0 else []
+    return _frame(units.sparkSession, [pair_of_rank(n, r) for r in ranks])
 
 
-def transition_pairs(ranges: list[tuple[int, int]], limit: int, seed: int) -> list[tuple[int, int]]:
-    every = [(a + k, a + k + 1) for a, n in ranges for k in range(n - 1)]
-    return every if len(every) <= limit else random.Random(seed).sample(every, limit)
+def _cosines(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    a = units.select(F.col("idx").alias("i"), F.col("article").alias("article_a"), F.col("embedding").alias("va"))
+    b = units.select(F.col("idx").alias("j"), F.col("article").alias("article_b"), F.col("embedding").alias("vb"))
+    joined = pairs.join(a, "i").join(b, "j")
+    return joined.select("i", "j", "article_a", "article_b", V.dot(F.col("va"), F.col("vb")).alias("cosine"))
+
+
+def article_ranges(units: DataFrame) -> DataFrame:
+    """a (first index), n of each article; indexes must be in article order."""
+    return units.groupBy("article").agg(F.min("idx").alias("a"), F.count("*").alias("n")).select("a", "n")
+
+
+def _picked(ranges: DataFrame, weight: Column, limit: int, seed: int, pair) -> DataFrame:
+    """Up to `limit` of all the pairs that articles have, `weight` each, uniform without repetition.
+    What articles have is numbered on, article by article; the ranks, which are drawn on the driver,
+    go to all tasks, and each article looks for those that fall to it. pair(n, r) is an article's
+    r-th pair, counted from 0."""
+    heavy = ranges.withColumn("w", weight.cast("long")).where("w > 0")
+    total = heavy.agg(F.sum("w")).first()[0] or 0
+    chosen = np.array(sorted(sample_ranks(total, limit, seed)), np.int64)
+    ship(ranges.sparkSession)
+    ranged = cut(heavy.repartitionByRange("a").withColumn("part", F.spark_partition_id()))
+    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("part").agg(F.sum("w").alias("own"))  # one row a partition
+    starts = sums.select("part", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("start"))
+    upto = W.partitionBy("part").orderBy("a").rowsBetween(W.unboundedPreceding, 0)
+    every = ranged.withColumn("upto", F.sum("w").over(upto)).join(F.broadcast(starts), "part")
+    every = every.select("a", "n", (F.col("start") + F.col("upto") - F.col("w")).alias("first"), "w")
+
+    def run(batches):
+        for batch in batches:
+            a, n, first, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            low, high = np.searchsorted(chosen, first), np.searchsorted(chosen, first + w)
+            found = []
+            for k in np.flatnonzero(high > low).tolist():
+                own = (pair(int(n[k]), int(r - first[k])) for r in chosen[low[k] : high[k]])
+                found += [(int(a[k]) + i, int(a[k]) + j) for i, j in own]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["i", "j"])
+
+    return every.mapInArrow(run, "i long, j long")
+
+
+def same_article_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
+    """i, j: a uniform sample from the union of the pairs within articles: larger articles weigh more."""
+    return _picked(article_ranges(units), F.expr("n * (n - 1) div 2"), limit, seed, pair_of_rank)
+
+
+def transition_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
+    """i, j: neighbours in an article; all, or a uniform sample."""
+    return _picked(article_ranges(units), F.col("n") - 1, limit, seed, lambda n, r: (r, r + 1))
+
+
+def cross_article_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
+    """i, j: a uniform sample of pairs from different articles, drawn again while both are in one; all
+    of them if there aren't more than the limit, from the articles' ranges."""
+    spark = units.sparkSession
+    every = article_ranges(units)
+    n, same = every.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) div 2"))).first()
+    n = n or 0
+    total = n * (n - 1) // 2 - (same or 0)
+    if limit >= total:  # each article with all rows behind its own
+        rows = every.select("a", (F.col("a") + F.col("n")).alias("end")).where(F.col("end") < n)
+        pairs = rows.select(F.explode(F.expr("sequence(a, end - 1)")).alias("i"), "end")
+        return pairs.select("i", F.explode(F.sequence("end", F.lit(n - 1).cast("long"))).alias("j"))
+    rng, held, seen = random.Random(seed), None, set()
+    articles = units.select("idx", "article")
+    while True:
+        drawn = []
+        while len(drawn) < 2 * limit and len(seen) < n * (n - 1) // 2:
+            pair = tuple(sorted((rng.randrange(n), rng.randrange(n))))
+            if pair[0] != pair[1] and pair not in seen:
+                seen.add(pair)
+                drawn.append((*pair, len(seen)))
+        more = spark.createDataFrame(drawn, "i long, j long, k long")
+        a, b = (articles.select(F.col("idx").alias(c), F.col("article").alias(f"of_{c}")) for c in "ij")
+        more = cut(more.join(a, "i").join(b, "j").where("of_i != of_j").select("i", "j", "k"))
+        held = more if held is None else held.unionByName(more)
+        if held.count() >= limit:
+            return held.orderBy("k").limit(limit).select("i", "j")
 
 
 def three_distributions(vectors: DataFrame, order: list[str], limit: int = PAIR_LIMIT, seed: int = SEED) -> DataFrame:
     """distribution, cosine for plots: here a negative pair is any pair, even of one article."""
-    spark = vectors.sparkSession
-    units = indexed(G.unit_vectors(vectors).select(*order, *[c for c in ("article",) if c not in order], "embedding"), order)
-    ranges = article_ranges(units)
-    n = sum(k for _, k in ranges)
+    units = indexed(vectors, order)
     some = {
-        "negative": [pair_of_rank(n, r) for r in sample_ranks(n * (n - 1) // 2, limit, seed)] if n > 1 else [],
-        "positive": same_article_pairs(ranges, limit, seed + 1),
-        "transition": transition_pairs(ranges, limit, seed + 2),
+        "negative": _any_pairs(units, limit, seed),
+        "positive": same_article_pairs(units, limit, seed + 1),
+        "transition": transition_pairs(units, limit, seed + 2),
     }
-    parts = [_cosines(spark, units, rows).select(F.lit(name).alias("distribution"), "cosine") for name, rows in some.items()]
+    parts = [_cosines(units, pairs).select(F.lit(name).alias("distribution"), "cosine") for name, pairs in some.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def exact_similarities(vectors: DataFrame) -> DataFrame:
+def exact_similarities(vectors: DataFrame, block: int = B.BLOCK) -> DataFrame:
     """distribution, article_a, article_b, cosine of every pair of different articles (negative),
     every pair within one (positive) and every neighbouring pair (transition). All pairs are what
-    this is for: it is the exact mode for tables of some thousand vectors; samples are for others."""
+    this is for: it is the exact mode for tables of some thousand vectors; samples are for others.
+    Blocks of vectors are multiplied as matrices, each pair of blocks once."""
     u = G.unit_vectors(vectors).select("article", "position", "embedding")
-    a, b = u.select(*[F.col(c).alias(f"{c}_a") for c in u.columns]), u.select(*[F.col(c).alias(f"{c}_b") for c in u.columns])
-    cosine = V.dot(F.col("embedding_a"), F.col("embedding_b")).alias("cosine")
-    cross = a.join(b, F.col("article_a") < F.col("article_b")).select(F.lit("negative").alias("distribution"), "article_a", "article_b", cosine)
-    same = a.join(b, (F.col("article_a") == F.col("article_b")) & (F.col("position_a") < F.col("position_b"))).select(F.lit("positive").alias("distribution"), "article_a", "article_b", cosine)
-    steps = G.transitions(vectors).select(F.lit("transition").alias("distribution"), F.col("article").alias("article_a"), F.col("article").alias("article_b"), "cosine")
-    return cross.unionByName(same).unionByName(steps)
+    kind = vectors.schema["article"].dataType.simpleString()
+    schema = pa.schema([("distribution", pa.string()), ("article_a", B.arrow_type(kind)), ("article_b", B.arrow_type(kind)), ("cosine", pa.float64())])
+
+    def products(row: dict) -> dict[str, np.ndarray]:
+        a, b = row["article_a"], row["article_b"]
+        cosine = B.matrix(row["flat_a"], len(a)) @ B.matrix(row["flat_b"], len(b)).T
+        wanted = np.ones(cosine.shape, bool) if row["i"] != row["j"] else np.triu(np.ones(cosine.shape, bool), 1)
+        i, j = np.nonzero(wanted)
+        first, second = a[i], b[j]
+        swap = first > second
+        pair = np.where(swap, second, first), np.where(swap, first, second)
+        return {"distribution": np.where(first == second, "positive", "negative"), "article_a": pair[0], "article_b": pair[1], "cosine": cosine[i, j]}
+
+    pairs = B.block_pairs(B.packed(u, ["article", "position"], "embedding", [], block), ["article"], [])
+    found = B.over_rows(pairs, products, schema, f"distribution string, article_a {kind}, article_b {kind}, cosine double")
+    article = F.col("article")
+    steps = G.transitions(vectors).select(F.lit("transition").alias("distribution"), article.alias("article_a"), article.alias("article_b"), "cosine")
+    return found.unionByName(steps)
 
 
 # ---- histograms -----------------------------------------------------------------------------
@@ -148,7 +197,8 @@ def histogram(values: DataFrame, keys: list[str], value_col: str, bins: int, log
     low, high = rows.agg(F.min("x"), F.max("x")).first()
     spark = values.sparkSession
     if low is None:
-        empty = [F.lit(None).cast(t).alias(c) for c, t in (("bin", "int"), ("left", "double"), ("right", "double"), ("count", "long"), ("density", "double"))]
+        kinds = {"bin": "int", "left": "double", "right": "double", "count": "long", "density": "double"}
+        empty = [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
         return rows.select(*keys, *empty).where("false")
     if log_x and low <= 0:
         raise ValueError("a logarithmic axis needs positive values")
@@ -162,7 +212,7 @@ def histogram(values: DataFrame, keys: list[str], value_col: str, bins: int, log
     a, width = f(low), (f(high) - f(low)) / bins
     place = F.floor(((F.log("x") if log_x else F.col("x")) - a) / width)
     binned = rows.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).cast("int"))
-    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("count"))
+    counts = cut(binned.groupBy(*keys, "bin").agg(F.count("*").alias("count")))  # keys x bins
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("total"))
     edges = [(k, g(a + k * width), g(a + (k + 1) * width)) for k in range(bins)]
     grid = totals.crossJoin(F.broadcast(spark.createDataFrame(edges, "bin int, left double, right double")))  # keys x bins
@@ -181,17 +231,25 @@ def area_normalised(histograms: DataFrame, keys: list[str]) -> DataFrame:
 # ---- Naive Bayes ----------------------------------------------------------------------------
 
 
-def split_articles(sizes: dict[str, int], test_share: float = TEST_SHARE, seed: int = SEED) -> dict[str, str]:
-    """Which articles train and which test: articles with several chunks and singletons apart."""
-    multi, single = sorted(a for a, n in sizes.items() if n > 1), sorted(a for a, n in sizes.items() if n == 1)
-    if len(multi) < 4:
-        raise ValueError("at least four articles with several chunks are needed")
-    out = {}
-    for names, low, own in ((multi, 2, seed + 10), (single, 0, seed + 20)):
-        k = round(len(names) * test_share)
-        k = min(max(k, low), len(names) - low) if low else min(k, len(names))
-        test = set(random.Random(own).sample(names, k))
-        out |= {a: "test" if a in test else "train" for a in names}
+def test_count(n: int, share: float, least: int) -> int:
+    """How many of n articles test, with `least` at least on both sides; halves are rounded to even."""
+    return min(max(round(n * share), least), n - least) if least else min(round(n * share), n)
+
+
+def split_articles(vectors: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """article, split: which articles train and which test; articles with several chunks and single
+    ones apart. The first in a seeded order test; the driver gets two counts."""
+    sizes = vectors.groupBy("article").agg(F.count("*").alias("n"))
+    out = None
+    for several, least, own in ((True, 2, seed + 10), (False, 0, seed + 20)):
+        some = cut(sizes.where("n > 1" if several else "n = 1").select("article"))
+        n = some.count()
+        if several and n < 4:
+            raise ValueError("at least four articles with several chunks are needed")
+        order = F.md5(F.concat(F.lit(f"{own}|"), F.col("article").cast("string")))
+        tests = F.col("k") < test_count(n, test_share, least)
+        part = numbered(some.withColumn("order", order), ["order"], "k").select("article", F.when(tests, "test").otherwise("train").alias("split"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -201,33 +259,28 @@ def test_limit(limit: int, share: float = TEST_SHARE) -> int:
 
 def split_similarities(vectors: DataFrame, limit: int = PAIR_LIMIT, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """split, distribution, cosine: articles are split, then pairs are drawn inside each part."""
-    sizes = {r["article"]: r["n"] for r in vectors.groupBy("article").agg(F.count("*").alias("n")).collect()}
-    spark = vectors.sparkSession
-    names = split_articles(sizes, test_share, seed)
-    kind = vectors.schema["article"].dataType.simpleString()
-    parts = spark.createDataFrame(list(names.items()), f"article {kind}, split string")
-    out = None
+    parts = cut(split_articles(vectors, test_share, seed))
     limits = {"test": test_limit(limit, test_share)}
     limits["train"] = limit - limits["test"]
+    out = None
     for split in SPLITS:
-        own = vectors.join(F.broadcast(parts.where(F.col("split") == split)), "article").select("article", "position", "embedding")
-        units = indexed(G.unit_vectors(own), ["article", "position"])
-        ranges = article_ranges(units)
+        own = vectors.join(parts.where(F.col("split") == split), "article").select("article", "position", "embedding")
+        units = indexed(own, ["article", "position"])
         for k, (name, pick) in enumerate(zip(DISTRIBUTIONS, (cross_article_pairs, same_article_pairs, transition_pairs))):
-            rows = _cosines(spark, units, pick(ranges, limits[split], seed + k)).select(F.lit(split).alias("split"), F.lit(name).alias("distribution"), "cosine")
+            found = _cosines(units, pick(units, limits[split], seed + k))
+            rows = found.select(F.lit(split).alias("split"), F.lit(name).alias("distribution"), "cosine")
             out = rows if out is None else out.unionByName(rows)
-    return out
+    return cut(out)
 
 
 def balanced(rows: DataFrame, keys: list[str], class_col: str, order: Column) -> DataFrame:
-    """As many rows of each class as the smaller has, those first in the order. The limit is a count
-    for each key; rows rank inside hashed parts, and the parts' counts say where each begins."""
+    """As many rows of each class as the smaller has, those first in the order. Rows are ranged over
+    partitions and numbered there, so no class is sorted by one task."""
     counts = rows.groupBy(*keys, class_col).agg(F.count("*").alias("_n"))
     least = counts.groupBy(*keys).agg(F.min("_n").alias("_least"))
-    own = W.partitionBy(*keys, class_col).orderBy(order)
-    ranked = rows.withColumn("_rank", F.row_number().over(own))
-    joined = ranked.join(least, keys) if keys else ranked.crossJoin(F.broadcast(least))
-    return joined.where("_rank <= _least").drop("_rank", "_least")
+    placed = ranked(rows.withColumn("_order", order), [*keys, class_col], ["_order"], "_rank")
+    joined = placed.join(least, keys) if keys else placed.crossJoin(F.broadcast(least))  # one row
+    return joined.where("_rank < _least").drop("_rank", "_order", "_least")
 
 
 def gaussian_model(rows: DataFrame, x: str = "x", label: str = "y", factor: float = VARIANCE_FACTOR) -> DataFrame:

@@ -163,10 +163,19 @@ def davies_bouldin(spark, sf_dir):
     return G.davies_bouldin(_vectors(spark, sf_dir), dimension=DIMENSION)
 
 
-@_query()
+_COHORTS = f"""WITH {U}, p AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 5), k AS (SELECT label, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || label)) AS k FROM p, (SELECT unnest([42, 43, 44, 45, 46]) AS seed)),
+h AS (SELECT seed, label FROM k WHERE k <= greatest(2, (SELECT count(*) // 2 FROM p))), {COMP}, {SPREAD},
+r AS (SELECT a.seed, a.label, max(CASE WHEN d > 0 THEN (sa + sb) / d END) AS ratio FROM (SELECT x.seed, x.label, sa.s AS sa, sb.s AS sb, list_distance(ca.m, cb.m) AS d FROM h x JOIN h y ON x.seed = y.seed AND x.label <> y.label
+JOIN cv ca ON ca.label = x.label JOIN cv cb ON cb.label = y.label JOIN sp sa ON sa.label = x.label JOIN sp sb ON sb.label = y.label) a GROUP BY a.seed, a.label),
+o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY ratio) AS k, count(*) OVER (PARTITION BY seed) AS n FROM r), z AS (SELECT seed, avg(ratio) AS i, avg(ratio) FILTER (k <= greatest(1, floor(n * 0.99))) AS t FROM o GROUP BY seed)
+SELECT count(*) AS n_cohorts, round(avg(i), 9) AS mean_index, round(stddev_pop(i), 9) AS std_index, round(avg(t), 9) AS mean_trimmed, round(stddev_pop(t), 9) AS std_trimmed FROM z"""
+
+
+@_query(_COHORTS)
 def davies_bouldin_cohorts(spark, sf_dir):
-    pool = [r[0] for r in G.eligible(_vectors(spark, sf_dir)).select("article").collect()]
-    return G.cohort_davies_bouldin(_vectors(spark, sf_dir), pool, max(2, len(pool) // 2), [42, 43, 44, 45, 46], dimension=DIMENSION)
+    pool = G.eligible(_vectors(spark, sf_dir)).select("article")
+    out = G.cohort_davies_bouldin(_vectors(spark, sf_dir), pool, max(2, pool.count() // 2), [42, 43, 44, 45, 46], dimension=DIMENSION)
+    return out.drop("cohort_scores", "cohort_trimmed_scores")
 
 
 @_query(f"""WITH {U}, sums AS (SELECT label, k, sum(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS k FROM u) GROUP BY label, k), sv AS (SELECT label, list(m ORDER BY k) AS m FROM sums GROUP BY label),

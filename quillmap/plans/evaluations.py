@@ -14,6 +14,7 @@ from ..operators import chunking as C
 from ..operators import geometry as G
 from ..operators import pairs as P
 from ..operators import runs as R
+from ..sources.steps import cut
 from ..sources.tables import Store
 
 # Defaults of the evaluations.
@@ -67,28 +68,39 @@ def intra_consistency(store: Store, run_ids: list[str] | None = None, drop_thres
 
 def inter_separability(store: Store, run_ids: list[str] | None = None, metrics: tuple[str, ...] = ("davies_bouldin",), min_chunks: int = MIN_CHUNKS, cohort_size: int = COHORT_SIZE, seeds: tuple[int, ...] = COHORT_SEEDS, trim: float = TRIM, block: int = BLOCK, cohort_run_ids: list[str] | None = None, skip_full: bool = False) -> DataFrame:
     """Davies-Bouldin over articles with enough chunks, in full and over seeded cohorts of articles
-    that are eligible in every cohort run; and the silhouette, if asked for."""
+    that are eligible in every cohort run; and the silhouette, if asked for. The runs to evaluate
+    must be among the cohort runs, and a cohort may not be larger than what is eligible."""
     if unknown := set(metrics) - {"davies_bouldin", "silhouette"}:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    pool: list | None = None
+    pool: DataFrame | None = None
     if cohort_run_ids:
-        counts = reduce(DataFrame.unionByName, [vectors_of(store, r).groupBy(F.col("article").alias("article_id")).agg(F.count("*").alias("n_chunks")).withColumn("embedding_run_id", F.lit(r)) for r in cohort_run_ids])
-        pool = [r[0] for r in G.shared_eligible(counts, cohort_run_ids, min_chunks).collect()]
+        wanted = list(dict.fromkeys(cohort_run_ids))
+        runs = run_table(store)
+        for r in wanted:
+            if R.require_run(runs, r)["embedding_count"] == 0:
+                raise ValueError(f"cohort run without embeddings: {r}")
+        if outside := sorted(set(run_ids or ()) - set(wanted)):
+            raise ValueError(f"evaluated runs aren't among the cohort runs: {', '.join(outside)}")
+        counts = [vectors_of(store, r).groupBy(F.col("article").alias("article_id")).agg(F.count("*").alias("n_chunks")).withColumn("embedding_run_id", F.lit(r)) for r in wanted]
+        shared = G.shared_eligible(reduce(DataFrame.unionByName, counts), wanted, min_chunks)
+        pool = cut(shared.select(F.col("article_id").alias("article")))
 
     def measure(run) -> DataFrame:
         every = vectors_of(store, run["embedding_run_id"])
-        v = every.join(G.eligible(every, min_chunks).select("article"), "article", "left_semi").cache()
-        spark = v.sparkSession
-        out = spark.createDataFrame([(G.silhouette(v) if "silhouette" in metrics else None,)], "silhouette double")
+        v = cut(every.join(G.eligible(every, min_chunks).select("article"), "article", "left_semi"))
+        out = v.sparkSession.createDataFrame([(G.silhouette(v) if "silhouette" in metrics else None,)], "silhouette double")
         if "davies_bouldin" in metrics and not skip_full:
             out = out.crossJoin(F.broadcast(G.davies_bouldin(v, trim, block)))
-        if "davies_bouldin" in metrics:
-            ids = pool if pool is not None else [r[0] for r in v.select("article").distinct().collect()]
-            some = G.cohort_davies_bouldin(v, ids, min(cohort_size, len(ids)), list(seeds), trim)
+        if "davies_bouldin" in metrics and pool is not None:
+            if lost := pool.join(v, "article", "left_anti").limit(1).count():
+                raise ValueError(f"{run['embedding_run_id']} lacks articles of the cohort pool ({lost} or more)")
+            some = G.cohort_davies_bouldin(v, pool, cohort_size, list(seeds), trim)
             out = out.crossJoin(F.broadcast(some.withColumn("cohort_seeds", F.lit(json.dumps(list(seeds))))))
+        elif "davies_bouldin" in metrics and skip_full:
+            raise ValueError("without cohort runs, there is only the full index")
         return out
 
-    return _over_runs(store, run_ids, measure)
+    return _over_runs(store, run_ids or cohort_run_ids, measure)
 
 
 def representation_degradation(store: Store, model_id: str | None = None, run_id: str | None = None, article_run_id: str | None = None, min_chunks: int = MIN_CHUNKS) -> DataFrame:

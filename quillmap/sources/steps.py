@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 import gc
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once for each Spark context, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillmap_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="quillmap-code-")) / "quillmap-code.zip"  # on the driver alone
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    target.write_bytes(buffer.getvalue())
+    sc.addPyFile(str(target))
+    sc._quillmap_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see: the session's `spark.checkpoint.dir`. Where that is unset,
     a session on one machine gets a temporary folder, and a cluster an error."""
