@@ -1,70 +1,23 @@
-"""What the operators share: cutting lineage, shipping code to workers, reading texts in slices."""
+"""What the operators share: reading texts in slices, making batches."""
 
 from __future__ import annotations
 
-import gc
-import io
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import cut, shared_folder, ship  # noqa: F401
+
 #: ASCII white space: words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a worker holds as Python objects at once; a longer text is held alone.
 SLICE_BYTES = 1 << 18
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once for each Spark context, wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillmap_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="quillmap-code-")) / "quillmap-code.zip"
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, path.relative_to(root.parent))
-    target.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(target))
-    sc._quillmap_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: the session's `spark.checkpoint.dir`. Where that is unset,
-    a session on one machine gets a temporary folder, and a cluster an error."""
-    sc = spark.sparkContext
-    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
-        return named
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not hasattr(sc, "_quillmap_folder"):
-        sc._quillmap_folder = tempfile.mkdtemp(prefix="quillmap-checkpoint-")
-    return sc._quillmap_folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Run `df` once and go on from files in the shared checkpoint folder. With
-    `spark.cleaner.referenceTracking.cleanCheckpoints` they go when nothing refers to them any more;
-    without it they stay until the folder is deleted."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    # Spark finds out what nothing refers to when the driver's JVM collects its garbage; without work
-    # on the driver that would be never, and all steps' shuffle files would add up.
-    gc.collect()
-    sc._jvm.System.gc()
-    return out
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that count, so no other column can clash. Ids are whole numbers or texts
     of such; another id ends the job with a cast error."""

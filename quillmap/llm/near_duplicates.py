@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import url_filters
 from .common import cut, id_and_text, ship, text_slices, to_batch
 
 SHINGLE, PERCENT = 5, 75
@@ -46,6 +47,7 @@ PART = 4_096  #: members of a token in one part; more are dealt over several
 CHUNK = 8_192  #: points of one token that one R-tree holds
 BLOCK = 2_048  #: representatives to a block
 PAIRS = 8_192  #: pairs whose bounds are computed at once
+FILTER_BITS = 10  #: for each id in the filter of texts that are read again
 SHINGLE_BASE = 0x8EBC6AF09C88C6E3 | 1
 
 
@@ -466,8 +468,13 @@ class JaccardJoin:
                     tokens = pa.array([t.tobytes() for t in sets], pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["rep", "tokens"]).filter(fine)
 
-        wanted = some.join(self.classes, "rep").select("doc_id", "rep", "sig_a", "sig_b")
-        texts = self.docs.join(wanted, "doc_id").select("rep", "text", "sig_a", "sig_b")
+        wanted = cut(some.join(self.classes, "rep").select("doc_id", "rep", "sig_a", "sig_b"))
+        # the other documents' texts needn't be shuffled: nearly all of them fail a Bloom filter of the ids
+        ids = wanted.select(F.col("doc_id").cast("string").alias("key")).distinct()
+        docs, n = self.docs, ids.count()
+        if n * FILTER_BITS <= 8 * url_filters.MAX_FILTER_BYTES:
+            docs = docs.where(url_filters.bloom(ids, n, FILTER_BITS, 2, 9_000).reports(F.col("doc_id").cast("string")))
+        texts = docs.join(wanted, "doc_id").select("rep", "text", "sig_a", "sig_b")
         return cut(texts.mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]))
 
     def _connect(self, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -509,7 +516,7 @@ class JaccardJoin:
         tested = cut(bounded.mapInArrow(_filter_pairs(percent), "a long, b long"))
         links = verified(tested)
         labels = cut(components(links))
-        most = 64
+        most = 256
         while True:
             named = _with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
             ends = F.min("label").alias("x"), F.max("label").alias("y")
