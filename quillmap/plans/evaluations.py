@@ -6,8 +6,9 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..operators import chunking as C
@@ -15,7 +16,7 @@ from ..operators import geometry as G
 from ..operators import pairs as P
 from ..operators import runs as R
 from ..sources.steps import cut
-from ..sources.tables import Store
+from ..sources.tables import CHUNK_COLUMNS, SIMILARITY_COLUMNS, Store
 
 # Defaults of the evaluations.
 SAMPLE_SIZE, ANISOTROPY_SAMPLE, PAIR_SAMPLE = 100_000, 10_000, 100_000
@@ -66,39 +67,85 @@ def intra_consistency(store: Store, run_ids: list[str] | None = None, drop_thres
     return _over_runs(store, run_ids, lambda run: G.intra_consistency(vectors_of(store, run["embedding_run_id"]), drop_threshold))
 
 
-def inter_separability(store: Store, run_ids: list[str] | None = None, metrics: tuple[str, ...] = ("davies_bouldin",), min_chunks: int = MIN_CHUNKS, cohort_size: int = COHORT_SIZE, seeds: tuple[int, ...] = COHORT_SEEDS, trim: float = TRIM, block: int = BLOCK, cohort_run_ids: list[str] | None = None, skip_full: bool = False) -> DataFrame:
-    """Davies-Bouldin over articles with enough chunks, in full and over seeded cohorts of articles
-    that are eligible in every cohort run; and the silhouette, if asked for. The runs to evaluate
-    must be among the cohort runs, and a cohort may not be larger than what is eligible."""
+#: Columns of the diagnostics and what they are called for all eligible articles.
+FULL_NAMES = {
+    "index": "davies_bouldin_full_index",
+    "trimmed_index": "davies_bouldin_full_trimmed_index",
+    "median_ratio": "davies_bouldin_full_median_ratio",
+    "p95_ratio": "davies_bouldin_full_p95_ratio",
+    "p99_ratio": "davies_bouldin_full_p99_ratio",
+    "max_ratio": "davies_bouldin_full_maximum_ratio",
+    "top_1_percent_share": "davies_bouldin_full_top_1pct_contribution",
+    "min_centroid_distance": "davies_bouldin_full_min_centroid_distance",
+    "p01_centroid_distance": "davies_bouldin_full_p01_nearest_centroid_distance",
+    "exact_twin_pairs": "davies_bouldin_full_exact_centroid_pair_count",
+}
+COHORT_NAMES = {
+    "mean_index": "davies_bouldin_index",
+    "std_index": "davies_bouldin_std",
+    "mean_trimmed": "davies_bouldin_trimmed_index",
+    "std_trimmed": "davies_bouldin_trimmed_std",
+    "cohort_scores": "davies_bouldin_scores_json",
+    "cohort_trimmed_scores": "davies_bouldin_trimmed_scores_json",
+}
+
+
+def _cohort_pool(store: Store, run_id: str, wanted: list[str], min_chunks: int) -> DataFrame:
+    """Articles with enough chunks in every cohort run."""
+    if run_id not in wanted:
+        raise ValueError(f"the cohort runs must include the evaluated run: {run_id}")
+    counts = [vectors_of(store, r).groupBy(F.col("article").alias("article_id")).agg(F.count("*").alias("n_chunks")).withColumn("embedding_run_id", F.lit(r)) for r in wanted]
+    shared = G.shared_eligible(reduce(DataFrame.unionByName, counts), wanted, min_chunks)
+    return cut(shared.select(F.col("article_id").alias("article")))
+
+
+def inter_separability(
+    store: Store,
+    run_ids: list[str] | None = None,
+    metrics: tuple[str, ...] = ("davies_bouldin",),
+    min_chunks: int = MIN_CHUNKS,
+    cohort_size: int = COHORT_SIZE,
+    seeds: tuple[int, ...] = COHORT_SEEDS,
+    trim: float = TRIM,
+    block: int = BLOCK,
+    cohort_run_ids: list[str] | None = None,
+    skip_full: bool = False,
+) -> DataFrame:
+    """Davies-Bouldin over seeded cohorts of articles that are eligible in every cohort run (by
+    default, in the run itself), and over all articles of the run with enough chunks; and the
+    silhouette, if asked for. A cohort larger than the pool, a run outside the cohort runs, and a run
+    that lacks articles of the pool are errors."""
     if unknown := set(metrics) - {"davies_bouldin", "silhouette"}:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    pool: DataFrame | None = None
-    if cohort_run_ids:
-        wanted = list(dict.fromkeys(cohort_run_ids))
-        runs = run_table(store)
-        for r in wanted:
-            if R.require_run(runs, r)["embedding_count"] == 0:
-                raise ValueError(f"cohort run without embeddings: {r}")
-        if outside := sorted(set(run_ids or ()) - set(wanted)):
-            raise ValueError(f"evaluated runs aren't among the cohort runs: {', '.join(outside)}")
-        counts = [vectors_of(store, r).groupBy(F.col("article").alias("article_id")).agg(F.count("*").alias("n_chunks")).withColumn("embedding_run_id", F.lit(r)) for r in wanted]
-        shared = G.shared_eligible(reduce(DataFrame.unionByName, counts), wanted, min_chunks)
-        pool = cut(shared.select(F.col("article_id").alias("article")))
+    runs = run_table(store)
+    for r in cohort_run_ids or ():
+        R.require_run(runs, r)
 
     def measure(run) -> DataFrame:
-        every = vectors_of(store, run["embedding_run_id"])
+        run_id = run["embedding_run_id"]
+        wanted = list(dict.fromkeys(cohort_run_ids or [run_id]))
+        every = vectors_of(store, run_id)
         v = cut(every.join(G.eligible(every, min_chunks).select("article"), "article", "left_semi"))
-        out = v.sparkSession.createDataFrame([(G.silhouette(v) if "silhouette" in metrics else None,)], "silhouette double")
-        if "davies_bouldin" in metrics and not skip_full:
-            out = out.crossJoin(F.broadcast(G.davies_bouldin(v, trim, block)))
-        if "davies_bouldin" in metrics and pool is not None:
-            if lost := pool.join(v, "article", "left_anti").limit(1).count():
-                raise ValueError(f"{run['embedding_run_id']} lacks articles of the cohort pool ({lost} or more)")
+        n, articles = v.agg(F.count("*"), F.count_distinct("article")).first()
+        if articles < 2:
+            raise ValueError(f"{run_id}: {articles} articles with {min_chunks} chunks or more; two are needed")
+        fixed = {"num_articles": articles, "num_chunks": n, "min_chunks_threshold": min_chunks, "davies_bouldin_block_size": block}
+        fixed |= {"cohort_embedding_run_ids_json": json.dumps(wanted), "davies_bouldin_trim_fraction": trim}
+        out = v.sparkSession.range(1).select(*[F.lit(x).alias(k) for k, x in fixed.items()])
+        if "davies_bouldin" in metrics:
+            pool = _cohort_pool(store, run_id, wanted, min_chunks)
+            if lost := pool.join(v.select("article").distinct(), "article", "left_anti").count():
+                raise ValueError(f"{run_id} is incomplete for {lost} articles of the shared cohort")
             some = G.cohort_davies_bouldin(v, pool, cohort_size, list(seeds), trim)
-            out = out.crossJoin(F.broadcast(some.withColumn("cohort_seeds", F.lit(json.dumps(list(seeds))))))
-        elif "davies_bouldin" in metrics and skip_full:
-            raise ValueError("without cohort runs, there is only the full index")
-        return out
+            sizes = {"davies_bouldin_cohort_pool_size": pool.count(), "davies_bouldin_cohort_size": cohort_size, "davies_bouldin_seeds_json": json.dumps(list(seeds))}
+            some = some.drop("n_cohorts").withColumnsRenamed(COHORT_NAMES).withColumns({k: F.lit(x) for k, x in sizes.items()})
+            out = out.crossJoin(F.broadcast(some))  # one row by one
+            if not skip_full:
+                full = G.davies_bouldin(v, trim, block).drop("n_clusters").withColumnsRenamed(FULL_NAMES)
+                out = out.crossJoin(F.broadcast(full))
+        else:
+            out = out.withColumns({c: F.lit(None).cast("double") for c in ("davies_bouldin_index", "davies_bouldin_std")})
+        return out.withColumn("silhouette_score", F.lit(G.silhouette(v) if "silhouette" in metrics else None).cast("double"))
 
     return _over_runs(store, run_ids or cohort_run_ids, measure)
 
@@ -125,31 +172,45 @@ def norms(store: Store, model_id: str, chunking_run_id: str, tolerance: float =
     return _labelled(G.norm_stats(store.valid_embeddings([rows[0]["embedding_run_id"]]).select("embedding"), tolerance), rows[0])
 
 
-def similarity_histograms(store: Store, run_ids: list[str], names: list[str] | None = None, bins: int = SIMILARITY_BINS, log_x: bool = False, limit: int = P.PAIR_LIMIT, seed: int = P.SEED) -> DataFrame:
-    """run_name, distribution, log_x, bin, left, right, count, density."""
-    named = _named(run_ids, names)
-    rows = reduce(DataFrame.unionByName, [P.three_distributions(vectors_of(store, r), ["article", "position"], limit, seed).withColumn("run_name", F.lit(n)) for r, n in named])
-    return _flagged(P.histogram(rows, ["run_name", "distribution"], "cosine", bins, log_x, 1e-6), log_x)
+def _histogram_rows(h: DataFrame, columns: list[tuple[str, str]], log_x: bool, count: str) -> DataFrame:
+    """As histogram files have them: `count` is the number of values of the whole distribution."""
+    keys = [c for c in h.columns if c.startswith(("chunking_run", "embedding_run")) or c in ("distribution", "method", "model_id")]
+    total = F.sum("count").over(W.partitionBy(*keys))  # a row for each bin
+    left, right = F.col("left"), F.col("right")
+    center = F.sqrt(left * right) if log_x else (left + right) / 2
+    more = {"bin_index": F.col("bin"), "bin_left": left, "bin_right": right, "bin_center": center, count: total, "log_x": F.lit(int(log_x))}
+    return h.withColumns(more).select(*[F.col(c).cast(t).alias(c) for c, t in columns])
+
+
+def similarity_histograms(
+    store: Store, run_ids: list[str], names: list[str] | None = None, bins: int = SIMILARITY_BINS, log_x: bool = False, limit: int = P.PAIR_LIMIT, seed: int = P.SEED
+) -> DataFrame:
+    """Histograms of the three distributions of each run, with the same edges for all."""
+    runs, parts = run_table(store), []
+    for r, name in _named(run_ids, names):
+        run = R.require_run(runs, r)
+        labels = {"embedding_run_id": r, "embedding_run_name": name, "model_id": run["model_id"]}
+        parts.append(P.three_distributions(vectors_of(store, r), ["article", "position"], limit, seed).withColumns({k: F.lit(x) for k, x in labels.items()}))
+    rows = cut(reduce(DataFrame.unionByName, parts))
+    keys = ["embedding_run_id", "embedding_run_name", "model_id", "distribution"]
+    return _histogram_rows(P.histogram(rows, keys, "cosine", bins, log_x, 1e-6), SIMILARITY_COLUMNS, log_x, "pair_count")
 
 
 def chunk_histograms(store: Store, run_ids: list[str], names: list[str] | None = None, metric: str = "char", bins: int = CHUNK_BINS, log_x: bool = False) -> DataFrame:
-    """run_name, metric, log_x, bin, left, right, count, density of the chunks' lengths."""
-    label: Column = F.col("chunking_run_id")
-    pairs = _named(run_ids, names)
-    mapping = F.create_map(*[F.lit(x) for p in pairs for x in p])
-    chunks = store.read("chunks").where(F.col("chunking_run_id").isin(run_ids)).select(mapping[label].alias("run_name"), T.chunk_metric(F.col("text"), metric).alias("x")).where("x > 0")
-    return _flagged(P.histogram(chunks, ["run_name"], "x", bins, log_x).withColumn("metric", F.lit(metric)), log_x)
+    """Histograms of the chunks' lengths in each run, with the same edges for all."""
+    mapping = F.create_map(*[F.lit(x) for p in _named(run_ids, names) for x in p])
+    runs = store.read("chunking_runs").select("chunking_run_id", "method")
+    chunks = store.read("chunks").where(F.col("chunking_run_id").isin(run_ids)).join(F.broadcast(runs), "chunking_run_id")  # a row a run
+    named = mapping[F.col("chunking_run_id")].alias("chunking_run_name")
+    values = chunks.select("chunking_run_id", named, "method", T.chunk_metric(F.col("text"), metric).alias("x")).where("x > 0")
+    h = P.histogram(values, ["chunking_run_id", "chunking_run_name", "method"], "x", bins, log_x).withColumn("metric", F.lit(metric))
+    return _histogram_rows(h, CHUNK_COLUMNS, log_x, "chunk_count")
 
 
 def _named(ids: list[str], names: list[str] | None) -> list[tuple[str, str]]:
     if names is not None and len(names) != len(ids):
         raise ValueError("give one name for each run")
-    return list(zip(ids, names or ids))
-
-
-def _flagged(h: DataFrame, log_x: bool) -> DataFrame:
-    lead = [c for c in ("run_name", "distribution", "metric") if c in h.columns]
-    return h.withColumn("log_x", F.lit(log_x)).select(*lead, "log_x", "bin", "left", "right", "count", "density")
+    return list(zip(ids, names or [""] * len(ids)))
 
 
 def chunk_summaries(store: Store, run_ids: list[str] | None = None) -> DataFrame:

@@ -12,12 +12,20 @@ from ..operators import summary as S
 METRICS = {
     "anisotropy": {"mean_pairwise_cosine": ("Mean cosine", "decimal"), "pc1": ("PC1", "percent"), "pc5": ("PC5", "percent"), "pc10": ("PC10", "percent")},
     "intra_consistency": {"mean_transition_cosine": ("Transition mean", "decimal"), "mean_pairwise_cosine": ("Pair mean", "decimal"), "mean_cosine_volatility": ("Volatility", "decimal"), "semantic_drop_rate": ("Drop rate", "percent")},
-    "inter_separability": {"index": ("Davies-Bouldin", "decimal"), "mean_index": ("Cohort mean", "decimal"), "std_index": ("Cohort deviation", "decimal"), "mean_trimmed": ("Trimmed mean", "decimal"), "std_trimmed": ("Trimmed deviation", "decimal"), "silhouette": ("Silhouette", "decimal"), "n_clusters": ("Articles", "integer")},
+    "inter_separability": {"davies_bouldin_index": ("Davies-Bouldin", "decimal"), "davies_bouldin_std": ("Deviation", "decimal"), "davies_bouldin_trimmed_index": ("Trimmed", "decimal"), "davies_bouldin_trimmed_std": ("Trimmed deviation", "decimal"), "davies_bouldin_full_index": ("Full", "decimal"), "davies_bouldin_full_trimmed_index": ("Full trimmed", "decimal"), "silhouette_score": ("Silhouette", "decimal")},
     "representation_degradation": {"mean_degradation": ("Mean", "decimal"), "median_degradation": ("Median", "decimal"), "n_articles": ("Articles", "integer")},
     "naive_bayes": {"gaussian_negative_positive": ("Gaussian N/P", "percent"), "gaussian_negative_transition": ("Gaussian N/T", "percent"), "histogram_negative_positive": ("Histogram N/P", "percent"), "histogram_negative_transition": ("Histogram N/T", "percent")},
 }
 
 
+# Display names of chunking runs, in the order of the table.
+CHUNK_NAMES = {
+    "noop": "No-op", "paragraph": "P", "sentence": "S1/0", "sentence_4_0": "S4/0", "sentence_4": "S4/1", "token_32": "T32/0", "token_128_0": "T128/0", "token_128": "T128/16",
+    "token_256_0": "T256/0", "token_256_32": "T256/32", "token_256_64": "T256/64", "token_256_128": "T256/128", "token_256_192": "T256/192",
+    "recursive_400_0": "R400/0", "recursive_400": "R400/64", "recursive_1000_0": "R1000/0", "recursive_1000": "R1000/100",
+}
+
+
 def prepare(kind: str, results: DataFrame) -> DataFrame:
     """Results as the report names them: one row for each run."""
     if kind == "intra_consistency":
@@ -55,9 +63,13 @@ def merged(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("degradation_share", S.degradation_share(d, n, p)).withColumn("retained_similarity", S.retained_similarity(d, n))
 
 
-def chunk_table(summaries: DataFrame, order: list[str], caption: str, label: str) -> str:
-    """LaTeX of the chunking runs, in the order of their ids."""
-    rows = C.chunk_memory(summaries).orderBy(S.rank_in(F.col("chunking_run_id"), order), "chunking_run_id")
+def chunk_table(summaries: DataFrame, caption: str, label: str, order: list[str] | None = None) -> str:
+    """LaTeX of the chunking runs under their display names, in the order of the table; runs that it
+    doesn't know come last, by their ids."""
+    own = F.col("chunking_run_id")
+    rows = C.chunk_memory(summaries).orderBy(S.rank_in(own, order or list(CHUNK_NAMES)), "chunking_run_id")
+    names = F.create_map(*[F.lit(x) for pair in CHUNK_NAMES.items() for x in pair])
+    rows = rows.withColumn("chunking_run_id", F.coalesce(F.try_element_at(names, own), own))
     columns = {
         "chunking_run_id": "Chunking",
         "num_chunks": "Chunks",

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 KEYS = ("model_id", "chunking_strategy")
 # Columns of the two kinds of histogram files.
-CHUNK_COLUMNS = [("run_name", "string"), ("metric", "string"), ("log_x", "boolean"), ("bin", "int"), ("left", "double"), ("right", "double"), ("count", "bigint"), ("density", "double")]
-SIMILARITY_COLUMNS = [("run_name", "string"), ("distribution", "string"), ("log_x", "boolean"), ("bin", "int"), ("left", "double"), ("right", "double"), ("count", "bigint"), ("density", "double")]
+BIN_COLUMNS = [("bin_index", "int"), ("bin_left", "double"), ("bin_right", "double"), ("bin_center", "double"), ("density", "double")]
+CHUNK_COLUMNS = [("chunking_run_id", "string"), ("chunking_run_name", "string"), ("method", "string"), ("metric", "string"), *BIN_COLUMNS, ("chunk_count", "bigint"), ("log_x", "int")]
+SIMILARITY_COLUMNS = [("embedding_run_id", "string"), ("embedding_run_name", "string"), ("model_id", "string"), ("distribution", "string"), *BIN_COLUMNS, ("pair_count", "bigint"), ("log_x", "int")]
 
 
 def write_csv(rows: DataFrame, folder: str, single_file: bool = True) -> None:
@@ -50,17 +51,17 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
-def read_histogram(spark: SparkSession, path: str, kind: str = "chunk", run_name: str | None = None) -> DataFrame:
-    """Typed histogram rows; the header must be exact. Similarity files may lack the run's name,
-    which is then given."""
+def read_histogram(spark: SparkSession, path: str, kind: str = "chunk") -> DataFrame:
+    """Typed histogram rows, log_x as a boolean; the header must be exact. Similarity files may lack
+    the run's name, which is empty then."""
     columns = {"chunk": CHUNK_COLUMNS, "similarity": SIMILARITY_COLUMNS}[kind]
-    table = _read(spark, path)
-    names = [n for n, _ in columns]
-    if kind == "similarity" and table.columns == names[1:] and run_name is not None:
-        table = table.withColumn("run_name", F.lit(run_name)).select(*names)
+    table, names = _read(spark, path), [n for n, _ in columns]
+    if kind == "similarity" and table.columns == [n for n in names if n != "embedding_run_name"]:
+        table = table.withColumn("embedding_run_name", F.lit("")).select(*names)
     if table.columns != names:
         raise ValueError(f"{path} has the columns {table.columns}, not {names}")
-    return table.select(*[F.col(n).cast(t).alias(n) for n, t in columns])
+    typed = [F.coalesce(F.col(n), F.lit("")).alias(n) if t == "string" else F.col(n).cast(t).alias(n) for n, t in columns]
+    return table.select(*typed).withColumn("log_x", F.col("log_x") == 1)
 
 
 def write_text(path: str, text: str) -> None:

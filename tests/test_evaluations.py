@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from quillmap import __main__ as cli
 from quillmap.plans import evaluations as E
 from quillmap.plans import reports
 from quillmap.sources import remote_batches as B
-from quillmap.sources.tables import Store
+from quillmap.sources.tables import Store, read_histogram, write_csv
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +55,20 @@ def test_all_measures_and_the_merged_report(spark, store):
 
 
 def test_separability_and_classes(spark, store):
-    r = E.inter_separability(store, ["m1-paragraph"], ("davies_bouldin", "silhouette"), cohort_size=4, seeds=(1, 2), cohort_run_ids=["m1-paragraph", "m2-paragraph"]).first()
-    assert r["n_clusters"] == 8 and r["silhouette"] > 0.5 and r["n_cohorts"] == 2 and r["cohort_seeds"] == "[1, 2]"
+    runs = ["m1-paragraph", "m2-paragraph"]
+    r = E.inter_separability(store, ["m1-paragraph"], ("davies_bouldin", "silhouette"), cohort_size=4, seeds=(1, 2), cohort_run_ids=runs).first()
+    assert (r["num_articles"], r["num_chunks"], r["davies_bouldin_cohort_pool_size"]) == (8, 48, 8)
+    scores = json.loads(r["davies_bouldin_scores_json"])
+    assert r["silhouette_score"] > 0.5 and r["davies_bouldin_seeds_json"] == "[1, 2]" and len(scores) == 2
+    assert r["davies_bouldin_index"] == pytest.approx(sum(scores) / 2) and r["davies_bouldin_full_trimmed_index"] <= r["davies_bouldin_full_index"]
+    own = E.inter_separability(store, ["m1-paragraph"], cohort_size=8, seeds=(5,)).first()
+    assert own["davies_bouldin_index"] == pytest.approx(own["davies_bouldin_full_index"]) and own["davies_bouldin_std"] == 0
+    grid = reports.summarise("inter_separability", E.inter_separability(store, runs, cohort_size=4, cohort_run_ids=runs), store.read("embedding_runs"), ["m1", "m2"], ["paragraph"])
+    assert "davies_bouldin_full_trimmed_index" in grid.columns and grid.where("davies_bouldin_index is null").count() == 0
+    with pytest.raises(ValueError, match="must include"):
+        E.inter_separability(store, ["m1-paragraph"], cohort_size=4, cohort_run_ids=["m2-paragraph"])
+    with pytest.raises(ValueError, match="cohort of 9"):
+        E.inter_separability(store, ["m1-paragraph"], cohort_size=9)
     nb = E.naive_bayes(store, ["m1-paragraph"], 200)
     assert nb.count() == 4
     grid = reports.summarise("naive_bayes", nb, store.read("embedding_runs"), ["m1"], ["noop", "paragraph"])
@@ -66,15 +79,27 @@ def test_separability_and_classes(spark, store):
         E.anisotropy(store, ["unknown"])
 
 
-def test_norms_histograms_and_summaries(spark, store):
+def test_norms_histograms_and_summaries(spark, store, tmp_path):
     assert E.norms(store, "m1", "paragraph").first()["count"] == 48
-    assert E.similarity_histograms(store, ["m1-paragraph"], ["P"], bins=4, limit=50).count() == 12
+    similar = E.similarity_histograms(store, ["m1-paragraph"], ["P"], bins=4, limit=50)
+    assert similar.count() == 12 and {r["model_id"] for r in similar.collect()} == {"m1"}
     h = E.chunk_histograms(store, ["paragraph", "token_256_64"], ["P", "T"], "word", bins=5)
-    assert h.agg(F.sum("count")).first()[0] == 8 * 13
+    assert {(r["chunking_run_name"], r["method"], r["chunk_count"]) for r in h.collect()} == {("P", "paragraph", 48), ("T", "token", 56)}
+    assert h.where("abs(bin_center - (bin_left + bin_right) / 2) > 1e-9").count() == 0
+    log = E.chunk_histograms(store, ["paragraph"], None, "char", bins=5, log_x=True)
+    assert log.where("abs(bin_center - sqrt(bin_left * bin_right)) > 1e-9 or chunking_run_name != '' or log_x != 1").count() == 0
+    for kind, rows in (("chunk", h), ("similarity", similar)):
+        write_csv(rows, str(tmp_path / kind))
+        back = read_histogram(spark, str(tmp_path / kind), kind)
+        assert back.where("not log_x").count() == rows.count() and back.columns == rows.columns
     with pytest.raises(ValueError):
         E.chunk_histograms(store, ["paragraph"], ["a", "b"])
     s = E.chunk_summaries(store)
-    assert s.count() == 3 and "paragraph" in reports.chunk_table(s, ["paragraph"], "Chunks", "tab:c")
+    table = reports.chunk_table(s, "Chunks", "tab:c")
+    assert s.count() == 3 and table.index("No-op") < table.index("P &") < table.index("T256/64")
+    assert E.chunk_summaries(store, ["noop"]).first()["overlap_transition_percent"] is None
+    with pytest.raises(ValueError, match="unknown"):
+        E.chunk_summaries(store, ["other"])
 
 
 def test_command_line(spark, tmp_path):

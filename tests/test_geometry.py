@@ -1,4 +1,7 @@
+import collections
+import hashlib
 import itertools
+import json
 import math
 
 import numpy as np
@@ -13,6 +16,7 @@ from quillmap.operators import geometry as G
 from quillmap.operators import pairs as P
 from quillmap.operators import runs as R
 from quillmap.operators import summary as S
+from quillmap.operators.ranks import numbered, ranked
 
 SCHEMA = "article string, position int, embedding array<double>"
 
@@ -84,16 +88,59 @@ def test_davies_bouldin_and_silhouette_by_numpy(spark):
     assert G.pca_ratios(v).first()["pc1"] == pytest.approx(covariance[0] / covariance.sum())
 
 
+def seeded(ids, size, seed):
+    return sorted(ids, key=lambda a: hashlib.md5(f"{seed}|{a}".encode()).hexdigest())[:size]
+
+
 def test_cohorts(spark):
     ids = [f"article-{k:02d}" for k in range(20)]
-    assert G.sample_cohort(ids, 10, 42) == G.sample_cohort(ids[::-1], 10, 42) != G.sample_cohort(ids, 10, 43)
-    with pytest.raises(ValueError):
-        G.sample_cohort(ids, 21, 42)
     rng = np.random.default_rng(3)
     v = _vectors(spark, {a: rng.normal(size=(3, 4)) for a in ids})
-    r = G.cohort_davies_bouldin(v, ids, 8, [42, 43]).first()
-    one = [G.davies_bouldin(v.where(F.col("article").isin(G.sample_cohort(ids, 8, s)))).first()["index"] for s in (42, 43)]
+    pool = v.select("article").distinct()
+    got = {(r["seed"], r["article"]) for r in G.cohorts(pool, 8, [42, 43]).collect()}
+    assert got == {(s, a) for s in (42, 43) for a in seeded(ids, 8, s)}
+    with pytest.raises(ValueError):
+        G.cohorts(pool, 21, [42])
+    r = G.cohort_davies_bouldin(v, pool, 8, [43, 42]).first()
+    one = [G.davies_bouldin(v.where(F.col("article").isin(seeded(ids, 8, s)))).first()["index"] for s in (43, 42)]
     assert r["mean_index"] == pytest.approx(np.mean(one)) and r["std_index"] == pytest.approx(np.std(one))
+    assert json.loads(r["cohort_scores"]) == pytest.approx(one)
+
+
+def test_silhouette_with_lone_vectors(spark):
+    v = _vectors(spark, {"a": [(1, 0), (1, 0.1)], "b": [(0, 1)], "c": [(0, 1), (0.1, 1)]})
+    own = {"a": [(1, 0), (1, 0.1)], "b": [(0, 1)], "c": [(0, 1), (0.1, 1)]}
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    score = []
+    for a, xs in own.items():
+        for k, x in enumerate(xs):
+            mean = {b: np.mean([1 - unit(x) @ unit(y) for j, y in enumerate(ys) if (b, j) != (a, k)]) for b, ys in own.items() if len(ys) > 1 or b != a}
+            if a not in mean:
+                score.append(0.0)
+                continue
+            b = min(m for c, m in mean.items() if c != a)
+            score.append((b - mean[a]) / max(b, mean[a]))
+    assert G.silhouette(v, block=2) == pytest.approx(np.mean(score))
+    assert G.silhouette(v.where("article = 'a'")) is None
+
+
+def test_norm_sums_can_be_merged(spark):
+    rows = [([1.0, 0.0],), ([3.0, 4.0],), ([float("nan"), 0.0],), ([0.6, 0.8],)]
+    whole = spark.createDataFrame(rows, "embedding array<double>")
+    parts = [G.norm_sums(spark.createDataFrame(rows[k : k + 2], "embedding array<double>")) for k in (0, 2)]
+    assert G.finished_norms(G.merged_norm_sums(parts[0].unionByName(parts[1]))).first() == G.norm_stats(whole).first()
+
+
+def test_ranks_in_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{rng.integers(0, 3)}", float(x), k) for k, x in enumerate(rng.permutation(300))]
+    df = spark.createDataFrame(rows, "key string, x double, id int").repartition(5)
+    want = {i: sorted(x for k2, x, _ in rows if k2 == k).index(x) for k, x, i in rows}
+    assert {r["id"]: r["rank"] for r in ranked(df, ["key"], ["x"]).collect()} == want
+    assert {r["id"]: r["idx"] for r in numbered(df, ["x"]).collect()} == {i: sorted(x for _, x, _ in rows).index(x) for _, x, i in rows}
+    even = P.balanced(df.withColumn("c", F.col("id") % 7 == 0), ["key"], "c", F.col("x"))
+    sizes = {(r["key"], r["c"]): r["count"] for r in even.groupBy("key", "c").count().collect()}
+    assert all(sizes[k, True] == sizes[k, False] == sum(k2 == k and i % 7 == 0 for k2, _, i in rows) for k in ("k0", "k1", "k2"))
 
 
 def test_shared_eligibility(spark):
@@ -118,13 +165,35 @@ def test_ranks_are_a_bijection():
         P.pair_of_rank(4, 6)
 
 
-def test_pair_samples():
-    ranges = [(0, 3), (3, 2), (5, 2)]
-    cross = P.cross_article_pairs(ranges, 8, 1)
-    assert len(set(cross)) == 8 and all(not any(a <= i < a + n and a <= j < a + n for a, n in ranges) for i, j in cross)
-    assert len(P.cross_article_pairs(ranges, 100, 1)) == 16
-    assert P.same_article_pairs([(0, 3), (3, 2)], 100, 1) == [(0, 1), (0, 2), (1, 2), (3, 4)]
-    assert P.transition_pairs([(0, 3), (3, 2)], 9, 1) == [(0, 1), (1, 2), (3, 4)]
+def test_pair_samples(spark):
+    sizes = {"a": 3, "b": 2, "c": 2, "d": 1}
+    rows = [(article, k) for article, n in sizes.items() for k in range(n)]
+    units = spark.createDataFrame([(a, k, i) for i, (a, k) in enumerate(rows)], "article string, position int, idx long")
+    every = list(itertools.combinations(range(8), 2))
+    cross = [(i, j) for i, j in every if rows[i][0] != rows[j][0]]
+    pairs = lambda df: sorted((r["i"], r["j"]) for r in df.collect())
+    assert pairs(P.cross_article_pairs(units, 100, 1)) == cross
+    some = pairs(P.cross_article_pairs(units, 8, 1))
+    assert len(set(some)) == 8 and set(some) <= set(cross)
+    assert pairs(P.same_article_pairs(units, 100, 1)) == [(i, j) for i, j in every if (i, j) not in cross]
+    assert len(set(pairs(P.same_article_pairs(units, 3, 1)))) == 3
+    assert pairs(P.transition_pairs(units, 9, 1)) == [(0, 1), (1, 2), (3, 4), (5, 6)]
+    counts = collections.Counter(p for seed in range(60) for p in P.sample_ranks(5, 2, seed))
+    assert set(counts) == set(range(5)) and min(counts.values()) > 10
+
+
+def test_exact_similarities_by_numpy(spark):
+    rng = np.random.default_rng(5)
+    groups = {f"g{k}": rng.normal(size=(int(rng.integers(1, 6)), 5)) for k in range(9)}
+    got = P.exact_similarities(_vectors(spark, groups), block=4).collect()
+    flat = [(a, x / np.linalg.norm(x)) for a, xs in groups.items() for x in xs]
+    want = collections.Counter()
+    for (a, x), (b, y) in itertools.combinations(flat, 2):
+        want["positive" if a == b else "negative", min(a, b), max(a, b), round(float(x @ y), 9)] += 1
+    for a, xs in groups.items():
+        for x, y in itertools.pairwise(xs):
+            want["transition", a, a, round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 9)] += 1
+    assert collections.Counter((r["distribution"], r["article_a"], r["article_b"], round(r["cosine"], 9)) for r in got) == want
 
 
 def test_sampled_pairs_of_a_fixture(spark):
@@ -133,13 +202,16 @@ def test_sampled_pairs_of_a_fixture(spark):
     assert P.sampled_pairs(v, ["article", "position"], 99).count() == 10
 
 
-def test_split_is_disjoint():
+def test_split_is_disjoint(spark):
     sizes = {f"p{k}": 2 for k in range(10)} | {"s0": 1, "s1": 1}
-    split = P.split_articles(sizes, 0.2, 42)
+    frame = lambda n: spark.createDataFrame([(a, k) for a, m in n.items() for k in range(m)], "article string, position int")
+    split = {r["article"]: r["split"] for r in P.split_articles(frame(sizes), 0.2, 42).collect()}
     assert sorted(split) == sorted(sizes)
-    assert sum(split[f"p{k}"] == "test" for k in range(10)) == 2
+    tests = sorted((a for a in sizes if sizes[a] > 1), key=lambda a: hashlib.md5(f"52|{a}".encode()).hexdigest())[:2]
+    assert sorted(a for a in sizes if sizes[a] > 1 and split[a] == "test") == sorted(tests)
     with pytest.raises(ValueError):
-        P.split_articles({"a": 2, "b": 2, "c": 2}, 0.2, 42)
+        P.split_articles(frame({"a": 2, "b": 2, "c": 2}), 0.2, 42)
+    assert [P.test_count(n, 0.25, 2) for n in (4, 10, 14, 100)] == [2, 2, 4, 25] and P.test_count(2, 0.25, 0) == 0
     assert P.test_limit(10, 0.2) == 2 and P.test_limit(2, 0.9) == 1
 
 

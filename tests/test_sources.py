@@ -40,16 +40,16 @@ def test_csv(spark, tmp_path):
         T.read_summary(spark, str(tmp_path / "bom.csv"))
 
 
-def test_histogram_round_trip(spark, tmp_path):
-    h = P.histogram(spark.createDataFrame([("r", 1.0), ("r", 2.0)], "run_name string, x double"), ["run_name"], "x", 4)
-    out = h.select("run_name", F.lit("char").alias("metric"), F.lit(False).alias("log_x"), "bin", "left", "right", "count", "density")
-    T.write_csv(out, str(tmp_path / "h"))
-    assert sorted(map(tuple, T.read_histogram(spark, str(tmp_path / "h")).collect())) == sorted(map(tuple, out.collect()))
+def test_histogram_files(spark, tmp_path):
+    """Files with the columns that such files have, and similarity files without the run's name."""
+    head = "embedding_run_id,embedding_run_name,model_id,distribution,bin_index,bin_left,bin_right,bin_center,density,pair_count,log_x"
+    (tmp_path / "new.csv").write_text(f"{head}\nr,,m,Positive,0,0.5,1.0,0.75,2.0,7,0\n")
+    row = ("r", "", "m", "Positive", 0, 0.5, 1.0, 0.75, 2.0, 7, False)
+    assert [tuple(r) for r in T.read_histogram(spark, str(tmp_path / "new.csv"), "similarity").collect()] == [row]
+    (tmp_path / "old.csv").write_text(head.replace("embedding_run_name,", "") + "\nr,m,Positive,0,0.5,1.0,0.75,2.0,7,1\n")
+    assert [tuple(r) for r in T.read_histogram(spark, str(tmp_path / "old.csv"), "similarity").collect()] == [(*row[:-1], True)]
     with pytest.raises(ValueError):
-        T.read_histogram(spark, str(tmp_path / "h"), "similarity")
-    old = h.select(F.lit("d").alias("distribution"), F.lit(False).alias("log_x"), "bin", "left", "right", "count", "density")
-    T.write_csv(old, str(tmp_path / "old"))
-    assert T.read_histogram(spark, str(tmp_path / "old"), "similarity", "run").first()["run_name"] == "run"
+        T.read_histogram(spark, str(tmp_path / "new.csv"))
 
 
 def test_json_is_put_in_place_at_once(tmp_path):
