@@ -12,8 +12,8 @@ entries of the rarest among its `SKETCH` smallest hashes. Two sets with Jaccard
 share fewer than SKETCH/4 of these with a probability below 1e-12 (and sets of up to SKETCH tokens
 share more always), so linked points meet in one of the SKETCH - SKETCH/4 + 1 rarest tokens of
 both; a point with no token that another one has takes part in nothing. Under a token, each point
-is first held against the token's smallest member, which links nearly all of a group of copies. Of
-the tokens whose members still are in different components, R-trees take the members and give the
+is first held against one member that is drawn for the token, so a point meets as many others as it
+has tokens, which links nearly all of a group of copies. Of the tokens whose members still are in different components, R-trees take the members and give the
 pairs of different components that pass the bounds; of tokens with the same members, one counts.
 That repeats, with components merged, until no such pair is unverified.
 
@@ -46,6 +46,7 @@ LEAF, FAN = 64, 16  #: points to a leaf, nodes to a node above
 PART = 4_096  #: members of a token in one part; more are dealt over several
 CHUNK = 8_192  #: points of one token that one R-tree holds
 BLOCK = 2_048  #: representatives to a block
+HELD_PAIRS = 1 << 18  #: that a task holds before it drops those it has twice
 PAIRS = 8_192  #: pairs whose bounds are computed at once
 FILTER_BITS = 10  #: for each id in the filter of texts that are read again
 SHINGLE_BASE = 0x8EBC6AF09C88C6E3 | 1
@@ -331,6 +332,16 @@ def _pairs_of(own: Points, label: np.ndarray, mine: np.ndarray, percent: int, mo
     return [np.concatenate(x) for x in zip(*found)]
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Of columns (a, b), each once: pairs may meet under several tokens."""
+    a, b = np.concatenate(parts, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]])
+
+
 def _tree_pairs(percent: int, most: int):
     """For a bucket of tokens: the pairs under each token that `_pairs_of` gives. A row with b null
     says that there were more."""
@@ -343,13 +354,15 @@ def _tree_pairs(percent: int, most: int):
         new = np.ones(len(rep), bool)
         new[1:] = np.any([num(c)[1:] != num(c)[:-1] for c in ("token", "i", "j")], axis=0)
         starts = np.flatnonzero(new)
-        pairs, more = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
+        both, fresh, more = np.zeros((2, 0), np.int64), [], [np.zeros(0, np.int64)]
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
             if (label[s:e] != label[s]).any():
                 i, j, left = _pairs_of(every[s:e], label[s:e], mine[s:e], percent, most)
-                pairs.append(np.sort(np.stack([rep[i + s], rep[j + s]]), axis=0))
+                fresh.append(np.sort(np.stack([rep[i + s], rep[j + s]]), axis=0))
                 more.append(rep[left + s])
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1)  # pairs may meet under several tokens
+                if sum(x.shape[1] for x in fresh) > HELD_PAIRS:
+                    both, fresh = _distinct([both, *fresh]), []
+        both = _distinct([both, *fresh])
         left = np.unique(np.concatenate(more))
         mask = np.concatenate([np.zeros(both.shape[1], bool), np.ones(len(left), bool)])
         return pa.table({"a": pa.array(np.concatenate([both[0], left])), "b": pa.array(np.concatenate([both[1], left]), mask=mask)})
@@ -488,11 +501,12 @@ class JaccardJoin:
         shared = shared.select("token", "rep", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
         # tokens with the same members make one group: the token with the smallest value speaks for it
         sums = F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), "rep"))
-        groups = shared.groupBy("token").agg(F.struct(F.count("*"), *sums).alias("members"), F.min("rep").alias("pivot"), F.count("*").alias("k"), F.first("parts").alias("parts"))
+        drawn = F.min(F.struct(F.xxhash64("token", "rep"), "rep"))["rep"].alias("pivot")
+        groups = shared.groupBy("token").agg(F.struct(F.count("*"), *sums).alias("members"), drawn, F.count("*").alias("k"), F.first("parts").alias("parts"))
         one = F.min(F.struct("token", "pivot", "parts")).alias("one")
         groups = groups.where("k > 1").groupBy("members").agg(one).select("one.*")
         keys = cut(shared.join(of_tokens(groups), ["token", "part"]))
-        pairs = keys.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        pairs = keys.where("rep != pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
         members = keys.select("rep").distinct()
 
         def slim(batches):
@@ -516,7 +530,7 @@ class JaccardJoin:
         tested = cut(bounded.mapInArrow(_filter_pairs(percent), "a long, b long"))
         links = verified(tested)
         labels = cut(components(links))
-        most = 256
+        most = 64
         while True:
             named = _with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
             ends = F.min("label").alias("x"), F.max("label").alias("y")
