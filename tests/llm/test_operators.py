@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmap.llm import kernels as K
-from quillmap.llm import media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, sharding, url_filters
+from quillmap.llm import common, media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, sharding, url_filters
 
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,6 +27,24 @@ def as_rows(df, *names):
     return collections.Counter(tuple(r[n] for n in names) for r in df.collect())
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
+
+
 # ---- kernels --------------------------------------------------------------------------------
 
 
@@ -183,6 +201,35 @@ def test_long_values_are_replaced_whole():
     assert names(run) == (run, {})
 
 
+def test_counts_of_planted_values(spark):
+    """Values among words: all are counted and replaced, and nothing else changes."""
+    rng = np.random.default_rng(7)
+    filler = ["word", "of", "text,", "1999", "12.5", "(so)", "v2", "and/or", "100%", "é"]
+    rows, want = [], {}
+    for k in range(60):
+        parts, counts = [], collections.Counter()
+        for _ in range(int(rng.integers(0, 30))):
+            if rng.random() < 0.2:
+                kind = str(rng.choice(list(VALUES)))
+                parts.append(("value", kind, str(rng.choice(VALUES[kind]))))
+                counts[kind] += 1
+            parts += [("word", "", str(w)) for w in rng.choice(filler, 2)] + [("word", "", "plain")]
+        rows.append((k, " ".join(x for _, _, x in parts)))
+        want[k] = (parts, dict(counts))
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    known = {}
+    for r in pseudonyms.pseudonymise(df, b"k", counts_col="n").collect():
+        parts, counts = want[r["doc_id"]]
+        assert r["n"] == counts
+        at, tokens = 0, r["text"].split(" ")  # a value keeps its spaces, but octets may have more digits
+        for what, kind, x in parts:
+            new = " ".join(tokens[at : at + x.count(" ") + 1])
+            assert (new == x) == (what == "word") and (what == "word" or known.setdefault((kind, x), new) == new)
+            at += x.count(" ") + 1
+        assert " ".join(tokens[at:]) == ""
+    assert len(set(known.values())) == len(known)
+
+
 # ---- 2: transport streams -------------------------------------------------------------------
 
 
@@ -427,6 +474,20 @@ def test_mix(spark, odd_docs, no_docs):
     assert max(as_rows(copies.where("doc_id >= 100"), "doc_id").values()) <= 2
 
 
+def test_mixing_keeps_columns_with_any_name(spark):
+    names = ["_mix", "_source", "mix", "row", "key", "copies", "limit", "over", "tied", "col", "rank", "order", "size", "a.b"]
+    fields = ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(k, "some words here " * (k % 3 + 1), f"s{k % 2}", *[f"{n}{k}" for n in names]) for k in range(40)], f"doc_id int, text string, source string, {fields}")
+    out = mixing.repeat(docs)
+    assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(map(tuple, docs.collect()))
+    few = mixing.plan(docs).collect()
+    mixing_rows, mixing.BROADCAST_ROWS = mixing.BROADCAST_ROWS, 0
+    try:
+        assert sorted(mixing.plan(docs).collect()) == sorted(few)
+    finally:
+        mixing.BROADCAST_ROWS = mixing_rows
+
+
 # ---- 5: url filters -------------------------------------------------------------------------
 
 URLS = [
@@ -524,6 +585,55 @@ def test_repeats_of_odd_documents(spark, odd_docs, no_docs, monkeypatch):
     assert repeats.Repeats(no_docs).digest().count() == 0
 
 
+def test_paths_are_compact_and_true(spark):
+    """Words are the same wherever a path says so, all repeated windows lie on paths, and pieces that
+    meet at a node with one way in and one way out are on one path."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    texts = [base[a:b] for a, b in ((0, 100), (50, 150), (0, 150), (200, 260), (190, 240), (300, 400), (350, 400), (340, 380))]
+    texts = [[f"x{k}"] + t + [f"y{k}"] * (k % 2) for k, t in enumerate(texts)] + [base[60:90] + ["z"] + base[20:80]]
+    window = 6
+    found = repeats.Repeats(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), window=window, k=3)
+    rows = found.passages().collect()
+    word_at = {}
+    covered = collections.defaultdict(set)
+    ends, begins = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        own = texts[r["doc_id"]][r["start"] : r["start"] + r["n_words"]]
+        assert len(own) == r["n_words"]
+        for k, w in enumerate(own):
+            assert word_at.setdefault((r["path"], r["offset"] + k), w) == w
+        covered[r["doc_id"]] |= set(range(r["start"], r["start"] + r["n_words"] - window + 1))
+        piece = (r["path"], r["offset"], r["n_words"] - window + 1)
+        begins[tuple(own[: window - 1])].add(piece)
+        ends[tuple(own[len(own) - window + 1 :])].add(piece)
+    counts = collections.Counter(tuple(t[k : k + window]) for t in texts for k in range(len(t) - window + 1))
+    for k, t in enumerate(texts):
+        assert covered[k] == {j for j in range(len(t) - window + 1) if counts[tuple(t[j : j + window])] > 1}
+    joined = 0
+    for node in set(ends) & set(begins):
+        if len(ends[node]) == len(begins[node]) == 1 and ends[node] != begins[node]:
+            (one,), (two,) = ends[node], begins[node]
+            assert two[:2] == (one[0], one[1] + one[2])
+            joined += 1
+    assert joined > 4 and len({r["path"] for r in rows}) < len({(r["path"], r["offset"]) for r in rows})
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.permutations(range(9)), st.integers(1, 9))
+def test_chains_and_rings_of_pieces(spark, order, ring):
+    """Pieces 0 to 8 in a row and, beside it, a ring: numbered in any order."""
+    nodes = list(range(100, 110))
+    rows = [(order[k], nodes[k], nodes[k + 1], k + 1) for k in range(9)]
+    rows += [(20 + k, 200 + k, 200 + (k + 1) % ring, 1) for k in range(ring)]
+    got = {r["piece"]: (r["path"], r["offset"]) for r in repeats.compacted(spark.createDataFrame(rows, "piece long, first long, last long, n long")).collect()}
+    at = 0
+    for k in range(9):
+        assert got[order[k]] == (order[0], at)
+        at += k + 1
+    assert {got[20 + k] for k in range(ring)} == {(20, k) for k in range(ring)}
+
+
 # ---- 7: sharding ----------------------------------------------------------------------------
 
 
@@ -541,6 +651,24 @@ def test_shards(spark, odd_docs, no_docs, monkeypatch):
     assert sharding.assign(no_docs).count() == 0
 
 
+def test_each_shard_is_the_one_with_the_least_score(spark, odd_docs):
+    weights = [1.0, 2.5, 0.5, 1.0, 3.0]
+
+    def to(key, all_weights):
+        unit = lambda k: (int(hashlib.md5(f"{key}/{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return min(range(len(all_weights)), key=lambda k: -math.log(unit(k)) / all_weights[k])
+
+    rows = sharding.assign(odd_docs, 5, weights).collect()
+    order = collections.defaultdict(list)
+    for r in rows:
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (to(key, weights), to(key, [*weights, 1.0]))
+        place = (hashlib.md5(key.encode()).hexdigest(), r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
+        order[r["shard"]].append((place, r["slot"]))
+    for places in order.values():
+        assert [slot for _, slot in sorted(places)] == list(range(len(places)))
+
+
 def test_shares_follow_weights_and_few_records_move(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     out = sharding.assign(df, 3, [1.0, 2.0, 1.0])
@@ -579,7 +707,8 @@ def test_quality_counts(spark, odd_docs, no_docs):
 LINES = {
     "Home | About | Contact | Login": "navigation", "thing | other | more | of | this": "navigation", "All rights reserved.": "boilerplate", "Licensed under the Apache License, Version 2.0.": "boilerplate",
     "NEWS!! FROM!! HERE!! TO!! YOU!!": "punctuation", "Of%%% athe*** erntwh.%%% Thntatwh&&& ndreea$$$ an%%%": "punctuation", "two words": "punctuation",
-    "The committee met yesterday and agreed on a plan.": "", "": "", "He paid 5 dollars & left.": "", "A line of prose without an end mark that is long": "", "Hello!": "",
+    "Alle Rechte vorbehalten.": "boilerplate", "Weiterlesen auf der Seite": "navigation", "Lire la suite de ce texte": "navigation", "Mentions légales du site, tous droits réservés.": "boilerplate", "Inicio de la página web": "navigation", "Aviso legal y política de cookies.": "boilerplate",
+    "Homely houses stand along the road": "", "Suchen ist eine Kunst, die man lernt.": "", "The committee met yesterday and agreed on a plan.": "", "": "", "He paid 5 dollars & left.": "", "A line of prose without an end mark that is long": "", "Hello!": "",
 }
 
 
@@ -727,6 +856,44 @@ def test_gradients_by_differences():
     assert checked >= 8
 
 
+def test_scores_by_plain_loops():
+    """Every window of every chunk, one by one."""
+    q = quality_model
+    rng = np.random.default_rng(6)
+    w = {k: v.astype(np.float64) for k, v in q._start(rng).items()}
+    w["offset"] += 0.1
+    model = q.Model(0.5, {k: v.astype(np.float32) for k, v in w.items()})
+    for n in (0, 1, 7, 511, 512, 513, 1500, 5000):
+        text = bytes(rng.integers(1, 255, n).tolist())
+        span = q.CHUNK * q.STEP
+        chunks = max(1, -(-n // span))
+        raw = text + bytes(chunks * span + q.WIDTH - q.STEP - n)
+        tops = []
+        for c in range(chunks):
+            best = np.full(q.FILTERS, -np.inf)
+            for k in range(q.CHUNK):
+                at = c * span + k * q.STEP
+                window = np.concatenate([w["bytes"][raw[at + j]] for j in range(q.WIDTH)])
+                best = np.maximum(best, window @ w["filters"])
+            tops.append(np.maximum(best + w["offset"], 0))
+        x = np.concatenate([np.max(tops, 0), np.mean(tops, 0), [math.log1p(n) / 10]])
+        assert np.allclose(model.features(text), x, atol=1e-4)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-(x @ w["out"] + w["bias"][0]))), abs=1e-4)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Ids with many rows, labels without a document, and texts that are too long take no place."""
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda texts, labels, training: seen.append((texts, labels)))
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(k, f"text {k} {c % 2}") for k in ids[:8] for c in range(40)] + [(ids[8], "x" * 1000)], "doc_id int, text string")
+    labels = spark.createDataFrame([(k, c % 2) for k in ids[:9] for c in range(3)] + [(10_000 + k, 1) for k in range(500)], "doc_id int, quality int")
+    for bound, want in ((5, 5), (50, 8)):
+        quality_model.train(docs, labels, quality_model.Training(documents=bound, most_bytes=100))
+        texts, marks = seen.pop()
+        assert len(texts) == len(set(texts)) == want and set(marks) == {0} and all(t.endswith(b" 0") for t in texts)
+
+
 def test_all_of_a_long_text_counts():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(97, 122, 3000).tolist()) for _ in range(60)]
@@ -754,8 +921,9 @@ def test_scores_of_odd_documents(spark, odd_docs, no_docs):
     assert quality_model.score(no_docs, model).count() == 0
 
 
-def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+def test_held_out_accuracy(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_model.score(docs, quality_model.train(docs, labels)).where("held_out").join(labels, "doc_id")
     rows = scored.select("predicted", "quality").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9

@@ -1,8 +1,8 @@
 import collections
 
 import corpus_pipeline
-from quillmap.llm import packing, quality_lines
-from tests.llm.test_operators import check_slots, linked
+from quillmap.llm import mixing, packing, pseudonyms, quality_lines
+from tests.llm.test_operators import check_slots, linked, one_by_one
 
 
 def test_stages_by_brute_force(spark, odd_docs, no_docs, sf_dir):
@@ -25,12 +25,36 @@ def test_stages_by_brute_force(spark, odd_docs, no_docs, sf_dir):
     want = collections.Counter(r["doc_id"] for k, r in enumerate(rows) if rows[roots[k]]["doc_id"] == r["doc_id"])
     assert collections.Counter(r["doc_id"] for r in single.collect() if r["doc_id"] is not None) == want
 
+    extra = [(900, "write to anna@mail.example.com or 10.0.0.1 " + "word " * 30, "en", "s1", 9)]
+    single = single.unionByName(spark.createDataFrame(extra, docs.schema))
     hidden = stages["pii"](spark, single, sf_dir)
-    assert hidden.columns == docs.columns and hidden.count() == single.count()
+    names = pseudonyms.Pseudonyms(corpus_pipeline.KEY)
+    want = collections.Counter((r["doc_id"], None if r["text"] is None else names(r["text"])[0], r["source"]) for r in single.collect())
+    assert hidden.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in hidden.collect()) == want
+    assert hidden.where("n_chars != length(text)").count() == 0
+
     mixed = stages["source_mixing"](spark, hidden, sf_dir)
     assert mixed.columns == docs.columns
+    sizes, longest, taken = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in hidden.collect():
+        n = len((r["text"] or "").split())
+        sizes[r["source"]] += n
+        longest[r["source"]] = max(longest[r["source"]], n)
+    for r in mixed.collect():
+        taken[r["source"]] += len((r["text"] or "").split())
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    targets = mixing.water_fill([float(sizes[x]) for x in order], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(order))], 1.5 * sum(sizes.values()), 2.0)
+    assert all(abs(taken[x] - t) <= longest[x] for x, t in zip(order, targets))
+    mixed_rows, kept_rows = (collections.Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect()) for df in (mixed, hidden))
+    assert all(n <= 2 * kept_rows[r] for r, n in mixed_rows.items())
+
     packed = stages["best_fit_packing"](spark, mixed, sf_dir).collect()
-    assert len(packed) >= mixed.count() and check_slots(packed, packing.CAPACITY) > 0
+    encode = packing.encoder(packing.default_tokenizer()).many
+    tokens = sum(n * (len(encode([(text or "").encode()])[0]) // 4 + 1) for (_, text, _), n in mixed_rows.items())
+    assert sum(r["length"] for r in packed) == tokens
+    lengths = [r["length"] for r in packed]
+    assert check_slots(packed, packing.CAPACITY) == len(one_by_one(lengths, packing.CAPACITY))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs.select(*docs.columns), sf_dir).count() == 0, name
 
