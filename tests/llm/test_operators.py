@@ -213,7 +213,8 @@ def test_counts_of_planted_values(spark):
                 kind = str(rng.choice(list(VALUES)))
                 parts.append(("value", kind, str(rng.choice(VALUES[kind]))))
                 counts[kind] += 1
-            parts += [("word", "", str(w)) for w in rng.choice(filler, 2)] + [("word", "", "plain")]
+            # a number right behind a phone would read as its last group
+            parts += [("word", "", "plain"), *(("word", "", str(w)) for w in rng.choice(filler, 2)), ("word", "", "plain")]
         rows.append((k, " ".join(x for _, _, x in parts)))
         want[k] = (parts, dict(counts))
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
