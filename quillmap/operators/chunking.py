@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType
 
 from ..functions import text as T
+from ..sources.steps import ship
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 METHODS = ("noop", "paragraph", "sentence", "token", "split")
@@ -35,9 +36,45 @@ def _window_sizes(method: str, params: dict[str, int]) -> tuple[int, int]:
     return count, overlap
 
 
-def _raw_chunks(texts: DataFrame, method: str, tokenizer: T.Tokenizer, params: dict[str, int]) -> DataFrame:
+def library_windows(path: str, count: int, overlap: int):
+    """Windows of the tokens that a tokenizer file gives, decoded: for `tokenizers` files, whose path
+    all machines must see."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        out = []
+        for text in texts:
+            ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+            starts = range(0, max(1, len(ids) - overlap), count - overlap) if ids else ()
+            out.append([tokenizer.decode(ids[k : k + count], skip_special_tokens=False) for k in starts])
+        return pd.Series(out)
+
+    return run
+
+
+def library_token_count(path: str):
+    """The number of such tokens, for the structure of texts."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return pd.Series([tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts])
+
+    return run
+
+
+def _raw_chunks(texts: DataFrame, method: str, tokenizer: T.Tokenizer | str, params: dict[str, int]) -> DataFrame:
     """article_id, _c (an array of raw chunks) from article_id, _t."""
     text = F.col("_t")
+    if method == "token" and isinstance(tokenizer, str):
+        return texts.select("article_id", library_windows(tokenizer, *_window_sizes(method, params))(text).alias("_c"))
     if method in ("sentence", "token"):
         count, overlap = _window_sizes(method, params)
         parts = T.sentences(text) if method == "sentence" else tokenizer(text)
@@ -96,11 +133,12 @@ def chunk(
     method: str,
     id_col: str = "article_id",
     content_col: str = "content",
-    tokenizer: T.Tokenizer = T.whitespace_tokens,
+    tokenizer: T.Tokenizer | str = T.whitespace_tokens,
     **params: int,
 ) -> DataFrame:
-    """article_id, chunk_index, text. The tokenizer makes an array of tokens from a text column; it
-    may be a function of a library, as a pandas function."""
+    """article_id, chunk_index, text. The tokenizer of token windows makes an array of tokens from a
+    text column, or is the path of a tokenizer file."""
+    ship(articles.sparkSession)
     clean = T.remove_markdown_images(T.text_or_empty(F.col(content_col)))
     texts = articles.select(F.col(id_col).alias("article_id"), clean.alias("_t")).where(T.strip(F.col("_t")) != "")
     made = _raw_chunks(texts, method, tokenizer, params)
@@ -163,6 +201,7 @@ def transitions_of(chunks: DataFrame, keys: list[str], order: str = "chunk_index
 def chunk_overlaps(chunks: DataFrame, keys: list[str], order: str = "chunk_index", token_chunks: bool | Column = False) -> DataFrame:
     """overlap (characters) and share of the later chunk for each transition. Where `token_chunks`,
     the later chunk is taken without the mark of a word piece that it may begin with."""
+    ship(chunks.sparkSession)
     marked = token_chunks if isinstance(token_chunks, Column) else F.lit(token_chunks)
     pairs = transitions_of(chunks, keys, order).where("next_text is not null")
     following = F.when(marked, T.normalize_token_chunk_start(F.col("next_text"))).otherwise(F.col("next_text"))

@@ -63,6 +63,26 @@ def merged(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("degradation_share", S.degradation_share(d, n, p)).withColumn("retained_similarity", S.retained_similarity(d, n))
 
 
+# The columns of the merged table, by group.
+MERGED_GROUPS = {
+    "intra_consistency": {"mean_transition_cosine": "MTCS", "mean_pairwise_cosine": "MPCS", "semantic_drop_rate": "SDR"},
+    "inter_separability": {"davies_bouldin_trimmed_index": "DBI"},
+    "anisotropy": {"mean_pairwise_cosine": "MNCS", "pc1": "PC1", "pc5": "PC5", "pc10": "PC10"},
+    "representation_degradation": {"mean_degradation": "MRD"},
+}
+
+
+def merged_latex(table: DataFrame, caption: str, label: str, groups: list[str] | None = None) -> str:
+    """The merged table; `groups` is the order of the groups of columns, and must name each once."""
+    columns = {"model_id": "Model", "chunking_strategy": "Chunking"}
+    there = [g for g in MERGED_GROUPS if any(f"{g}_{m}" in table.columns for m in MERGED_GROUPS[g])]
+    for group in S.column_order(there, groups):
+        columns |= {f"{group}_{m}": t for m, t in MERGED_GROUPS[group].items() if f"{group}_{m}" in table.columns}
+    columns |= {c: t for c, t in {"degradation_share": "Share", "retained_similarity": "Retained"}.items() if c in table.columns}
+    numbers = dict.fromkeys(list(columns)[2:], "decimal")
+    return S.latex_table(table.orderBy("model_id", "chunking_strategy"), columns, caption, label, numbers, group_by="model_id")
+
+
 def chunk_table(summaries: DataFrame, caption: str, label: str, order: list[str] | None = None) -> str:
     """LaTeX of the chunking runs under their display names, in the order of the table; runs that it
     doesn't know come last, by their ids."""

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 KEYS = ("model_id", "chunking_strategy")
 # Columns of the two kinds of histogram files.
 BIN_COLUMNS = [("bin_index", "int"), ("bin_left", "double"), ("bin_right", "double"), ("bin_center", "double"), ("density", "double")]
@@ -88,6 +90,14 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def has(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """For a table that is read while it is made: the rows are held before the old ones go."""
+        self.write(name, cut(rows))
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 

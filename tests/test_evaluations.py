@@ -8,7 +8,7 @@ from quillmap import __main__ as cli
 from quillmap.plans import evaluations as E
 from quillmap.plans import reports
 from quillmap.sources import remote_batches as B
-from quillmap.sources.tables import Store, read_histogram, write_csv
+from quillmap.sources.tables import Store, read_csv, read_histogram, write_csv
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +117,77 @@ def test_command_line(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "summary"), header=True).first()["num_chunks"] == "6"
 
 
+def letters():
+    """An embedder: how often a text has each of three letters."""
+    return lambda texts: [[1.0 + t.count(c) for c in "aet"] for t in texts]
+
+
+SERVICE = None
+
+
+def service():
+    return SERVICE
+
+
+def test_all_steps_of_the_command_line(spark, tmp_path, capsys):
+    """From files to the merged table, with a tokenizer file, a broken-off run and a batch service."""
+    from public_tokenizers import path
+
+    global SERVICE
+    folder, out = tmp_path / "in", lambda name: str(tmp_path / name)
+    folder.mkdir()
+    rng = random.Random(3)
+    vocabulary = ["parliament", "discussed", "several", "important", "questions", "yesterday", "evening", "and", "agreed", "afterwards", "they", "remained", "seated"]
+    prose = lambda: ". ".join(" ".join(rng.choices(vocabulary, k=9)) for _ in range(12)) + "."
+    (folder / "n.md").write_text("\n".join(f"# {k}\n{prose()}" for k in range(6)) + "\n# odd\n" + "a1 b2 c3 %% " * 60)
+    (folder / "n_metadata.json").write_text("{}")
+    run = lambda *argv: cli.run(spark, [out("store"), *map(str, argv)])
+    run("ingest", folder)
+    run("clean")
+    run("structure", "--output", out("structure"), "--summary", out("structure_summary"), "--all-articles", "--tokenizer", path("byte_bpe_50k.json"))
+    assert read_csv(spark, [out("structure_summary")], ["metric", "robust_upper_fence"]).count() == 30
+    run("clean-by-statistics", "--report", out("report"), "--apply", "--mad-multiplier", 50)
+    assert read_csv(spark, [out("report")], ["was_valid", "would_invalidate", "reasons"]).count() == 7
+    run("chunk", "noop", "--method", "noop")
+    run("chunk", "sentence", "--method", "sentence", "--sentence-count", 2)
+    run("chunk", "token_32", "--method", "token", "--token-count", 32, "--token-overlap", 8, "--tokenizer", path("byte_bpe_50k.json"))
+    store = Store(spark, out("store"))
+    assert '"tokenizer"' in store.read("chunking_runs").where("chunking_run_id = 'token_32'").first()["config_json"]
+    base = ["--model-id", "m", "--embedder", "tests.test_evaluations:letters", "--dimension", 3]
+    run("embed", "m-noop", "--chunking-run-id", "noop", *base)
+    run("embed", "m-sentence", "--chunking-run-id", "sentence", *base, "--limit", 5)
+    assert store.read("embeddings").where("embedding_run_id = 'm-sentence'").count() == 5
+    run("embed", "m-sentence", "--chunking-run-id", "sentence", *base)
+    run("embed", "m-sentence", "--chunking-run-id", "sentence", *base)
+    assert store.read("embeddings").where("embedding_run_id = 'm-sentence'").count() == store.read("chunks").where("chunking_run_id = 'sentence'").count()
+    with pytest.raises(ValueError, match="resume"):
+        run("embed", "m-sentence", "--chunking-run-id", "noop", *base)
+    SERVICE = Service()
+    client = ["--client", "tests.test_evaluations:service"]
+    run("submit", "m-token", "--model-id", "m", "--chunking-run-id", "token_32", *client, "--inputs", 20)
+    with pytest.raises(ValueError, match="under way"):
+        run("submit", "m-token", "--model-id", "m", "--chunking-run-id", "token_32", *client)
+    for _ in range(3):
+        run("status", "m-token", *client)
+    run("collect", "m-token", *client)
+    run("collect", "m-token", *client)
+    assert store.read("embeddings").where("embedding_run_id = 'm-token'").count() == store.read("chunks").where("chunking_run_id = 'token_32'").count()
+    ids = ["--run-ids", "m-sentence"]
+    run("anisotropy", *ids, "--output", out("anisotropy"))
+    run("intra-consistency", *ids, "--output", out("intra_consistency"))
+    run("degradation", "--run-id", "m-sentence", "--article-run-id", "m-noop", "--output", out("representation_degradation"))
+    for kind in ("anisotropy", "intra_consistency", "representation_degradation"):
+        run("summarize", kind, out(kind), "--output", out(f"{kind}_summary"), "--models", "m", "--strategies", "sentence", "--latex", out(f"{kind}.tex"))
+        assert "sentence" in (tmp_path / f"{kind}.tex").read_text()
+    tables = [f"{k}={out(k + '_summary')}" for k in ("intra_consistency", "anisotropy", "representation_degradation")]
+    run("merge", *tables, "--output", out("merged"), "--latex", out("merged.tex"))
+    row = read_csv(spark, [out("merged")], ["retained_similarity"]).first()
+    assert float(row["retained_similarity"]) <= 1 and "MNCS" in (tmp_path / "merged.tex").read_text()
+    run("summarize-chunks", "--output", out("chunks"))
+    run("chunk-table", out("chunks"), "--latex", out("chunks.tex"))
+    assert "T32/0" in (tmp_path / "chunks.tex").read_text()
+
+
 class Service:
     def __init__(self):
         self.sent, self.asked = {}, 0
@@ -130,7 +201,7 @@ class Service:
         return ("completed", f"out-{batch_id}", None) if self.asked > 3 else ("in_progress", None, None)
 
     def results(self, file_id):
-        return [(i, [float(len(t))]) for i, t in self.sent[file_id.removeprefix("out-")]]
+        return [(i, [float(len(t))] * 3) for i, t in self.sent[file_id.removeprefix("out-")]]
 
 
 def test_remote_batches(spark):
@@ -140,5 +211,5 @@ def test_remote_batches(spark):
     assert sorted(map(len, client.sent.values())) == [1, 3, 3]
     done = B.wait(spark, batches, "r", client, sleep=lambda s: None)
     vectors, marked = B.collect(spark, done, client)
-    assert {r["chunk_id"]: r["embedding"] for r in vectors.collect()} == {f"c{k}": [k + 1.0] for k in range(7)}
+    assert {r["chunk_id"]: r["embedding"] for r in vectors.collect()} == {f"c{k}": [k + 1.0] * 3 for k in range(7)}
     assert B.collect(spark, marked, client)[0].count() == 0
