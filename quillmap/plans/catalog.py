@@ -295,7 +295,7 @@ def histogram_naive_bayes(spark, sf_dir):
 
 @_query()
 def naive_bayes_evaluation(spark, sf_dir):
-    return P.naive_bayes(_vectors(spark, sf_dir), 4_000)
+    return P.naive_bayes(_vectors(spark, sf_dir))
 
 
 @_query("WITH d AS (SELECT doc_id, lang, source FROM documents), n AS (SELECT lang, source, count(*) AS n FROM d GROUP BY 1, 2), m AS (SELECT lang, min(n) AS least FROM n GROUP BY 1) SELECT source, lang, least AS n FROM n JOIN m USING (lang)")
