@@ -530,7 +530,7 @@ class JaccardJoin:
         tested = cut(bounded.mapInArrow(_filter_pairs(percent), "a long, b long"))
         links = verified(tested)
         labels = cut(components(links))
-        most = 64
+        most = 256
         while True:
             named = _with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
             ends = F.min("label").alias("x"), F.max("label").alias("y")
@@ -552,7 +552,7 @@ class JaccardJoin:
             fresh = cut(found.where("b is not null").join(tested, ["a", "b"], "left_anti"))
             if fresh.limit(1).count():
                 new = verified(fresh)
-                links, tested = cut(links.unionByName(new)), cut(tested.unionByName(fresh))
+                links, tested = links.unionByName(new), tested.unionByName(fresh)
                 labels = merged(labels, new)
             if not found.where("b is null").limit(1).count():
                 break
