@@ -30,6 +30,7 @@ from .common import cut, id_and_text, ship, text_slices, to_batch
 
 CAPACITY, END_ID = 4096, 1
 PART_ROWS = 50_000
+ENCODED_BYTES = 2 << 20  #: of texts whose words are encoded together, each distinct one once
 
 
 def default_tokenizer() -> str:
@@ -58,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, 1, ENCODED_BYTES):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode.many(texts)):
                     ids += end
