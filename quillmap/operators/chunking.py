@@ -94,7 +94,7 @@ def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
     """Parts of up to `size` characters, cut at the first separator that is in the text; each
     separator stays at the end of its part."""
     if len(text) <= size:
-        return [text]
+        return [text] if text else []
     at = next((k for k, s in enumerate(separators) if s and s in text), None)
     if at is None:
         return [text[k : k + size] for k in range(0, len(text), size)]

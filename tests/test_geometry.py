@@ -365,3 +365,61 @@ def test_order_and_series(spark):
     assert [r[1] for r in S.ordered(df, ["n", "m"], ["paragraph"]).collect()] == ["token_256_0", "paragraph", "alpha", "token_256_64", "zeta"]
     assert [r["overlap"] for r in S.overlap_series(df).collect()] == [64, 0]
     assert S.missing_cells(S.complete_grid(df.withColumn("x", F.lit(1)), ["m"], ["zeta", "none"]), "x").first()[0] == 1
+
+
+def split_plainly(text, size, overlap, separators=("\n\n", "\n", ". ", " ")):
+    """The rule in other words: cut at the coarsest separator that is there, pieces that are too long
+    at the next ones; then fill chunks, each beginning with the last whole pieces that fit the overlap."""
+
+    def cut(part, k):
+        if len(part) <= size:
+            return [part] if part else []
+        while k < len(separators) and separators[k] not in part:
+            k += 1
+        if k == len(separators):
+            return [part[:size], *cut(part[size:], k)]
+        first, rest = part.split(separators[k], 1)
+        first += separators[k]
+        return [*cut(first, k + 1), *(cut_rest(rest, k))]
+
+    def cut_rest(part, k):  # what is left of a part that was cut at separator k is cut there on
+        if separators[k] not in part:
+            return cut(part, k + 1)
+        first, rest = part.split(separators[k], 1)
+        return [*cut(first + separators[k], k + 1), *cut_rest(rest, k)]
+
+    chunks, now = [], []
+    for piece in cut(text, 0):
+        if now and sum(map(len, now)) + len(piece) > size:
+            chunks.append("".join(now))
+            while now and (sum(map(len, now)) > overlap or sum(map(len, now)) + len(piece) > size):
+                now = now[1:]
+        now = [*now, piece]
+    return [*chunks, "".join(now)] if now else chunks
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=120), st.integers(2, 25), st.integers(0, 20))
+def test_recursive_chunks_by_the_rule(text, size, overlap):
+    if overlap < size:
+        assert C.split_text(text, size, overlap) == split_plainly(text, size, overlap)
+
+
+def test_windows_of_a_tokenizer_file(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    file, texts = path("byte_bpe_50k.json"), ["Parliament discussed several important questions, yesterday evening. " * 3, "one", "é漢 two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "article_id int, content string")
+    t = Tokenizer.from_file(file)
+    for count, overlap in ((7, 0), (8, 3), (100, 10)):
+        rows = C.chunk(df, "token", tokenizer=file, token_count=count, token_overlap=overlap).collect()
+        for k, text in enumerate(texts):
+            ids = t.encode(text, add_special_tokens=False).ids
+            starts = [0]
+            while starts[-1] + count < len(ids):
+                starts.append(starts[-1] + count - overlap)
+            want = [x for x in (t.decode(ids[s : s + count]).strip() for s in starts) if x]
+            assert [r["text"] for r in sorted(rows, key=lambda r: r["chunk_index"]) if r["article_id"] == k] == want
+    counted = df.select(F.size(C.library_token_count(file)(F.col("content")))).collect()
+    assert [r[0] for r in counted] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
