@@ -260,7 +260,9 @@ def apply_cleaning(articles: DataFrame, classified: DataFrame, id_col: str = "ar
     against = classified.where("invalidate").select(F.col(id_col), F.col("reasons").alias("_reasons"))
     joined = articles.join(against, id_col, "left")
     hit = F.col("_reasons").isNotNull()
-    return joined.withColumn("is_valid", F.when(hit, F.lit(False)).otherwise(F.col("is_valid"))).withColumn("cleaning_reason", F.when(hit, F.col("_reasons")).otherwise(F.col("cleaning_reason"))).drop("_reasons")
+    valid = F.when(hit, F.lit(False)).otherwise(F.col("is_valid"))
+    reason = F.when(hit, F.col("_reasons")).otherwise(F.col("cleaning_reason"))
+    return joined.withColumns({"is_valid": valid, "cleaning_reason": reason}).drop("_reasons")
 
 
 def propagate_validation(embeddings: DataFrame, chunks: DataFrame, articles: DataFrame, batch_size: int = 10_000) -> DataFrame:

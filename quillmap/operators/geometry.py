@@ -70,7 +70,12 @@ def finished_norms(sums: DataFrame) -> DataFrame:
 def component_diagnostics(vectors: DataFrame) -> DataFrame:
     v = V.doubles(F.col("embedding"))
     per = vectors.select(V.negative_components(v).alias("n"), F.array_min(v).alias("low"), (V.norm(v) == 0).alias("zero"))
-    return per.agg(F.sum("n").cast("long").alias("negative_components"), F.count_if(F.col("n") > 0).alias("affected_rows"), F.min("low").alias("min_component"), F.count_if("zero").alias("zero_norm_rows"))
+    return per.agg(
+        F.sum("n").cast("long").alias("negative_components"),
+        F.count_if(F.col("n") > 0).alias("affected_rows"),
+        F.min("low").alias("min_component"),
+        F.count_if("zero").alias("zero_norm_rows"),
+    )
 
 
 # ---- means over pairs -----------------------------------------------------------------------
@@ -86,7 +91,9 @@ def pair_means(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
     d = dimension or dimension_of(vectors)
     groups = group_sums(unit_vectors(vectors), ["article"], d)
     own = groups.withColumn("w", V.square_norm(F.col("s")) - F.col("q"))
-    one = own.agg(F.sum("n").alias("n"), V.vector_sum(F.col("s"), d).alias("s"), F.sum("q").alias("q"), F.sum("w").alias("w"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs_in"), F.count("*").alias("n_articles"))
+    pairs_in = F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs_in")
+    sums = [F.sum(c).alias(c) for c in ("n", "q", "w")]
+    one = own.agg(*sums, V.vector_sum(F.col("s"), d).alias("s"), pairs_in, F.count("*").alias("n_articles"))
     one = one.withColumn("t", V.square_norm(F.col("s")) - F.col("q")).withColumn("pairs", F.col("n") * (F.col("n") - 1))
     return one.select(
         F.col("n").alias("n_vectors"), "n_articles",
@@ -111,8 +118,15 @@ def intra_consistency(vectors: DataFrame, drop_threshold: float | None = None, d
     means = cut(pair_means(vectors, dimension))
     limit = means.select(F.col("mean_all") if drop_threshold is None else F.lit(float(drop_threshold)))
     t = transitions(vectors).withColumn("limit", limit.scalar())
-    steps = t.agg(F.count("*").alias("num_transitions"), F.avg("cosine").alias("mean_transition_cosine"), F.stddev_pop("cosine").alias("cosine_volatility"), F.first("limit").alias("drop_threshold"), F.avg((F.col("cosine") < F.col("limit")).cast("double")).alias("semantic_drop_rate"))
-    pairs = vectors.groupBy("article").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("num_articles"), F.sum(F.expr("n * (n - 1) div 2")).alias("num_pairwise"))
+    steps = t.agg(
+        F.count("*").alias("num_transitions"),
+        F.avg("cosine").alias("mean_transition_cosine"),
+        F.stddev_pop("cosine").alias("cosine_volatility"),
+        F.first("limit").alias("drop_threshold"),
+        F.avg((F.col("cosine") < F.col("limit")).cast("double")).alias("semantic_drop_rate"),
+    )
+    sizes = vectors.groupBy("article").agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.count_if(F.col("n") > 1).alias("num_articles"), F.sum(F.expr("n * (n - 1) div 2")).alias("num_pairwise"))
     return steps.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(means.select(F.col("mean_same").alias("mean_pairwise_cosine"))))  # three rows of one
 
 
@@ -340,5 +354,11 @@ def degradation(articles: DataFrame, chunks: DataFrame, dimension: int, min_chun
 def degradation_summary(rows: DataFrame) -> DataFrame:
     half = F.lit(0.5)
     return rows.agg(
-        F.count("*").alias("n_articles"), F.avg("n_chunks").alias("mean_chunks"), F.avg("total_length").alias("mean_total_length"), F.avg("similarity").alias("mean_similarity"), F.percentile("similarity", half).alias("median_similarity"), F.avg("degradation").alias("mean_degradation"), F.percentile("degradation", half).alias("median_degradation")
+        F.count("*").alias("n_articles"),
+        F.avg("n_chunks").alias("mean_chunks"),
+        F.avg("total_length").alias("mean_total_length"),
+        F.avg("similarity").alias("mean_similarity"),
+        F.percentile("similarity", half).alias("median_similarity"),
+        F.avg("degradation").alias("mean_degradation"),
+        F.percentile("degradation", half).alias("median_degradation"),
     )

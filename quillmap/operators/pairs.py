@@ -321,7 +321,8 @@ def histogram_predict(rows: DataFrame, model: DataFrame, x: str = "x", bins: int
 
 def confusion(predicted: DataFrame, label: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:
     hit = lambda y, p: F.count_if((F.col(label) == y) & (F.col("predicted") == p))
-    return predicted.groupBy(*keys).agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(1, 1).alias("tp"))
+    accuracy = F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy")
+    return predicted.groupBy(*keys).agg(accuracy, hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(1, 1).alias("tp"))
 
 
 def classify(train: DataFrame, test: DataFrame) -> DataFrame:

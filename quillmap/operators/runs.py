@@ -14,7 +14,8 @@ def describe_runs(runs: DataFrame, chunking_runs: DataFrame, embeddings: DataFra
     """One row for each embedding run, newest first: model, chunking run, method, valid embeddings."""
     counts = embeddings.where("is_valid").groupBy("embedding_run_id").agg(F.count("*").alias("embedding_count"))
     chunking = F.get_json_object("config_json", "$.chunking_run_id")
-    named = runs.withColumn("chunking_run_id", chunking).join(F.broadcast(chunking_runs.select("chunking_run_id", F.col("method").alias("chunking_method"))), "chunking_run_id", "left")
+    methods = F.broadcast(chunking_runs.select("chunking_run_id", F.col("method").alias("chunking_method")))  # a row a run
+    named = runs.withColumn("chunking_run_id", chunking).join(methods, "chunking_run_id", "left")
     out = named.join(counts, "embedding_run_id", "left").fillna(0, ["embedding_count"])
     return out.select("embedding_run_id", "model_id", "chunking_run_id", "chunking_method", "embedding_count", "created_at").orderBy(F.desc("created_at"), "embedding_run_id")
 
@@ -74,7 +75,8 @@ def article_run(runs: DataFrame, model_id: str, run_id: str | None = None):
 def check_resume(run, model_id: str, chunking_run_id: str, arguments: dict | None = None) -> None:
     """Raise before anything is written if a run was made in another way."""
     config = json.loads(run["config_json"] or "{}")
-    for name, was, now in (("model-id", run["model_id"], model_id), ("chunking-run-id", config.get("chunking_run_id"), chunking_run_id), ("transformer-kwargs", config.get("transformer_kwargs") or {}, arguments or {})):
+    made = {"model-id": run["model_id"], "chunking-run-id": config.get("chunking_run_id"), "transformer-kwargs": config.get("transformer_kwargs") or {}}
+    for (name, was), now in zip(made.items(), (model_id, chunking_run_id, arguments or {})):
         if was != now:
             raise ValueError(f"can't resume with another {name}: {was!r} is not {now!r}")
 
@@ -90,9 +92,7 @@ def batch_status(batches: DataFrame, run_id: str) -> DataFrame:
 def select_scope(names: list[str], wanted: list[str] | None, excluded: list[str] | None) -> list[str]:
     """In the order asked for, without the excluded; unknown names and an empty rest are errors."""
     wanted = list(dict.fromkeys(wanted or names))
-    unknown = sorted(set(wanted) | set(excluded or []) - set(names)) if not set(wanted) | set(excluded or []) <= set(names) else []
-    unknown = [n for n in unknown if n not in names]
-    if unknown:
+    if unknown := sorted({*wanted, *(excluded or [])} - set(names)):
         raise ValueError(f"unknown: {unknown}")
     rest = [n for n in wanted if n not in set(excluded or [])]
     if not rest:
@@ -102,5 +102,6 @@ def select_scope(names: list[str], wanted: list[str] | None, excluded: list[str]
 
 def benchmark_report(results: DataFrame, wanted: list[str]) -> DataFrame:
     """completed, failed and is_complete of a list of tasks, from (task, error)."""
-    tasks = results.agg(F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("task")))).alias("completed"), F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.col("task")))).alias("failed"))
+    some = lambda fine: F.array_sort(F.collect_set(F.when(fine, F.col("task"))))
+    tasks = results.agg(some(F.col("error").isNull()).alias("completed"), some(F.col("error").isNotNull()).alias("failed"))
     return tasks.withColumn("is_complete", F.size(F.array_except(F.array(*map(F.lit, wanted)), "completed")) == 0)

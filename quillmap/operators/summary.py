@@ -86,7 +86,9 @@ def overlap_series(table: DataFrame, size: int = 256) -> DataFrame:
 
 def format_metric(value: Column, kind: str = "decimal", missing: str = "--") -> Column:
     """decimal: four places; percent: two places of a share; integer: as it is."""
-    text = {"decimal": F.format_string("%.4f", value.cast("double")), "percent": F.concat(F.format_string("%.2f", 100 * value.cast("double")), F.lit("\\%")), "integer": value.cast("string")}[kind]
+    number = value.cast("double")
+    percent = F.concat(F.format_string("%.2f", 100 * number), F.lit("\\%"))
+    text = {"decimal": F.format_string("%.4f", number), "percent": percent, "integer": value.cast("string")}[kind]
     return F.when(value.isNull(), missing).otherwise(text)
 
 
@@ -95,17 +97,35 @@ def latex_escape(text: str, only: str | None = None) -> str:
     return "".join(LATEX_ESCAPES[c] if c in LATEX_ESCAPES and (only is None or c in only) else c for c in text)
 
 
-def latex_table(table: DataFrame, columns: dict[str, str], caption: str, label: str, numbers: dict[str, str] | None = None, group_by: str | None = None) -> str:
-    """A booktabs table of a small result: columns maps names to titles, numbers names to formats."""
-    shown = table.select(*[format_metric(F.col(c), (numbers or {})[c]).alias(c) if c in (numbers or {}) else F.col(c).cast("string").alias(c) for c in columns])
-    lines = [r"\begin{table}[htbp]", r"\centering", rf"\caption{{{latex_escape(caption)}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * (len(columns) - len(numbers or {}))}{'r' * len(numbers or {})}}}", r"\toprule", " & ".join(latex_escape(t) for t in columns.values()) + r" \\", r"\midrule"]
-    before = None
-    for row in shown.collect():
-        if group_by and before is not None and row[group_by] != before:
-            lines.append(r"\midrule")
+def latex_table(
+    table: DataFrame,
+    columns: dict[str, str],
+    caption: str,
+    label: str,
+    numbers: dict[str, str] | None = None,
+    group_by: str | None = None,
+    width: str | None = None,
+) -> str:
+    """A booktabs table of a small result: columns maps names to titles, numbers names to formats.
+    The rows of a group are set apart, and only the first one names it; with `width`, the table is
+    scaled to it and goes over both columns of a page."""
+    numbers = numbers or {}
+    shown = [format_metric(F.col(c), numbers[c]).alias(c) if c in numbers else F.col(c).cast("string").alias(c) for c in columns]
+    star = "*" if width else ""
+    align = "l" * (len(columns) - len(numbers)) + "r" * len(numbers)
+    head = [rf"\begin{{table{star}}}[{'t' if width else 'htbp'}]", r"\centering", rf"\caption{{{latex_escape(caption)}}}", rf"\label{{{label}}}"]
+    head += [rf"\resizebox{{{width}}}{{!}}{{%"] if width else []
+    head += [rf"\begin{{tabular}}{{{align}}}", r"\toprule", " & ".join(latex_escape(t) for t in columns.values()) + r" \\", r"\midrule"]
+    body, before = [], None
+    for row in table.select(*shown).collect():
+        again = bool(group_by) and bool(body) and row[group_by] == before
+        if group_by and body and not again:
+            body.append(r"\midrule")
         before = row[group_by] if group_by else None
-        lines.append(" & ".join(row[c] if c in (numbers or {}) else latex_escape(row[c] or "") for c in columns) + r" \\")
-    return "\n".join([*lines, r"\bottomrule", r"\end{tabular}", r"\end{table}", ""])
+        cells = ["" if again and c == group_by else row[c] if c in numbers else latex_escape(row[c] or "") for c in columns]
+        body.append(" & ".join(cells) + r" \\")
+    foot = [r"\bottomrule", r"\end{tabular}" + ("%" if width else ""), *(["}"] if width else []), rf"\end{{table{star}}}", ""]
+    return "\n".join([*head, *body, *foot])
 
 
 def pivoted(table: DataFrame, metric: str, swap: bool = False, values: list[str] | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ def merged_latex(table: DataFrame, caption: str, label: str, groups: list[str] |
         columns |= {f"{group}_{m}": t for m, t in MERGED_GROUPS[group].items() if f"{group}_{m}" in table.columns}
     columns |= {c: t for c, t in {"degradation_share": "Share", "retained_similarity": "Retained"}.items() if c in table.columns}
     numbers = dict.fromkeys(list(columns)[2:], "decimal")
-    return S.latex_table(table.orderBy("model_id", "chunking_strategy"), columns, caption, label, numbers, group_by="model_id")
+    return S.latex_table(table.orderBy("model_id", "chunking_strategy"), columns, caption, label, numbers, group_by="model_id", width=r"\textwidth")
 
 
 def chunk_table(summaries: DataFrame, caption: str, label: str, order: list[str] | None = None) -> str:

@@ -38,7 +38,7 @@ def plan(chunks: DataFrame, inputs: int = BATCH_INPUTS, size: int = BATCH_BYTES)
     by_size = F.floor(F.sum(F.octet_length("text")).over(upto) / size)
     numbered = parts.select("chunk_id", "text", F.struct("part", (by_count + by_size).alias("k")).alias("key"))
     numbers = {tuple(r["key"]): i for i, r in enumerate(numbered.select("key").distinct().orderBy("key").collect())}
-    pairs = chunks.sparkSession.createDataFrame([(*k, i) for k, i in numbers.items()], "part long, k long, batch_no long") if numbers else chunks.sparkSession.createDataFrame([], "part long, k long, batch_no long")
+    pairs = chunks.sparkSession.createDataFrame([(*k, i) for k, i in numbers.items()], "part long, k long, batch_no long")  # a row a batch
     return numbered.select("chunk_id", "text", "key.*").join(F.broadcast(pairs), ["part", "k"]).select("chunk_id", "text", "batch_no")
 
 
