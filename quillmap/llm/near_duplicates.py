@@ -46,6 +46,7 @@ LEAF, FAN = 64, 16  #: points to a leaf, nodes to a node above
 PART = 4_096  #: members of a token in one part; more are dealt over several
 CHUNK = 8_192  #: points of one token that one R-tree holds
 BLOCK = 2_048  #: representatives to a block
+SHARE = 60_000  #: rows of tokens with the same first component in one bucket
 HELD_PAIRS = 1 << 18  #: that a task holds before it drops those it has twice
 PAIRS = 8_192  #: pairs whose bounds are computed at once
 FILTER_BITS = 10  #: for each id in the filter of texts that are read again
@@ -535,17 +536,21 @@ class JaccardJoin:
             named = _with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
             ends = F.min("label").alias("x"), F.max("label").alias("y")
             mixed = named.groupBy("token").agg(*ends, F.count("*").alias("m"), F.first("parts").alias("parts"))
-            mixed = cut(mixed.where("x != y").select("token", "m", "parts", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
+            mixed = cut(mixed.where("x != y").select("token", "x", "m", "parts", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
             total = mixed.agg(F.sum(F.col("m") * F.col("chunks"))).first()[0]
             if not total:
                 break
             buckets = math.ceil(total / 20_000)
+            # tokens of one group of copies go to few buckets, which drop the pairs that they have twice
+            shares = mixed.groupBy("x").agg(F.ceil(F.sum(F.col("m") * F.col("chunks")) / SHARE).alias("shares"))
+            mixed = mixed.join(shares, "x")
             rows = named.drop("parts").join(of_tokens(mixed), ["token", "part"]).join(payload, "rep")
             # a token of more than CHUNK points is split; each pair of its chunks meets once
             rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
-            bucket = F.pmod(F.xxhash64("token", i, j), F.lit(buckets)).alias("bucket")
+            share = F.pmod(F.xxhash64("token", i, j), "shares")
+            bucket = F.pmod(F.xxhash64("x", share), F.lit(buckets)).alias("bucket")
             own = ((F.col("chunk") == i) | (i == j)).alias("own")
             dealt = rows.select(bucket, "token", i.alias("i"), j.alias("j"), "rep", "label", own, "n", "point", "bits")
             found = cut(dealt.groupBy("bucket").applyInArrow(_tree_pairs(percent, most), "a long, b long").distinct())
