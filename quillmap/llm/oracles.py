@@ -78,10 +78,57 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.roo
 SELECT m.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(c.class_id, m.doc_id) AS class_id, component_id FROM m LEFT JOIN c USING (doc_id)
 """
 
+
+def _resampling(buckets: int = 10_000, percent: int = 25) -> str:
+    """CRC-32 by its table, byte by byte, over every distinct feature."""
+    table = "list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    words = f"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    features = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH crc AS MATERIALIZED (SELECT {table} AS t),
+d AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, {features} AS f FROM (SELECT doc_id, {words} AS w FROM documents)),
+m AS MATERIALIZED (SELECT unnest({features}) AS f FROM (SELECT {words} AS w FROM benchmark)),
+o AS MATERIALIZED (SELECT doc_id, unnest(f) AS f FROM d),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM o UNION SELECT f FROM m)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: ('0x' || h[i + 1 : i + 2])::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {buckets} AS bucket FROM u CROSS JOIN crc),
+s AS (SELECT bucket, count(*) AS s FROM o JOIN b USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM m JOIN b USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM o)::DOUBLE AS n_s, (SELECT count(*) FROM m)::DOUBLE AS n_t),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (n_s + {buckets})) / ((s + 1)::DOUBLE * (n_t + {buckets}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket) CROSS JOIN n),
+w AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM o JOIN b USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, n_words, len(f)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_words >= 20 AS able FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= {percent} * n // 100 THEN place END AS rank FROM r
+"""
+
+
+def _clusters(k: int = 8, rounds: int = 10, dimension: int = 64) -> str:
+    """One assignment and one set of means for each round."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, sha256('3:' || vec_id) AS h, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, v FROM (SELECT * FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, b.c, b.d FROM (SELECT v.vec_id, v.v, min({{'d': {apart}, 'c': c.c}}) AS b FROM v CROSS JOIN c{r} c GROUP BY v.vec_id, v.v))")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, list(m ORDER BY p) AS v FROM (SELECT c, p, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM (SELECT c, unnest(v) AS x, unnest(range({dimension})) AS p FROM a{r}) GROUP BY c, p) GROUP BY c UNION ALL SELECT c, v FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(n.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} n USING (c)
+"""
+
+
 ORACLES = {
     "op4_source_mixing": MIXING,
     "op5_url_filters": URL_FILTERS,
     "op6_substring_dedup": REPEATS,
     "op8_quality_rules": QUALITY,
     "op9_ngram_jaccard_join": JACCARD,
+    "op12_importance_resampling": _resampling(),
+    "op13_centroid_clustering": _clusters(),
 }

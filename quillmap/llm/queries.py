@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, sharding, url_filters
+from . import centroids, media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, resampling, sharding, url_filters
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -64,6 +64,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.Resampler().draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.Clusters().report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_ngram_jaccard_join,
         op10_quality_classifier,
+        op12_importance_resampling,
+        op13_centroid_clustering,
     )
 }
