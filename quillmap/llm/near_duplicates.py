@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import url_filters
 from .common import cut, id_and_text, ship, text_slices, to_batch
+from .stars import components, merged, salted_join, with_labels
 
 SHINGLE, PERCENT = 5, 75
 SKETCH = 48
@@ -389,59 +390,27 @@ def _verify(percent: int):
     return run
 
 
-def _forests(batches):
-    """Edges to the smallest node that each node reaches inside its own batch of edges."""
-    for batch in batches:
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while (up := root.setdefault(v, v)) != v:
-                root[v] = v = root.setdefault(up, up)
-            return v
-
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        pairs = [(v, find(v)) for v in list(root)]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(rep, label): the smallest node that a node of an edge list (a, b) can reach, for all nodes but
-    the smallest ones themselves. Alternating large and small stars, after each batch of edges has
-    been made a forest; each node's neighbours are aggregated, never gathered."""
-    edges = cut(links.select("a", "b").mapInArrow(_forests, "u long, v long").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if before == state or not state[0]:
-            break
-        before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        to_least = [F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("v", "u")]
-        small = large.join(least, "u").select(F.explode(F.array(*to_least)).alias("e")).select("e.*")
-        edges = cut(small.where("u != v").distinct())
-    return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("rep"), "label")
-
-
-def _with_labels(rows: DataFrame, labels: DataFrame, rep: str, label: str) -> DataFrame:
-    """Add the component of a node: what `components` says, or else the node itself."""
-    own = labels.select(F.col("rep").alias(rep), F.col("label").alias("_known"))
-    return rows.join(own, rep, "left").withColumn(label, F.coalesce("_known", rep)).drop("_known")
-
-
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: only the components that these join are looked at."""
-    ends = _with_labels(_with_labels(links, labels, "a", "x"), labels, "b", "y")
-    joined = components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    moved = joined.select(F.col("rep").alias("label"), F.col("label").alias("to"))
-    kept = labels.join(moved, "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
-    return cut(kept.unionByName(joined))
+def exact_sets(docs: DataFrame, classes: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(rep, tokens): the exact sets of some representatives, made from their texts again. docs:
+    doc_id and text; classes: rep, doc_id and signature."""
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                sets = list(shingle_sets(texts, size))
+                signed = zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist())
+                fine = pa.array([len(t) > 0 and _signature(t) == (a, b) for t, a, b in signed], pa.bool_())
+                tokens = pa.array([t.tobytes() for t in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["rep", "tokens"]).filter(fine)
+
+    wanted = cut(some.join(classes, "rep").select("doc_id", "rep", "sig_a", "sig_b"))
+    # the other documents' texts needn't be shuffled: nearly all of them fail a Bloom filter of the ids
+    ids = wanted.select(F.col("doc_id").cast("string").alias("key")).distinct()
+    n = ids.count()
+    if n * FILTER_BITS <= 8 * url_filters.MAX_FILTER_BYTES:
+        docs = docs.where(url_filters.bloom(ids, n, FILTER_BITS, 2, 9_000).reports(F.col("doc_id").cast("string")))
+    texts = docs.join(wanted, "doc_id").select("rep", "text", "sig_a", "sig_b")
+    return cut(texts.mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]))
 
 
 class JaccardJoin:
@@ -469,28 +438,6 @@ class JaccardJoin:
         self.classes = classes.select("sig_a", "sig_b", "rep", "doc_id")
         self.links, self.labels = self._connect(classes, cut(_shared_tokens(classes)))
 
-    def _sets(self, some: DataFrame) -> DataFrame:
-        """(rep, tokens): the exact sets of representatives."""
-        size = self.size
-
-        def run(batches):
-            for batch in batches:
-                for part, texts in text_slices(batch):
-                    sets = list(shingle_sets(texts, size))
-                    signed = zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist())
-                    fine = pa.array([len(t) > 0 and _signature(t) == (a, b) for t, a, b in signed], pa.bool_())
-                    tokens = pa.array([t.tobytes() for t in sets], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["rep", "tokens"]).filter(fine)
-
-        wanted = cut(some.join(self.classes, "rep").select("doc_id", "rep", "sig_a", "sig_b"))
-        # the other documents' texts needn't be shuffled: nearly all of them fail a Bloom filter of the ids
-        ids = wanted.select(F.col("doc_id").cast("string").alias("key")).distinct()
-        docs, n = self.docs, ids.count()
-        if n * FILTER_BITS <= 8 * url_filters.MAX_FILTER_BYTES:
-            docs = docs.where(url_filters.bloom(ids, n, FILTER_BITS, 2, 9_000).reports(F.col("doc_id").cast("string")))
-        texts = docs.join(wanted, "doc_id").select("rep", "text", "sig_a", "sig_b")
-        return cut(texts.mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]))
-
     def _connect(self, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
         percent = self.percent
 
@@ -523,7 +470,7 @@ class JaccardJoin:
 
         def verified(p: DataFrame) -> DataFrame:
             ends = p.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            sets = self._sets(ends)
+            sets = exact_sets(self.docs, self.classes, ends, self.size)
             left, right = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
             return cut(p.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))
 
@@ -533,7 +480,7 @@ class JaccardJoin:
         labels = cut(components(links))
         most = 256
         while True:
-            named = _with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
+            named = with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
             ends = F.min("label").alias("x"), F.max("label").alias("y")
             mixed = named.groupBy("token").agg(*ends, F.count("*").alias("m"), F.first("parts").alias("parts"))
             mixed = cut(mixed.where("x != y").select("token", "x", "m", "parts", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))

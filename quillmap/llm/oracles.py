@@ -68,14 +68,15 @@ q AS (SELECT b.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x2
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept FROM f
 """
 
-JACCARD = rf"""
+def _jaccard(size: int, percent: int, columns: str) -> str:
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[k + 1 : k + 5], ' ') ELSE array_to_string(w, ' ') END AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS k FROM w WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= {size} THEN array_to_string(w[k + 1 : k + {size}], ' ') ELSE array_to_string(w, ' ') END AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - {size - 1}))) AS k FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(31) ORDER BY g)) AS sig FROM s GROUP BY doc_id), c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS class_id FROM n),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= {percent} * (a.n + b.n - common)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id), m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
-SELECT m.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(c.class_id, m.doc_id) AS class_id, component_id FROM m LEFT JOIN c USING (doc_id)
+SELECT m.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, {columns} FROM m LEFT JOIN c USING (doc_id)
 """
 
 
@@ -128,7 +129,8 @@ ORACLES = {
     "op5_url_filters": URL_FILTERS,
     "op6_substring_dedup": REPEATS,
     "op8_quality_rules": QUALITY,
-    "op9_ngram_jaccard_join": JACCARD,
+    "op9_ngram_jaccard_join": _jaccard(5, 75, "coalesce(c.class_id, m.doc_id) AS class_id, component_id"),
+    "op11_minhash_near_dedup": _jaccard(2, 80, "component_id, m.doc_id = component_id AS kept"),
     "op12_importance_resampling": _resampling(),
     "op13_centroid_clustering": _clusters(),
 }

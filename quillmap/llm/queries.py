@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, media_ts, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, resampling, sharding, url_filters
+from . import centroids, media_ts, minhash, mixing, near_duplicates, packing, pseudonyms, quality_lines, quality_model, repeats, resampling, sharding, url_filters
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -64,6 +64,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.MinHash(_table(spark, sf_dir, "documents")).members()
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.Resampler().draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_ngram_jaccard_join,
         op10_quality_classifier,
+        op11_minhash_near_dedup,
         op12_importance_resampling,
         op13_centroid_clustering,
     )
