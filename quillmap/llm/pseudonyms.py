@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import ship, text_slices
 
 ROUNDS = 8
+BLOCK = 1_024  #: characters that are permuted as one number
 KINDS = ("email", "card", "iban", "phone", "ssn", "ipv4", "date", "secret")
 _DIGITS, _LOWERS, _UPPERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Dates of these years have pseudonyms in these years, dates of others in others.
@@ -123,6 +124,15 @@ class Pseudonyms:
             out.append(a[k])
         return "".join(reversed(out))
 
+    def _in_blocks(self, kind: str, label: str, flat: list[str]) -> str:
+        """Characters permuted over their alphabets; long values block by block, since their numbers
+        would be too large to multiply, or to write."""
+        if len(flat) <= BLOCK:
+            return self._mixed(label, "".join(flat), [_alphabet(c) for c in flat])
+        name = f"{kind}/{hashlib.blake2b(label.encode()).hexdigest()}"
+        blocks = [(k, flat[k : k + BLOCK]) for k in range(0, len(flat), BLOCK)]
+        return "".join(self._mixed(f"{name}/{k}", "".join(b), [_alphabet(c) for c in b]) for k, b in blocks)
+
     def _card(self, v: str) -> str | None:
         digits = re.sub(r"\D", "", v)
         if not (13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1):
@@ -175,7 +185,7 @@ class Pseudonyms:
         name, dot, rest = domain.partition(".")
         flat = [c for c in local + "@" + name if c.isascii() and c.isalnum()]
         label = "email/" + re.sub("[A-Za-z0-9]", "x", local) + "@" + re.sub("[A-Za-z0-9]", "x", name) + "." + rest
-        out = self._mixed(label, "".join(flat), [_alphabet(c) for c in flat])
+        out = self._in_blocks("email", label, flat)
         both = _refill(local + "@" + name, out, lambda c: c.isascii() and c.isalnum())
         return before + both + dot + rest
 
@@ -205,10 +215,7 @@ class Pseudonyms:
         flat = [c for c in m[2] if c.isascii() and c.isalnum()]
         if not flat:
             return None
-        label, out = "secret/" + re.sub("[A-Za-z0-9]", "x", m[2]), ""
-        for k in range(0, len(flat), 1024):  # long values in blocks: their numbers would take long to multiply
-            name = label if len(flat) <= 1024 else f"secret/{hashlib.blake2b(label.encode()).hexdigest()}/{k}"
-            out += self._mixed(name, "".join(flat[k : k + 1024]), [_alphabet(c) for c in flat[k : k + 1024]])
+        out = self._in_blocks("secret", "secret/" + re.sub("[A-Za-z0-9]", "x", m[2]), flat)
         return m[1] + _refill(m[2], out, lambda c: c.isascii() and c.isalnum())
 
     def value(self, kind: str, found: str) -> str | None:

@@ -94,6 +94,16 @@ def test_pseudonyms_keep_format_and_go_back():
     assert pseudonyms.Pseudonyms(b"other")("10.0.0.1")[0] != names("10.0.0.1")[0]
 
 
+@pytest.mark.parametrize("n", [1_024, 1_025, 3_050, 50_000, 1_000_000])
+def test_addresses_of_any_length(spark, n):
+    value = "ab1" * (n // 3 + 1) + "@mail.example.org"
+    df = spark.createDataFrame([(1, f"to {value} and {value}")], "doc_id long, text string")
+    out = pseudonyms.pseudonymise(df, b"k").first()["text"]
+    new = out[3 : 3 + len(value)]
+    assert out == f"to {new} and {new}" and new != value and new.endswith(".example.org") and re.fullmatch("([a-z]{2}[0-9])+@[a-z]{4}[.]example[.]org", new)
+    assert pseudonyms.Pseudonyms(b"k", back=True)(out)[0] == f"to {value} and {value}"
+
+
 def test_what_fails_its_check_stays():
     text = "4041894974608796 999.1.1.1 2023-02-30 000-12-3456 DE00370400440532013000 12.5 v2.0.1 1999"
     assert pseudonyms.Pseudonyms(b"k")(text) == (text, {})
