@@ -40,14 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._quillmap_folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run `df` once and go on from files in the shared checkpoint folder. With
+def cut(df: DataFrame, again: bool = False) -> DataFrame:
+    """Run `df` once and go on from files in the shared checkpoint folder. again: what comes of it is
+    joined and cut in a loop; the planner's guess at its size, a product over the joins before, is
+    dropped then, since guesses that are multiplied in each round get millions of digits. With
     `spark.cleaner.referenceTracking.cleanCheckpoints` they go when nothing refers to them any more;
     without it they stay until the folder is deleted."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
+    if again:
+        spark = df.sparkSession
+        out = DataFrame(spark._jsparkSession.createDataFrame(out._jdf.javaRDD(), out._jdf.schema()), spark)
     # Spark finds out what nothing refers to when the driver's JVM collects its garbage; without work
     # on the driver that would be never, and all steps' shuffle files would add up.
     gc.collect()
