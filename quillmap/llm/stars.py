@@ -60,7 +60,7 @@ def components(links: DataFrame) -> DataFrame:
     the smallest ones themselves. Alternating large and small stars, after each batch of edges has
     been made a forest; each node's neighbours are aggregated, never gathered, and a hub's edges are
     dealt over several tasks."""
-    edges = cut(links.select("a", "b").mapInArrow(_forests, "u long, v long").distinct())
+    edges = cut(links.select("a", "b").mapInArrow(_forests, "u long, v long").distinct(), again=True)
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -74,7 +74,7 @@ def components(links: DataFrame) -> DataFrame:
         least = _to_least(large)  # u > v: each node's smallest neighbour
         to_least = [F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("v", "u")]
         small = salted_join(large, least.select("u", "m"), ["u"], "v", least).select(F.explode(F.array(*to_least)).alias("e")).select("e.*")
-        edges = cut(small.where("u != v").distinct())
+        edges = cut(small.where("u != v").distinct(), again=True)
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("rep"), "label")
 
 
@@ -90,4 +90,4 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     joined = cut(components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))))
     moved = joined.select(F.col("rep").alias("label"), F.col("label").alias("to"))
     kept = salted_join(labels, moved, ["label"], "rep", how="left").select("rep", F.coalesce("to", "label").alias("label"))
-    return cut(kept.unionByName(joined))
+    return cut(kept.unionByName(joined), again=True)
