@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..sources.steps import cut
+from .selection import median, percentiles
 
 # Limits of the validation cascade and of the statistical cleaning.
 MIN_CHARACTERS, MIN_WORDS = 400, 80
@@ -182,18 +183,18 @@ def text_structure(
 
 
 def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row of 21 statistics for each metric; nulls are skipped. Percentiles are exact; the
-    deviations from the medians are a second pass with the medians of the first joined on, over
-    rows that are written once."""
+    """One row of 21 statistics for each metric; nulls are skipped. Percentiles are exact, by
+    distributed selection, all metrics in the same passes; the deviations from the medians are a
+    second selection over rows that are written once."""
     long = rows.select(*[F.col(m).cast("double").alias(m) for m in metrics])
     long = cut(long).unpivot([], metrics, "metric", "x").where("x is not null")
     names = {"p01": 0.01, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
-    points = F.percentile("x", F.array(*map(F.lit, names.values()))).alias("q")
     moments = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("standard_deviation")]
-    first = long.groupBy("metric").agg(*moments, F.min("x").alias("minimum"), F.max("x").alias("maximum"), points)
-    first = cut(first.select("*", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(names)]).drop("q"))  # a row a metric
-    apart = F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("median_absolute_deviation")
-    mad = long.join(F.broadcast(first.select("metric", "median")), "metric").groupBy("metric").agg(apart)
+    first = long.groupBy("metric").agg(*moments, F.min("x").alias("minimum"), F.max("x").alias("maximum"))
+    points = percentiles(long, ["metric"], "x", names)
+    first = first.join(F.broadcast(points), "metric")  # a row a metric
+    apart = long.join(F.broadcast(points.select("metric", "median")), "metric")
+    mad = median(apart, ["metric"], F.abs(F.col("x") - F.col("median")), "median_absolute_deviation")
     iqr, deviation = F.col("q3") - F.col("q1"), 3 * F.col("standard_deviation")
     spread = 3 * MAD_SCALE * F.col("median_absolute_deviation")
     return first.join(F.broadcast(mad), "metric").select(
@@ -215,9 +216,9 @@ def robust_bounds(rows: DataFrame, cleaning: Cleaning = Cleaning()) -> DataFrame
     """metric, lower, upper: median and scaled median deviation of the valid rows."""
     valid = cut(rows.where("is_valid").select(*[F.col(m).cast("double").alias(m) for m in OUTLIER_DIRECTIONS]))
     long = valid.unpivot([], list(OUTLIER_DIRECTIONS), "metric", "x").where("x is not null")
-    medians = long.groupBy("metric").agg(F.percentile("x", F.lit(0.5)).alias("median"))
-    apart = F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad")
-    spread = long.join(F.broadcast(medians), "metric").groupBy("metric", "median").agg(apart)  # four rows
+    medians = median(long, ["metric"], "x", "median")
+    apart = long.join(F.broadcast(medians), "metric")  # four rows
+    spread = medians.join(median(apart, ["metric"], F.abs(F.col("x") - F.col("median")), "mad"), "metric")
     reach = cleaning.multiplier * MAD_SCALE * F.col("mad")
     return spread.select("metric", (F.col("median") - reach).alias("lower"), (F.col("median") + reach).alias("upper"))
 

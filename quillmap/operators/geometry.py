@@ -19,6 +19,7 @@ from ..functions import vectors as V
 from ..sources.steps import cut
 from . import blocks as B
 from .ranks import ranked
+from .selection import median, percentiles
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -229,15 +230,14 @@ def ratio_diagnostics(ratios: DataFrame, trim: float = 0.01, keys: tuple[str, ..
     if not 0 <= trim < 1:
         raise ValueError("trim must be in [0, 1)")
     by, ratios = list(keys), cut(ratios)
-    points = F.percentile("ratio", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q")
+    points = percentiles(ratios, by, "ratio", {"median_ratio": 0.5, "p95_ratio": 0.95, "p99_ratio": 0.99})
+    near = percentiles(ratios, by, "nearest", {"p01_centroid_distance": 0.01})
     base = ratios.groupBy(*by).agg(
         F.count("*").alias("n_clusters"),
         F.avg("ratio").alias("index"),
-        points,
         F.max("ratio").alias("max_ratio"),
         F.sum("ratio").alias("total"),
         F.min("nearest").alias("min_centroid_distance"),
-        F.percentile("nearest", F.lit(0.01)).alias("p01_centroid_distance"),
         (F.sum("twins") / 2).cast("long").alias("exact_twin_pairs"),
     )
     placed = ranked(ratios.select(*by, "article", "ratio"), by, ["ratio", "article"])
@@ -248,9 +248,11 @@ def ratio_diagnostics(ratios: DataFrame, trim: float = 0.01, keys: tuple[str, ..
     low, high = F.col("rank") < keep, F.col("rank") >= F.col("n_clusters") - top
     sums = joined.groupBy(*by).agg(F.sum(F.when(low, F.col("ratio"))).alias("low_sum"), F.sum(F.when(high, F.col("ratio"))).alias("high_sum"))
     full = base.join(sums, by) if by else base.crossJoin(F.broadcast(sums))  # one row
+    for some in (points, near):  # a row a key
+        full = full.join(F.broadcast(some), by or F.lit(True), "left")
     return full.select(
         *by, "n_clusters", "index", (F.col("low_sum") / keep).alias("trimmed_index"),
-        *[F.get("q", F.lit(k)).alias(f"{name}_ratio") for k, name in enumerate(("median", "p95", "p99"))], "max_ratio",
+        "median_ratio", "p95_ratio", "p99_ratio", "max_ratio",
         F.coalesce(F.try_divide("high_sum", "total"), F.lit(0.0)).alias("top_1_percent_share"), "min_centroid_distance", "p01_centroid_distance", "exact_twin_pairs",
     )
 
@@ -352,13 +354,14 @@ def degradation(articles: DataFrame, chunks: DataFrame, dimension: int, min_chun
 
 
 def degradation_summary(rows: DataFrame) -> DataFrame:
-    half = F.lit(0.5)
-    return rows.agg(
+    rows = cut(rows)
+    one = rows.agg(
         F.count("*").alias("n_articles"),
         F.avg("n_chunks").alias("mean_chunks"),
         F.avg("total_length").alias("mean_total_length"),
         F.avg("similarity").alias("mean_similarity"),
-        F.percentile("similarity", half).alias("median_similarity"),
         F.avg("degradation").alias("mean_degradation"),
-        F.percentile("degradation", half).alias("median_degradation"),
     )
+    for name in ("similarity", "degradation"):
+        one = one.join(F.broadcast(median(rows, [], name, f"median_{name}")), F.lit(True), "left")  # one row
+    return one.select("n_articles", "mean_chunks", "mean_total_length", "mean_similarity", "median_similarity", "mean_degradation", "median_degradation")
