@@ -85,6 +85,7 @@ def _parser() -> argparse.ArgumentParser:
     )
     step("degradation", out, ("--run-id", {}), ("--model-id", {}), ("--article-run-id", {}), ("--min-chunks", WHOLE | {"default": E.MIN_CHUNKS}))
     step("naive-bayes", runs, out, ("--limit", WHOLE | {"default": 100_000}), ("--test-share", REAL | {"default": 0.2}), seed)
+    step("retrieval", runs, out, ("--depths", WHOLE | {"nargs": "+", "default": list(E.N.DEPTHS)}), ("--block-size", WHOLE | {"default": E.BLOCK}))
     step("norms", out, ("--model-id", {"required": True}), ("--chunking-run-id", {"required": True}), ("--tolerance", REAL | {"default": E.TOLERANCE}))
     step("summarize-chunks", out, ("--chunking-run-ids", {"nargs": "*"}))
     shape = [("--run-ids", {"nargs": "+"}), ("--names", {"nargs": "*"}), ("--log-x", {"action": "store_true"})]
@@ -207,6 +208,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             "inter-separability": lambda: E.inter_separability(store, a.run_ids, tuple(a.metrics), a.min_chunks, a.cohort_size, tuple(a.seeds), a.trim, a.block_size, a.cohort_run_ids, a.skip_full),
             "degradation": lambda: E.representation_degradation(store, a.model_id, a.run_id, a.article_run_id, a.min_chunks),
             "naive-bayes": lambda: E.naive_bayes(store, a.run_ids, a.limit, a.test_share, a.seed),
+            "retrieval": lambda: E.retrieval(store, a.run_ids, tuple(a.depths), a.block_size),
             "norms": lambda: E.norms(store, a.model_id, a.chunking_run_id, a.tolerance),
             "summarize-chunks": lambda: E.chunk_summaries(store, a.chunking_run_ids),
             "chunk-histogram": lambda: E.chunk_histograms(store, a.run_ids, a.names, a.metric, a.bins, a.log_x),

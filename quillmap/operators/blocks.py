@@ -37,6 +37,18 @@ def block_pairs(blocks: DataFrame, columns: list[str], keys: list[str]) -> DataF
     return left.join(right, [*keys, "j"])
 
 
+def grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of `left` with each block `b` of `right` (of which `nb` says how many there are). Rows
+    of `left` are dealt by their `i`, so that few blocks on the right still make many tasks."""
+    spark = left.sparkSession
+    n = right.agg(F.max("nb")).first()[0] or 0
+    shares = max(1, -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // max(1, n)))
+    share = F.pmod(F.xxhash64("i"), F.lit(shares)).cast("int").alias("_share")
+    dealt = left.select("*", share, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")) if n else left.select("*", share, F.lit(0).alias("b"))
+    copies = right.drop("nb").withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return dealt.join(copies, ["b", "_share"]).drop("_share")
+
+
 def _value(column, k: int):
     x = column[k]
     return x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) else x.as_py()

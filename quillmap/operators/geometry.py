@@ -312,9 +312,8 @@ def silhouette(vectors: DataFrame, dimension: int | None = None, block: int = 51
     units = unit_vectors(vectors).select("article", "embedding", F.monotonically_increasing_id().alias("row"))
     points = cut(B.packed(cut(units), ["article", "row"], "embedding", [], block).withColumnRenamed("b", "i"))
     sums = cut(B.packed(group_sums(units, ["article"], d), ["article", "n"], "s", [], block))
-    n = sums.agg(F.max("nb")).first()[0]
-    left = points.select("i", F.col("article").alias("own"), "row", F.col("flat").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-    right = sums.select("b", "article", "n", F.col("flat").alias("y"))
+    left = points.select("i", F.col("article").alias("own"), "row", F.col("flat").alias("x"))
+    right = sums.select("b", "nb", "article", "n", F.col("flat").alias("y"))
 
     def distances(row: dict) -> dict:
         counts = row["n"].astype(float)
@@ -326,7 +325,7 @@ def silhouette(vectors: DataFrame, dimension: int | None = None, block: int = 51
         return {"row": row["row"], "a": np.where(same.any(1), np.where(same, inside, 0).sum(1), -np.inf), "b": other}
 
     schema = pa.schema([("row", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-    found = B.over_rows(left.join(right, "b"), distances, schema, "row long, a double, b double")
+    found = B.over_rows(B.grid(left, right), distances, schema, "row long, a double, b double")
     each = found.groupBy("row").agg(F.max("a").alias("a"), F.min("b").alias("b"))  # nan, of a lone vector, is the largest
     value = F.when(F.isnan("a"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return each.agg(F.avg(value)).first()[0]

@@ -18,6 +18,7 @@ from ..operators import articles as A
 from ..operators import chunking as C
 from ..operators import geometry as G
 from ..operators import pairs as P
+from ..operators import retrieval as N
 from ..operators import runs as R
 from ..operators import summary as S
 
@@ -231,6 +232,30 @@ def degradation_summary(spark, sf_dir):
     return G.degradation_summary(_degradation(spark, sf_dir))
 
 
+# ---- neighbours and retrieval ---------------------------------------------------------------
+
+FOUND = f"""WITH {U}, n AS (SELECT a.vec_id AS query, a.label AS la, b.vec_id AS doc, b.label AS lb, round(list_dot_product(a.v, b.v), 9) AS similarity FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM n) WHERE rank <= 100)"""
+
+
+@_query(FOUND + " SELECT query, doc, rank, similarity FROM f WHERE rank <= 10")
+def nearest_neighbours(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    return N.nearest(e, e, 10, "vec_id", "vec_id", same=True)
+
+
+@_query(FOUND + """, d AS (SELECT unnest([1, 3, 5, 10, 20, 100]) AS depth), r AS (SELECT vec_id AS query, count(*) OVER (PARTITION BY label) - 1 AS n FROM u),
+i AS (SELECT depth, n, sum(1 / log2(k + 1)) AS best FROM d, (SELECT DISTINCT n FROM r WHERE n > 0), (SELECT unnest(range(1, 101)) AS k) WHERE k <= least(depth, n) GROUP BY 1, 2),
+h AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS hits FROM f WHERE la = lb),
+s AS (SELECT query, depth, sum(1 / log2(rank + 1)) AS dcg, sum(hits / rank) AS precisions, count(*) AS found, min(rank) AS first FROM h JOIN d ON rank <= depth GROUP BY 1, 2)
+SELECT d.depth::BIGINT AS depth, count(*) AS n_queries, round(avg(coalesce(dcg / best, 0)), 9) AS ndcg, round(avg(coalesce(precisions / r.n, 0)), 9) AS map, round(avg(coalesce(found / r.n, 0)), 9) AS recall,
+round(avg(coalesce(found / d.depth, 0)), 9) AS precision, round(avg(coalesce(1 / first, 0)), 9) AS mrr FROM r JOIN d ON r.n > 0 JOIN i ON i.depth = d.depth AND i.n = r.n LEFT JOIN s ON s.query = r.query AND s.depth = d.depth GROUP BY 1""")
+def retrieval_by_label(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    found = N.nearest(e, e, max(N.DEPTHS), "vec_id", "vec_id", same=True)
+    return N.measures(N.judged_by_label(found, e, max(N.DEPTHS), "vec_id"))
+
+
 # ---- pairs, histograms, Naive Bayes ---------------------------------------------------------
 
 

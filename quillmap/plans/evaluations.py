@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import geometry as G
 from ..operators import pairs as P
+from ..operators import retrieval as N
 from ..operators import runs as R
 from ..sources.steps import cut
 from ..sources.tables import CHUNK_COLUMNS, SIMILARITY_COLUMNS, Store
@@ -164,6 +165,18 @@ def naive_bayes(store: Store, run_ids: list[str] | None = None, limit: int = P.P
     return _over_runs(store, run_ids, lambda run: P.naive_bayes(vectors_of(store, run["embedding_run_id"]), limit, test_share, seed))
 
 
+def retrieval(store: Store, run_ids: list[str] | None = None, depths: tuple[int, ...] = N.DEPTHS, block: int = BLOCK) -> DataFrame:
+    """How well chunks find the other chunks of their article: exact neighbours among all chunks of a
+    run, one row for each depth."""
+
+    def measure(run) -> DataFrame:
+        v = cut(vectors_of(store, run["embedding_run_id"]).select(F.concat_ws("/", F.col("article").cast("string"), F.format_string("%010d", "position")).alias("id"), "article", "embedding"))
+        found = N.nearest(v, v, max(depths), "id", "id", same=True, block=block)
+        return N.measures(N.judged_by_label(found, v, max(depths), "id", "article"), depths)
+
+    return _over_runs(store, run_ids, measure)
+
+
 def norms(store: Store, model_id: str, chunking_run_id: str, tolerance: float = TOLERANCE) -> DataFrame:
     """Statistics of lengths of the one run of a model over a chunking; no join with the chunks."""
     rows = run_table(store).where((F.col("model_id") == model_id) & (F.col("chunking_run_id") == chunking_run_id)).collect()

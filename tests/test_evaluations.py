@@ -213,3 +213,14 @@ def test_remote_batches(spark):
     vectors, marked = B.collect(spark, done, client)
     assert {r["chunk_id"]: r["embedding"] for r in vectors.collect()} == {f"c{k}": [k + 1.0] * 3 for k in range(7)}
     assert B.collect(spark, marked, client)[0].count() == 0
+
+
+def test_retrieval_of_chunks_of_the_same_article(spark, store, tmp_path):
+    rows = E.retrieval(store, ["m1-paragraph", "m2-paragraph"], (1, 5, 40)).collect()
+    assert len(rows) == 6
+    for r in rows:
+        assert r["n_queries"] == 48 and 0.5 < r["ndcg"] <= 1 and r["mrr"] > 0.5
+    deep = {r["embedding_run_id"]: r["recall"] for r in rows if r["depth"] == 40}
+    assert min(deep.values()) > 0.95
+    cli.run(spark, [store.folder, "retrieval", "--run-ids", "m1-paragraph", "--depths", "1", "5", "--output", str(tmp_path / "r")])
+    assert read_csv(spark, [str(tmp_path / "r")], ["depth", "ndcg"]).count() == 2
