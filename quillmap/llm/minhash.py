@@ -34,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from . import kernels as K
 from .common import cut, id_and_text, ship, text_slices, to_batch
 from .near_duplicates import _signature, _verify, exact_sets, shingle_sets
-from .stars import components, merged, salted_join, with_labels
+from .stars import components, merged, with_labels
 
 CHUNK = 2_048  #: members of a bucket that meet in one piece of work
 BUCKET_ROWS = 8_192  #: of such pieces that one task takes together

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import url_filters
 from .common import cut, id_and_text, ship, text_slices, to_batch
-from .stars import components, merged, salted_join, with_labels
+from .stars import components, merged, with_labels
 
 SHINGLE, PERCENT = 5, 75
 SKETCH = 48

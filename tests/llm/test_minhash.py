@@ -8,6 +8,7 @@ import pytest
 
 from quillmap.llm import kernels as K
 from quillmap.llm import minhash, stars
+from quillmap.operators import joins
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,7 +82,7 @@ def test_small_chunks_and_few_pairs_at_a_time_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 16)
     monkeypatch.setattr(minhash, "MOST", 1)
     monkeypatch.setattr(minhash, "BUCKET_ROWS", 64)
-    monkeypatch.setattr(stars, "SHARE", 10)
+    monkeypatch.setattr(joins, "SHARE", 10)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(90)]
     texts = [*near_copies(rng, base, 150, (3, 14)), *near_copies(rng, base[:40] + [f"v{k}" for k in range(50)], 60, (3, 12))]
@@ -130,7 +131,7 @@ def test_what_the_bands_miss():
 
 @pytest.mark.parametrize("shape", ["star", "path", "several"])
 def test_components_with_hubs(spark, monkeypatch, shape):
-    monkeypatch.setattr(stars, "SHARE", 5)
+    monkeypatch.setattr(joins, "SHARE", 5)
     edges = {"star": [(0, k) for k in range(1, 60)] + [(k, 99) for k in range(50, 60)], "path": [(k, k + 1) for k in range(0, 40)], "several": [(1, 2), (2, 3), (10, 11), (11, 12), (12, 10), (7, 8)]}[shape]
     got = {r["rep"]: r["label"] for r in stars.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     root = {}
@@ -140,11 +141,3 @@ def test_components_with_hubs(spark, monkeypatch, shape):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k != v}
-
-
-def test_salted_join_is_a_join(spark, monkeypatch):
-    monkeypatch.setattr(stars, "SHARE", 10)
-    rows = spark.createDataFrame([(1, k) for k in range(95)] + [(2, 1), (3, 2)], "k long, v long")
-    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k long, t string")
-    want = collections.Counter(tuple(r) for r in rows.join(table, ["k"], "left").collect())
-    assert collections.Counter(tuple(r) for r in stars.salted_join(rows, table, ["k"], "v", how="left").collect()) == want
