@@ -43,7 +43,7 @@ from .stars import components, merged, with_labels
 CHUNK = 2_048  #: members of a bucket that meet in one piece of work
 BUCKET_ROWS = 8_192  #: of such pieces that one task takes together
 PIECE = 1 << 15  #: tokens that are hashed at once
-MOST = 64  #: pairs that a member gives in one piece of work at first
+MOST = 2  #: pairs that a member gives in one piece of work at first: the nearest ones, of which most are links
 
 _SLIM = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("minima", pa.binary())])
 _SLIM_DDL = "doc_id long, n long, sig_a long, sig_b long, minima binary"

@@ -129,10 +129,12 @@ def test_what_the_bands_miss():
         minhash.MinHash(None, family=minhash.Family(rows=1, bands=65))
 
 
-@pytest.mark.parametrize("shape", ["star", "path", "several"])
-def test_components_with_hubs(spark, monkeypatch, shape):
+@pytest.mark.parametrize("part", [7, 10**6])
+@pytest.mark.parametrize("shape", ["star", "path", "several", "none"])
+def test_components_with_hubs(spark, monkeypatch, shape, part):
     monkeypatch.setattr(joins, "SHARE", 5)
-    edges = {"star": [(0, k) for k in range(1, 60)] + [(k, 99) for k in range(50, 60)], "path": [(k, k + 1) for k in range(0, 40)], "several": [(1, 2), (2, 3), (10, 11), (11, 12), (12, 10), (7, 8)]}[shape]
+    monkeypatch.setattr(stars, "PART", part)
+    edges = {"star": [(0, k) for k in range(1, 60)] + [(k, 99) for k in range(50, 60)], "path": [(k, k + 1) for k in range(0, 40)], "several": [(1, 2), (2, 3), (10, 11), (11, 12), (12, 10), (7, 8)], "none": []}[shape]
     got = {r["rep"]: r["label"] for r in stars.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     root = {}
     for a, b in edges:
