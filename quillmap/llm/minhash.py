@@ -15,8 +15,9 @@ that comes first in one order of all representatives, so buckets of one group of
 the same pivot), and of its pivots each representative is verified with the one whose signature is
 nearest. Links become components by alternating large and small stars. Then only buckets with
 members of more than one component are looked at: those that aren't of the bucket's largest
-component are held against all its members, in chunks, by signature; pairs of different components
-that pass are verified. That repeats while a member had more such pairs than a chunk gives.
+component are held against all its members, in chunks, first by signature, then by exact sets, where
+they meet. A chunk gives no more links than it has components, and the pairs themselves never
+leave it.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; equal rows are one
@@ -37,13 +38,13 @@ from pyspark.sql import functions as F
 from ..operators.joins import salted_join
 from . import kernels as K
 from .common import cut, id_and_text, ship, text_slices, to_batch
-from .near_duplicates import _signature, _verify, exact_sets, shingle_sets
+from .near_duplicates import _signature, _verify, exact_sets, linked, shingle_sets
 from .stars import components, merged, with_labels
 
-CHUNK = 2_048  #: members of a bucket that meet in one piece of work
-BUCKET_ROWS = 8_192  #: of such pieces that one task takes together
+CHUNK = 2_048  #: signatures that are read at once
+CHUNK_BYTES = 4 << 20  #: of sets and signatures of one side of a chunk
+TASK_BYTES = 16 << 20  #: of chunks that one task takes together
 PIECE = 1 << 15  #: tokens that are hashed at once
-MOST = 2  #: pairs that a member gives in one piece of work at first: the nearest ones, of which most are links
 
 _SLIM = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("minima", pa.binary())])
 _SLIM_DDL = "doc_id long, n long, sig_a long, sig_b long, minima binary"
@@ -106,6 +107,25 @@ def _read(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
 
 
+def _passing(table: pa.Table, family: Family, need: int):
+    """(probe, targets) of a sorted table's pieces (key, i, j), as row numbers: of different
+    components, signatures that agree enough, the nearest first; each pair in the first band that it
+    shares, and once where both are odd."""
+    key, rep, label, odd, probe = (table.column(c).to_numpy() for c in ("key", "rep", "label", "odd", "probe"))
+    minima = _read(table.column("minima"), family.size)
+    new = np.any([np.diff(table.column(c).to_numpy(), prepend=-1) != 0 for c in ("key", "i", "j")], axis=0)
+    starts = np.flatnonzero(new)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
+        targets, band = s + np.flatnonzero(~probe[s:e]), int(key[s]) & 63
+        theirs = minima[targets]
+        for p in (s + np.flatnonzero(probe[s:e])).tolist():
+            score = (theirs == minima[p]).sum(1)
+            t = np.flatnonzero((label[targets] != label[p]) & (~odd[targets] | (rep[targets] > rep[p])) & (score >= need))
+            t = t[_first_band(theirs[t], np.broadcast_to(minima[p], (len(t), family.size)), family) == band]
+            if len(t):
+                yield p, targets[t[np.argsort(-score[t], kind="stable")]]
+
+
 class MinHash:
     """The links of a corpus at `percent` of Jaccard similarity on `size`-word shingles. `links` has
     pairs of representatives that connect all linked classes; `members` says it for every row."""
@@ -181,54 +201,68 @@ class MinHash:
         pairs = best.unionByName(scored.where("two").select("rep", "pivot"))
         return cut(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
 
-    def _across(self, buckets: DataFrame, labels: DataFrame, most: int) -> DataFrame | None:
-        """(a, b): pairs of one bucket in different components whose signatures pass, from the first
-        band that they share. A row with b null says that a had more than `most` in a chunk."""
-        family, need = self.family, self.family.needed(self.percent)
-        named = with_labels(buckets.where("k > 2").select("key", "rep"), labels, "rep", "label")
-        named = cut(named)
-        per = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n_rows"), F.count("*").alias("labels"))
-        others = F.col("n_rows") - F.col("top.c")
-        chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-        mixed = mixed.where("labels > 1").select("key", "n_rows", F.col("top.label").alias("top"), chunks(F.col("n_rows")).alias("chunks"), chunks(others).alias("halves"), (F.col("n_rows") * chunks(others) + others * chunks(F.col("n_rows"))).alias("work"))
-        mixed = cut(mixed)
-        work = mixed.agg(F.sum("work")).first()[0]
-        if not work:
+    def _across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """(a, b): links between different components that share a bucket; None if no bucket has
+        members of more than one component. Members that aren't of their bucket's largest component
+        are held against all its members. A first pass, by signatures, keeps those that have a pair
+        which passes; the exact sets of these are made, and dealt as before, and pairs are verified
+        where they meet, the nearest first, while their components are still apart there."""
+        size, percent, family, need = self.size, self.percent, self.family, self.family.needed(self.percent)
+        sizes = self.classes.select("rep", (8 * F.col("n") + 2 * family.size).alias("bytes"))
+        named = cut(with_labels(buckets.where("k > 2").select("key", "rep"), labels, "rep", "label").join(sizes, "rep"))
+        per = named.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
+        mixed = per.groupBy("key").agg(F.max(F.struct("bytes", "label")).alias("top"), F.sum("c").alias("n_rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels"))
+        parts = lambda size: F.greatest(F.lit(1), F.ceil(size / CHUNK_BYTES)).cast("int")
+        chunks = [F.col("top.label").alias("top"), parts(F.col("bytes")).alias("chunks"), parts(F.col("bytes") - F.col("top.bytes")).alias("halves")]
+        mixed = cut(mixed.where("labels > 1").select("key", "n_rows", *chunks))
+        rows = salted_join(named, mixed.drop("n_rows"), ["key"], "rep", mixed.select("key", "n_rows"))
+        odd = F.col("label") != F.col("top")
+        own = ["key", "rep", "label", "bytes", odd.alias("odd")]
+        target = rows.select(*own, F.lit(False).alias("probe"), F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("j"))
+        probes = rows.where(odd).select(*own, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.pmod(F.xxhash64(F.lit(1), "rep"), "halves").cast("int").alias("j"))
+        met = cut(target.unionByName(probes))
+        columns = ["key", "i", "j", "rep", "label", "bytes", "odd", "probe"]
+
+        def dealt(rows: DataFrame, *more: DataFrame) -> DataFrame | None:
+            total = rows.agg(F.sum("bytes")).first()[0]
+            for table in (self.minima, *more):
+                rows = rows.join(table, "rep")
+            return rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(-(-total // TASK_BYTES)))) if total else None
+
+        def keep(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(c, "ascending") for c in ("key", "i", "j")])
+            kept = np.zeros(len(table), bool)
+            for p, t in _passing(table, family, need):
+                kept[p] = kept[t] = True
+            return table.select(columns).filter(pa.array(kept))
+
+        first = dealt(met)
+        if first is None:
             return None
-        rows = salted_join(named, mixed.drop("n_rows", "work"), ["key"], "rep", mixed.select("key", "n_rows"))
-        probe = F.col("label") != F.col("top")
-        target = rows.select("key", "rep", "label", probe.alias("odd"), F.lit(False).alias("probe"), F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("j"))
-        asks = rows.where(probe).select("key", "rep", "label", F.lit(True).alias("odd"), F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.pmod(F.xxhash64(F.lit(1), "rep"), "halves").cast("int").alias("j"))
-        buckets_of_work = math.ceil(work / BUCKET_ROWS)
-        dealt = target.unionByName(asks).withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets_of_work)))
-
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
-            key, rep, label, odd, probe = (table.column(c).to_numpy() for c in ("key", "rep", "label", "odd", "probe"))
-            minima = _read(table.column("minima").combine_chunks(), family.size)
-            new = np.any([np.diff(table.column(c).to_numpy(), prepend=-1) != 0 for c in ("key", "i", "j")], axis=0)
-            starts = np.flatnonzero(new)
-            a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
-                targets, band = s + np.flatnonzero(~probe[s:e]), int(key[s]) & 63
-                theirs = minima[targets]
-                for p in (s + np.flatnonzero(probe[s:e])).tolist():
-                    fine = (label[targets] != label[p]) & (~odd[targets] | (rep[targets] > rep[p]))
-                    score = (theirs == minima[p]).sum(1)
-                    t = np.flatnonzero(fine & (score >= need))
-                    t = t[_first_band(theirs[t], np.broadcast_to(minima[p], (len(t), family.size)), family) == band]
-                    if len(t) > most:
-                        t = t[np.argsort(-score[t], kind="stable")[:most]]
-                        more.append(rep[p : p + 1])
-                    a.append(np.minimum(rep[p], rep[targets[t]]))
-                    b.append(np.maximum(rep[p], rep[targets[t]]))
-            left = np.unique(np.concatenate(more))
-            a, b = np.concatenate([*a, left]), np.concatenate([*b, left])
-            return pa.table({"a": a, "b": pa.array(b, mask=np.arange(len(b)) >= len(b) - len(left))})
-
-        full = dealt.join(self.minima, "rep").select("task", "key", "i", "j", "rep", "label", "odd", "probe", "minima")
-        return cut(full.groupBy("task").applyInArrow(run, "a long, b long").distinct())
+        left = cut(first.groupBy("task").applyInArrow(keep, "key long, i int, j int, rep long, label long, bytes long, odd boolean, probe boolean"))
+
+        def link(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(c, "ascending") for c in ("key", "i", "j")])
+            rep, label = table.column("rep").to_pylist(), table.column("label").to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (up := root.setdefault(v, v)) != v:
+                    root[v] = v = root.setdefault(up, up)
+                return v
+
+            links = []
+            for p, t in _passing(table, family, need):
+                for k in t.tolist():
+                    a, b = find(label[p]), find(label[k])
+                    if a != b and linked(sets[p], sets[k], percent):
+                        root[a] = b
+                        links.append((min(rep[p], rep[k]), max(rep[p], rep[k])))
+            return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+
+        second = dealt(left, exact_sets(self.docs, self.classes, left.select("rep").distinct(), size))
+        return second and cut(second.groupBy("task").applyInArrow(link, "a long, b long").distinct())
 
     # ---- links ------------------------------------------------------------------------------
 
@@ -243,19 +277,10 @@ class MinHash:
 
     def _connect(self) -> tuple[DataFrame, DataFrame]:
         buckets = self._shared_buckets()
-        tested = self._with_pivots(buckets)
-        links = self._verified(tested)
+        links = self._verified(self._with_pivots(buckets))
         labels = cut(components(links))
-        most = MOST
-        while (found := self._across(buckets, labels, most)) is not None:
-            fresh = cut(found.where("b is not null").join(tested, ["a", "b"], "left_anti"))
-            if fresh.limit(1).count():
-                new = self._verified(fresh)
-                links, tested = links.unionByName(new), tested.unionByName(fresh)
-                labels = merged(labels, new)
-            if not found.where("b is null").limit(1).count():
-                break
-            most *= 8
+        if (more := self._across(buckets, labels)) is not None:
+            links, labels = links.unionByName(more), merged(labels, more)
         return links, labels
 
     def members(self) -> DataFrame:

@@ -372,6 +372,15 @@ def _tree_pairs(percent: int, most: int):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are links."""
+    if not _enough(min(len(x), len(y)), len(x), len(y), percent):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two sorted runs: a merge
+    return bool(_enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
+
+
 def _verify(percent: int):
     """Rows (a, b, exact set of a, exact set of b) that are links."""
 
@@ -379,11 +388,7 @@ def _verify(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):  # views, one pair at a time
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two sorted runs: a merge
-                overlap = int((both[1:] == both[:-1]).sum())
-                keep.append(bool(_enough(overlap, len(x), len(y), percent)))
+                keep.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 

@@ -78,10 +78,10 @@ def test_groups_of_near_copies_on_both_sides_of_the_threshold(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == expected(rows)
 
 
-def test_small_chunks_and_few_pairs_at_a_time_lose_nothing(spark, monkeypatch):
+def test_small_chunks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 16)
-    monkeypatch.setattr(minhash, "MOST", 1)
-    monkeypatch.setattr(minhash, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 12_000)
+    monkeypatch.setattr(minhash, "TASK_BYTES", 40_000)
     monkeypatch.setattr(joins, "SHARE", 10)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(90)]
