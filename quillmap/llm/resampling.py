@@ -183,13 +183,13 @@ class Resampler:
         size_s, size_t = self._sizes(both)
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-        shares = -(-tasks // PARTS)
+        shares = -(-8 * tasks // PARTS)  # several to a task, so that tasks are even
         wide = -(-self.buckets // PARTS)
         part = F.col("bucket") % PARTS
         totals = both.groupBy(part.cast("int").alias("part")).agg(F.collect_list(F.struct((F.col("bucket") / PARTS).cast("int").alias("k"), "s", "t")).alias("totals"))  # buckets / PARTS to a row
         totals = totals.select("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "totals")
         rows = self.postings(docs).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int"))
-        dealt = totals.unionByName(rows, allowMissingColumns=True).repartition(shares * PARTS, "part", "share")
+        dealt = totals.unionByName(rows, allowMissingColumns=True).repartition(tasks, "part", "share")
         columns = ["part", "share", "block", "buckets", "runs", "docs", "counts", "about"]
         first = F.col("totals").isNull()
         dealt = dealt.sortWithinPartitions("part", "share", first).select(*columns, *(F.col(f"totals.{c}").alias(f"total_{c}") for c in "kst"))
