@@ -30,10 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from . import kernels as K
 from . import url_filters
 from .common import cut, id_and_text, ship, text_slices, to_batch
@@ -47,7 +49,7 @@ LEAF, FAN = 64, 16  #: points to a leaf, nodes to a node above
 PART = 4_096  #: members of a token in one part; more are dealt over several
 CHUNK = 8_192  #: points of one token that one R-tree holds
 BLOCK = 2_048  #: representatives to a block
-SHARE = 60_000  #: rows of tokens with the same first component in one bucket
+SHARE = 20_000  #: rows of tokens with the same first component in one bucket
 HELD_PAIRS = 1 << 18  #: that a task holds before it drops those it has twice
 PAIRS = 8_192  #: pairs whose bounds are computed at once
 FILTER_BITS = 10  #: for each id in the filter of texts that are read again
@@ -215,7 +217,13 @@ def _enough(overlap, na, nb, percent: int):
 
 
 def _matrix(column, kind, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).reshape(-1, width)
+    """Values of one length, as rows; a view of an Arrow column where it is one piece."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,7 +242,7 @@ class Points:
     bits: np.ndarray
 
     @classmethod
-    def of(cls, n: np.ndarray, points: list[bytes], bits: list[bytes]) -> "Points":
+    def of(cls, n: np.ndarray, points: pa.Array, bits: pa.Array) -> "Points":
         return cls(n, _matrix(points, np.uint8, GROUPS), _matrix(bits, np.uint64, BITS // 8))
 
     def __getitem__(self, k) -> "Points":
@@ -263,7 +271,7 @@ def _filter_pairs(percent: int):
             for at in range(0, batch.num_rows, PAIRS):
                 part = batch.slice(at, PAIRS)
                 c = dict(zip(part.schema.names, part.columns))
-                one, two = (Points.of(c[f"n{k}"].to_numpy(zero_copy_only=False), c[f"p{k}"].to_pylist(), c[f"b{k}"].to_pylist()) for k in "ab")
+                one, two = (Points.of(c[f"n{k}"].to_numpy(zero_copy_only=False), c[f"p{k}"], c[f"b{k}"]) for k in "ab")
                 row = np.arange(part.num_rows)
                 mask = pa.array(_passes(one, row, two, row, percent)[0])
                 yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(mask)
@@ -349,17 +357,17 @@ def _tree_pairs(percent: int, most: int):
     says that there were more."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        num = lambda c: table.column(c).to_numpy()
+        place = pc.sort_indices(table, [("token", "ascending"), ("i", "ascending"), ("j", "ascending")]).to_numpy()
+        num = lambda c: table.column(c).to_numpy()[place]
         rep, label, mine = num("rep"), num("label"), num("own")
-        every = Points.of(num("n"), table.column("point").to_pylist(), table.column("bits").to_pylist())
+        every = Points.of(table.column("n").to_numpy(), table.column("point"), table.column("bits"))
         new = np.ones(len(rep), bool)
         new[1:] = np.any([num(c)[1:] != num(c)[:-1] for c in ("token", "i", "j")], axis=0)
         starts = np.flatnonzero(new)
         both, fresh, more = np.zeros((2, 0), np.int64), [], [np.zeros(0, np.int64)]
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
             if (label[s:e] != label[s]).any():
-                i, j, left = _pairs_of(every[s:e], label[s:e], mine[s:e], percent, most)
+                i, j, left = _pairs_of(every[place[s:e]], label[s:e], mine[s:e], percent, most)
                 fresh.append(np.sort(np.stack([rep[i + s], rep[j + s]]), axis=0))
                 more.append(rep[left + s])
                 if sum(x.shape[1] for x in fresh) > HELD_PAIRS:
@@ -437,10 +445,10 @@ class JaccardJoin:
         real = self.slim.where("n > 0 and doc_id is not null")
         head = F.min(F.struct(F.col("first").isNull().alias("last"), "first", "doc_id")).alias("head")
         same = [F.first(c).alias(c) for c in ("n", "point", "sketch")]
-        classes = real.groupBy("sig_a", "sig_b").agg(head, *same).orderBy("head", "sig_a", "sig_b")
+        classes = real.groupBy("sig_a", "sig_b").agg(head, F.count("*").alias("n_rows"), *same).orderBy("head", "sig_a", "sig_b")
         number = F.monotonically_increasing_id().alias("rep")
-        classes = cut(classes.select("sig_a", "sig_b", "head.doc_id", number, "n", "point", "sketch"))
-        self.classes = classes.select("sig_a", "sig_b", "rep", "doc_id")
+        classes = cut(classes.select("sig_a", "sig_b", "head.doc_id", number, "n_rows", "n", "point", "sketch"))
+        self.classes = classes.select("sig_a", "sig_b", "rep", "doc_id", "n_rows")
         self.links, self.labels = self._connect(classes, cut(_shared_tokens(classes)))
 
     def _connect(self, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -518,10 +526,12 @@ class JaccardJoin:
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, class_id (its smallest id), component_id (its first class's) for every row."""
-        named = self.classes.join(self.labels, "rep", "left").select("sig_a", "sig_b", F.col("doc_id").alias("class"), F.coalesce("label", "rep").alias("rep"))
-        named = named.join(self.classes.select("rep", F.col("doc_id").alias("component")), "rep").drop("rep")
-        joined = self.slim.select("doc_id", "n", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
-        known = F.col("doc_id").isNotNull()
-        class_id = F.when(known, F.coalesce("class", "doc_id")).alias("class_id")
-        component_id = F.when(known, F.coalesce("component", "doc_id")).alias("component_id")
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), class_id, component_id)
+        named = self.classes.join(self.labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        heads = self.classes.select(F.col("rep").alias("label"), F.col("doc_id").alias("component_id"))
+        placed = salted_join(named.withColumnRenamed("doc_id", "class_id"), heads, ["label"], "rep")
+        placed = cut(placed.select("sig_a", "sig_b", "class_id", "component_id", "n_rows"))
+        rows = self.slim.select("doc_id", F.col("n").alias("n_shingles"), "sig_a", "sig_b")
+        full = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+        joined = salted_join(rows.where(full), placed.drop("n_rows"), ["sig_a", "sig_b"], "doc_id", placed)
+        alone = rows.where(~full).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
+        return joined.unionByName(alone).select("doc_id", "n_shingles", "class_id", "component_id")
