@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
-from ..sources.steps import cut
+from ..sources.steps import cut, ship
 from . import blocks as B
 from .ranks import ranked
 from .selection import median, percentiles
@@ -177,14 +177,93 @@ def centroids(units: DataFrame, dimension: int, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n", F.transform(F.array(pair), lambda p: F.transform(p["s"], lambda x: x / p["n"]))[0].alias("centroid"))
 
 
+PIVOTS, PIVOT_BYTES = 4_096, 32 << 20  #: what every task holds to deal centroids into blocks
+NEAR_BLOCKS = 3  #: blocks that a block meets before others are ruled out
+
+
+def _near_pivots(full: DataFrame, dimension: int, block: int) -> DataFrame:
+    """Add `cell`, the nearest pivot. Of centroids drawn by a hash, eight for each block but no more
+    than `PIVOTS`, nor `PIVOT_BYTES` of them, a quarter become pivots: each time the one that is
+    farthest from those before, so that groups without a pivot are few."""
+    blocks = -(-full.count() // block)
+    most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * dimension), 8 * blocks))
+    drawn = full.select("centroid").orderBy(F.xxhash64("article"), "article").limit(most).collect()
+    drawn = np.array([r["centroid"] for r in drawn]).reshape(-1, dimension)
+    chosen, apart = [0], ((drawn - drawn[:1]) ** 2).sum(1)
+    while len(chosen) < min(2 * blocks, len(drawn) // 4) and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((drawn - drawn[chosen[-1]]) ** 2).sum(1))
+    pivots = drawn[chosen] if len(drawn) else np.zeros((1, dimension))
+    half = (pivots**2).sum(1) / 2
+    columns = full.columns
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(columns.index("centroid")).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+            cell = [int(k) for at in range(0, len(x), B.BLOCK) for k in (x[at : at + B.BLOCK] @ pivots.T - half).argmax(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*columns, "cell"])
+
+    return full.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in full.schema), "cell int"]))
+
+
+def _compared(cohort: str | None):
+    """Rows for `over_rows`: all pairs of two blocks of centroids, for both sides."""
+
+    def compare(row: dict) -> dict:
+        names, spreads = (row["article_a"], row["article_b"]), (row["spread_a"], row["spread_b"])
+        x, y = B.matrix(row["flat_a"], len(names[0])), B.matrix(row["flat_b"], len(names[1]))
+        distance = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
+        own = row["i"] == row["j"]
+        same = np.eye(len(x), dtype=bool) if own else np.zeros(distance.shape, bool)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where((distance == 0) | same, -np.inf, (spreads[0][:, None] + spreads[1][None, :]) / distance)
+        near, twins = np.where(same, np.inf, distance), (distance == 0) & ~same
+        sides = (1,) if own else (1, 0)
+        out = {
+            "article": np.concatenate([names[1 - k] for k in sides]),
+            "k": np.concatenate([np.full(len(names[1 - k]), row["ij"[1 - k]]) for k in sides]),
+            "ratio": np.concatenate([ratio.max(k) for k in sides]),
+            "nearest": np.concatenate([near.min(k) for k in sides]),
+            "twins": np.concatenate([twins.sum(k) for k in sides]),
+            "compared": np.concatenate([np.full(distance.shape[1 - k], distance.shape[k] - own) for k in sides]),
+        }
+        return out | ({cohort: [row[cohort]] * len(out["article"])} if cohort else {})
+
+    return compare
+
+
+def _block_pairs_left(blocks: DataFrame, keys: list[str], block: int, wanted) -> DataFrame:
+    """(i, j), i < j: pairs of blocks of one cohort that wanted(distance of centres, row) asks for; the
+    centres are compared block by block themselves."""
+    columns = ["k", "radius", "spread", "worst", "far"]
+    packs = B.packed(blocks, columns, "centre", keys, block)
+
+    def run(row: dict) -> dict:
+        x, y = B.matrix(row["flat_a"], len(row["k_a"])), B.matrix(row["flat_b"], len(row["k_b"]))
+        distance = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
+        a, b = np.nonzero(wanted(distance, row) & ((row["i"] != row["j"]) | (row["k_a"][:, None] < row["k_b"][None, :])))
+        a, b = row["k_a"][a], row["k_b"][b]
+        return {"i": np.minimum(a, b), "j": np.maximum(a, b)}
+
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64())])
+    return B.over_rows(B.block_pairs(packs, columns, keys), run, schema, "i long, j long")
+
+
 def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int = 512, cohort: str | None = None) -> DataFrame:
     """For each article: spread (mean distance to its centroid), worst ratio to another article,
-    distance to the nearest other centroid, and number of articles with the same centroid.
+    distance to the nearest other centroid, number of articles with the same centroid, and number of
+    centroids that it was compared with.
+
+    Centroids are dealt into blocks by the nearest of some pivots, and a block has a centre, a radius
+    and a largest spread. Each block first meets itself and its nearest blocks; that gives every
+    article a ratio and a distance. Two blocks are held against each other only if
+
+        (largest spreads) / (distance of the centres less both radii)
 
-    Centroids are compared block by block in numpy, each pair of blocks once, for both sides. Pairs
-    of articles are inherent to the index; what moves is the blocks, once for each later block, and
-    what comes back is two rows for each article and block.
-    With `cohort`, a column, articles are compared within their cohort only."""
+    can reach the smallest of the ratios in one of them, or the distance that is left its largest
+    nearest distance. Where articles lie in groups, few pairs are left; where they don't, all are,
+    which is the work of the plain index. With `cohort`, a column, articles are compared within
+    their cohort only."""
     keys = [cohort] if cohort else []
     d = dimension or dimension_of(vectors)
     units = unit_vectors(vectors)
@@ -193,33 +272,61 @@ def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int
     spread = units.join(c, [*keys, "article"]).groupBy(*keys, "article").agg(apart)
     full = cut(c.drop("n").join(spread, [*keys, "article"]))
     kind = full.schema["article"].dataType.simpleString()
-    columns = [("article", B.arrow_type(kind)), ("ratio", pa.float64()), ("nearest", pa.float64()), ("twins", pa.int64())]
-    ddl = f"article {kind}, ratio double, nearest double, twins long"
+    columns = [("article", B.arrow_type(kind)), ("k", pa.int64()), ("ratio", pa.float64()), ("nearest", pa.float64()), ("twins", pa.int64()), ("compared", pa.int64())]
+    ddl = f"article {kind}, k long, ratio double, nearest double, twins long, compared long"
     if cohort:
         own = full.schema[cohort].dataType.simpleString()
         columns, ddl = [(cohort, B.arrow_type(own)), *columns], f"{cohort} {own}, {ddl}"
-
-    def compare(row: dict) -> dict:
-        ids, spreads = (row["article_a"], row["article_b"]), (row["spread_a"], row["spread_b"])
-        x, y = B.matrix(row["flat_a"], len(ids[0])), B.matrix(row["flat_b"], len(ids[1]))
-        distance = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
-        same = np.eye(len(x), dtype=bool) if row["i"] == row["j"] else np.zeros(distance.shape, bool)
+    ship(vectors.sparkSession)
+    cells = B.packed(_near_pivots(full, d, block), ["article", "spread"], "centroid", [*keys, "cell"], block)
+    blocks = cut(cells.select(*keys, F.monotonically_increasing_id().alias("k"), "article", "spread", "flat"))
+
+    def shape(row: dict) -> dict:
+        x = B.matrix(row["flat"], len(row["article"]))
+        centre = x.mean(0)
+        radius = np.sqrt(((x - centre) ** 2).sum(1)).max()
+        return {"k": [row["k"]], "centre": [centre], "radius": [radius], "spread": [row["spread"].max()]} | ({cohort: [row[cohort]]} if cohort else {})
+
+    shaped = pa.schema([("k", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("spread", pa.float64()), *([columns[0]] if cohort else [])])
+    shapes = B.over_rows(blocks, shape, shaped, "k long, centre array<double>, radius double, spread double" + (f", {cohort} {own}" if cohort else ""))
+    shapes = cut(shapes)
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """The blocks of these pairs against each other."""
+        left, right = (blocks.select(F.col("k").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("article", "spread", "flat")]) for k, s in ("ia", "jb"))
+        left = left.join(blocks.select(F.col("k").alias("i"), *keys), "i") if keys else left
+        rows = pairs.join(left, "i").join(right, "j")
+        return cut(B.over_rows(rows, _compared(cohort), pa.schema(columns), ddl))
+
+    # distances of centres from one block to all others aren't kept: each pack of blocks gives its nearest
+    def nearest_blocks(distance: np.ndarray, row: dict) -> np.ndarray:
+        out = np.zeros(distance.shape, bool)
+        if row["i"] == row["j"]:
+            distance = distance + np.diag(np.full(len(distance), np.inf))
+        for axis in (0, 1):
+            place = np.argsort(np.argsort(distance, axis=axis, kind="stable"), axis=axis, kind="stable")
+            out |= place < NEAR_BLOCKS
+        return out & np.isfinite(distance)
+
+    unknown = shapes.withColumns({"worst": F.lit(0.0), "far": F.lit(0.0)})
+    near = _block_pairs_left(unknown, keys, block, nearest_blocks)
+    first = blocks.select(F.col("k").alias("i"), F.col("k").alias("j")).unionByName(near)
+    first = cut(first.distinct())
+    found = held(first)
+    per = found.groupBy(*keys, "article", "k").agg(F.max("ratio").alias("ratio"), F.min("nearest").alias("nearest"))
+    reached = per.groupBy("k").agg(F.min("ratio").alias("worst"), F.max("nearest").alias("far"))
+
+    def reachable(distance: np.ndarray, row: dict) -> np.ndarray:
+        left = np.maximum(distance * (1 - 1e-9) - row["radius_a"][:, None] - row["radius_b"][None, :], 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where((distance == 0) | same, -np.inf, (spreads[0][:, None] + spreads[1][None, :]) / distance)
-        near, twins = np.where(same, np.inf, distance), (distance == 0) & ~same
-        sides = (1,) if row["i"] == row["j"] else (1, 0)
-        out = {
-            "article": np.concatenate([ids[1 - k] for k in sides]),
-            "ratio": np.concatenate([ratio.max(k) for k in sides]),
-            "nearest": np.concatenate([near.min(k) for k in sides]),
-            "twins": np.concatenate([twins.sum(k) for k in sides]),
-        }
-        return out | ({cohort: [row[cohort]] * len(out["article"])} if cohort else {})
-
-    pairs = B.block_pairs(B.packed(full, ["article", "spread"], "centroid", keys, block), ["article", "spread"], keys)
-    found = B.over_rows(pairs, compare, pa.schema(columns), ddl)
-    worst = F.max("ratio").alias("ratio"), F.min("nearest").alias("nearest"), F.sum("twins").alias("twins")
-    out = found.groupBy(*keys, "article").agg(*worst).join(full.select(*keys, "article", "spread"), [*keys, "article"])
+            bound = (row["spread_a"][:, None] + row["spread_b"][None, :]) * (1 + 1e-9) / left
+        bound = np.where(left > 0, bound, np.inf)
+        return (bound >= np.minimum(row["worst_a"][:, None], row["worst_b"][None, :])) | (left <= np.maximum(row["far_a"][:, None], row["far_b"][None, :]))
+
+    rest = _block_pairs_left(shapes.join(reached, "k"), keys, block, reachable).join(first, ["i", "j"], "left_anti")
+    every = found.unionByName(held(rest))
+    worst = F.max("ratio").alias("ratio"), F.min("nearest").alias("nearest"), F.sum("twins").alias("twins"), F.sum("compared").alias("compared")
+    out = every.groupBy(*keys, "article").agg(*worst).join(full.select(*keys, "article", "spread"), [*keys, "article"])
     return out.withColumn("ratio", F.when(F.col("ratio") == float("-inf"), 0.0).otherwise(F.col("ratio")))
 
 
