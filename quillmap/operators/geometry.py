@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,6 +16,7 @@ from pyspark.sql import Window as W
 from ..functions import vectors as V
 from ..sources.steps import cut, ship
 from . import blocks as B
+from .components import principal
 from .ranks import ranked
 from .selection import median, percentiles
 
@@ -134,27 +133,28 @@ def intra_consistency(vectors: DataFrame, drop_threshold: float | None = None, d
 # ---- principal components -------------------------------------------------------------------
 
 
-def pca_ratios(vectors: DataFrame, most: int = 10) -> DataFrame:
+def pca_ratios(vectors: DataFrame, most: int = 10, dimension: int | None = None) -> DataFrame:
     """Shares of variance of the first 1, 5 and 10 components of the unit vectors; null for fewer
-    than two rows. The covariance is summed over partitions; only d x d numbers reach the driver."""
-    spark = vectors.sparkSession
-    n, d = vectors.count(), dimension_of(vectors)
-    ddl = "pc1 double, pc5 double, pc10 double"
-    if n < 2:
+    than two rows, or without variance. No d x d matrix is made where d is large (see `components`)."""
+    spark, ddl = vectors.sparkSession, "pc1 double, pc5 double, pc10 double"
+    units = cut(unit_vectors(vectors.where("embedding is not null")).select("embedding"))
+    d = dimension or dimension_of(units)
+    found = principal(units, most, d) if d else None
+    if found is None or not found.total:
         return spark.createDataFrame([(None, None, None)], ddl)
-    model = PCA(k=min(most, n, d), inputCol="v", outputCol="p").fit(unit_vectors(vectors).select(array_to_vector("embedding").alias("v")))
-    shares = np.cumsum(model.explainedVariance.toArray())
+    shares = found.shares()
     return spark.createDataFrame([tuple(float(shares[min(k, len(shares)) - 1]) for k in (1, 5, 10))], ddl)
 
 
 def project_2d(vectors: DataFrame, id_col: str) -> DataFrame:
-    """x and y on the first two principal components."""
-    v = vectors.select(id_col, array_to_vector(V.doubles(F.col("embedding"))).alias("v"))
-    model = PCA(k=2, inputCol="v", outputCol="p").fit(v)
-    from pyspark.ml.functions import vector_to_array
-
-    p = vector_to_array("p")
-    return model.transform(v).select(id_col, p[0].alias("x"), p[1].alias("y"))
+    """x and y on the first two principal components; of vectors of one component, y is 0. Fewer than
+    two vectors are at 0."""
+    v = vectors.select(id_col, V.doubles(F.col("embedding")).alias("embedding")).where("embedding is not null")
+    d = dimension_of(v)
+    found = principal(v, 2, d) if d else None
+    axes = found.vectors.T.tolist() if found else []
+    place = [V.dot(F.col("embedding"), F.array(*map(F.lit, axes[k]))) if k < len(axes) else F.lit(0.0) for k in (0, 1)]
+    return v.select(id_col, place[0].alias("x"), place[1].alias("y"))
 
 
 # ---- separability ---------------------------------------------------------------------------
@@ -233,8 +233,8 @@ def _compared(cohort: str | None):
 
 
 def _block_pairs_left(blocks: DataFrame, keys: list[str], block: int, wanted) -> DataFrame:
-    """(i, j), i < j: pairs of blocks of one cohort that wanted(distance of centres, row) asks for; the
-    centres are compared block by block themselves."""
+    """(i, j, distance), i < j: pairs of blocks of one cohort that wanted(distance of centres, row) asks
+    for; the centres are compared block by block themselves."""
     columns = ["k", "radius", "spread", "worst", "far"]
     packs = B.packed(blocks, columns, "centre", keys, block)
 
@@ -242,11 +242,12 @@ def _block_pairs_left(blocks: DataFrame, keys: list[str], block: int, wanted) ->
         x, y = B.matrix(row["flat_a"], len(row["k_a"])), B.matrix(row["flat_b"], len(row["k_b"]))
         distance = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
         a, b = np.nonzero(wanted(distance, row) & ((row["i"] != row["j"]) | (row["k_a"][:, None] < row["k_b"][None, :])))
+        apart = distance[a, b]
         a, b = row["k_a"][a], row["k_b"][b]
-        return {"i": np.minimum(a, b), "j": np.maximum(a, b)}
+        return {"i": np.minimum(a, b), "j": np.maximum(a, b), "distance": apart}
 
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64())])
-    return B.over_rows(B.block_pairs(packs, columns, keys), run, schema, "i long, j long")
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("distance", pa.float64())])
+    return B.over_rows(B.block_pairs(packs, columns, keys), run, schema, "i long, j long, distance double")
 
 
 def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int = 512, cohort: str | None = None) -> DataFrame:
@@ -298,7 +299,7 @@ def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int
         rows = pairs.join(left, "i").join(right, "j")
         return cut(B.over_rows(rows, _compared(cohort), pa.schema(columns), ddl))
 
-    # distances of centres from one block to all others aren't kept: each pack of blocks gives its nearest
+    # of all distances of centres, each two packs of blocks give the smallest; of these, the smallest count
     def nearest_blocks(distance: np.ndarray, row: dict) -> np.ndarray:
         out = np.zeros(distance.shape, bool)
         if row["i"] == row["j"]:
@@ -309,7 +310,11 @@ def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int
         return out & np.isfinite(distance)
 
     unknown = shapes.withColumns({"worst": F.lit(0.0), "far": F.lit(0.0)})
-    near = _block_pairs_left(unknown, keys, block, nearest_blocks)
+    near = cut(_block_pairs_left(unknown, keys, block, nearest_blocks))
+    both = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+    place = F.row_number().over(W.partitionBy("i").orderBy("distance", "j"))  # limited to a few before the shuffle
+    both = both.withColumn("place", place).where(F.col("place") <= NEAR_BLOCKS)
+    near = both.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     first = blocks.select(F.col("k").alias("i"), F.col("k").alias("j")).unionByName(near)
     first = cut(first.distinct())
     found = held(first)
@@ -323,7 +328,7 @@ def cluster_ratios(vectors: DataFrame, dimension: int | None = None, block: int
         bound = np.where(left > 0, bound, np.inf)
         return (bound >= np.minimum(row["worst_a"][:, None], row["worst_b"][None, :])) | (left <= np.maximum(row["far_a"][:, None], row["far_b"][None, :]))
 
-    rest = _block_pairs_left(shapes.join(reached, "k"), keys, block, reachable).join(first, ["i", "j"], "left_anti")
+    rest = _block_pairs_left(shapes.join(reached, "k"), keys, block, reachable).drop("distance").join(first, ["i", "j"], "left_anti")
     every = found.unionByName(held(rest))
     worst = F.max("ratio").alias("ratio"), F.min("nearest").alias("nearest"), F.sum("twins").alias("twins"), F.sum("compared").alias("compared")
     out = every.groupBy(*keys, "article").agg(*worst).join(full.select(*keys, "article", "spread"), [*keys, "article"])
