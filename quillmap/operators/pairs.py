@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
-from ..sources.steps import cut, ship
+from ..sources.steps import cut
 from . import blocks as B
 from . import geometry as G
 from .ranks import numbered, ranked
+from .sampling import permuted, running, sampled_ranks, triangle_pair, weighted_picks
 
 # Fixed values of the evaluation.
 PAIR_LIMIT, TEST_SHARE, SEED, NB_BINS, SMOOTHING, VARIANCE_FACTOR = 100_000, 0.2, 42, 100, 1.0, 1e-9
@@ -38,7 +38,8 @@ def pair_of_rank(n: int, rank: int) -> tuple[int, int]:
 
 
 def sample_ranks(total: int, k: int, seed: int) -> list[int]:
-    return list(range(total)) if k >= total else random.Random(seed).sample(range(total), k)
+    """The ranks that `sampled_ranks` makes on executors."""
+    return permuted(np.arange(min(k, total)), total, seed).tolist() if k < total else list(range(total))
 
 
 def indexed(vectors: DataFrame, order: list[str]) -> DataFrame:
@@ -49,20 +50,15 @@ def indexed(vectors: DataFrame, order: list[str]) -> DataFrame:
 
 def sampled_pairs(vectors: DataFrame, order: list[str], limit: int, seed: int = SEED) -> DataFrame:
     """Cosines of up to `limit` unordered pairs of rows, uniform without repetition; all of them if
-    there aren't more. The ranks are drawn on the driver, up to the limit; rows are fetched by two
-    joins on indexes."""
+    there aren't more. Executors make the ranks themselves; rows are fetched by two joins on indexes."""
     units = indexed(vectors, order)
     return _cosines(units, _any_pairs(units, limit, seed))
 
 
-def _frame(spark: SparkSession, rows: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame(rows, "i long, j long")
-
-
 def _any_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
     n = units.count()
-    ranks = sample_ranks(n * (n - 1) // 2, limit, seed) if n > 1 and limit > 0 else []
-    return _frame(units.sparkSession, [pair_of_rank(n, r) for r in ranks])
+    i, j = triangle_pair(F.lit(n).cast("long"), F.col("rank"))
+    return cut(sampled_ranks(units.sparkSession, n * (n - 1) // 2, limit, seed).select(i.alias("i"), j.alias("j")))
 
 
 def _cosines(units: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -77,73 +73,32 @@ def article_ranges(units: DataFrame) -> DataFrame:
     return units.groupBy("article").agg(F.min("idx").alias("a"), F.count("*").alias("n")).select("a", "n")
 
 
-def _picked(ranges: DataFrame, weight: Column, limit: int, seed: int, pair) -> DataFrame:
-    """Up to `limit` of all the pairs that articles have, `weight` each, uniform without repetition.
-    What articles have is numbered on, article by article; the ranks, which are drawn on the driver,
-    go to all tasks, and each article looks for those that fall to it. pair(n, r) is an article's
-    r-th pair, counted from 0."""
-    heavy = ranges.withColumn("w", weight.cast("long")).where("w > 0")
-    total = heavy.agg(F.sum("w")).first()[0] or 0
-    chosen = np.array(sorted(sample_ranks(total, limit, seed)), np.int64)
-    ship(ranges.sparkSession)
-    ranged = cut(heavy.repartitionByRange("a").withColumn("part", F.spark_partition_id()))
-    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sums = ranged.groupBy("part").agg(F.sum("w").alias("own"))  # one row a partition
-    starts = sums.select("part", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("start"))
-    upto = W.partitionBy("part").orderBy("a").rowsBetween(W.unboundedPreceding, 0)
-    every = ranged.withColumn("upto", F.sum("w").over(upto)).join(F.broadcast(starts), "part")
-    every = every.select("a", "n", (F.col("start") + F.col("upto") - F.col("w")).alias("first"), "w")
-
-    def run(batches):
-        for batch in batches:
-            a, n, first, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            low, high = np.searchsorted(chosen, first), np.searchsorted(chosen, first + w)
-            found = []
-            for k in np.flatnonzero(high > low).tolist():
-                own = (pair(int(n[k]), int(r - first[k])) for r in chosen[low[k] : high[k]])
-                found += [(int(a[k]) + i, int(a[k]) + j) for i, j in own]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["i", "j"])
-
-    return every.mapInArrow(run, "i long, j long")
+def _picked(ranges: DataFrame, weight: str, limit: int, seed: int) -> DataFrame:
+    """a, n, rank of up to `limit` of all the pairs that articles have, `weight` each, uniform without
+    repetition; articles are numbered on by their pairs."""
+    heavy = ranges.withColumn("w", F.expr(weight).cast("long")).where("w > 0")
+    return cut(weighted_picks(running(heavy, "a", "w"), "w", limit, seed))
 
 
 def same_article_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
     """i, j: a uniform sample from the union of the pairs within articles: larger articles weigh more."""
-    return _picked(article_ranges(units), F.expr("n * (n - 1) div 2"), limit, seed, pair_of_rank)
+    i, j = triangle_pair(F.col("n"), F.col("rank"))
+    return _picked(article_ranges(units), "n * (n - 1) div 2", limit, seed).select((F.col("a") + i).alias("i"), (F.col("a") + j).alias("j"))
 
 
 def transition_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
     """i, j: neighbours in an article; all, or a uniform sample."""
-    return _picked(article_ranges(units), F.col("n") - 1, limit, seed, lambda n, r: (r, r + 1))
+    return _picked(article_ranges(units), "n - 1", limit, seed).select((F.col("a") + F.col("rank")).alias("i"), (F.col("a") + F.col("rank") + 1).alias("j"))
 
 
 def cross_article_pairs(units: DataFrame, limit: int, seed: int) -> DataFrame:
-    """i, j: a uniform sample of pairs from different articles, drawn again while both are in one; all
-    of them if there aren't more than the limit, from the articles' ranges."""
-    spark = units.sparkSession
-    every = article_ranges(units)
-    n, same = every.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) div 2"))).first()
-    n = n or 0
-    total = n * (n - 1) // 2 - (same or 0)
-    if limit >= total:  # each article with all rows behind its own
-        rows = every.select("a", (F.col("a") + F.col("n")).alias("end")).where(F.col("end") < n)
-        pairs = rows.select(F.explode(F.expr("sequence(a, end - 1)")).alias("i"), "end")
-        return pairs.select("i", F.explode(F.sequence("end", F.lit(n - 1).cast("long"))).alias("j"))
-    rng, held, seen = random.Random(seed), None, set()
-    articles = units.select("idx", "article")
-    while True:
-        drawn = []
-        while len(drawn) < 2 * limit and len(seen) < n * (n - 1) // 2:
-            pair = tuple(sorted((rng.randrange(n), rng.randrange(n))))
-            if pair[0] != pair[1] and pair not in seen:
-                seen.add(pair)
-                drawn.append((*pair, len(seen)))
-        more = spark.createDataFrame(drawn, "i long, j long, k long")
-        a, b = (articles.select(F.col("idx").alias(c), F.col("article").alias(f"of_{c}")) for c in "ij")
-        more = cut(more.join(a, "i").join(b, "j").where("of_i != of_j").select("i", "j", "k"))
-        held = more if held is None else held.unionByName(more)
-        if held.count() >= limit:
-            return held.orderBy("k").limit(limit).select("i", "j")
+    """i, j: a uniform sample of pairs from different articles; all of them if there aren't more. An
+    article's pairs are those of its rows with all rows behind its last one, so none is drawn in vain."""
+    n = units.count()
+    ranges = article_ranges(units).withColumn("behind", F.lit(n) - F.col("a") - F.col("n"))
+    found = _picked(ranges, "n * behind", limit, seed)
+    after = F.pmod("rank", "behind")
+    return found.select((F.col("a") + F.expr("rank div behind")).alias("i"), (F.col("a") + F.col("n") + after).alias("j"))
 
 
 def three_distributions(vectors: DataFrame, order: list[str], limit: int = PAIR_LIMIT, seed: int = SEED) -> DataFrame:
