@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..sources.steps import cut
+from .joins import salted_join
 from .selection import median, percentiles
 
 # Limits of the validation cascade and of the statistical cleaning.
@@ -118,24 +119,49 @@ def validation_counts(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("n_articles"), F.count_if("is_valid").alias("n_valid"), F.count_if(~F.col("is_valid")).alias("n_invalid"))
 
 
-def mark_duplicates(articles: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
+BROADCAST_IDS = 1_000_000  #: ids of duplicates that are sent to all tasks; more are joined by their key
+
+
+def content_groups(articles: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
+    """_digest, _first (smallest id), n_rows of each content; null contents have none. Also of a
+    stream: the aggregate is combined before the shuffle, and its state is these rows."""
+    keyed = articles.where(F.col(content_col).isNotNull()).select(_digest(content_col), F.col(id_col).alias("_id"))
+    return keyed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("n_rows"))
+
+
+def _digest(content_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(content_col), 256)).alias("_digest")
+
+
+def duplicate_ids(articles: DataFrame, groups: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
+    """Ids of the articles that aren't the first of their content. What is shuffled is digests and ids;
+    a content that many articles have is dealt over many tasks."""
+    several = cut(groups.where("n_rows > 1"))
+    keyed = articles.where(F.col(content_col).isNotNull()).select(_digest(content_col), F.col(id_col))
+    joined = salted_join(keyed, several.select("_digest", "_first"), ["_digest"], id_col, several)
+    return joined.where(F.col(id_col) != F.col("_first")).select(id_col)
+
+
+def mark_duplicates(articles: DataFrame, id_col: str = "article_id", content_col: str = "content", groups: DataFrame | None = None) -> DataFrame:
     """Of articles with the same content, all but the one with the smallest id become invalid with
-    the reason duplicate, whatever their reason was. The smallest id comes from an aggregate that is
-    combined before the shuffle; a digest, and not the text, is the key, and 256 bits don't clash."""
-    digest = F.sha2(F.col(content_col), 256)
-    first = articles.groupBy(digest.alias("_digest")).agg(F.min(id_col).alias("_first"))
-    joined = articles.withColumn("_digest", digest).join(first, "_digest", "left")
-    again = F.coalesce(F.col(id_col) != F.col("_first"), F.lit(False))
+    the reason duplicate, whatever their reason was. 256 bits of digest stand for a content. The
+    articles themselves aren't shuffled while the duplicates' ids are up to `BROADCAST_IDS`. groups:
+    what `content_groups` says, if it is known."""
+    groups = content_groups(articles, id_col, content_col) if groups is None else groups
+    found = cut(duplicate_ids(articles, groups, id_col, content_col).distinct().withColumn("_again", F.lit(True)))
+    joined = articles.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, id_col, "left")
+    again = F.coalesce("_again", F.lit(False))
     out = joined.withColumn("is_valid", F.when(again, F.lit(False)).otherwise(F.col("is_valid")))
-    return out.withColumn("cleaning_reason", F.when(again, F.lit("duplicate")).otherwise(F.col("cleaning_reason"))).drop("_digest", "_first")
+    return out.withColumn("cleaning_reason", F.when(again, F.lit("duplicate")).otherwise(F.col("cleaning_reason"))).select(*articles.columns)
 
 
 def newly_duplicate(articles: DataFrame, id_col: str = "article_id", content_col: str = "content", batch_size: int = 10_000) -> DataFrame:
     """Ids that `mark_duplicates` would change; those marked before aren't among them."""
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    marked = mark_duplicates(articles.withColumn("_was", F.col("cleaning_reason")), id_col, content_col)
-    return marked.where((F.col("cleaning_reason") == "duplicate") & ~F.col("_was").eqNullSafe(F.lit("duplicate"))).select(id_col)
+    groups = content_groups(articles, id_col, content_col)
+    fresh = articles.where(~F.col("cleaning_reason").eqNullSafe(F.lit("duplicate")))
+    return duplicate_ids(fresh, groups, id_col, content_col)
 
 
 def _middle(ordered: Column) -> Column:

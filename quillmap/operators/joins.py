@@ -10,6 +10,10 @@ SHARE = 1_000  #: rows of a hot key in one share
 MOST_SHARES = 512
 
 
+def _plain(value):
+    return bytes(value) if isinstance(value, bytearray) else value
+
+
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], salt: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Join rows with a table that has each key once. The thousand keys with most rows are dealt over
     shares by `salt`, with the table's row in each share, so no task gets all rows of a key: any other
@@ -18,7 +22,7 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], salt: str, c
     hot = counts.where(F.col("n_rows") > SHARE).select(*keys, "n_rows").orderBy(F.desc("n_rows")).limit(HOT_KEYS).collect()  # a thousand rows at most
     if not hot:
         return rows.join(table, keys, how)
-    dealt = [(*r[:-1], min(MOST_SHARES, -(-r["n_rows"] // SHARE))) for r in hot]
+    dealt = [(*map(_plain, r[:-1]), min(MOST_SHARES, -(-r["n_rows"] // SHARE))) for r in hot]
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
     shares = F.broadcast(rows.sparkSession.createDataFrame(dealt, f"{kinds}, _shares int"))
     of = F.coalesce("_shares", F.lit(1))
