@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 # The patterns and limits of the text metrics.
 WORD_PATTERN = r"[\p{L}\p{Nl}\p{No}]+"
-PARAGRAPH_BREAK = r"(?:\r?\n\s*){2,}"
-SENTENCE_BREAK = r"(?<=[.!?])\s+"
 TOKEN_SIZES = (32, 64, 128, 256)
 SHORT_WORDS = 3
 # The characters that are white space in the Unicode sense, and the ends of lines.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CLASS = f"[{SPACES}]"
+PARAGRAPH_BREAK = f"(?:\r?\n{SPACE_CLASS}*){{2,}}"
+SENTENCE_BREAK = f"(?<=[.!?]){SPACE_CLASS}+"
 LINE_BREAK = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 Tokenizer = Callable[[Column], Column]

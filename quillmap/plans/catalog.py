@@ -352,9 +352,21 @@ def exact_duplicates(spark, sf_dir):
     return A.mark_duplicates(docs).select("article_id", "is_valid", "cleaning_reason")
 
 
-SENTENCES = "list_filter(list_transform(string_split(regexp_replace(trim(text, E' \\n'), '([.!?])\\s+', '\\1\x1f', 'g'), '\x1f'), lambda s: trim(s, E' \\n')), lambda s: s <> '')"
-PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array(trim(text, E' \\n'), '(\\r?\\n\\s*){2,}'), lambda s: trim(s, E' \\n')), lambda s: s <> '')"
-TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda s: s <> '')"
+# White space in the Unicode sense, written out: \s is ASCII here.
+SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip(t: str) -> str:
+    return f"regexp_replace({t}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def _parts(split: str) -> str:
+    return f"list_filter(list_transform({split}, lambda s: {_strip('s')}), lambda s: s <> '')"
+
+
+SENTENCES = _parts(f"string_split(regexp_replace({_strip('text')}, '([.!?]){SPACE}+', '\\1\x1f', 'g'), '\x1f')")
+PARAGRAPHS = _parts(f"regexp_split_to_array({_strip('text')}, '(\\r?\\n{SPACE}*){{2,}}')")
+TOKENS = f"list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda s: s <> '')"
 # Written after the definitions of the metrics: lengths of paragraphs and sentences are in words, those of words in characters.
 STRUCTURE_BASE = f"""x AS (SELECT doc_id, text AS t, {_words('text')} AS words, {PARAGRAPHS} AS pars, {SENTENCES} AS sents, len({TOKENS}) AS tokens FROM documents WHERE length(text) > 0),
 b AS (SELECT doc_id, t, words, tokens, list_transform(pars, lambda p: len({_words('p')})) AS pl, list_transform(sents, lambda p: len({_words('p')})) AS sl, list_transform(words, lambda w: length(w)) AS wl, length(t) AS n,
@@ -507,7 +519,10 @@ def chunk_noop(spark, sf_dir):
     return C.chunk(_articles(spark, sf_dir), "noop")
 
 
-@_query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(replace(text, '. ', E'.\\n\\n'), E' \\n'), '(\\r?\\n\\s*){2,}'), lambda s: trim(s, E' \\n')), lambda s: s <> '') AS p FROM documents)
+BROKEN = _parts(f"regexp_split_to_array({_strip("replace(text, '. ', E'.\\n\\n')")}, '(\\r?\\n{SPACE}*){{2,}}')")
+
+
+@_query(f"""WITH p AS (SELECT doc_id, {BROKEN} AS p FROM documents)
 SELECT doc_id AS article_id, unnest(range(len(p)))::BIGINT AS chunk_index, unnest(p) AS text FROM p""")
 def chunk_paragraph(spark, sf_dir):
     spaced = _articles(spark, sf_dir).withColumn("content", F.replace("content", F.lit(". "), F.lit(".\n\n")))

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 import statistics
 
@@ -148,3 +149,15 @@ def test_propagation(spark):
     out = A.propagate_validation(embeddings, chunks, articles)
     assert {r["embedding_id"]: r["is_valid"] for r in out.collect()} == {"ev": True, "ei": False, "en": False}
     assert tuple(A.propagation_counts(out).first()) == (3, 1, 2)
+
+
+def test_all_white_space_ends_sentences_and_paragraphs(spark):
+    """As Python's re splits, whatever white space is behind a full stop or in a blank line."""
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    rng = random.Random(9)
+    texts = ["One.\u00a0Two.\u2003Three. Four"] + [f"One.{c}Two!{c}{c} Three\n{c}\nfour" for c in spaces]
+    texts += ["".join(rng.choice([*spaces, "\n", "\r\n", ". ", "!", "?", "word", "x"]) for _ in range(40)) for _ in range(200)]
+    parts = lambda t, pattern: [p.strip() for p in re.split(pattern, t.strip()) if p.strip()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("t", T.sentences(F.col("t")).alias("s"), T.paragraphs(F.col("t")).alias("p")).collect():
+        assert r["s"] == parts(r["t"], r"(?<=[.!?])\s+") and r["p"] == parts(r["t"], r"(?:\r?\n\s*){2,}")
