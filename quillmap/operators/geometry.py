@@ -181,13 +181,13 @@ PIVOTS, PIVOT_BYTES = 4_096, 32 << 20  #: what every task holds to deal centroid
 NEAR_BLOCKS = 3  #: blocks that a block meets before others are ruled out
 
 
-def _near_pivots(full: DataFrame, dimension: int, block: int) -> DataFrame:
+def _near_pivots(full: DataFrame, dimension: int, block: int, salt: int = 42) -> DataFrame:
     """Add `cell`, the nearest pivot. Of centroids drawn by a hash, eight for each block but no more
     than `PIVOTS`, nor `PIVOT_BYTES` of them, a quarter become pivots: each time the one that is
-    farthest from those before, so that groups without a pivot are few."""
+    farthest from those before, so that groups without a pivot are few. Another salt draws others."""
     blocks = -(-full.count() // block)
     most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * dimension), 8 * blocks))
-    drawn = full.select("centroid").orderBy(F.xxhash64("article"), "article").limit(most).collect()
+    drawn = full.select("centroid").orderBy(F.xxhash64(F.lit(salt), "article"), "article").limit(most).collect()
     drawn = np.array([r["centroid"] for r in drawn]).reshape(-1, dimension)
     chosen, apart = [0], ((drawn - drawn[:1]) ** 2).sum(1)
     while len(chosen) < min(2 * blocks, len(drawn) // 4) and apart.max() > 0:

@@ -17,6 +17,7 @@ from ..functions import vectors as V
 from ..operators import articles as A
 from ..operators import chunking as C
 from ..operators import geometry as G
+from ..operators import layout as L
 from ..operators import pairs as P
 from ..operators import retrieval as N
 from ..operators import runs as R
@@ -256,6 +257,11 @@ def retrieval_by_label(spark, sf_dir):
     return N.measures(N.judged_by_label(found, e, max(N.DEPTHS), "vec_id"))
 
 
+@_query()
+def neighbour_layout(spark, sf_dir):
+    return L.Layout().project(_table(spark, sf_dir, "embeddings"), "vec_id")
+
+
 # ---- pairs, histograms, Naive Bayes ---------------------------------------------------------
 
 
