@@ -504,7 +504,7 @@ class JaccardJoin:
         across = across.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         more, new = tested_links(cut(across))
         tested, links, labels = tested.unionByName(more), links.unionByName(new), merged(labels, new)
-        most = 256
+        most = 2_048
         while True:
             named = with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")
             ends = F.min("label").alias("x"), F.max("label").alias("y")
