@@ -1,5 +1,7 @@
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillmap.llm import mixing, packing, pseudonyms, quality_lines
 from tests.llm.test_operators import check_slots, linked, one_by_one
@@ -74,6 +76,15 @@ def test_one_row_of_each_group_stays(spark, sf_dir):
         assert got == collections.Counter([(5, a), (None, b), (9, c), (8, d), (None, ""), (1, e), (2, None), (3, f)])
 
 
+def test_rows_that_share_a_hash_are_told_apart(spark, sf_dir, monkeypatch):
+    docs = spark.createDataFrame([(k, f"{k} " + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(40)] * 2, "doc_id long, text string").repartition(3)
+    whole = corpus_pipeline._row_hash
+    monkeypatch.setattr(corpus_pipeline, "_row_hash", lambda docs, salt: F.pmod(whole(docs, salt), F.lit(7)) if salt == 0 else whole(docs, salt))
+    assert docs.select(corpus_pipeline._row_number(docs).alias("n")).distinct().count() == 40
+    out = dict(corpus_pipeline.STAGES)["near_duplicate_join"](spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(40))
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
