@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..sources.steps import ship
 
 BLOCK = 256
+GROUPS = 16  #: groups of blocks where all pairs are made: each block is sent to as many tasks
+QUERY_GROUPS, CORPUS_GROUPS = 32, 4  #: groups of two sides that meet
+HELD = 64 << 20  #: bytes of vectors of a group that a task holds
 
 
 def packed(rows: DataFrame, columns: list[str], vector: str, keys: list[str], size: int = BLOCK) -> DataFrame:
@@ -37,16 +40,61 @@ def block_pairs(blocks: DataFrame, columns: list[str], keys: list[str]) -> DataF
     return left.join(right, [*keys, "j"])
 
 
-def grid(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each row of `left` with each block `b` of `right` (of which `nb` says how many there are). Rows
-    of `left` are dealt by their `i`, so that few blocks on the right still make many tasks."""
-    spark = left.sparkSession
-    n = right.agg(F.max("nb")).first()[0] or 0
-    shares = max(1, -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // max(1, n)))
-    share = F.pmod(F.xxhash64("i"), F.lit(shares)).cast("int").alias("_share")
-    dealt = left.select("*", share, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")) if n else left.select("*", share, F.lit(0).alias("b"))
-    copies = right.drop("nb").withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    return dealt.join(copies, ["b", "_share"]).drop("_share")
+def _groups(blocks: DataFrame, most: int, held: int) -> int:
+    """How many groups: few for few blocks, and more than `most` only where a group would go beyond `held` bytes."""
+    n, numbers = blocks.agg(F.count("*"), F.sum(F.size("flat").cast("long"))).first()
+    return max(1, min(most, -(-n // 4)), -(-8 * (numbers or 0) // held) if held else 1)
+
+
+def meetings(left: DataFrame, right: DataFrame, run: Callable[[Iterator], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """run takes (cell, row, row) of each row of `left` with each of `right`, and gives columns. Blocks
+    are put into groups, and a task takes a group of each side: it holds that of the left and streams
+    that of the right, so a block is sent to 4 tasks or 32, however many blocks there are. Of a cell,
+    each row of the left is one object. Both sides should be cut, and have `b` and `flat`."""
+    p, q = _groups(left, QUERY_GROUPS, HELD), _groups(right, CORPUS_GROUPS, 0)
+    names = [[c for c in side.columns if c not in ("b", "nb")] for side in (left, right)]
+    first = left.select(F.lit(0).alias("_side"), F.pmod("b", F.lit(p)).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("_j"), "b", F.struct(*names[0]).alias("_left"))
+    second = right.select(F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("_i"), F.pmod("b", F.lit(q)).alias("_j"), "b", F.struct(*names[1]).alias("_right"))
+    return _over_cells(first.unionByName(second, allowMissingColumns=True), p * q, names, False, run, schema, ddl)
+
+
+def all_pairs(blocks: DataFrame, run: Callable[[Iterator], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """As `meetings` for every two blocks once, and every block with itself: then both rows are the same
+    object, read once, so its pairs don't depend on the order in which two readers would see it."""
+    p = _groups(blocks, GROUPS, HELD)
+    names = [c for c in blocks.columns if c not in ("b", "nb")]
+    own = F.pmod("b", F.lit(p))
+    first = blocks.select(F.lit(0).alias("_side"), own.alias("_i"), F.explode(F.sequence(own, F.lit(p - 1))).alias("_j"), "b", F.struct(*names).alias("_left"))
+    second = blocks.where(own > 0).select(F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), own - 1)).alias("_i"), own.alias("_j"), "b", F.struct(*names).alias("_right"))
+    return _over_cells(first.unionByName(second, allowMissingColumns=True), p * (p + 1) // 2, [names, names], True, run, schema, ddl)
+
+
+def _over_cells(sides: DataFrame, cells: int, names: list[list[str]], one: bool, run: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
+    ship(sides.sparkSession)
+    dealt = sides.repartition(max(2, cells), "_i", "_j").sortWithinPartitions("_i", "_j", "_side", "b")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, cell = [], None
+        for batch in batches:
+            side, i, j = (batch.column(c).to_numpy() for c in ("_side", "_i", "_j"))
+            structs = [batch.column(c) for c in ("_left", "_right")]
+            columns = [{c: x.field(c) for c in own} for x, own in zip(structs, names)]
+            for k in range(batch.num_rows):
+                if (i[k], j[k]) != cell:
+                    held, cell = [], (i[k], j[k])
+                row = {c: np.array(_value(x, k)) for c, x in columns[side[k]].items()}
+                for other in held if side[k] or (one and i[k] == j[k]) else ():
+                    yield cell, other, row
+                if not side[k]:
+                    if one and i[k] == j[k]:
+                        yield cell, row, row
+                    held.append(row)
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(met(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    return dealt.mapInArrow(batches, ddl)
 
 
 def _value(column, k: int):

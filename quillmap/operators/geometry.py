@@ -7,6 +7,9 @@ aggregates that Spark combines before it shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -422,22 +425,29 @@ def silhouette(vectors: DataFrame, dimension: int | None = None, block: int = 51
     d = dimension or dimension_of(vectors)
     kind = vectors.schema["article"].dataType.simpleString()
     units = unit_vectors(vectors).select("article", "embedding", F.monotonically_increasing_id().alias("row"))
-    points = cut(B.packed(cut(units), ["article", "row"], "embedding", [], block).withColumnRenamed("b", "i"))
+    points = cut(B.packed(cut(units), ["article", "row"], "embedding", [], block))
     sums = cut(B.packed(group_sums(units, ["article"], d), ["article", "n"], "s", [], block))
-    left = points.select("i", F.col("article").alias("own"), "row", F.col("flat").alias("x"))
-    right = sums.select("b", "nb", "article", "n", F.col("flat").alias("y"))
 
-    def distances(row: dict) -> dict:
-        counts = row["n"].astype(float)
-        mean = 1 - B.matrix(row["x"], len(row["own"])) @ B.matrix(row["y"], len(counts)).T / counts
-        same = row["own"][:, None] == row["article"][None, :]
+    def distances(own: dict, other: dict) -> dict:
+        counts = other["n"].astype(float)
+        mean = 1 - B.matrix(own["flat"], len(own["row"])) @ B.matrix(other["flat"], len(counts)).T / counts
+        same = own["article"][:, None] == other["article"][None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             inside = np.where(counts > 1, mean * counts / (counts - 1), np.nan)
-        other = np.where(same, np.inf, mean).min(1)
-        return {"row": row["row"], "a": np.where(same.any(1), np.where(same, inside, 0).sum(1), -np.inf), "b": other}
+        away = np.where(same, np.inf, mean).min(1)
+        return {"row": own["row"], "a": np.where(same.any(1), np.where(same, inside, 0).sum(1), -np.inf), "b": away}
+
+    def run(met: Iterator) -> Iterator[dict]:
+        for _, cell in groupby(met, lambda m: m[0]):
+            lists: dict[int, dict] = {}
+            for _, own, other in cell:
+                now = distances(own, other)
+                held = lists.setdefault(id(own), now)
+                held["a"], held["b"] = np.maximum(held["a"], now["a"]), np.minimum(held["b"], now["b"])  # nan, of a lone vector, stays
+            yield from lists.values()
 
     schema = pa.schema([("row", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-    found = B.over_rows(B.grid(left, right), distances, schema, "row long, a double, b double")
+    found = B.meetings(points, sums, run, schema, "row long, a double, b double")
     each = found.groupBy("row").agg(F.max("a").alias("a"), F.min("b").alias("b"))  # nan, of a lone vector, is the largest
     value = F.when(F.isnan("a"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return each.agg(F.avg(value)).first()[0]

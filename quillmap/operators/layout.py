@@ -16,6 +16,7 @@ are left out; of equal similarities (at nine decimals) the vector that comes fir
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,20 +271,19 @@ def trustworthiness(vectors: DataFrame, places: DataFrame, id_col: str, k: int =
     n = joined.count()
     if n < 3 * k:
         return None
-    left = packs.select(F.col("b").alias("i"), F.col("id").alias("own"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("flat").alias("va"))
-    pairs = B.grid(left, packs.select("b", "nb", "id", "x", "y", "flat"))
     kind = joined.schema["id"].dataType.simpleString()
 
-    def near(row: dict) -> dict:
-        a, b = row["own"], row["id"]
-        s = np.round(B.matrix(row["va"], len(a)) @ B.matrix(row["flat"], len(b)).T, DECIMALS)
-        d = (row["xa"][:, None] - row["x"]) ** 2 + (row["ya"][:, None] - row["y"]) ** 2
-        other = a[:, None] != b[None, :]
-        i, j = np.nonzero(other)
-        return {"own": a[i], "id": b[j], "s": s[other], "d": d[other]}
+    def near(met: Iterator) -> Iterator[dict]:
+        for _, one, two in met:
+            a, b = one["id"], two["id"]
+            s = np.round(B.matrix(one["flat"], len(a)) @ B.matrix(two["flat"], len(b)).T, DECIMALS)
+            d = (one["x"][:, None] - two["x"]) ** 2 + (one["y"][:, None] - two["y"]) ** 2
+            other = a[:, None] != b[None, :]
+            i, j = np.nonzero(other)
+            yield {"own": a[i], "id": b[j], "s": s[other], "d": d[other]}
 
     schema = pa.schema([("own", B.arrow_type(kind)), ("id", B.arrow_type(kind)), ("s", pa.float64()), ("d", pa.float64())])
-    rows = B.over_rows(pairs, near, schema, f"own {kind}, id {kind}, s double, d double")
+    rows = B.meetings(packs, packs, near, schema, f"own {kind}, id {kind}, s double, d double")
     high = F.row_number().over(W.partitionBy("own").orderBy(F.desc("s"), "id"))
     low = F.row_number().over(W.partitionBy("own").orderBy("d", "id"))
     excess = rows.withColumn("high", high).withColumn("low", low).where(F.col("low") <= k).agg(F.sum(F.greatest(F.lit(0), F.col("high") - k))).first()[0]

@@ -1,9 +1,10 @@
 """Exact nearest neighbours of vectors, and retrieval measures over relevance judgements.
 
-Queries and corpus are packed into blocks; each block of queries meets each block of the corpus in
-one matrix product, of which every query keeps its k best: a bounded list for each query and block.
-The lists are merged by a rank that Spark limits to k before it shuffles and after it. What is
-shuffled is k rows for each query and task, whatever the size of the corpus.
+Queries and corpus are packed into blocks, and these dealt into groups; a task takes a group of queries
+and streams a group of the corpus. Two blocks meet in one matrix product, of which every query keeps
+what is among its k best so far. The lists of up to four tasks are merged by a rank that Spark limits
+to k. What is shuffled is up to 36 copies of the vectors and 4 lists of k rows a query, whatever the
+size of the corpus (more only where a group of queries goes beyond 64 MB).
 
 Similarities are cosines, compared at nine decimals; of equal ones the document that comes first in
 the order of ids wins, so the result doesn't depend on blocks. Vectors of length zero have similarity
@@ -16,7 +17,8 @@ divided by the number of relevant documents, and means are over queries with a r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from .geometry import unit_vectors
 from .joins import salted_join
 
 DECIMALS = 9
+SLACK = 2e-9  #: more than rounding moves two similarities
 DEPTHS = (1, 3, 5, 10, 20, 100)
 
 
@@ -37,6 +40,50 @@ def _units(vectors: DataFrame, id_col: str, to: str, vector_col: str) -> DataFra
     return unit_vectors(vectors.select(F.col(id_col).alias(to), F.col(vector_col).alias("embedding")).where(F.col(to).isNotNull() & F.col("embedding").isNotNull()))
 
 
+class _Best:
+    """The k best so far of a block of queries. What is less near than a query's k-th is left out where
+    it is found; the rest is put in order once it is as much as four lists."""
+
+    def __init__(self, own: dict, k: int, same: bool):
+        self.ids, self.k, self.same = own["query"], k, same
+        self.x = B.matrix(own["flat"], len(self.ids))
+        self.limit = np.full(len(self.ids), -np.inf)
+        self.i, self.doc, self.similarity = np.zeros(0, np.int64), self.ids[:0], np.zeros(0)
+        self.parts, self.waiting = [], 0
+
+    def add(self, other: dict) -> None:
+        docs = other["doc"]
+        cosine = self.x @ B.matrix(other["flat"], len(docs)).T
+        limit = self.limit - SLACK
+        if self.k < len(docs) and np.isinf(limit).any():
+            place = len(docs) - self.k - self.same  # one more, if a query may be among them
+            if place >= 0:
+                limit = np.maximum(limit, np.partition(cosine, place, axis=1)[:, place] - SLACK)
+        i, j = np.nonzero(cosine >= limit[:, None])
+        if self.same:
+            apart = self.ids[i] != docs[j]
+            i, j = i[apart], j[apart]
+        self.parts.append((i, docs[j], np.round(cosine[i, j], DECIMALS) + 0.0))
+        self.waiting += len(i)
+        if self.waiting > 4 * self.k * len(self.ids) or np.isinf(self.limit).any():
+            self.merge()
+
+    def merge(self) -> None:
+        i, doc, similarity = (np.concatenate(c) for c in zip((self.i, self.doc, self.similarity), *self.parts))
+        self.parts, self.waiting = [], 0
+        place = np.lexsort((doc, -similarity, i))
+        i = i[place]
+        rank = np.arange(len(i)) - np.searchsorted(i, np.arange(len(self.ids)))[i]
+        first = rank < self.k
+        self.i, self.doc, self.similarity = i[first], doc[place][first], similarity[place][first]
+        last = rank[first] == self.k - 1
+        self.limit[self.i[last]] = self.similarity[last]
+
+    def rows(self) -> dict:
+        self.merge()
+        return {"query": self.ids[self.i], "doc": self.doc, "similarity": self.similarity}
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_col: str = "query", doc_col: str = "doc", vector_col: str = "embedding", same: bool = False, block: int = B.BLOCK) -> DataFrame:
     """query, doc, rank (from 1), similarity of the k documents that are nearest to each query. same:
     queries and corpus name the same things, and none is its own neighbour. Rows without an id or a
@@ -45,28 +92,21 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_col: str = "que
         raise ValueError("k must be positive")
     q, d = _units(queries, query_col, "query", vector_col), _units(corpus, doc_col, "doc", vector_col)
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((q, "query"), (d, "doc"))]
-    left = B.packed(q, ["query"], "embedding", [], block).select(F.col("b").alias("i"), "query", F.col("flat").alias("x"))
-    right = B.packed(d, ["doc"], "embedding", [], block).select("b", "nb", "doc", F.col("flat").alias("y"))
+    left = B.packed(q, ["query"], "embedding", [], block)
+    right = B.packed(d, ["doc"], "embedding", [], block)
     schema = pa.schema([("query", B.arrow_type(kinds[0])), ("doc", B.arrow_type(kinds[1])), ("similarity", pa.float64())])
 
-    def best(row: dict) -> dict:
-        order = np.argsort(row["doc"], kind="stable")
-        ids, own = row["doc"][order], row["query"]
-        cosine = np.round(B.matrix(row["x"], len(own)) @ B.matrix(row["y"], len(ids))[order].T, DECIMALS) + 0.0
-        if same:
-            cosine[own[:, None] == ids[None, :]] = -np.inf
-        if k < len(ids):  # whatever is at least as near as the k-th, then the k first of these
-            limit = np.partition(cosine, len(ids) - k, axis=1)[:, len(ids) - k]
-            i, j = np.nonzero(cosine >= limit[:, None])
-        else:
-            i, j = np.nonzero(np.isfinite(cosine))
-        place = np.lexsort((j, -cosine[i, j], i))
-        i, j = i[place], j[place]
-        begin = np.searchsorted(i, np.arange(len(own)))
-        first = (np.arange(len(i)) - begin[i] < k) & np.isfinite(cosine[i, j])
-        return {"query": own[i[first]], "doc": ids[j[first]], "similarity": cosine[i[first], j[first]]}
-
-    found = B.over_rows(B.grid(cut(left), cut(right)), best, schema, f"query {kinds[0]}, doc {kinds[1]}, similarity double")
+    def run(met: Iterator) -> Iterator[dict]:
+        for _, cell in groupby(met, lambda m: m[0]):
+            lists: dict[int, _Best] = {}
+            for _, own, other in cell:
+                if id(own) not in lists:
+                    lists[id(own)] = _Best(own, k, same)
+                lists[id(own)].add(other)
+            for best in lists.values():
+                yield best.rows()
+
+    found = B.meetings(cut(left), cut(right), run, schema, f"query {kinds[0]}, doc {kinds[1]}, similarity double")
     by = W.partitionBy("query").orderBy(F.desc("similarity"), "doc")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query", "doc", "rank", "similarity")
 

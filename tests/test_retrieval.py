@@ -1,10 +1,13 @@
 import collections
+import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap.operators import blocks as B
 from quillmap.operators import joins, retrieval
 
 DEPTHS = (1, 2, 5, 20)
@@ -130,3 +133,16 @@ def test_salted_join_is_a_join(spark, monkeypatch):
     assert got(joins.salted_join(rows, table, ["k"], "v", how="left")) == want
     skewed = joins.salted_join(rows.repartition(1), table, ["k"], "v").select("k", F.spark_partition_id().alias("p"))
     assert skewed.where("k = 1").agg(F.count_distinct("p")).first()[0] >= 1
+
+
+def test_a_block_goes_to_as_many_tasks_whatever_the_corpus(spark):
+    def seen(met):
+        for _, cell in itertools.groupby(met, lambda m: m[0]):
+            pairs = [(a["doc"][0], b["doc"][0]) for _, a, b in cell]
+            yield {"left": [len({a for a, _ in pairs})], "right": [len({b for _, b in pairs})], "pairs": [len(set(pairs))]}
+
+    schema = pa.schema([(c, pa.int64()) for c in ("left", "right", "pairs")])
+    for n in (160, 320):
+        blocks = spark.range(n).select(F.col("id").alias("b"), F.array("id").alias("doc"), F.array(F.lit(1.0)).alias("flat"))
+        sums = B.meetings(blocks, blocks, seen, schema, "left long, right long, pairs long").groupBy().sum().first()
+        assert list(sums) == [n * B.CORPUS_GROUPS, n * B.QUERY_GROUPS, n * n]
