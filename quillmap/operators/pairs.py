@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -116,24 +118,22 @@ def three_distributions(vectors: DataFrame, order: list[str], limit: int = PAIR_
 def exact_similarities(vectors: DataFrame, block: int = B.BLOCK) -> DataFrame:
     """distribution, article_a, article_b, cosine of every pair of different articles (negative),
     every pair within one (positive) and every neighbouring pair (transition). All pairs are what
-    this is for: it is the exact mode for tables of some thousand vectors; samples are for others.
-    Blocks of vectors are multiplied as matrices, each pair of blocks once."""
-    u = G.unit_vectors(vectors).select("article", "position", "embedding")
+    this is for: it is the exact mode for tables of some thousand vectors; samples, and the sums of
+    `exact`, are for others. Blocks of vectors are multiplied as matrices, each pair of blocks once."""
+    from . import exact
+
     kind = vectors.schema["article"].dataType.simpleString()
     schema = pa.schema([("distribution", pa.string()), ("article_a", B.arrow_type(kind)), ("article_b", B.arrow_type(kind)), ("cosine", pa.float64())])
 
-    def products(row: dict) -> dict[str, np.ndarray]:
-        a, b = row["article_a"], row["article_b"]
-        cosine = B.matrix(row["flat_a"], len(a)) @ B.matrix(row["flat_b"], len(b)).T
-        wanted = np.ones(cosine.shape, bool) if row["i"] != row["j"] else np.triu(np.ones(cosine.shape, bool), 1)
-        i, j = np.nonzero(wanted)
-        first, second = a[i], b[j]
-        swap = first > second
-        pair = np.where(swap, second, first), np.where(swap, first, second)
-        return {"distribution": np.where(first == second, "positive", "negative"), "article_a": pair[0], "article_b": pair[1], "cosine": cosine[i, j]}
-
-    pairs = B.block_pairs(B.packed(u, ["article", "position"], "embedding", [], block), ["article"], [])
-    found = B.over_rows(pairs, products, schema, f"distribution string, article_a {kind}, article_b {kind}, cosine double")
+    def run(met: Iterator) -> Iterator[dict]:
+        for a, b, cosine in exact.products(met):
+            i, j = np.nonzero(~np.isnan(cosine))
+            first, second = a[i, 0], b[0, j]
+            swap = first > second
+            pair = np.where(swap, second, first), np.where(swap, first, second)
+            yield {"distribution": np.where(first == second, "positive", "negative"), "article_a": pair[0], "article_b": pair[1], "cosine": cosine[i, j]}
+
+    found = B.all_pairs(exact.blocks_of(vectors, block), run, schema, f"distribution string, article_a {kind}, article_b {kind}, cosine double")
     article = F.col("article")
     steps = G.transitions(vectors).select(F.lit("transition").alias("distribution"), article.alias("article_a"), article.alias("article_b"), "cosine")
     return found.unionByName(steps)
@@ -142,6 +142,37 @@ def exact_similarities(vectors: DataFrame, block: int = B.BLOCK) -> DataFrame:
 # ---- histograms -----------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Axis:
+    low: float
+    width: float
+    bins: int
+    log_x: bool
+
+    def place(self, x: Column) -> Column:
+        at = F.floor(((F.log(x) if self.log_x else x) - self.low) / self.width)
+        return F.greatest(F.lit(0), F.least(F.lit(self.bins - 1), at)).cast("int")
+
+    def edge(self, k: int) -> float:
+        return (math.exp if self.log_x else float)(self.low + k * self.width)
+
+
+def axis(low: float | None, high: float | None, bins: int, log_x: bool = False, padding: float = 0.5, share_padding: float = 0.01) -> Axis | None:
+    """Bins from low to high; none without values."""
+    if low is None:
+        return None
+    if log_x and low <= 0:
+        raise ValueError("a logarithmic axis needs positive values")
+    if low == high:
+        if log_x:
+            low, high = low * 0.99, high * 1.01
+        else:
+            pad = max(abs(low) * share_padding, padding)
+            low, high = low - pad, high + pad
+    f = math.log if log_x else float
+    return Axis(f(low), (f(high) - f(low)) / bins, bins, log_x)
+
+
 def histogram(values: DataFrame, keys: list[str], value_col: str, bins: int, log_x: bool = False, padding: float = 0.5, share_padding: float = 0.01) -> DataFrame:
     """keys, bin, left, right, count, density: the same edges for all keys, every bin listed. Counts
     are made before the shuffle; the edges are the only numbers that the driver gets."""
@@ -149,28 +180,20 @@ def histogram(values: DataFrame, keys: list[str], value_col: str, bins: int, log
         raise ValueError("bins must be positive")
     x = F.col(value_col).cast("double")
     rows = values.select(*keys, x.alias("x")).where("x is not null")
-    low, high = rows.agg(F.min("x"), F.max("x")).first()
-    spark = values.sparkSession
-    if low is None:
+    edges = axis(*rows.agg(F.min("x"), F.max("x")).first(), bins, log_x, padding, share_padding)
+    if edges is None:
         kinds = {"bin": "int", "left": "double", "right": "double", "count": "long", "density": "double"}
         empty = [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
         return rows.select(*keys, *empty).where("false")
-    if log_x and low <= 0:
-        raise ValueError("a logarithmic axis needs positive values")
-    if low == high:
-        if log_x:
-            low, high = low * 0.99, high * 1.01
-        else:
-            pad = max(abs(low) * share_padding, padding)
-            low, high = low - pad, high + pad
-    f, g = (math.log, math.exp) if log_x else (float, float)
-    a, width = f(low), (f(high) - f(low)) / bins
-    place = F.floor(((F.log("x") if log_x else F.col("x")) - a) / width)
-    binned = rows.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).cast("int"))
-    counts = cut(binned.groupBy(*keys, "bin").agg(F.count("*").alias("count")))  # keys x bins
+    binned = rows.withColumn("bin", edges.place(F.col("x")))
+    return filled(cut(binned.groupBy(*keys, "bin").agg(F.count("*").alias("count"))), keys, edges)  # keys x bins
+
+
+def filled(counts: DataFrame, keys: list[str], axis: Axis) -> DataFrame:
+    """The histogram of counts (keys, bin, count), every bin listed."""
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("total"))
-    edges = [(k, g(a + k * width), g(a + (k + 1) * width)) for k in range(bins)]
-    grid = totals.crossJoin(F.broadcast(spark.createDataFrame(edges, "bin int, left double, right double")))  # keys x bins
+    edges = [(k, axis.edge(k), axis.edge(k + 1)) for k in range(axis.bins)]
+    grid = totals.crossJoin(F.broadcast(counts.sparkSession.createDataFrame(edges, "bin int, left double, right double")))  # keys x bins
     full = grid.join(counts, [*keys, "bin"], "left")
     count = F.coalesce("count", F.lit(0))
     return full.select(*keys, "bin", "left", "right", count.alias("count"), (count / (F.col("total") * (F.col("right") - F.col("left")))).alias("density"))
@@ -241,6 +264,10 @@ def balanced(rows: DataFrame, keys: list[str], class_col: str, order: Column) ->
 def gaussian_model(rows: DataFrame, x: str = "x", label: str = "y", factor: float = VARIANCE_FACTOR) -> DataFrame:
     """One row: mean and smoothed variance of class 0 and class 1."""
     one = rows.agg(*[f(F.when(F.col(label) == k, F.col(x))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("var", F.var_pop))])
+    return smoothed(one, factor)
+
+
+def smoothed(one: DataFrame, factor: float = VARIANCE_FACTOR) -> DataFrame:
     eps = F.greatest(F.greatest("var0", "var1") * factor, F.lit(1e-12))
     return one.select("mean0", "mean1", (F.col("var0") + eps).alias("var0"), (F.col("var1") + eps).alias("var1"))
 
@@ -263,7 +290,12 @@ def histogram_model(rows: DataFrame, x: str = "x", label: str = "y", bins: int =
     if smoothing <= 0:
         raise ValueError("smoothing must be positive")
     counts = rows.groupBy(similarity_bin(F.col(x), bins).alias("bin")).agg(*[F.count_if(F.col(label) == k).alias(f"n{k}") for k in (0, 1)])
-    grid = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0, ["n0", "n1"])
+    return log_shares(rows.sparkSession, counts, bins, smoothing)
+
+
+def log_shares(spark: SparkSession, counts: DataFrame, bins: int, smoothing: float) -> DataFrame:
+    """bin, log0, log1 of counts (bin, n0, n1)."""
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0, ["n0", "n1"])
     sums = grid.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
     full = grid.crossJoin(F.broadcast(sums))  # one row of sums
     return full.select("bin", *[F.log((F.col(f"n{k}") + smoothing) / (F.col(f"t{k}") + smoothing * bins)).alias(f"log{k}") for k in (0, 1)])

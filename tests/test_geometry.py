@@ -5,13 +5,16 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmap.functions import vectors as V
+from quillmap.operators import blocks as B
 from quillmap.operators import chunking as C
+from quillmap.operators import exact as X
 from quillmap.operators import geometry as G
 from quillmap.operators import pairs as P
 from quillmap.operators import runs as R
@@ -196,6 +199,44 @@ def test_exact_similarities_by_numpy(spark):
     assert collections.Counter((r["distribution"], r["article_a"], r["article_b"], round(r["cosine"], 9)) for r in got) == want
 
 
+def test_sums_over_all_pairs_are_those_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(B, "GROUPS", 3)
+    rng = np.random.default_rng(6)
+    groups = {str(k): rng.normal(size=(int(rng.integers(1, 30)), 5)) for k in range(9)}
+    v = _vectors(spark, groups)
+    v = v.withColumn("article", F.col("article").cast("long"))
+    rows = P.exact_similarities(v, block=4).persist()
+    near = lambda a, b: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, a.collect()))] == [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, b.collect()))]
+    want = rows.groupBy("distribution").agg(F.count("*"), F.avg("cosine"), F.stddev_pop("cosine"))
+    assert near(X.summary(v, block=4), want)
+    assert near(X.histogram(v, 20, block=4), P.histogram(rows, ["distribution"], "cosine", 20))
+    trains = lambda a, b: (a + b) % 4 < 2
+    xy = rows.where("distribution != 'transition'").select(F.round("cosine", 9).alias("x"), (F.col("distribution") == "positive").cast("int").alias("y"), trains(F.col("article_a"), F.col("article_b")).alias("train"))
+    train, test = xy.where("train"), xy.where("not train")
+    assert near(X.gaussian_naive_bayes(v, trains, block=4), P.confusion(P.gaussian_predict(test, P.gaussian_model(train))))
+    assert near(X.histogram_naive_bayes(v, trains, block=4), P.confusion(P.histogram_predict(test, P.histogram_model(train))))
+
+
+def test_a_block_with_itself_is_read_once(spark):
+    """Two readers of a block may see its rows in two orders, which lost some pairs and doubled others."""
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng().permutation(batch.num_rows)))
+
+    v = _vectors(spark, {"x": np.random.default_rng(7).normal(size=(40, 5))}).coalesce(1)
+    restless = v.mapInArrow(shuffled, v.schema)
+    pairs = [(r["cosine"]) for r in P.exact_similarities(restless).where("distribution = 'positive'").collect()]
+    assert len({round(c, 9) for c in pairs}) == len(pairs) == 40 * 39 // 2 and max(pairs) < 0.999
+
+
+def test_no_pairs_of_articles_without_a_name(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 1.0]), (None, 2, [0.0, 1.0]), (2, 3, [0.0, 2.0])], "article int, position long, embedding array<float>")
+    counts = {r["distribution"]: r["n"] for r in X.summary(v).collect()}
+    assert counts == {"negative": 2, "positive": 1, "transition": 1}
+    assert not X.summary(v.where("false")).collect() and not X.histogram(v.where("false"), 5).collect()
+
+
 def test_sampled_pairs_of_a_fixture(spark):
     v = _vectors(spark, {"x": [(1, 0), (1, 1), (0, 1)], "y": [(1, 0), (0, 1)]})
     assert P.sampled_pairs(v, ["article", "position"], 4).count() == 4
