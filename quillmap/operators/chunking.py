@@ -6,14 +6,14 @@ and numbers the rest from 0. All but the recursive splitter are expressions over
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import text as T
+from ..functions.slices import in_slices
 from ..sources.steps import ship
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -40,8 +40,7 @@ def library_windows(path: str, count: int, overlap: int):
     """Windows of the tokens that a tokenizer file gives, decoded: for `tokenizers` files, whose path
     all machines must see."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: list) -> list[list[str]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -51,23 +50,22 @@ def library_windows(path: str, count: int, overlap: int):
             ids = tokenizer.encode(text or "", add_special_tokens=False).ids
             starts = range(0, max(1, len(ids) - overlap), count - overlap) if ids else ()
             out.append([tokenizer.decode(ids[k : k + count], skip_special_tokens=False) for k in starts])
-        return pd.Series(out)
+        return out
 
-    return run
+    return in_slices(ArrayType(StringType()), pa.list_(pa.string()), run)
 
 
 def library_token_count(path: str):
     """The number of such tokens, for the structure of texts."""
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: list) -> list[list[int]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        return pd.Series([tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts])
+        return [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
 
-    return run
+    return in_slices(ArrayType(IntegerType()), pa.list_(pa.int32()), run)
 
 
 def _raw_chunks(texts: DataFrame, method: str, tokenizer: T.Tokenizer | str, params: dict[str, int]) -> DataFrame:
@@ -121,11 +119,10 @@ def recursive_split(size: int, overlap: int):
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("the chunk size must be positive and the overlap smaller")
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t or "", size, overlap) for t in texts])
+    def run(texts: list) -> list[list[str]]:
+        return [split_text(t or "", size, overlap) for t in texts]
 
-    return run
+    return in_slices(ArrayType(StringType()), pa.list_(pa.string()), run)
 
 
 def chunk(
@@ -187,9 +184,11 @@ def _by_prefix_function(before: str, after: str) -> int:
     return border[-1] if n else 0
 
 
-@F.pandas_udf(IntegerType())
-def suffix_prefix_overlap(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([0 if a is None or b is None else suffix_prefix_length(a, b) for a, b in zip(before, after)])
+def _overlaps(before: list, after: list) -> list[int]:
+    return [0 if a is None or b is None else suffix_prefix_length(a, b) for a, b in zip(before, after)]
+
+
+suffix_prefix_overlap = in_slices(IntegerType(), pa.int32(), _overlaps)
 
 
 def transitions_of(chunks: DataFrame, keys: list[str], order: str = "chunk_index") -> DataFrame:

@@ -4,10 +4,13 @@ import random
 import re
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quillmap.functions import text as T
+from quillmap.functions.slices import SLICE, in_slices
 from quillmap.operators import articles as A
 
 DUPLICATES = [
@@ -52,6 +55,19 @@ def test_ids_are_those_of_sorted_json(spark):
         assert value == "article_" + hashlib.sha256(record.encode()).hexdigest()[:24]
 
 
+def test_python_holds_a_slice_of_a_batch(spark):
+    """Ten thousand long texts were Python objects at once."""
+
+    def held(texts):
+        return [len(texts)] * len(texts)
+
+    rows = spark.range(1_000).select(F.col("id").cast("string").alias("c")).coalesce(1)
+    sizes = [r[0] for r in rows.select(in_slices(IntegerType(), pa.int32(), held)("c")).collect()]
+    assert len(sizes) == 1_000 and max(sizes) <= SLICE
+    ids = rows.select("c", A.article_id(F.lit(0), "c", "c", F.lit(None).cast("string")).alias("i")).collect()
+    assert all(r["i"] == A._article_ids([0], [r["c"]], [r["c"]], [None])[0] for r in ids)
+
+
 IMAGES = [
     ('Text ![a](x.jpg "t") more', "Text more"),
     ("![a](x.jpg)", ""),
