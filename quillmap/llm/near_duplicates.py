@@ -487,23 +487,11 @@ class JaccardJoin:
             left, right = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
             return cut(p.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))
 
-        def tested_links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """Those of the pairs that pass the bounds, and of these the links."""
-            bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}{k}" for k in "ab" for c in "npb"])
-            passed = cut(bounded.mapInArrow(_filter_pairs(percent), "a long, b long"))
-            return passed, verified(passed)
-
-        tested, links = tested_links(pairs)
+        bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}{k}" for k in "ab" for c in "npb"])
+        # pairs that don't pass the bounds are no links, and the trees, which hold the same bounds, don't give them
+        tested = cut(bounded.mapInArrow(_filter_pairs(percent), "a long, b long"))
+        links = verified(tested)
         labels = cut(components(links), again=True)
-        # members of other components than another drawn one's meet that one: most components merge here
-        named = cut(with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label"))
-        drawn = F.min(F.struct(F.xxhash64(F.lit(1), "token", "rep"), "rep", "label"))
-        several = named.groupBy("token").agg(drawn.alias("p"), (F.min("label") != F.max("label")).alias("mixed"), F.first("parts").alias("parts"))
-        several = cut(several.where("mixed").select("token", "parts", F.col("p.rep").alias("other"), F.col("p.label").alias("known")))
-        across = named.drop("parts").join(of_tokens(several), ["token", "part"]).where("label != known")
-        across = across.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more, new = tested_links(cut(across))
-        tested, links, labels = tested.unionByName(more), links.unionByName(new), merged(labels, new)
         most = 2_048
         while True:
             named = with_labels(keys.select("token", "part", "parts", "rep"), labels, "rep", "label")

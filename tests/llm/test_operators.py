@@ -795,6 +795,17 @@ def test_odd_documents_join(spark, odd_docs, no_docs):
     assert near_duplicates.JaccardJoin(no_docs).members().count() == 0
 
 
+def test_members_meet_one_that_is_drawn_and_then_the_trees(spark, monkeypatch):
+    """A second drawn one made as many pairs of a large group as the first, of which next to none were links."""
+    rounds, bounds = [], near_duplicates._filter_pairs
+    monkeypatch.setattr(near_duplicates, "_filter_pairs", lambda percent: rounds.append(percent) or bounds(percent))
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[: k % 7], f"x{k}", *base[k % 7 + 1 :]]) for k in range(30)] + ["other words of one more text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    components = {r["doc_id"]: r["component_id"] for r in near_duplicates.JaccardJoin(df).members().collect()}
+    assert len(rounds) == 1 and components == {k: 0 for k in range(30)} | {30: 30}
+
+
 def test_one_id_with_two_texts(spark, odd_docs):
     a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
     near = lambda w: " ".join(w[:30] + ["other"] + w[31:])
