@@ -28,9 +28,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(square_norm(v))
 
 
+def divisor(v: Column) -> Column:
+    """What divides a vector to length 1."""
+    return F.greatest(norm(v), F.lit(EPSILON))
+
+
 def unit(v: Column) -> Column:
     """At length 1; a zero vector stays zero."""
-    return _scaled(v, F.greatest(norm(v), F.lit(EPSILON)))
+    return _scaled(v, divisor(v))
 
 
 def _scaled(v: Column, by: Column) -> Column:

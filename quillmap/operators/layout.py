@@ -9,7 +9,7 @@ vector's own. The start is two eigenvectors of the weighted graph, by power step
 Layout rounds deal the plane into blocks of some thousand near points; a task moves its own points
 over their edges, with the other ends, and some points from anywhere, standing still.
 
-No task holds more than a block or a meeting, and the driver holds a few pivots, sums and 256 points.
+No task holds more than a block or a group of meetings, and the driver holds a few pivots, sums and 256 points.
 All draws come from seed, round and number, so a layout can be made again. Rows without a vector
 are left out; of equal similarities (at nine decimals) the vector that comes first counts.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import vectors as V
 from ..sources.steps import cut, ship
 from . import blocks as B
 from .geometry import _near_pivots, dimension_of, unit_vectors
@@ -32,6 +33,9 @@ from .ranks import numbered
 
 DECIMALS = 9
 FAR = 256  #: points from anywhere that every block sees
+GROUPS = 12  #: groups of meetings; more only where the vectors of one would go beyond `HELD`
+HELD = 256 << 20  #: bytes of vectors that a task of meetings holds
+AT_ONCE = 1_024  #: meetings whose findings a task holds
 REPEL = 5  #: random points that an end of an edge is pushed from
 # Fixed values of the method: the curve of low-dimensional weights for a least distance of 0.1.
 CURVE_A, CURVE_B = 1.5769, 0.8951
@@ -55,14 +59,21 @@ class Layout:
     # ---- neighbours -------------------------------------------------------------------------
 
     def indexed(self, vectors: DataFrame, id_col: str) -> DataFrame:
-        """idx, id, unit vectors."""
-        held = vectors.select(F.col(id_col).alias("id"), "embedding").where(F.col("id").isNotNull() & F.col("embedding").isNotNull())
-        return cut(numbered(unit_vectors(held), ["id"]))
+        """idx, id, unit vectors, and the vectors as they were stored (`raw`) with what divides them."""
+        single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+        raw = F.col("embedding") if single else V.doubles(F.col("embedding"))
+        held = vectors.select(F.col(id_col).alias("id"), raw.alias("raw")).where(F.col("id").isNotNull() & F.col("raw").isNotNull())
+        own = V.doubles(F.col("raw"))
+        return cut(numbered(held, ["id"]).withColumns({"embedding": V.unit(own), "by": V.divisor(own)}))
 
     def _nearest(self, rows: DataFrame) -> DataFrame:
         by = W.partitionBy("u").orderBy(F.desc("s"), "v")
         return rows.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= self.k).drop("_k")
 
+    def _nearest_of(self, found: DataFrame) -> DataFrame:
+        """The same of rows that may be there twice, with one shuffle for both."""
+        return self._nearest(found.repartition("u").dropDuplicates(["u", "v"]))
+
     def first_graph(self, units: DataFrame, dimension: int) -> DataFrame:
         """u, v, s: nearest vectors inside blocks."""
         k = self.k
@@ -80,7 +91,7 @@ class Layout:
             packs = B.packed(way, ["article"], "centroid", ["cell"], self.block)
             own = B.over_rows(packs.select("article", "flat"), best, _FOUND, "u long, v long, s double")
             found = own if found is None else found.unionByName(own)
-        return self._nearest(found.dropDuplicates(["u", "v"]))
+        return self._nearest_of(found)
 
     def descend(self, units: DataFrame, edges: DataFrame, number: int) -> DataFrame:
         """The graph after one more round."""
@@ -92,20 +103,12 @@ class Layout:
             place = F.row_number().over(W.partitionBy("c").orderBy(draw, "m"))
             sides.append(side.withColumn("_k", place).where(F.col("_k") <= self.sample).drop("_k"))
         own = units.select(F.col("idx").alias("c"), F.col("idx").alias("m"))
-        members = sides[0].unionByName(sides[1]).unionByName(own).distinct()
+        members = sides[0].unionByName(sides[1]).unionByName(own)
         least = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("low"))
         least = least.select(F.col("u").alias("m"), F.when(F.col("n") >= k, F.col("low")).alias("low"))  # with fewer, anything counts
-        full = members.join(units.select(F.col("idx").alias("m"), "embedding"), "m").join(least, "m", "left")
-        rows = F.collect_list(F.struct("m", F.coalesce("low", F.lit(-2.0)).alias("low"), "embedding")).alias("r")  # 2 x sample + 1
-        field = lambda name: F.transform("r", lambda x: x[name])
-        meetings = full.groupBy("c").agg(rows).select(field("m").alias("m"), field("low").alias("low"), F.flatten(field("embedding")).alias("flat"))
-
-        def meet(row: dict) -> dict:
-            order = np.argsort(row["m"])
-            return _best(row["m"][order], B.matrix(row["flat"], len(order))[order], k, row["low"][order])
-
-        found = B.over_rows(meetings, meet, _FOUND, "u long, v long, s double")
-        return cut(self._nearest(edges.unionByName(found).dropDuplicates(["u", "v"])), again=True)
+        many = _groups(*_sizes(units), 2 * self.sample + 1)
+        found = _met(_sent(units, members, least, many), many, k)
+        return cut(self._nearest_of(edges.unionByName(found)), again=True)
 
     def graph(self, units: DataFrame) -> DataFrame:
         """u, v, s: about the k nearest of each vector. Rounds end once they add next to nothing."""
@@ -231,6 +234,77 @@ class Layout:
         return places.join(units.select("idx", F.col("id").alias(id_col)), "idx").select(id_col, "x", "y")
 
 
+def _groups(n: int, held: int, each: int) -> int:
+    """How many groups: few for few meetings, and more than `GROUPS` only where the vectors that meet in
+    one, of `held` bytes and with meetings of `each`, would go beyond `HELD`."""
+    many = GROUPS
+    while held * (1 - (1 - 1 / many) ** each) > HELD:
+        many += GROUPS
+    return max(1, min(many, -(-n // B.BLOCK)))
+
+
+def _sizes(units: DataFrame) -> tuple[int, int]:
+    """Vectors, and bytes of them."""
+    wide = 4 if units.schema["raw"].dataType.elementType.typeName() == "float" else 8
+    n, numbers = units.agg(F.count("*"), F.sum(F.size("raw").cast("long"))).first()
+    return n, wide * (numbers or 0)
+
+
+def _sent(units: DataFrame, members: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """g, m, low, by, raw, cs: a vector once for each group that it has meetings in, with their centres."""
+    g = F.pmod(F.xxhash64("c"), F.lit(many)).alias("g")
+    placed = members.select("m", g, "c").repartition("m").groupBy("m", "g").agg(F.collect_set("c").alias("cs"))
+    full = placed.join(units.select(F.col("idx").alias("m"), "raw", "by"), "m").join(least, "m", "left")
+    return full.select("g", "m", F.coalesce("low", F.lit(-2.0)).alias("low"), "by", "raw", "cs")
+
+
+def _met(sent: DataFrame, many: int, k: int) -> DataFrame:
+    """u, v, s: what the meetings of each group find, of some meetings the k nearest of a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)]
+            for first, end in zip(edges, edges[1:]):
+                if first == end:
+                    continue
+                if held and g[first] != group:
+                    yield from _meetings(held, k)
+                    held = []
+                group = g[first]
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield from _meetings(held, k)
+
+    ship(sent.sparkSession)
+    # four times as many tasks as groups at most, so that few get two of them
+    return sent.repartition(4 * many, "g").sortWithinPartitions("g").mapInArrow(run, "u long, v long, s double")
+
+
+def _meetings(held: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    col = lambda name: np.concatenate([b.column(name).to_numpy() for b in held])
+    flat = lambda name: np.concatenate([b.column(name).flatten().to_numpy(zero_copy_only=False) for b in held])
+    m, low, by, x, c = col("m"), col("low"), col("by"), B.matrix(flat("raw"), sum(len(b) for b in held)), flat("cs")
+    row = np.repeat(np.arange(len(m)), np.concatenate([b.column("cs").value_lengths().to_numpy() for b in held]))
+    held.clear()
+    order = np.lexsort((m[row], c))
+    row, starts = row[order], np.flatnonzero(np.diff(c[order], prepend=-1))
+    ends = [*starts[1:], len(row)]
+    for at in range(0, len(starts), AT_ONCE):
+        met = [row[a:b] for a, b in zip(starts[at : at + AT_ONCE], ends[at : at + AT_ONCE])]
+        found = [_best(m[r], x[r].astype(float) / by[r][:, None], k, low[r]) for r in met]
+        u, v, s = (np.concatenate([f[name] for f in found]) for name in "uvs")
+        order = np.lexsort((-s, v, u))  # each pair once
+        u, v, s = (a[order] for a in (u, v, s))
+        once = np.append(True, (np.diff(u) != 0) | (np.diff(v) != 0))[: len(u)]
+        u, v, s = (a[once] for a in (u, v, s))
+        order = np.lexsort((v, -s, u))
+        u, v, s = (a[order] for a in (u, v, s))
+        place = np.arange(len(u)) - np.searchsorted(u, u)
+        yield pa.RecordBatch.from_arrays([pa.array(a[place < k]) for a in (u, v, s)], schema=_FOUND)
+
+
 def _best(ids: np.ndarray, x: np.ndarray, k: int, low: np.ndarray) -> dict:
     """For each of these vectors its k nearest others, those above `low`; ids are sorted."""
     s = np.round(x @ x.T, DECIMALS) + 0.0

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.operators import geometry as G
+from quillmap.operators import layout as L
 from quillmap.operators import retrieval as N
 from quillmap.operators.layout import Layout, trustworthiness
 
@@ -115,3 +116,36 @@ def test_few_vectors(spark, n):
     assert len(rows) == n and all(np.isfinite([r["x"], r["y"]]).all() for r in rows)
     if n:
         assert df.select(F.count_distinct("name")).first()[0] == n
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none, quantiles = sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, quantiles, none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_a_vector_is_sent_once_to_a_group_of_meetings(spark):
+    n, d = 600, 256
+    units = SMALL.indexed(frame(spark, np.random.default_rng(3).normal(size=(n, d)).astype(np.float32)), "name")
+    edges = spark.createDataFrame([(u, (u + k * k) % n, -1.0 + k / 100) for u in range(n) for k in range(1, 9)], "u long, v long, s double").persist()
+    edges.count()
+    before = shuffled(spark)
+    SMALL.descend(units, edges, 0)
+    assert shuffled(spark) - before < 17 * n * d * 8 / 4  # 17 members, each with its vector, in doubles
+
+
+def test_groups_of_meetings_are_bounded():
+    assert [L._groups(n, 256 * n, 41) for n in (0, 1, 257, 100_000)] == [1, 1, 2, L.GROUPS]
+    for n in (10**6, 10**7, 10**9):
+        many = L._groups(n, 256 * n, 41)
+        assert 256 * n * (1 - (1 - 1 / many) ** 41) <= L.HELD and many <= max(L.GROUPS, 2 * 41 * 256 * n / L.HELD)
+
+
+def test_the_graph_of_doubles(spark):
+    x = groups(4, 120, 8, 3).astype(float) + 1e-12
+    units = SMALL.indexed(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "name int, embedding array<double>"), "name")
+    exact = {(r["query"], r["doc"]) for r in N.nearest(units, units, 8, "idx", "idx", same=True).collect()}
+    assert len(exact & {(r["u"], r["v"]) for r in SMALL.graph(units).collect()}) >= 0.97 * len(exact)
