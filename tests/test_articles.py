@@ -130,6 +130,26 @@ def test_structure_against_python(spark):
         A.text_structure(spark.createDataFrame([], "article_id int, content string"), sizes=(32, 32))
 
 
+def test_structure_of_odd_characters_against_python(spark):
+    rng = random.Random(11)
+    odd = ["w", "W", "ww", "ß", "ẞ", "ſ", "ŉ", "ǰ", "İ", "i̇", "ς", "Σ", "µ", "ﬁ", "Ⅳ", "½", "²", "五", "\U00020001", "é", "É", "ж", "7", "٣", "_", "-", "\u0345", " ", " ", "\u00a0", "\n", "\r\n", "\n\n", ". ", "! ", "?", "\x1c"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.choice([1, 3, 10, 60]))) for _ in range(400)]
+    rows = {r["k"]: r for r in A.text_structure(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").collect()}
+    names = [*A.METRICS, *(f"estimated_token_chunks_{n}" for n in (32, 64, 128, 256))]
+    for k, text in enumerate(texts):
+        for name, want in zip(names, structure(text), strict=True):
+            assert rows[k][name] == (None if want is None else pytest.approx(want)), (text, name)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_taken_from_a_text_once(spark):
+    df = spark.createDataFrame([(1, "a b")], "article_id int, content string").repartition(2)
+    assert _plan(A.text_structure(df)).count("regexp_extract_all(t#") == 1
+
+
 def test_words(spark):
     df = spark.createDataFrame([("One two 123",), ("Žodis—kitas, third!",), ("Four_words",), ("",)], "t string")
     assert [r[0] for r in df.select(F.size(T.words(F.col("t")))).collect()] == [2, 3, 2, 0]
