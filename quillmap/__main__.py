@@ -137,7 +137,7 @@ def _store_step(spark: SparkSession, store: Store, a: argparse.Namespace) -> boo
         store.replace("articles", A.mark_duplicates(store.read("articles")))
     elif a.step == "clean-by-statistics":
         rows = A.text_structure(store.read("articles").where("is_valid is not null"), tokenizer=_tokens(a.tokenizer))
-        judged = A.classify_outliers(rows, A.Cleaning(a.max_numeric_or_special_ratio, a.mad_multiplier, a.minimum_outlier_metrics))
+        judged = A.classify_outliers(rows.select("article_id", "is_valid", *A.JUDGED), A.Cleaning(a.max_numeric_or_special_ratio, a.mad_multiplier, a.minimum_outlier_metrics))
         write_csv(A.cleaning_report(judged), a.report)
         A.reason_counts(judged).show(100, False)
         if a.apply:

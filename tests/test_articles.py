@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType
 from quillmap.functions import text as T
 from quillmap.functions.slices import SLICE, in_slices
 from quillmap.operators import articles as A
+from quillmap.plans import catalog
 
 DUPLICATES = [
     ("article-c", "Exact duplicate", False, "too_short"),
@@ -150,6 +151,10 @@ def test_words_are_taken_from_a_text_once(spark):
     assert _plan(A.text_structure(df)).count("regexp_extract_all(t#") == 1
 
 
+def test_cleaning_takes_no_words_from_texts(spark, sf_dir):
+    assert "regexp_extract_all" not in _plan(catalog._structured(spark, sf_dir))
+
+
 def test_words(spark):
     df = spark.createDataFrame([("One two 123",), ("Žodis—kitas, third!",), ("Four_words",), ("",)], "t string")
     assert [r[0] for r in df.select(F.size(T.words(F.col("t")))).collect()] == [2, 3, 2, 0]
